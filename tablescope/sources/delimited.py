@@ -21,17 +21,17 @@ _CORRUPT = "_record"
 
 def normalize_headers(names: Sequence[str | None]) -> list[str]:
     """Trim names and the byte order mark, name blanks ``column_i``, number repeats ``_2``, ``_3``."""
-    seen: Counter[str] = Counter()
-    taken: set[str] = set()
-    out = []
+    used: Counter[str] = Counter()
+    out: list[str] = []
     for index, raw in enumerate(names, start=1):
-        base = (raw or "").lstrip("﻿").strip() or f"column_{index}"
+        base = (raw or "").lstrip("\ufeff").strip() or f"column_{index}"
         name = base
-        while seen[base] and name in taken or name in taken:
-            seen[base] += 1
-            name = f"{base}_{seen[base]}"
-        seen[base] = max(seen[base], 1)
-        taken.add(name)
+        used[base] += 1
+        if used[base] > 1:
+            name = f"{base}_{used[base]}"
+        while name in out:
+            used[base] += 1
+            name = f"{base}_{used[base]}"
         out.append(name)
     return out
 
@@ -43,7 +43,7 @@ def quick_headers(names: Sequence[str | None], width: int) -> list[str]:
 
 
 def _unmark(name: str | None) -> str | None:
-    return name.removeprefix("﻿") if name else name
+    return name.removeprefix("\ufeff") if name else name
 
 
 def has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,22 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 WAREHOUSE_FORMATS = {"snowflake": "snowflake", "bigquery": "bigquery", "redshift": "jdbc", "databricks": "jdbc"}
 
 
+def _sql_literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float)):
+        return repr(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
 def bind(query: str, params: Mapping[str, object] | None) -> str:
-    """Replace ``:name`` by SQL literals; the longest names first."""
+    """Replace every ``:name`` that has a parameter by its SQL literal."""
     if params is not None and not isinstance(params, Mapping):
         raise ValueError("SQL params must be a mapping")
-    for name in sorted(params or {}, key=len, reverse=True):
-        value = params[name]
-        if value is None:
-            text = "NULL"
-        elif isinstance(value, bool):
-            text = "TRUE" if value else "FALSE"
-        elif isinstance(value, (int, float)):
-            text = repr(value)
-        else:
-            text = "'" + str(value).replace("'", "''") + "'"
-        query = query.replace(f":{name}", text)
-    return query
+    known = params or {}
+    return re.sub(
+        r"(?<!:):([A-Za-z_]\w*)", lambda m: _sql_literal(known[m[1]]) if m[1] in known else m[0], query
+    )
 
 
 def jdbc_options(
