@@ -31,10 +31,10 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, so that summation order does not show."""
+    """Doubles to six places, nudged off ties, so that summation order does not show."""
     return df.selectExpr(
         *[
-            f"round({quoted(f.name)}, 6) AS {quoted(f.name)}" if f.dataType.typeName() == "double" else quoted(f.name)
+            f"round({quoted(f.name)} + 1e-9D, 6) AS {quoted(f.name)}" if f.dataType.typeName() == "double" else quoted(f.name)
             for f in df.schema.fields
         ]
     )
@@ -46,7 +46,7 @@ def r(*names: str) -> str:
     for item in names:
         expression, _, alias = item.rpartition(" AS ")
         expression = expression or alias
-        items.append(f"round({expression}, 6) AS {alias}")
+        items.append(f"round({expression} + 1e-9, 6) AS {alias}")
     return ", ".join(items)
 
 
@@ -228,7 +228,7 @@ add(
         f"ELSE coalesce({duck.text(c, f)}, '') END AS {c}"
         for c, f in COLUMNS["documents"].items()
     )
-    + " FROM documents ORDER BY doc_id LIMIT 5",
+    + " FROM documents ORDER BY documents.doc_id LIMIT 5",
 )
 add(
     "numeric_row_sample_events",
@@ -469,12 +469,12 @@ for _name in ("events", "part", "lineitem"):
         _histogram(_name),
         f"WITH {duck.facts(_name)}, {duck.quantiles()}, {_BINS}, raws AS (SELECT b.*, c.num, "
         "least(CAST(floor((c.num - lo) / (hi - lo) * bins) AS INT), bins - 1) AS raw FROM cells c JOIN bins b "
-        "ON c.\"column\" = b.\"column\" WHERE c.num IS NOT NULL), counted AS (SELECT \"column\", raw "
+        "ON c.\"column\" = b.\"column\" WHERE c.num IS NOT NULL), binned AS (SELECT \"column\", raw "
         f"- CASE WHEN num < {_edge.format(i='raw')} THEN 1 ELSE 0 END "
         f"+ CASE WHEN raw < bins - 1 AND num >= {_edge.format(i='raw + 1')} THEN 1 ELSE 0 END AS bin, count(*) AS size "
         "FROM raws GROUP BY 1, 2), every_bin AS (SELECT *, CAST(unnest(range(0, bins)) AS INT) AS bin FROM bins) "
         f"SELECT e.\"column\", e.bin, {r(_edge.format(i='e.bin') + ' AS low', 'CASE WHEN e.bin = bins - 1 THEN hi ELSE ' + _edge.format(i='e.bin + 1') + ' END AS high')}, "
-        "coalesce(size, 0) AS size FROM every_bin e LEFT JOIN counted c ON e.\"column\" = c.\"column\" AND e.bin = c.bin",
+        "coalesce(size, 0) AS size FROM every_bin e LEFT JOIN binned c ON e.\"column\" = c.\"column\" AND e.bin = c.bin",
     )
 
 
@@ -555,7 +555,7 @@ add(
     lambda spark, d: rounded(quick.correlations(_numbers(spark, d))),
     "SELECT * FROM ("
     + " UNION ALL ".join(
-        f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, round(corr({_QUICK[b]}, {_QUICK[a]}), 6) AS pearson_r, count(*) AS n FROM events"
+        f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, round(corr({_QUICK[b]}, {_QUICK[a]}) + 1e-9, 6) AS pearson_r, count(*) AS n FROM events"
         for a, b in (("user_id", "value"), ("user_id", "amount"), ("value", "amount"))
     )
     + ")",
@@ -602,7 +602,7 @@ add(
     "dataset_metrics_events",
     lambda spark, d: rounded(_metrics(spark, d, "events")[1]),
     duck.issues("events") + f", {duck.SEVERITIES} SELECT (SELECT max(\"rows\") FROM facts) AS \"rows\", "
-    "(SELECT count(*) FROM facts) AS columns, (SELECT round(avg(1 - null_ratio), 6) FROM facts) AS completeness, "
+    "(SELECT count(*) FROM facts) AS columns, (SELECT round(avg(1 - null_ratio) + 1e-9, 6) FROM facts) AS completeness, "
     "(SELECT CAST(sum(3) + 1 AS BIGINT) FROM facts) AS rules_evaluated, error_count, warning_count, info_count, "
     f"{r('penalty')}, issue_count, max_severity, {r('score')} FROM summary",
 )

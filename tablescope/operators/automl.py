@@ -54,6 +54,9 @@ ONE_HOT_LIMIT = 100
 HASH_FEATURES = 256
 MAX_CLASSES = 1000
 
+# Training rows a task should have at least.
+ROWS_PER_TASK = 20_000
+
 
 @dataclass
 class ModelReport:
@@ -293,9 +296,10 @@ def train(df: DataFrame, target: str | None = None) -> ModelReport:
     categories = [n for n in features if not facts[n]["promoted"]]
     sizes = [facts[n]["distinct"] for n in categories]
     raw = model_frame(df, numbers, categories, target, as_number=problem == "regression")
-    frame = fill_categories(raw, sizes).persist()
+    cached = fill_categories(raw, sizes).persist()
     try:
-        rows = frame.count()
+        rows = cached.count()
+        frame = packed_rows(cached, rows)
         if rows < LEAST_ROWS:
             message = "At least 20 rows with usable features and targets are required for automated modeling."
             return _skipped(message, target=target, problem_type=problem, rows_used=rows)
@@ -330,7 +334,12 @@ def train(df: DataFrame, target: str | None = None) -> ModelReport:
             predictions=predictions(model, fill_categories(raw, sizes), problem), **known,
         )
     finally:
-        frame.unpersist()
+        cached.unpersist()
+
+
+def packed_rows(frame: DataFrame, rows: int) -> DataFrame:
+    """Fewer partitions for few rows: iterative training pays for every task of every round."""
+    return frame.coalesce(rows // ROWS_PER_TASK + 1)
 
 
 def predictions(model: PipelineModel, frame: DataFrame, problem: str) -> DataFrame:
@@ -379,9 +388,10 @@ def cluster(df: DataFrame, columns: Sequence[str] | None = None) -> ModelReport:
     raw = model_frame(df.withColumn("_every", F.lit("1")), numbers, categories, "_every", as_number=False).drop("target")
     frame = fill_categories(raw, sizes)
     prepared = Pipeline(stages=preprocessing(len(numbers), sizes)).fit(frame)
-    points = prepared.transform(frame).select("features").persist()
+    cached = prepared.transform(frame).select("features").persist()
     try:
-        rows = points.count()
+        rows = cached.count()
+        points = packed_rows(cached, rows)
         if rows < LEAST_CLUSTER_ROWS:
             return _skipped("At least 10 rows with usable features are required for clustering previews.", rows_used=rows)
         tried, fitted = [], {}
@@ -411,7 +421,7 @@ def cluster(df: DataFrame, columns: Sequence[str] | None = None) -> ModelReport:
             predictions=assigned, feature_stats=feature_stats(df, features), **known,
         )
     finally:
-        points.unpersist()
+        cached.unpersist()
 
 
 def cluster_sizes(report: ModelReport) -> DataFrame:

@@ -11,6 +11,7 @@ from tablescope.functions.values import literal, quoted
 from tablescope.operators.cells import numeric_cells
 from tablescope.operators.profile import moments, numeric_row_sample
 from tablescope.operators.quantiles import exact_quantiles, quantile_columns
+from tablescope.session import pinned
 
 # Reported quantiles, outlier rule and how many charts a report draws.
 QUANTILES = {0.05: "q5", 0.25: "q25", 0.5: "q50", 0.75: "q75", 0.95: "q95"}
@@ -27,7 +28,7 @@ def descriptive_table(
     df: DataFrame, stats: DataFrame | None = None, names: dict[float, str] = QUANTILES
 ) -> DataFrame:
     """count, mean, stddev, min, max and quantiles of every column holding a number."""
-    stats = moments(df) if stats is None else stats
+    stats = pinned(moments(df)) if stats is None else stats
     quantiles = quantile_columns(exact_quantiles(numeric_cells(df), stats, list(names)), names)
     table = stats.select("column", "count", "mean", "stddev", "min", "max")
     return table.join(F.broadcast(quantiles), "column").orderBy("column")

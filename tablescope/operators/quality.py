@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators.cells import numeric_cells
 from tablescope.operators.profile import column_facts, distinct_values, duplicate_rows
+from tablescope.session import pinned
 
 # Thresholds and weights of the rules.
 NULL_RATIO_WARNING = 0.2
@@ -199,8 +200,8 @@ def non_empty(df: DataFrame) -> DataFrame:
 
 
 def check_table(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``(checks, duplicates, ranges, cardinality)`` of a table, all lazy."""
-    facts = column_facts(df)
+    """``(checks, duplicates, ranges, cardinality)`` of a table; the facts come first, from one pass."""
+    facts = pinned(column_facts(df))
     ranges = numeric_range(df, facts)
     cardinality = categorical_cardinality(facts, distinct_values(df))
     return column_checks(facts, ranges, cardinality), duplicate_rows(df), ranges, cardinality

@@ -5,14 +5,14 @@ The quantile at ``p`` interpolates between the order statistics at
 
 1. count the values of each column in a fixed number of intervals, with the smallest
    and largest value of each; running totals name the intervals that hold the wanted ranks;
-2. wanted intervals that hold very many values are counted once more in finer ones
-   (adaptive execution drops this pass when there are none);
+2. wanted intervals that hold very many values are counted again in finer ones, until none is left;
 3. the values inside the wanted intervals are counted one by one.
 
 Each step is one scan with a map-side partial aggregate whose result is bounded by the
 number of intervals, not by the data: no task ever collects a column, and a value
 that fills a third of the table is just one large count. The interval scale only decides
-how fast the search closes in; the result is exact for any distribution.
+how fast the search closes in; the result is exact for any distribution. The wanted intervals
+(at most two per column and probability) are read after each step.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.session import pinned
+
 INTERVALS = 2048
-# A wanted interval holding more values than this is split once more before values are counted singly.
+# A wanted interval holding more values than this is split before values are counted singly.
 INTERVAL_ROWS = 1_000_000
 
 
@@ -38,82 +40,85 @@ def _place(position: str) -> str:
     return f"least(int(floor(coalesce({position}, 0D) * {INTERVALS})), {INTERVALS - 1})"
 
 
-def _finer(num: str) -> str:
-    """Equal intervals between the smallest and largest value of a wide interval."""
-    return _place(f"try_divide({num} / 2 - lo / 2, hi / 2 - lo / 2)")
-
+def _wanted(hist: DataFrame, keys: str) -> DataFrame:
+    """Keep the counted intervals that hold a wanted rank of their target.
 
-def exact_quantiles(
-    values: DataFrame, stats: DataFrame, probs: Sequence[float], interval_rows: int = INTERVAL_ROWS
-) -> DataFrame:
-    """Rows ``(column, p, q)`` for values ``(column, num)`` and their moments.
-
-    ``stats`` has one row per column and the wanted intervals at most two per column and
-    probability, which is why they are broadcast.
+    ``hist`` has ``lo``, ``hi``, ``size``, the rows ``below`` its first interval and the
+    ``targets`` as an array of ``(p, rank, frac)``.
     """
-    ends = stats.where("count > 0").selectExpr(
-        "column", "mean", "stddev", f"{_curve('min')} AS left", f"{_curve('max')} AS right"
-    )
-    placed = values.join(F.broadcast(ends), "column").selectExpr(
-        "column", "num", f"{_place(f'try_divide({_curve("num")} - left, right - left)')} AS interval"
+    running = hist.selectExpr("*", f"below + sum(size) OVER (PARTITION BY {keys} ORDER BY interval) AS stop")
+    return (
+        running.selectExpr(*keys.split(", "), "interval", "lo", "hi", "size", "stop - size AS below", "inline(targets)")
+        .where("rank >= below AND rank < below + size")
+        .selectExpr("column", "lo", "hi", "size", "below", "p", "rank", "frac")
     )
-    hist = placed.groupBy("column", "interval").agg(
-        F.expr("count(1) AS size"), F.expr("min(num) AS lo"), F.expr("max(num) AS hi")
+
+
+def _narrow(values: DataFrame, full: DataFrame) -> DataFrame:
+    """Count again inside each very full interval, in equal parts between its ends."""
+    spans = full.groupBy("column", "lo", "hi", "below").agg(
+        F.expr("collect_list(struct(p, rank, frac)) AS targets")
     )
-    running = hist.selectExpr(
-        "*",
-        "sum(size) OVER (PARTITION BY column ORDER BY interval) AS stop",
-        "sum(size) OVER (PARTITION BY column) AS n",
+    ends = F.broadcast(spans.selectExpr("column", "lo AS left", "hi AS right"))
+    scaled = "try_divide(num / 2 - left / 2, right / 2 - left / 2)"
+    parts = (
+        values.join(ends, "column")
+        .where("num BETWEEN left AND right")
+        .selectExpr("column", "left", "right", "num", f"{_place(scaled)} AS interval")
+        .groupBy("column", "left", "right", "interval")
+        .agg(F.expr("count(1) AS size"), F.expr("min(num) AS lo"), F.expr("max(num) AS hi"))
     )
-    wanted_positions = ", ".join(f"struct({p!r}D AS p, {p!r}D * (n - 1) AS position)" for p in map(float, probs))
-    wanted = (
-        running.selectExpr("column", "interval", "size", "lo", "hi", "stop - size AS start", "stop", f"inline(array({wanted_positions}))")
-        .selectExpr("*", "inline(array_distinct(array(struct(floor(position) AS rank), struct(ceil(position) AS rank))))")
-        .where("rank >= start AND rank < stop")
-        .selectExpr("column", "interval", "size", "lo", "hi", "start", "p", "rank", "position - floor(position) AS frac")
+    hist = parts.join(
+        F.broadcast(spans.selectExpr("column", "lo AS left", "hi AS right", "below", "targets")), ["column", "left", "right"]
     )
+    return _wanted(hist, "column, left, right")
 
-    # Step 2: split the wanted intervals that are still very full.
-    full = f"size > {int(interval_rows)} AND lo < hi"
-    keys = ["column", "interval"]
-    full_ones = wanted.where(full).select(*keys, "lo", "hi").distinct()
-    parts = (
-        placed.join(F.broadcast(full_ones), keys)
-        .selectExpr("column", "interval", "num", f"{_finer('num')} AS part")
-        .groupBy(*keys, "part")
-        .agg(F.expr("count(1) AS part_size"), F.expr("min(num) AS part_lo"), F.expr("max(num) AS part_hi"))
-        .selectExpr("*", "sum(part_size) OVER (PARTITION BY column, interval ORDER BY part) AS part_stop")
+
+def exact_quantiles(
+    values: DataFrame, stats: DataFrame, probs: Sequence[float], interval_rows: int = INTERVAL_ROWS
+) -> DataFrame:
+    """Rows ``(column, p, q)`` for values ``(column, num)`` and their moments."""
+    listed = ", ".join(
+        f"struct({p!r}D AS p, {side}({p!r}D * (count - 1)) AS rank, "
+        f"{p!r}D * (count - 1) - floor({p!r}D * (count - 1)) AS frac)"
+        for p in map(float, probs)
+        for side in ("floor", "ceil")
     )
-    split = (
-        wanted.where(full)
-        .join(parts, keys)
-        .where("rank >= start + part_stop - part_size AND rank < start + part_stop")
-        .selectExpr(
-            *keys, "lo", "hi", "p", "rank", "frac", "part",
-            "start + part_stop - part_size AS start", "part_lo AS first", "part_hi AS last",
+    ends = pinned(
+        stats.where("count > 0").selectExpr(
+            "column", "mean", "stddev", f"{_curve('min')} AS left", f"{_curve('max')} AS right",
+            f"array_distinct(array({listed})) AS targets",
         )
     )
-    whole = wanted.where(f"NOT ({full})").selectExpr(
-        *keys, "lo", "hi", "p", "rank", "frac", "cast(NULL AS INT) AS part", "start", "lo AS first", "hi AS last"
+    position = f"try_divide({_curve('num')} - left, right - left)"
+    hist = (
+        values.join(F.broadcast(ends.drop("targets")), "column")
+        .selectExpr("column", "num", f"{_place(position)} AS interval")
+        .groupBy("column", "interval")
+        .agg(F.expr("count(1) AS size"), F.expr("min(num) AS lo"), F.expr("max(num) AS hi"))
+        .join(F.broadcast(ends.select("column", "targets")), "column")
+        .withColumn("below", F.lit(0).cast("bigint"))
     )
-    targets = whole.unionByName(split)
+    wanted = pinned(_wanted(hist, "column"))
+    full = f"size > {int(interval_rows)} AND lo < hi"
+    while not (crowded := wanted.where(full)).isEmpty():
+        wanted = pinned(wanted.where(f"NOT ({full})").unionByName(_narrow(values, crowded)))
 
-    # Step 3: count the single values of every wanted interval that holds more than one.
-    open_ones = targets.where("first < last")
+    # Count the single values of every wanted interval that holds more than one.
+    spans = wanted.where("lo < hi").select("column", "lo", "hi", "below").distinct()
     singles = (
-        placed.join(F.broadcast(open_ones.select(*keys, "lo", "hi", "part").distinct()), keys)
-        .where(f"part IS NULL OR part = {_finer('num')}")
-        .groupBy(*keys, F.expr("coalesce(part, -1) AS part"), "num")
+        values.join(F.broadcast(spans), "column")
+        .where("num BETWEEN lo AND hi")
+        .groupBy("column", "lo", "hi", "below", "num")
         .agg(F.expr("count(1) AS single"))
-        .selectExpr("*", "sum(single) OVER (PARTITION BY column, interval, part ORDER BY num) AS upto")
+        .selectExpr("*", "below + sum(single) OVER (PARTITION BY column, lo, hi ORDER BY num) AS stop")
     )
     found = (
-        open_ones.withColumn("part", F.expr("coalesce(part, -1)"))
-        .join(singles, [*keys, "part"])
-        .where("rank >= start + upto - single AND rank < start + upto")
+        singles.join(F.broadcast(wanted.select("column", "lo", "hi", "p", "rank", "frac")), ["column", "lo", "hi"])
+        .where("rank >= stop - single AND rank < stop")
         .select("column", "p", "frac", "rank", "num")
     )
-    closed = targets.where("first = last").selectExpr("column", "p", "frac", "rank", "first AS num")
+    closed = wanted.where("lo = hi").selectExpr("column", "p", "frac", "rank", "lo AS num")
     return (
         closed.unionByName(found)
         .groupBy("column", "p", "frac")

@@ -64,7 +64,7 @@ def lenient_frame(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def stats_table(numbers: DataFrame) -> DataFrame:
     """One row per column of ``lenient_frame`` output, also for columns without any value."""
-    table = descriptive_table(numbers, moments(numbers), QUANTILES).withColumnRenamed("stddev", "std")
+    table = descriptive_table(numbers, names=QUANTILES).withColumnRenamed("stddev", "std")
     listed = ", ".join(literal(n) for n in numbers.columns)
     names = numbers.sparkSession.range(1).selectExpr(f"explode(array({listed})) AS column")
     return names.join(F.broadcast(table), "column", "left").na.fill({"count": 0})

@@ -46,3 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Run ``df`` once and keep its rows as a local relation.
+
+    Only for tables whose size depends on the number of columns, not of rows: facts,
+    interval edges. What follows then has a short plan and never repeats the scan behind them.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
