@@ -12,7 +12,7 @@ from registry.inputs import COLUMNS, duck_source, table
 from tablescope.functions import values as V
 from tablescope.functions.values import quoted
 from tablescope.operators import automl, correlate, describe, profile, quality, quick, report
-from tablescope.operators.cells import cells, field_types, numeric_cells
+from tablescope.operators.cells import cells, field_types
 from tablescope.operators.quantiles import exact_quantiles, quantile_columns
 from tablescope.session import scratch_path
 from tablescope.sources import delimited, files, packed, sinks
@@ -162,7 +162,7 @@ add(
 for _name in ("lineitem", "events", "mixed"):
     add(
         f"moments_{_name}",
-        (lambda n: lambda spark, d: rounded(profile.moments(table(spark, d, n))))(_name),
+        (lambda n: lambda spark, d: rounded(profile.moments(table(spark, d, n)).drop("rows")))(_name),
         f"WITH {duck.facts(_name)} SELECT \"column\", n AS count, {r('mean', 'stddev', 'lo AS min', 'hi AS max')} FROM facts WHERE n > 0",
     )
 
@@ -384,7 +384,7 @@ for _name in ("lineitem", "events", "part", "labelled"):
 def _split_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same quantiles with every interval of more than ten rows split again."""
     df = table(spark, sf_dir, "orders")
-    found = exact_quantiles(numeric_cells(df), profile.moments(df), list(describe.QUANTILES), interval_rows=10)
+    found = exact_quantiles(df, profile.moments(df), list(describe.QUANTILES), interval_rows=10)
     return rounded(quantile_columns(found, describe.QUANTILES))
 
 
@@ -870,7 +870,7 @@ add(
 def _number_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "part").select("p_retailprice")
     stats = profile.moments(df)
-    return rounded(automl.number_distribution(stats, exact_quantiles(numeric_cells(df), stats, [0.5])))
+    return rounded(automl.number_distribution(stats, exact_quantiles(df, stats, [0.5])))
 
 
 add(

@@ -43,6 +43,10 @@ def literal(text: str) -> str:
     return f"'{safe}'"
 
 
+def number_literal(value: float) -> str:
+    return f"({float(value)!r}D)"
+
+
 def _escape(ch: str) -> str:
     return f"\\u{ord(ch):04x}" if ord(ch) < 0x10000 else f"\\U{ord(ch):08x}"
 

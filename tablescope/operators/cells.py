@@ -84,6 +84,40 @@ def _unpivot(wide: DataFrame, names: Sequence[str], want: Sequence[str]) -> Data
     return wide.sparkSession.sql("SELECT * FROM {wide} UNPIVOT INCLUDE NULLS " + head + escaped + "))", wide=wide)
 
 
+def numeric_slots(df: DataFrame, expressions: dict[str, dict[str, str]]) -> DataFrame:
+    """Rows ``(num, <labels>)`` of the numeric cells for which an expression is not null.
+
+    ``expressions`` maps a column to labelled SQL over ``{x}``, its number; every column has the
+    same labels. The first label decides which cells are kept.
+    """
+    parts = []
+    for chunk in chunks(list(expressions)):
+        labels = list(expressions[chunk[0]])
+        wide = typed_columns(df, chunk, (), ("num",)).selectExpr(
+            *[f"num{i}" for i in range(len(chunk))],
+            *[f"{expressions[n][label].format(x=f'num{i}')} AS {label}{i}" for i, n in enumerate(chunk) for label in labels],
+        )
+        rows = _unpivot(wide, chunk, ("num", *labels))
+        parts.append(rows.where(f"num IS NOT NULL AND {labels[0]} IS NOT NULL"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def aggregate_numbers(df: DataFrame, aggregates: dict[str, dict[str, str]]) -> DataFrame:
+    """One row per column with labelled aggregates over ``{x}``, its number, from one pass."""
+    parts = []
+    for chunk in chunks(list(aggregates)):
+        labels = list(aggregates[chunk[0]])
+        one_row = typed_columns(df, chunk, (), ("num",)).selectExpr(
+            *[f"{aggregates[n][label].format(x=f'num{i}')} AS {label}{i}" for i, n in enumerate(chunk) for label in labels]
+        )
+        rows = [
+            f"struct({V.literal(n)} AS column, {', '.join(f'{label}{i} AS {label}' for label in labels)})"
+            for i, n in enumerate(chunk)
+        ]
+        parts.append(one_row.selectExpr(f"inline(array({', '.join(rows)}))"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cells(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -181,20 +215,3 @@ def native_frame(df: DataFrame) -> DataFrame:
 def numeric_frame(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The table with ``columns`` as finite doubles (null elsewhere), same names."""
     return typed_columns(df, columns, keep, ("num",)).toDF(*keep, *columns)
-
-
-def numeric_columns(df: DataFrame, least: int = 1) -> list[str]:
-    """Names of columns with at least ``least`` numeric values, alphabetical.
-
-    Typed numeric columns are taken from the schema. String columns need one counting
-    pass, whose result is one number per column.
-    """
-    types = field_types(df)
-    typed = [n for n in df.columns if isinstance(types[n], T.NumericType)]
-    strings = [n for n in df.columns if isinstance(types[n], T.StringType)]
-    found = []
-    for chunk in chunks(strings):
-        wide = typed_columns(df, chunk, (), ("num",))
-        counts = wide.selectExpr(*[f"count(num{i}) AS n{i}" for i in range(len(chunk))]).first()
-        found += [n for i, n in enumerate(chunk) if counts[i] >= least]
-    return sorted(typed + found)

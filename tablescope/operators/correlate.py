@@ -6,54 +6,80 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tablescope.functions.values import literal
-from tablescope.operators.cells import numeric_columns, typed_columns
+from tablescope.functions.values import literal, number_literal
+from tablescope.operators.cells import typed_columns
+from tablescope.operators.profile import moments
+from tablescope.session import per_column
 
 TOP_PAIRS = 20
 
-# Columns per side of one aggregate: it reads two such blocks and computes their pairs.
-BLOCK = 6
+# Columns per side of one aggregate: it reads two such blocks and computes their pairs. Two blocks
+# of complete columns need 96 sums, which still fit one generated method.
+BLOCK = 8
 
 
-def all_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def all_correlations(
+    df: DataFrame, columns: Sequence[str] | None = None, stats: DataFrame | None = None
+) -> DataFrame:
     """Rows ``(left, right, correlation, sample_size)`` for every pair of numeric columns.
 
     Pairs come in the order of ``columns`` (alphabetical by default) and use the rows where
-    both sides hold a number. Each aggregate covers the pairs of two column blocks, reads only
-    those columns and shuffles one row per task. Pairs without variance are left out.
+    both sides hold a number. Values enter as standard scores, so sums of products lose no
+    precision. Each aggregate covers the pairs of two column blocks, reads only those columns
+    and shuffles one row per task. Pairs without variance are left out.
     """
-    names = numeric_columns(df, 2) if columns is None else list(columns)
+    facts = per_column((moments(df, columns) if stats is None else stats).where("count >= 2 AND stddev > 0"))
+    names = [n for n in (facts if columns is None else columns) if n in facts]
     blocks = [names[start : start + BLOCK] for start in range(0, len(names), BLOCK)]
     parts = []
     for i, block in enumerate(blocks):
-        parts.append(_block(df, block, list(combinations(range(len(block)), 2))))
+        parts.append(_block(df, block, list(combinations(range(len(block)), 2)), facts))
         for other in blocks[i + 1 :]:
             pairs = [(a, len(block) + b) for a in range(len(block)) for b in range(len(other))]
-            parts.append(_block(df, [*block, *other], pairs))
+            parts.append(_block(df, [*block, *other], pairs, facts))
     parts = [p for p in parts if p is not None]
     if not parts:
         return df.sparkSession.createDataFrame([], "left string, right string, correlation double, sample_size bigint")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _block(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame | None:
+def _pearson(n: str, xy: str, x: str, y: str, xx: str, yy: str) -> str:
+    return f"try_divide({xy} - {x} * {y} / {n}, sqrt({xx} - {x} * {x} / {n}) * sqrt({yy} - {y} * {y} / {n}))"
+
+
+def _block(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]], facts: dict[str, Row]) -> DataFrame | None:
     if not pairs:
         return None
-    aggregates, entries = [], []
-    for i, (a, b) in enumerate(pairs):
-        x, y = f"num{a}", f"num{b}"
-        aggregates += [
-            f"regr_count({y}, {x}) AS n{i}",
-            f"try_divide(regr_sxy({y}, {x}), sqrt(regr_sxx({y}, {x})) * sqrt(regr_syy({y}, {x}))) AS r{i}",
+    scores = typed_columns(df, names, (), ("num",)).selectExpr(
+        *[
+            f"(num{i} - {number_literal(facts[n]['mean'])}) / {number_literal(facts[n]['stddev'])} AS z{i}"
+            for i, n in enumerate(names)
         ]
+    )
+    complete = [facts[n]["count"] == facts[n]["rows"] for n in names]
+    used = sorted({i for pair in pairs if complete[pair[0]] and complete[pair[1]] for i in pair})
+    sums = ["count(1) AS n"] + [item for i in used for item in (f"sum(z{i}) AS s{i}", f"sum(z{i} * z{i}) AS q{i}")]
+    entries = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = f"z{a}", f"z{b}"
+        sums.append(f"sum({x} * {y}) AS p{i}")
+        if complete[a] and complete[b]:
+            n, r = "n", _pearson("n", f"p{i}", f"s{a}", f"s{b}", f"q{a}", f"q{b}")
+        else:
+            both = {"x": f"CASE WHEN {y} IS NOT NULL THEN {x} END", "y": f"CASE WHEN {x} IS NOT NULL THEN {y} END"}
+            sums.append(f"count({x} * {y}) AS n{i}")
+            for side, value in both.items():
+                sums += [f"sum({value}) AS s{side}{i}", f"sum(pow({value}, 2)) AS q{side}{i}"]
+                sums.append(f"min({value}) < max({value}) AS v{side}{i}")
+            n = f"n{i}"
+            r = f"CASE WHEN vx{i} AND vy{i} THEN {_pearson(n, f'p{i}', f'sx{i}', f'sy{i}', f'qx{i}', f'qy{i}')} END"
         entries.append(
-            f"struct({literal(names[a])} AS left, {literal(names[b])} AS right, r{i} AS correlation, n{i} AS sample_size)"
+            f"struct({literal(names[a])} AS left, {literal(names[b])} AS right, {r} AS correlation, {n} AS sample_size)"
         )
-    one_row = typed_columns(df, names, (), ("num",)).selectExpr(*aggregates)
-    return one_row.selectExpr(f"inline(array({', '.join(entries)}))").where(
+    return scores.selectExpr(*sums).selectExpr(f"inline(array({', '.join(entries)}))").where(
         "sample_size >= 2 AND correlation IS NOT NULL AND NOT isnan(correlation)"
     )
 

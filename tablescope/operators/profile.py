@@ -66,13 +66,13 @@ def _aggregate_each(df: DataFrame, names: Sequence[str], counts: bool, moments:
         aggregates = ["count(1) AS rows"]
         entries = []
         for i, name in enumerate(chunk):
-            entry = [f"{V.literal(name)} AS column"]
+            entry = [f"{V.literal(name)} AS column", "rows AS rows"]
             if counts:
                 possible = V.possible_kinds(types[name])
                 aggregates += [f"count_if(kind{i} = '{kind}') AS {kind}{i}" for kind in possible[:-1]]
                 known = {kind: f"{kind}{i}" for kind in possible[:-1]}
                 known[possible[-1]] = " - ".join(["rows", *known.values()])
-                entry += ["rows AS rows", *[f"{known.get(k, '0L')} AS {k}_count" for k in V.KINDS]]
+                entry += [f"{known.get(k, '0L')} AS {k}_count" for k in V.KINDS]
             if moments and V.may_hold_numbers(types[name]):
                 aggregates += [f"{sql} AS {label}{i}" for label, sql in moment_sql(f"num{i}").items()]
                 entry += [f"{label}{i} AS {label}" for label in MOMENTS]
@@ -98,12 +98,12 @@ def kind_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, stddev, min and max of the finite numbers of each column having any."""
+    """rows, count, mean, stddev, min and max of the finite numbers of each column having any."""
     types = field_types(df)
     names = [n for n in (df.columns if columns is None else columns) if V.may_hold_numbers(types[n])]
     if not names:
         return df.sparkSession.createDataFrame(
-            [], "column string, count bigint, mean double, stddev double, min double, max double"
+            [], "column string, rows bigint, count bigint, mean double, stddev double, min double, max double"
         )
     return _aggregate_each(df, names, counts=False, moments=True).where("count > 0")
 

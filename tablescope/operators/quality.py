@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.operators.cells import numeric_cells
+from tablescope.functions.values import number_literal
+from tablescope.operators.cells import aggregate_numbers
 from tablescope.operators.profile import column_facts, distinct_values, duplicate_rows
-from tablescope.session import pinned
+from tablescope.session import per_column, pinned
 
 # Thresholds and weights of the rules.
 NULL_RATIO_WARNING = 0.2
@@ -29,24 +30,27 @@ def numeric_range(df: DataFrame, facts: DataFrame) -> DataFrame:
     """Bounds and violations for every column whose values are mostly numeric.
 
     A value violates when it lies more than three standard deviations from the mean.
-    ``facts`` has one row per column and is broadcast to the cells.
     """
-    bounds = facts.where("inferred_type = 'numeric' AND count > 0").selectExpr(
-        "column",
-        "min AS min_observed",
-        "max AS max_observed",
-        f"CASE WHEN stddev > 0 THEN mean - {RANGE_SIGMAS} * stddev ELSE min END AS lower_bound",
-        f"CASE WHEN stddev > 0 THEN mean + {RANGE_SIGMAS} * stddev ELSE max END AS upper_bound",
-    )
-    counted = (
-        numeric_cells(df)
-        .join(F.broadcast(bounds), "column")
-        .groupBy("column", "lower_bound", "upper_bound", "min_observed", "max_observed")
-        .agg(
-            F.expr("count(1) AS sample_count"),
-            F.expr("count_if(num < lower_bound OR num > upper_bound) AS violation_count"),
+    bounds = pinned(
+        facts.where("inferred_type = 'numeric' AND count > 0").selectExpr(
+            "column",
+            f"CASE WHEN stddev > 0 THEN mean - {RANGE_SIGMAS} * stddev ELSE min END AS lower_bound",
+            f"CASE WHEN stddev > 0 THEN mean + {RANGE_SIGMAS} * stddev ELSE max END AS upper_bound",
+            "min AS min_observed",
+            "max AS max_observed",
+            "count AS sample_count",
         )
     )
+    outside = {
+        name: {
+            "violation_count": f"count_if({{x}} < {number_literal(b['lower_bound'])} OR {{x}} > {number_literal(b['upper_bound'])})"
+        }
+        for name, b in per_column(bounds).items()
+    }
+    if outside:
+        counted = bounds.join(F.broadcast(aggregate_numbers(df, outside)), "column")
+    else:
+        counted = bounds.withColumn("violation_count", F.lit(0).cast("bigint"))
     return counted.selectExpr("*", "violation_count / sample_count AS violation_ratio").selectExpr(
         "*",
         f"CASE WHEN violation_ratio >= {RANGE_ERROR_RATIO}D THEN 'ERROR' "

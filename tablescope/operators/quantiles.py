@@ -12,121 +12,144 @@ Each step is one scan with a map-side partial aggregate whose result is bounded
 number of intervals, not by the data: no task ever collects a column, and a value
 that fills a third of the table is just one large count. The interval scale only decides
 how fast the search closes in; the result is exact for any distribution. The wanted intervals
-(at most two per column and probability) are read after each step.
+(at most two per column and probability) are read after each step and become literals
+of the next one, so no step joins.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.session import pinned
+from tablescope.functions.values import number_literal
+from tablescope.operators.cells import numeric_slots
+from tablescope.session import per_column
 
 INTERVALS = 2048
 # A wanted interval holding more values than this is split before values are counted singly.
 INTERVAL_ROWS = 1_000_000
 
+_FOUND = "column string, p double, rank bigint, num double"
 
-def _curve(num: str) -> str:
+
+class Span(NamedTuple):
+    """A range of a column's values, the rows below it and the wanted ranks inside it."""
+
+    column: str
+    lo: float
+    hi: float
+    below: int
+    size: int
+    wanted: tuple[tuple[float, int], ...]
+
+
+def _curve(x: str, mean: float, stddev: float) -> str:
     """Monotone scale, linear near the mean and logarithmic in the tails."""
-    z = f"try_divide({num} - mean, stddev)"
+    z = f"(({x} - {number_literal(mean)}) / {number_literal(stddev)})"
     return f"signum({z}) * log1p(abs({z}))"
 
 
-def _place(position: str) -> str:
-    """Interval of a position scaled to 0..1; a missing scale (one value only) gives 0."""
-    return f"least(int(floor(coalesce({position}, 0D) * {INTERVALS})), {INTERVALS - 1})"
+def _ranks(p: float, count: int) -> tuple[int, int, float]:
+    """Both order statistics of the quantile and the weight of the upper one."""
+    position = p * (count - 1)
+    return math.floor(position), math.ceil(position), position - math.floor(position)
 
 
-def _wanted(hist: DataFrame, keys: str) -> DataFrame:
-    """Keep the counted intervals that hold a wanted rank of their target.
+def _count_intervals(df: DataFrame, spans: list[Span], positions: list[str]) -> list[Span]:
+    """Count each span in intervals and return those that hold a wanted rank.
 
-    ``hist`` has ``lo``, ``hi``, ``size``, the rows ``below`` its first interval and the
-    ``targets`` as an array of ``(p, rank, frac)``.
+    ``positions`` scales the values of each span to 0..1. The counted intervals stay in Spark.
     """
-    running = hist.selectExpr("*", f"below + sum(size) OVER (PARTITION BY {keys} ORDER BY interval) AS stop")
-    return (
-        running.selectExpr(*keys.split(", "), "interval", "lo", "hi", "size", "stop - size AS below", "inline(targets)")
-        .where("rank >= below AND rank < below + size")
-        .selectExpr("column", "lo", "hi", "size", "below", "p", "rank", "frac")
-    )
-
-
-def _narrow(values: DataFrame, full: DataFrame) -> DataFrame:
-    """Count again inside each very full interval, in equal parts between its ends."""
-    spans = full.groupBy("column", "lo", "hi", "below").agg(
-        F.expr("collect_list(struct(p, rank, frac)) AS targets")
-    )
-    ends = F.broadcast(spans.selectExpr("column", "lo AS left", "hi AS right"))
-    scaled = "try_divide(num / 2 - left / 2, right / 2 - left / 2)"
-    parts = (
-        values.join(ends, "column")
-        .where("num BETWEEN left AND right")
-        .selectExpr("column", "left", "right", "num", f"{_place(scaled)} AS interval")
-        .groupBy("column", "left", "right", "interval")
+    slots: dict[str, str] = {}
+    for number, (span, position) in enumerate(zip(spans, positions)):
+        place = f"greatest(0L, least(bigint(floor({position} * {INTERVALS})), {INTERVALS - 1}L))"
+        inside = f"{{x}} BETWEEN {number_literal(span.lo)} AND {number_literal(span.hi)}"
+        slots[span.column] = slots.get(span.column, "") + f" WHEN {inside} THEN {number * INTERVALS}L + {place}"
+    counted = (
+        numeric_slots(df, {column: {"slot": f"CASE{cases} END"} for column, cases in slots.items()})
+        .groupBy("slot")
         .agg(F.expr("count(1) AS size"), F.expr("min(num) AS lo"), F.expr("max(num) AS hi"))
+        .selectExpr("*", f"slot DIV {INTERVALS} AS span")
+        .selectExpr("*", "sum(size) OVER (PARTITION BY span ORDER BY slot) AS stop")
     )
-    hist = parts.join(
-        F.broadcast(spans.selectExpr("column", "lo AS left", "hi AS right", "below", "targets")), ["column", "left", "right"]
+    ranks = [(i, p, rank - span.below) for i, span in enumerate(spans) for p, rank in span.wanted]
+    listed = df.sparkSession.createDataFrame(ranks, "span bigint, p double, rank bigint")
+    hits = (
+        counted.join(F.broadcast(listed), "span")
+        .where("rank >= stop - size AND rank < stop")
+        .groupBy("span", "slot", "lo", "hi", "size", "stop")
+        .agg(F.expr("collect_list(struct(p, rank)) AS wanted"))
     )
-    return _wanted(hist, "column, left, right")
+    return [
+        Span(
+            spans[h["span"]].column, h["lo"], h["hi"], spans[h["span"]].below + h["stop"] - h["size"], h["size"],
+            tuple((w["p"], w["rank"] + spans[h["span"]].below) for w in h["wanted"]),
+        )
+        for h in hits.collect()
+    ]
 
 
 def exact_quantiles(
-    values: DataFrame, stats: DataFrame, probs: Sequence[float], interval_rows: int = INTERVAL_ROWS
+    df: DataFrame, stats: DataFrame, probs: Sequence[float], interval_rows: int = INTERVAL_ROWS
 ) -> DataFrame:
-    """Rows ``(column, p, q)`` for values ``(column, num)`` and their moments."""
-    listed = ", ".join(
-        f"struct({p!r}D AS p, {side}({p!r}D * (count - 1)) AS rank, "
-        f"{p!r}D * (count - 1) - floor({p!r}D * (count - 1)) AS frac)"
-        for p in map(float, probs)
-        for side in ("floor", "ceil")
-    )
-    ends = pinned(
-        stats.where("count > 0").selectExpr(
-            "column", "mean", "stddev", f"{_curve('min')} AS left", f"{_curve('max')} AS right",
-            f"array_distinct(array({listed})) AS targets",
-        )
-    )
-    position = f"try_divide({_curve('num')} - left, right - left)"
-    hist = (
-        values.join(F.broadcast(ends.drop("targets")), "column")
-        .selectExpr("column", "num", f"{_place(position)} AS interval")
-        .groupBy("column", "interval")
-        .agg(F.expr("count(1) AS size"), F.expr("min(num) AS lo"), F.expr("max(num) AS hi"))
-        .join(F.broadcast(ends.select("column", "targets")), "column")
-        .withColumn("below", F.lit(0).cast("bigint"))
-    )
-    wanted = pinned(_wanted(hist, "column"))
-    full = f"size > {int(interval_rows)} AND lo < hi"
-    while not (crowded := wanted.where(full)).isEmpty():
-        wanted = pinned(wanted.where(f"NOT ({full})").unionByName(_narrow(values, crowded)))
+    """Rows ``(column, p, q)`` for the numeric columns of ``df``, whose moments are ``stats``."""
+    spark = df.sparkSession
+    facts = per_column(stats.where("count > 0"))
+    probs = [float(p) for p in probs]
+    whole = [
+        Span(c, f["min"], f["max"], 0, f["count"], tuple(sorted({(p, k) for p in probs for k in _ranks(p, f["count"])[:2]})))
+        for c, f in facts.items()
+    ]
+    varied = [s for s in whole if s.lo < s.hi]
+    positions = []
+    for span in varied:
+        scale = [_curve(x, facts[span.column]["mean"], facts[span.column]["stddev"]) for x in
+                 ("{x}", number_literal(span.lo), number_literal(span.hi))]
+        positions.append(f"(({scale[0]} - {scale[1]}) / ({scale[2]} - {scale[1]}))")
+    spans = _count_intervals(df, varied, positions) if varied else []
+    while crowded := [s for s in spans if s.size > interval_rows and s.lo < s.hi]:
+        halves = [(number_literal(s.lo / 2), number_literal(s.hi / 2)) for s in crowded]
+        finer = _count_intervals(df, crowded, [f"(({{x}} / 2 - {lo}) / ({hi} - {lo}))" for lo, hi in halves])
+        spans = [s for s in spans if s not in crowded] + finer
 
     # Count the single values of every wanted interval that holds more than one.
-    spans = wanted.where("lo < hi").select("column", "lo", "hi", "below").distinct()
-    singles = (
-        values.join(F.broadcast(spans), "column")
-        .where("num BETWEEN lo AND hi")
-        .groupBy("column", "lo", "hi", "below", "num")
-        .agg(F.expr("count(1) AS single"))
-        .selectExpr("*", "below + sum(single) OVER (PARTITION BY column, lo, hi ORDER BY num) AS stop")
-    )
-    found = (
-        singles.join(F.broadcast(wanted.select("column", "lo", "hi", "p", "rank", "frac")), ["column", "lo", "hi"])
-        .where("rank >= stop - single AND rank < stop")
-        .select("column", "p", "frac", "rank", "num")
-    )
-    closed = wanted.where("lo = hi").selectExpr("column", "p", "frac", "rank", "lo AS num")
+    closed = [s for s in [*whole, *spans] if s.lo == s.hi]
+    found = spark.createDataFrame([(s.column, p, rank, s.lo) for s in closed for p, rank in s.wanted], _FOUND)
+    open_spans = [s for s in spans if s.lo < s.hi]
+    if open_spans:
+        found = found.unionByName(_count_singles(df, open_spans))
+    weights = [(c, p, _ranks(p, f["count"])[2]) for c, f in facts.items() for p in probs]
+    weights = F.broadcast(spark.createDataFrame(weights, "column string, p double, frac double"))
     return (
-        closed.unionByName(found)
-        .groupBy("column", "p", "frac")
+        found.groupBy("column", "p")
         .agg(F.expr("min_by(num, rank) AS low"), F.expr("max_by(num, rank) AS high"))
+        .join(weights, ["column", "p"])
         .selectExpr("column", "p", "CASE WHEN frac = 0 THEN low ELSE low * (1 - frac) + high * frac END AS q")
     )
 
 
+def _count_singles(df: DataFrame, spans: list[Span]) -> DataFrame:
+    slots: dict[str, str] = {}
+    for number, span in enumerate(spans):
+        inside = f"{{x}} BETWEEN {number_literal(span.lo)} AND {number_literal(span.hi)}"
+        slots[span.column] = slots.get(span.column, "") + f" WHEN {inside} THEN {number}"
+    wanted = [(i, s.column, p, rank - s.below) for i, s in enumerate(spans) for p, rank in s.wanted]
+    listed = df.sparkSession.createDataFrame(wanted, "slot int, column string, p double, rank bigint")
+    return (
+        numeric_slots(df, {column: {"slot": f"CASE{cases} END"} for column, cases in slots.items()})
+        .groupBy("slot", "num")
+        .agg(F.expr("count(1) AS single"))
+        .selectExpr("*", "sum(single) OVER (PARTITION BY slot ORDER BY num) AS stop")
+        .join(F.broadcast(listed), "slot")
+        .where("rank >= stop - single AND rank < stop")
+        .select("column", "p", "rank", "num")
+    )
+
+
 def quantile_columns(quantiles: DataFrame, names: dict[float, str]) -> DataFrame:
     """One row per column with each quantile under its own name."""
     return quantiles.groupBy("column").agg(

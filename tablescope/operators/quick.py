@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tablescope.functions import values as V
 from tablescope.functions.values import literal, quoted
-from tablescope.operators.cells import column_of, numeric_cells
+from tablescope.operators.cells import column_of
 from tablescope.operators.correlate import all_correlations, top_correlations
-from tablescope.operators.describe import descriptive_table
+from tablescope.operators.describe import descriptive_table, scores
 from tablescope.operators.profile import moments
 
 # Fixed values of the quick profile.
@@ -78,9 +78,7 @@ def correlations(numbers: DataFrame, limit: int = TOP_PAIRS) -> DataFrame:
 
 def outliers(numbers: DataFrame, limit: int = TOP_OUTLIERS) -> DataFrame:
     """The values with the largest signed z-scores over all columns."""
-    usable = moments(numbers).where(f"count >= {OUTLIER_LEAST_VALUES} AND stddev > 0")
-    scored = numeric_cells(numbers).join(F.broadcast(usable.select("column", "mean", "stddev")), "column")
-    far = scored.selectExpr("column", "num AS value", "(num - mean) / stddev AS z").where(f"abs(z) >= {OUTLIER_SIGMAS}D")
+    far = scores(numbers, moments(numbers), OUTLIER_LEAST_VALUES, OUTLIER_SIGMAS)
     return far.orderBy(F.desc(F.abs("z")), "column", "value").limit(limit)
 
 

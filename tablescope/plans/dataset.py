@@ -112,7 +112,7 @@ def profile_dataset(
     severities = quality.severity_summary(issues)
 
     descriptive = kept(describe.descriptive_table(df, stats), "descriptive").orderBy("column")
-    pairs = kept(correlate.all_correlations(df), "pairs")
+    pairs = kept(correlate.all_correlations(df, stats=stats), "pairs")
     correlations = correlate.top_correlations(pairs)
     far = kept(describe.outliers(df, stats), "outliers").orderBy("column", "place")
     bins = describe.histogram_bins(descriptive)

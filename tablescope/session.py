@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "tablescope") -> SparkSession:
@@ -51,7 +51,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def pinned(df: DataFrame) -> DataFrame:
     """Run ``df`` once and keep its rows as a local relation.
 
-    Only for tables whose size depends on the number of columns, not of rows: facts,
-    interval edges. What follows then has a short plan and never repeats the scan behind them.
+    Only for tables whose size depends on the number of columns, not of rows. What
+    follows then has a short plan and never repeats the scan behind them.
     """
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def per_column(df: DataFrame) -> dict[str, Row]:
+    """The rows of a table with one row per column, by column name, alphabetical.
+
+    The next pass over the data uses them as literals, so it needs no join to know a
+    column's mean or bounds.
+    """
+    return {row["column"]: row for row in sorted(df.collect(), key=lambda row: row["column"])}

@@ -36,18 +36,8 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path, whole_document=False)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out to all cores when the source has fewer splits than half of them.
-
-    Only ever true of inputs that are small for the cluster (fewer splits than
-    cores); a large table is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores / 2 else df
-
-
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 def union_tagged(frames: Mapping[str, DataFrame], tag: str = "__sheet__") -> DataFrame:
