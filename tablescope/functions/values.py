@@ -8,6 +8,8 @@ wrap them for a column name or SQL expression and return a Column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +46,8 @@ def literal(text: str) -> str:
 
 
 def number_literal(value: float) -> str:
-    return f"({float(value)!r}D)"
+    value = float(value)
+    return f"({value!r}D)" if math.isfinite(value) else f"double('{value!r}')"
 
 
 def _escape(ch: str) -> str:

@@ -31,7 +31,7 @@ def all_correlations(
     precision. Each aggregate covers the pairs of two column blocks, reads only those columns
     and shuffles one row per task. Pairs without variance are left out.
     """
-    facts = per_column((moments(df, columns) if stats is None else stats).where("count >= 2 AND stddev > 0"))
+    facts = per_column((moments(df, columns) if stats is None else stats).where("count >= 2 AND stddev > 0 AND stddev < double('inf')"))
     names = [n for n in (facts if columns is None else columns) if n in facts]
     blocks = [names[start : start + BLOCK] for start in range(0, len(names), BLOCK)]
     parts = []

@@ -37,7 +37,7 @@ def descriptive_table(
 
 def scores(df: DataFrame, stats: DataFrame, least: int, sigmas: float) -> DataFrame:
     """Rows ``(column, value, z)`` of the values at least ``sigmas`` deviations from the mean."""
-    usable = per_column(stats.where(f"count >= {least} AND stddev > 0"))
+    usable = per_column(stats.where(f"count >= {least} AND stddev > 0 AND stddev < double('inf')"))
     if not usable:
         return df.sparkSession.createDataFrame([], "column string, value double, z double")
     far = {}

@@ -31,11 +31,12 @@ def numeric_range(df: DataFrame, facts: DataFrame) -> DataFrame:
 
     A value violates when it lies more than three standard deviations from the mean.
     """
+    varied = "stddev > 0 AND stddev < double('inf')"
     bounds = pinned(
         facts.where("inferred_type = 'numeric' AND count > 0").selectExpr(
             "column",
-            f"CASE WHEN stddev > 0 THEN mean - {RANGE_SIGMAS} * stddev ELSE min END AS lower_bound",
-            f"CASE WHEN stddev > 0 THEN mean + {RANGE_SIGMAS} * stddev ELSE max END AS upper_bound",
+            f"CASE WHEN {varied} THEN mean - {RANGE_SIGMAS} * stddev ELSE min END AS lower_bound",
+            f"CASE WHEN {varied} THEN mean + {RANGE_SIGMAS} * stddev ELSE max END AS upper_bound",
             "min AS min_observed",
             "max AS max_observed",
             "count AS sample_count",

@@ -47,10 +47,22 @@ class Span(NamedTuple):
     wanted: tuple[tuple[float, int], ...]
 
 
-def _curve(x: str, mean: float, stddev: float) -> str:
-    """Monotone scale, linear near the mean and logarithmic in the tails."""
-    z = f"(({x} - {number_literal(mean)}) / {number_literal(stddev)})"
-    return f"signum({z}) * log1p(abs({z}))"
+def _even(span: Span) -> str:
+    """Position inside the span on an even scale; halves keep the width finite."""
+    lo, hi = number_literal(span.lo / 2), number_literal(span.hi / 2)
+    return f"(({{x}} / 2 - {lo}) / ({hi} - {lo}))"
+
+
+def _curved(span: Span, mean: float, stddev: float) -> str:
+    """Position on a monotone scale, linear near the mean and logarithmic in the tails."""
+    if not (math.isfinite(mean) and 0 < stddev < math.inf):
+        return _even(span)
+    x, lo, hi = (
+        f"signum(({v} - {number_literal(mean)}) / {number_literal(stddev)}) "
+        f"* log1p(abs(({v} - {number_literal(mean)}) / {number_literal(stddev)}))"
+        for v in ("{x}", number_literal(span.lo), number_literal(span.hi))
+    )
+    return f"(({x} - {lo}) / ({hi} - {lo}))"
 
 
 def _ranks(p: float, count: int) -> tuple[int, int, float]:
@@ -105,15 +117,10 @@ def exact_quantiles(
         for c, f in facts.items()
     ]
     varied = [s for s in whole if s.lo < s.hi]
-    positions = []
-    for span in varied:
-        scale = [_curve(x, facts[span.column]["mean"], facts[span.column]["stddev"]) for x in
-                 ("{x}", number_literal(span.lo), number_literal(span.hi))]
-        positions.append(f"(({scale[0]} - {scale[1]}) / ({scale[2]} - {scale[1]}))")
+    positions = [_curved(s, facts[s.column]["mean"], facts[s.column]["stddev"]) for s in varied]
     spans = _count_intervals(df, varied, positions) if varied else []
     while crowded := [s for s in spans if s.size > interval_rows and s.lo < s.hi]:
-        halves = [(number_literal(s.lo / 2), number_literal(s.hi / 2)) for s in crowded]
-        finer = _count_intervals(df, crowded, [f"(({{x}} / 2 - {lo}) / ({hi} - {lo}))" for lo, hi in halves])
+        finer = _count_intervals(df, crowded, [_even(s) for s in crowded])
         spans = [s for s in spans if s not in crowded] + finer
 
     # Count the single values of every wanted interval that holds more than one.
@@ -137,15 +144,15 @@ def _count_singles(df: DataFrame, spans: list[Span]) -> DataFrame:
     for number, span in enumerate(spans):
         inside = f"{{x}} BETWEEN {number_literal(span.lo)} AND {number_literal(span.hi)}"
         slots[span.column] = slots.get(span.column, "") + f" WHEN {inside} THEN {number}"
-    wanted = [(i, s.column, p, rank - s.below) for i, s in enumerate(spans) for p, rank in s.wanted]
-    listed = df.sparkSession.createDataFrame(wanted, "slot int, column string, p double, rank bigint")
+    wanted = [(i, s.column, p, rank, rank - s.below) for i, s in enumerate(spans) for p, rank in s.wanted]
+    listed = df.sparkSession.createDataFrame(wanted, "slot int, column string, p double, rank bigint, within bigint")
     return (
         numeric_slots(df, {column: {"slot": f"CASE{cases} END"} for column, cases in slots.items()})
         .groupBy("slot", "num")
         .agg(F.expr("count(1) AS single"))
         .selectExpr("*", "sum(single) OVER (PARTITION BY slot ORDER BY num) AS stop")
         .join(F.broadcast(listed), "slot")
-        .where("rank >= stop - single AND rank < stop")
+        .where("within >= stop - single AND within < stop")
         .select("column", "p", "rank", "num")
     )
 

@@ -31,7 +31,8 @@ def csv_ready(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "ignore") -> None:
     """CSV with a header; missing and non-finite cells are empty. ``ignore`` keeps an existing result."""
-    csv_ready(df).write.mode(mode).options(header=True, emptyValue="", escape='"').csv(path)
+    layout = dict(header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    csv_ready(df).write.mode(mode).options(**layout).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "ignore") -> None:
