@@ -50,7 +50,7 @@ class Span(NamedTuple):
 def _even(span: Span) -> str:
     """Position inside the span on an even scale; halves keep the width finite."""
     lo, hi = number_literal(span.lo / 2), number_literal(span.hi / 2)
-    return f"(({{x}} / 2 - {lo}) / ({hi} - {lo}))"
+    return f"try_divide({{x}} / 2 - {lo}, {hi} - {lo})"
 
 
 def _curved(span: Span, mean: float, stddev: float) -> str:
@@ -122,6 +122,8 @@ def exact_quantiles(
     while crowded := [s for s in spans if s.size > interval_rows and s.lo < s.hi]:
         finer = _count_intervals(df, crowded, [_even(s) for s in crowded])
         spans = [s for s in spans if s not in crowded] + finer
+        if set(finer) == set(crowded):  # neighbouring numbers, nothing left to split
+            break
 
     # Count the single values of every wanted interval that holds more than one.
     closed = [s for s in [*whole, *spans] if s.lo == s.hi]
