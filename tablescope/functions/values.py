@@ -26,9 +26,6 @@ WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 # A decimal literal or an infinity. Keeps Java-only spellings (1d, 0x1p3) out of the cast.
 NUMBER_PATTERN = r"^([+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity))\z"
 
-# Printable ASCII at both ends means there is nothing to strip.
-CLEAN_ENDS = r"(?s)^[!-~](.*[!-~])?\z"
-
 KINDS = ("null", "numeric", "boolean", "text")
 
 STRING = T.StringType()
@@ -77,8 +74,11 @@ def _is_float(dtype: T.DataType) -> bool:
 
 
 def strip_sql(x: str) -> str:
-    """Strip all Unicode white space; texts with plain ASCII ends are passed through."""
-    return f"CASE WHEN {x} RLIKE r'{CLEAN_ENDS}' THEN {x} ELSE trim(BOTH {literal(WHITESPACE)} FROM {x}) END"
+    """Strip all Unicode white space; texts with printable ASCII at both ends are passed through."""
+    return (
+        f"CASE WHEN substring({x}, 1, 1) BETWEEN '!' AND '~' AND substring({x}, -1, 1) BETWEEN '!' AND '~' THEN {x} "
+        f"ELSE trim(BOTH {literal(WHITESPACE)} FROM {x}) END"
+    )
 
 
 def blank_word_sql(s: str) -> str:
@@ -93,9 +93,17 @@ def boolean_word_sql(s: str) -> str:
     return f"(octet_length({s}) <= 5 AND lower({s}) IN ('true', 'false'))"
 
 
+def number_word_sql(s: str) -> str:
+    """A stripped string spelling a number; the first character decides whether the pattern is tried."""
+    return (
+        f"((substring({s}, 1, 1) BETWEEN '+' AND '9' OR substring({s}, 1, 1) IN ('i', 'I')) "
+        f"AND {s} RLIKE r'{NUMBER_PATTERN}')"
+    )
+
+
 def parse_number_sql(s: str) -> str:
     """Stripped string to double, null when it is not a number."""
-    return f"CASE WHEN {s} RLIKE r'{NUMBER_PATTERN}' THEN try_cast({s} AS DOUBLE) END"
+    return f"CASE WHEN {number_word_sql(s)} THEN try_cast({s} AS DOUBLE) END"
 
 
 def finite_sql(x: str) -> str:

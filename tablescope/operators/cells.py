@@ -172,25 +172,39 @@ def native_value_sql(name: str, dtype: T.DataType) -> tuple[str, str]:
     return "string", V.text_sql(x, dtype)
 
 
-def native_cells(df: DataFrame, columns: Sequence[str] | None = None) -> list[DataFrame]:
-    """Rows ``(column, value)`` of every non-missing cell, one DataFrame per column family."""
+def native_families(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, list[str]]:
+    """Columns by the type their values are compared in."""
     types = field_types(df)
     families: dict[str, list[str]] = {}
     for name in df.columns if columns is None else columns:
         families.setdefault(native_value_sql(name, types[name])[0], []).append(name)
-    out = []
-    for family, names in families.items():
-        parts = []
-        for chunk in chunks(names):
-            if family == "string":
-                rows = _unpivot(typed_columns(df, chunk, (), ("text",)), chunk, ("text",))
-                rows = rows.withColumnRenamed("text", "value")
-            else:
-                wide = df.selectExpr(*[f"{native_value_sql(n, types[n])[1]} AS value{i}" for i, n in enumerate(chunk)])
-                rows = _unpivot(wide, chunk, ("value",))
-            parts.append(rows)
-        out.append(reduce(DataFrame.unionByName, parts).where("value IS NOT NULL"))
-    return out
+    return families
+
+
+def native_cells(df: DataFrame, family: str, names: Sequence[str], upto: dict[str, str] | None = None) -> DataFrame:
+    """Rows ``(column, value)`` of every non-missing cell of columns of one family.
+
+    ``upto`` gives the largest value (as text) to keep of some columns.
+    """
+    types = field_types(df)
+    parts = []
+    for chunk in chunks(names):
+        if family == "string":
+            wide = typed_columns(df, chunk, (), ("text",))
+            wide = wide.toDF(*[f"value{i}" for i in range(len(chunk))])
+        else:
+            wide = df.selectExpr(*[f"{native_value_sql(n, types[n])[1]} AS value{i}" for i, n in enumerate(chunk)])
+        if upto:
+            wide = wide.selectExpr(
+                *[
+                    f"CASE WHEN value{i} <= cast({V.literal(upto[n])} AS {family}) THEN value{i} END AS value{i}"
+                    if n in upto
+                    else f"value{i}"
+                    for i, n in enumerate(chunk)
+                ]
+            )
+        parts.append(_unpivot(wide, chunk, ("value",)))
+    return reduce(DataFrame.unionByName, parts).where("value IS NOT NULL")
 
 
 def canonical_frame(df: DataFrame) -> DataFrame:

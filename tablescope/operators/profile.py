@@ -16,6 +16,7 @@ from tablescope.operators.cells import (
     column_of,
     field_types,
     native_cells,
+    native_families,
     native_frame,
     typed_columns,
 )
@@ -122,39 +123,41 @@ def distinct_values(df: DataFrame, columns: Sequence[str] | None = None, limit:
     ``limit + 1`` smallest from above, so the smallest values of a hash-chosen part of
     the cells will do. Only values up to the cut are then grouped; a column too poor to
     have a cut has so few distinct values that the map side collapses them. The
-    result is exact in every case. The cut table has one row per column, so it is broadcast.
+    result is exact in every case.
     """
+    families = native_families(df, columns)
+    cuts = reduce(
+        DataFrame.unionByName,
+        [_cuts(native_cells(df, family, names), limit) for family, names in families.items()],
+    )
+    upto = {r["column"]: r["cut"] for r in cuts.collect()}
     return reduce(
-        DataFrame.unionByName, [_smallest_values(values, limit) for values in native_cells(df, columns)]
+        DataFrame.unionByName,
+        [_smallest(native_cells(df, family, names, upto), limit) for family, names in families.items()],
     )
 
 
-def _smallest_values(values: DataFrame, limit: int) -> DataFrame:
-    by_value = Window.partitionBy("column").orderBy("value")
-    probe = values.where(f"pmod(xxhash64(value), {DISTINCT_PROBE}) = 0").distinct()
-    cut = (
-        probe.withColumn("place", F.row_number().over(by_value))
-        .where(f"place <= {limit + 1}")
-        .groupBy("column")
-        .agg(F.expr(f"max(CASE WHEN place = {limit + 1} THEN value END) AS cut"))
-    )
-    kept = (
-        values.join(F.broadcast(cut), "column", "left")
-        .where("cut IS NULL OR value <= cut")
-        .select("column", "value")
-        .distinct()
-    )
+def _placed(values: DataFrame, limit: int) -> DataFrame:
+    """The ``limit + 1`` smallest distinct values of each column with their place."""
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    return values.select("column", "value").distinct().withColumn("place", place).where(f"place <= {limit + 1}")
+
+
+def _cuts(values: DataFrame, limit: int) -> DataFrame:
+    """``(column, cut)``: one value as text for every column rich enough to have a cut."""
+    chosen = values.where(f"pmod(xxhash64(value), {DISTINCT_PROBE}) = 0")
+    return _placed(chosen, limit).where(f"place = {limit + 1}").selectExpr("column", "string(value) AS cut")
+
+
+def _smallest(values: DataFrame, limit: int) -> DataFrame:
+    listed = f"collect_list(CASE WHEN place <= {limit} THEN value END)"
     return (
-        kept.withColumn("place", F.row_number().over(by_value))
-        .where(f"place <= {limit + 1}")
+        _placed(values, limit)
         .groupBy("column")
         .agg(
             F.expr(f"least(count(1), {limit}) AS distinct_count"),
             F.expr(f"count(1) > {limit} AS distinct_overflow"),
-            F.expr(
-                f"transform(sort_array(collect_list(CASE WHEN place <= {limit} THEN value END)), v -> string(v))"
-                " AS distinct_sample"
-            ),
+            F.expr(f"transform(sort_array({listed}), v -> string(v)) AS distinct_sample"),
         )
     )
 
@@ -164,10 +167,11 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approxi
 
     The exact count shuffles a 128-bit fingerprint of each value, never the text itself.
     """
-    values = reduce(
-        DataFrame.unionByName,
-        [v.selectExpr("column", "xxhash64(value) AS h1", "xxhash64('again', value) AS h2") for v in native_cells(df, columns)],
-    )
+    prints = [
+        native_cells(df, family, names).selectExpr("column", "xxhash64(value) AS h1", "xxhash64('again', value) AS h2")
+        for family, names in native_families(df, columns).items()
+    ]
+    values = reduce(DataFrame.unionByName, prints)
     if approximate:
         return values.groupBy("column").agg(F.approx_count_distinct("h1").alias("distinct"))
     return values.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))

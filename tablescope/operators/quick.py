@@ -47,7 +47,7 @@ def column_types(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 def _any_number_sql(x: str) -> str:
     """Lenient number, where ``nan`` also counts as one."""
     s = f"(replace({V.strip_sql(x)}, ','))"
-    return f"CASE WHEN {s} RLIKE r'{V.NUMBER_PATTERN}' OR lower({s}) IN ('nan', '+nan', '-nan') THEN 1 END"
+    return f"CASE WHEN {V.number_word_sql(s)} OR lower({s}) IN ('nan', '+nan', '-nan') THEN 1 END"
 
 
 def number_names(types: DataFrame) -> list[str]:
