@@ -257,14 +257,6 @@ for _key, _name, _columns in (
 # --- quality rules -----------------------------------------------------------------------
 
 
-def _rule(name: str, *rules: Callable[[], str]) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        checks = quality.check_table(table(spark, sf_dir, name))[0]
-        return rounded(quality.column_issues(checks, [rule() for rule in rules]))
-
-    return query
-
-
 _ISSUE_FIELDS = f"rule, severity, \"column\", {r('value')}, message, seq"
 
 
@@ -331,16 +323,14 @@ add(
 
 def _issues(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        checks, duplicates, _, _ = quality.check_table(table(spark, sf_dir, name))
-        return rounded(quality.issues_table(checks, duplicates))
+        return rounded(quality.check_table(table(spark, sf_dir, name)).issues())
 
     return query
 
 
 def _severities(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        checks, duplicates, _, _ = quality.check_table(table(spark, sf_dir, name))
-        return rounded(quality.severity_summary(quality.issues_table(checks, duplicates)))
+        return rounded(quality.severity_summary(quality.check_table(table(spark, sf_dir, name)).issues()))
 
     return query
 
@@ -591,16 +581,14 @@ add("quick_document", _quick_document)
 # --- report and results ------------------------------------------------------------------
 
 
-def _metrics(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
-    df = table(spark, sf_dir, name)
-    checks, duplicates, _, _ = quality.check_table(df)
-    severities = quality.severity_summary(quality.issues_table(checks, duplicates))
-    return df, report.dataset_metrics(profile.column_facts(df), severities)
+def _metrics(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    checked = quality.check_table(df)
+    return checked.facts, report.dataset_metrics(checked.facts, quality.severity_summary(checked.issues()))
 
 
 add(
     "dataset_metrics_events",
-    lambda spark, d: rounded(_metrics(spark, d, "events")[1]),
+    lambda spark, d: rounded(_metrics(table(spark, d, "events"))[1]),
     duck.issues("events") + f", {duck.SEVERITIES} SELECT (SELECT max(\"rows\") FROM facts) AS \"rows\", "
     "(SELECT count(*) FROM facts) AS columns, (SELECT round(avg(1 - null_ratio) + 1e-9, 6) FROM facts) AS completeness, "
     "(SELECT CAST(sum(3) + 1 AS BIGINT) FROM facts) AS rules_evaluated, error_count, warning_count, info_count, "
@@ -609,9 +597,9 @@ add(
 
 
 def _narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, metrics = _metrics(spark, sf_dir, "events")
-    pairs = correlate.all_correlations(df, ["event_id", "user_id", "value"])
-    return report.narrative(metrics, pairs, describe.outliers(df))
+    df = table(spark, sf_dir, "events")
+    facts, metrics = _metrics(df)
+    return report.narrative(metrics, correlate.all_correlations(df, stats=facts), describe.outliers(df, facts))
 
 
 add(
@@ -632,8 +620,7 @@ add(
 
 
 def _top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks, duplicates, _, _ = quality.check_table(table(spark, sf_dir, "labelled"))
-    return report.top_issues(quality.issues_table(checks, duplicates))
+    return report.top_issues(quality.check_table(table(spark, sf_dir, "labelled")).issues())
 
 
 add(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,9 +205,22 @@ def non_empty(df: DataFrame) -> DataFrame:
     )
 
 
-def check_table(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``(checks, duplicates, ranges, cardinality)`` of a table; the facts come first, from one pass."""
+class Checked(NamedTuple):
+    """What the rules of a table are decided by; all but the rows behind them is one row per column."""
+
+    facts: DataFrame
+    checks: DataFrame
+    duplicates: DataFrame
+    ranges: DataFrame
+    cardinality: DataFrame
+
+    def issues(self) -> DataFrame:
+        return issues_table(self.checks, self.duplicates)
+
+
+def check_table(df: DataFrame) -> Checked:
+    """Run all checks of a table. The facts come first, from one pass, and guide the rest."""
     facts = pinned(column_facts(df))
     ranges = numeric_range(df, facts)
     cardinality = categorical_cardinality(facts, distinct_values(df))
-    return column_checks(facts, ranges, cardinality), duplicate_rows(df), ranges, cardinality
+    return Checked(facts, column_checks(facts, ranges, cardinality), duplicate_rows(df), ranges, cardinality)

@@ -5,8 +5,7 @@ from tablescope.operators import profile, quality
 
 
 def issues_of(df):
-    checks, duplicates, _, _ = quality.check_table(df)
-    return quality.issues_table(checks, duplicates)
+    return quality.check_table(df).issues()
 
 
 @pytest.mark.parametrize(("missing", "severity"), [(20, None), (21, "WARNING"), (39, "WARNING"), (40, "ERROR")])
@@ -45,8 +44,7 @@ def test_mixed_and_tie(spark):
 
 def test_numeric_range(spark):
     df = spark.range(1000).selectExpr("CASE WHEN id < 15 THEN 1000D ELSE id % 10 END AS v", "1D AS flat")
-    checks, _, ranges, _ = quality.check_table(df)
-    found = by(ranges)
+    found = by(quality.check_table(df).ranges)
     assert found["v"]["violation_count"] == 15 and found["v"]["severity"] == "WARNING"
     assert found["flat"]["violation_count"] == 0 and found["flat"]["lower_bound"] == 1
 
