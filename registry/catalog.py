@@ -628,6 +628,12 @@ add(
     _top_issues,
     duck.issues("labelled") + " SELECT rule, \"column\", message, severity FROM issues ORDER BY \"column\" NULLS LAST, seq LIMIT 20",
 )
+add(
+    "report_strongest_pairs_lineitem",
+    lambda spark, d: rounded(report.strongest_pairs(correlate.all_correlations(table(spark, d, "lineitem")))),
+    f"WITH {duck.pairs('lineitem')} SELECT \"left\", \"right\", {r('r AS correlation')} FROM pairs "
+    "ORDER BY abs(r) DESC, \"left\", \"right\" LIMIT 10",
+)
 add(
     "report_top_outliers_documents",
     lambda spark, d: rounded(report.top_outliers(describe.outliers(table(spark, d, "documents")))),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions import values as V
+from tablescope.operators.correlate import top_correlations
 from tablescope.operators.profile import completeness
 from tablescope.operators.quality import rules_evaluated
 from tablescope.sources.sinks import CONTENT_TYPES
@@ -76,6 +77,10 @@ def top_issues(issues: DataFrame) -> DataFrame:
     return first.select("rule", "column", "message", "severity")
 
 
+def strongest_pairs(pairs: DataFrame) -> DataFrame:
+    return top_correlations(pairs, REPORT_CORRELATIONS).select("left", "right", "correlation")
+
+
 def top_outliers(outliers: DataFrame) -> DataFrame:
     """First five outlier columns, five values each; the input has ten rows per column at most."""
     columns = outliers.select("column").distinct().orderBy("column").limit(REPORT_OUTLIER_COLUMNS)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import quality, quick
 from tablescope.operators.cells import column_of
+from tablescope.sources import sinks
 
 
 @dataclass
@@ -34,6 +35,29 @@ class QuickReport:
             )
         )
 
+    def tables(self) -> dict[str, tuple[str, DataFrame]]:
+        """Result tables by relative key, with their kind."""
+        text = self.shape.selectExpr("concat('Rows: ', rows, ', columns: ', columns) AS value")
+        found = {"results/report.txt": ("text", text), "results/results.json": ("text", self.document())}
+        if self.stats is not None:
+            found |= {
+                "results/descriptive_stats.csv": ("csv", self.stats),
+                "results/descriptiveTable.json": ("json", self.stats),
+                "results/correlations.csv": ("csv", self.correlations),
+                "results/outliers.json": ("json", self.outliers),
+            }
+        return found
+
+    def write(self, path: str, mode: str = "ignore") -> DataFrame:
+        """Write all tables below ``path`` and return the list of what was written."""
+        writers = {"csv": sinks.write_csv, "json": sinks.write_json, "text": sinks.write_text}
+        for key, (kind, table) in self.tables().items():
+            writers[kind](table, f"{path}/{key}", mode)
+        written = [(key, sinks.content_type(key)) for key in sorted(self.tables())]
+        entries = self.shape.sparkSession.createDataFrame(written, "key string, content_type string")
+        sinks.write_json(entries, f"{path}/results/manifest.json", mode)
+        return entries
+
 
 def quick_profile(df: DataFrame, order_by: Sequence[str]) -> QuickReport:
     """Types from the first 200 rows in key order, statistics over all rows."""

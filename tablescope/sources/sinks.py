@@ -17,6 +17,12 @@ CONTENT_TYPES = {
 }
 
 
+def content_type(key: str) -> str:
+    """Content type of a written table by its name ending."""
+    kinds = {".csv": "csv", ".json": "json", ".txt": "text", ".html": "html", ".png": "image"}
+    return next((CONTENT_TYPES[k] for end, k in kinds.items() if key.endswith(end)), "application/octet-stream")
+
+
 def csv_ready(df: DataFrame) -> DataFrame:
     """Every cell as CSV text; nested cells as JSON."""
     cells = []

@@ -2,8 +2,9 @@ import json
 
 from conftest import by, rows, strings
 from tablescope import profile_dataset, quick_profile
-from tablescope.operators import automl
-from tablescope.sources import delimited
+from tablescope.operators import automl, quality
+from tablescope.operators import report as report_rows
+from tablescope.sources import delimited, files
 from tablescope.streaming.profile import start_profile
 
 
@@ -42,13 +43,28 @@ def test_lazy_and_settled_profiles_agree(spark):
         assert sorted(map(str, rows(getattr(eager, name)))) == sorted(map(str, rows(getattr(lazy, name)))), name
 
 
-def test_quick_report(spark):
+def test_quick_report(spark, tmp_path):
     df = strings(spark, n=["1", "2", "3"], a=["1", "2", "3,000"], b=["2", "3", "x"])
     report = quick_profile(df, ["n"])
     assert {r["column"]: r["type"] for r in report.types.collect()} == {"a": "number", "b": "string"}
     assert rows(report.shape) == [(3, 2)] and rows(report.checks) == [("non_empty", "pass")]
     assert by(report.stats)["a"]["max"] == 3000
     assert json.loads(report.document().first()[0])["summary"] == {"rows": 3, "columns": 2}
+    path = str(tmp_path / "quick")
+    entries = dict(rows(report.write(path)))
+    assert len(entries) == 6 and entries["results/correlations.csv"] == "text/csv"
+    assert spark.read.text(f"{path}/results/report.txt").first()[0] == "Rows: 3, columns: 2"
+    assert delimited.read_csv(spark, f"{path}/results/descriptive_stats.csv").count() == 1
+
+
+def test_metrics_take_the_source_size(spark, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    (path / "a.csv").write_text("id\n1\n2\n")
+    checked = quality.check_table(files.read_dataset(spark, str(path / "a.csv")))
+    severities = quality.severity_summary(checked.issues())
+    row = report_rows.dataset_metrics(checked.facts, severities, files.source_metadata(spark, str(path))).first()
+    assert (row["bytes_read"], row["rows"], row["columns"], row["issue_count"]) == (7, 2, 1, 0)
 
 
 def test_statuses_and_target_choice(spark):
