@@ -740,9 +740,10 @@ def _text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("text_roundtrip_customer", _text_roundtrip, "SELECT c_name FROM customer")
 
 
-def _packed(df: DataFrame, key: str, build) -> DataFrame:
-    """Files of at most 1,000 key values each, built from the rows by the tasks."""
-    return df.withColumn("part", F.expr(f"{key} DIV 1000")).groupBy("part").applyInPandas(build, "path string, content binary")
+def _packed(df: DataFrame, build) -> DataFrame:
+    """Files of at most 1,000 rows each, built from the rows by the tasks, whatever their keys."""
+    numbered = df.withColumn("part", F.expr("monotonically_increasing_id() DIV 1000"))
+    return numbered.groupBy("part").applyInPandas(build, "path string, content binary")
 
 
 def _zip_of(pdf):
@@ -776,7 +777,7 @@ for _key, _build in (("zip", _zip_of), ("sqlite", _sqlite_of)):
         f"{_key}_roundtrip_orders",
         (
             lambda build: lambda spark, d: packed.records_to_columns(
-                packed.packed_rows(_packed(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey", build))
+                packed.packed_rows(_packed(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), build))
             ).selectExpr("bigint(o_orderkey) AS o_orderkey", "bigint(o_custkey) AS o_custkey", "o_orderpriority")
         )(_build),
         "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders",
