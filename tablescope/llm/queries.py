@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import shard
+from tablescope.llm import shard, toxicity
+from tablescope.llm.labelled import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,21 @@ def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out(modulus: int, value: int):
+    return F.coalesce(remainder("doc_id", modulus) == value, F.lit(False))
+
+
+def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from two thirds of the labelled ones."""
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels, learnable=remainder("doc_id", 3) != 1)
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_ring_shards": op2_ring_shards,
+    "op7_nb_toxicity": op7_nb_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
