@@ -8,12 +8,12 @@ between toxic and other texts; a logistic regression on these values gives the s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.llm.labelled import fit_in_one_task, labelled_sample
 from tablescope.llm.utf8 import blocks, column_bytes, lower_table, mix
@@ -27,12 +27,12 @@ FEATURES = 1 << 13
 SLOT_BITS = 20
 
 
-@dataclass
-class Model:
-    hashes: np.ndarray  # sorted
-    weights: np.ndarray
-    bias: float
-    empty: float = 0.0
+#: hashes: sorted n-gram hashes; weights: one for each; bias.
+Model = dict
+
+
+def model_of(hashes: np.ndarray, weights: np.ndarray, bias: float) -> Model:
+    return {"hashes": hashes, "weights": weights, "bias": bias}
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,7 +68,7 @@ def fit(sample: pa.Table, steps: int = 200, penalty: float = 1e-5) -> Model:
     share = (label.sum() + 0.5) / (len(label) + 1)
     prior = float(np.log(share / (1 - share)))
     if label.all() or not label.any():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), prior)
+        return model_of(np.zeros(0, np.uint64), np.zeros(0), prior)
     rows, hashes = _matrix(sample["text"].combine_chunks())
     known, column = np.unique(hashes, return_inverse=True)
     toxic = np.bincount(column, weights=label[rows], minlength=len(known))
@@ -102,30 +102,30 @@ def fit(sample: pa.Table, steps: int = 200, penalty: float = 1e-5) -> Model:
         weights, bias = new, new_bias
     weights = weights * ratio[kept]
     some = np.abs(weights) > 1e-6 * max(np.abs(weights).max(initial=0), 1e-12)
-    return Model(known[kept][some], weights[some], float(bias))
+    return model_of(known[kept][some], weights[some], float(bias))
 
 
 def margins(model: Model, data: np.ndarray, offsets: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """The model's margin of every row; ``slots`` marks the places of its hashes by their first bits."""
-    out = np.full(len(offsets) - 1, model.bias)
-    if not len(model.hashes):
+    known, out = model["hashes"], np.full(len(offsets) - 1, model["bias"])
+    if not len(known):
         return out
     rows, columns = [], []
     for hashes, inside in ngrams(data, offsets):
         at = np.flatnonzero(slots[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] & inside)
-        place = np.searchsorted(model.hashes, hashes[at]).clip(max=len(model.hashes) - 1)
-        hit = model.hashes[place] == hashes[at]
+        place = np.searchsorted(known, hashes[at]).clip(max=len(known) - 1)
+        hit = known[place] == hashes[at]
         rows.append(np.searchsorted(offsets, at[hit], "right") - 1)
         columns.append(place[hit])
-    pairs = np.unique(np.concatenate(rows) * len(model.hashes) + np.concatenate(columns))
-    return out + np.bincount(pairs // len(model.hashes), weights=model.weights[pairs % len(model.hashes)], minlength=len(out))
+    pairs = np.unique(np.concatenate(rows) * len(known) + np.concatenate(columns))
+    return out + np.bincount(pairs // len(known), weights=model["weights"][pairs % len(known)], minlength=len(out))
 
 
 def train(documents: DataFrame, labels: DataFrame, learnable: Column | None = None, per_class: int = PER_CLASS) -> Model:
     """Fit on up to ``per_class`` labelled documents of each class; without labels the score is 0.5 for all."""
     allowed = F.lit(True) if learnable is None else learnable
     model = fit_in_one_task(labelled_sample(documents, labels, "toxic", allowed, per_class), fit)
-    return model or Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    return model or model_of(np.zeros(0, np.uint64), np.zeros(0), 0.0)
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -135,11 +135,11 @@ def score(documents: DataFrame, model: Model, text: str = "text", name: str = "s
     columns are kept; one of the same name is replaced. Equal texts get equal scores.
     """
     kept = documents.drop(name)
-    schema = kept.schema.add(name, "double")
+    schema = T.StructType([*kept.schema, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(1 << SLOT_BITS, bool)
-        slots[(model.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
+        slots[(model["hashes"] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
         for batch in batches:
             data, offsets = column_bytes(batch.column(batch.schema.get_field_index(text)))
             found = [margins(model, own, starts, slots) for _, own, starts in blocks(data, offsets)]
