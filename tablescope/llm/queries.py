@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import shard, toxicity
+from tablescope.llm import quality, shard, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -30,6 +30,14 @@ def _held_out(modulus: int, value: int):
     return F.coalesce(remainder("doc_id", modulus) == value, F.lit(False))
 
 
+def op4_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from four fifths of the labelled ones."""
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(documents, labels, learnable=remainder("doc_id", 5) != 0)
+    scored = quality.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from two thirds of the labelled ones."""
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -40,6 +48,7 @@ def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ring_shards": op2_ring_shards,
+    "op4_byte_network": op4_byte_network,
     "op7_nb_toxicity": op7_nb_toxicity,
 }
 
