@@ -21,10 +21,11 @@ from tablescope.llm.utf8 import blocks, column_bytes, lower_table, mix
 #: Lengths of the n-grams in bytes.
 ORDERS = (4, 6, 8)
 #: Labelled documents learned from, of each class.
-PER_CLASS = 2000
+PER_CLASS = 1500
 #: N-grams kept as features: those of the largest weight by ratio and frequency.
 FEATURES = 1 << 13
 SLOT_BITS = 20
+COUNT_BITS = 22
 
 
 #: hashes: sorted n-gram hashes; weights: one for each; bias.
@@ -48,18 +49,39 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield mix(rolled), left >= order
 
 
-def _matrix(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct n-grams of each text."""
-    rows, hashes = [], []
+def _distinct(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """The distinct n-grams of each text that has any."""
     data, offsets = column_bytes(texts)
     for row in range(len(offsets) - 1):
         own = data[offsets[row] : offsets[row + 1]]
         if len(own):
-            found = np.unique(np.concatenate([h[inside] for h, inside in ngrams(own, np.array([0, len(own)]))]))
-            rows.append(np.full(len(found), row))
-            hashes.append(found)
-    empty = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return (np.concatenate(rows), np.concatenate(hashes)) if rows else empty
+            yield row, np.unique(np.concatenate([h[inside] for h, inside in ngrams(own, np.array([0, len(own)]))]))
+
+
+def _worth(toxic: np.ndarray, other: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-count ratio of features seen in so many texts, and the ratio times the feature's spread."""
+    ratio = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((other + 0.5) / ((~label).sum() + 1))
+    rate = (toxic + other) / len(label)
+    return ratio, np.where(toxic + other >= 3, np.abs(ratio) * np.sqrt((rate * (1 - rate)).clip(0)), 0)
+
+
+def _candidates(texts: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the n-grams that may become features.
+
+    N-grams are first counted in a table of fixed size by the first bits of their hash, so
+    the sample's n-grams are never held at once; only those in its best slots are kept.
+    """
+    shift, counts = np.uint64(64 - COUNT_BITS), np.zeros((2, 1 << COUNT_BITS), np.int32)
+    for row, hashes in _distinct(texts):
+        np.add.at(counts[int(label[row])], (hashes >> shift).astype(np.int64), 1)
+    best = np.argpartition(-_worth(counts[1], counts[0], label)[1], 4 * FEATURES)[: 4 * FEATURES]
+    good = np.zeros(1 << COUNT_BITS, bool)
+    good[best] = True
+    rows, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for row, hashes in _distinct(texts):
+        kept.append(hashes[good[(hashes >> shift).astype(np.int64)]])
+        rows.append(np.full(len(kept[-1]), row))
+    return np.concatenate(rows), np.concatenate(kept)
 
 
 def fit(sample: pa.Table, steps: int = 200, penalty: float = 1e-5) -> Model:
@@ -69,14 +91,10 @@ def fit(sample: pa.Table, steps: int = 200, penalty: float = 1e-5) -> Model:
     prior = float(np.log(share / (1 - share)))
     if label.all() or not label.any():
         return model_of(np.zeros(0, np.uint64), np.zeros(0), prior)
-    rows, hashes = _matrix(sample["text"].combine_chunks())
+    rows, hashes = _candidates(sample["text"].combine_chunks(), label)
     known, column = np.unique(hashes, return_inverse=True)
     toxic = np.bincount(column, weights=label[rows], minlength=len(known))
-    other = np.bincount(column, minlength=len(known)) - toxic
-    ratio = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((other + 0.5) / ((~label).sum() + 1))
-    # Spread of the feature over the sample: the gain that NB features are worth.
-    rate = (toxic + other) / len(label)
-    worth = np.where(toxic + other >= 3, np.abs(ratio) * np.sqrt(rate * (1 - rate)), 0)
+    ratio, worth = _worth(toxic, np.bincount(column, minlength=len(known)) - toxic, label)
     kept = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
     kept = kept[worth[kept] > 0]
     place = np.full(len(known), -1)
