@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import quality, shard, toxicity
+from tablescope.llm import near, quality, shard, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -46,10 +46,17 @@ def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    found = near.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op2_ring_shards": op2_ring_shards,
     "op4_byte_network": op4_byte_network,
     "op7_nb_toxicity": op7_nb_toxicity,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
