@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import near, quality, shard, toxicity
+from tablescope.llm import near, pack, quality, shard, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -52,11 +53,17 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_ring_shards": op2_ring_shards,
     "op4_byte_network": op4_byte_network,
     "op7_nb_toxicity": op7_nb_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_differencing_pack": op9_differencing_pack,
 }
 
 ORACLES: dict[str, str] = {}
