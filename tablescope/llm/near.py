@@ -7,9 +7,10 @@ share a bucket. A bucket of any size gives a star: its smallest document with ea
 others. Candidates are confirmed on their full shingle sets.
 
 A star may miss a link between two of its points when neither links with the centre.
-So buckets whose documents are not all in one component lose their centre and make
-another star, until none is left; no bucket is capped and no confirmed component is
-compared within itself.
+So the documents of buckets that are not one component by then get exact buckets: the
+rarest shingles of each, chosen such that two sets that link must share one. These make
+stars again, with more centres each time, until what is left of every bucket is one
+component; no bucket is capped and nothing is compared within a confirmed component.
 
 Texts that are equal count as one node, so large groups of copies cost one comparison.
 """
@@ -111,6 +112,60 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return nodes.withColumn("label", F.col("node"))
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Those of (node, band) whose bucket holds more than one component."""
+    known = _labelled(members.select("node", "band"), labels)
+    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return known.join(mixed.select("band"), "band").select("node", "band")
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Exact buckets (node, band) of some nodes: two sets that link share a shingle of their prefixes.
+
+    With shingles ordered from the rarest among these nodes, the prefix of n shingles is the
+    first n - ceil(percent * n / 100) + 1. Lines that many documents share are last in
+    that order, so they bring hardly any two documents together.
+    """
+    each = sets.select("node", F.explode("shingles").alias("band"))
+    often = each.groupBy("band").agg(F.count("*").alias("n"))
+    ranked = each.join(often, "band").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "band"))).alias("order"))
+    size = F.size("order")
+    first = F.slice("order", F.lit(1), size - F.floor((percent * size + 99) / 100).cast("int") + 1)
+    return ranked.select("node", F.explode(first).alias("at")).filter("at.n > 1").select("node", F.col("at.band").alias("band"))
+
+
+class _Found:
+    """The confirmed links so far and the components they make."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def stars(self, members: DataFrame, centres: int) -> DataFrame:
+        """Compare about ``centres`` nodes of each bucket, its smallest among them, with all others that are not in
+        the same component, and return the members without these centres."""
+        known = _labelled(members.select("node", "band"), self.labels)
+        size = known.groupBy("band").agg(F.min("node").alias("smallest"), F.count("*").alias("n"))
+        drawn = F.pmod(F.xxhash64("node", "band"), F.lit(1 << 20)) * F.col("n") < (centres - 1) * (1 << 20)
+        known = known.join(size, "band").withColumn("is_centre", (F.col("node") == F.col("smallest")) | drawn)
+        known = materialize(known.select("node", "band", "label", "is_centre"), "stars")
+        middle = known.filter("is_centre").select("band", F.col("node").alias("other"), F.col("label").alias("own"))
+        pairs = known.join(middle, "band").filter("label <> own")
+        edges = pairs.select(F.least("node", "other").alias("centre"), F.greatest("node", "other").alias("node")).distinct()
+        new = materialize(_confirmed(edges, self.sets, self.percent), "found")
+        if not new.isEmpty():
+            self.links = new if self.links is None else self.links.unionByName(new)
+            self.labels = components(self.links)
+        return known.filter("not is_centre").select("node", "band")
+
+
 def near_duplicates(documents: DataFrame, text: str = "text", percent: int = 75) -> DataFrame:
     """One row (doc_id, text_md5, n_shingles, component_id, kept) per row of ``documents``.
 
@@ -120,8 +175,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", percent: int = 75)
 
     Null and empty texts, and texts without words, have no shingles and are linked with
     nothing. A component in which no doc_id is known has a null ``component_id`` and its
-    rows are kept. Different texts under one doc_id are one document in its links. Repeated
-    rows are all returned. Other columns play no part. An empty table gives no rows.
+    rows are kept. Different texts under one doc_id are one document, compared by the
+    smallest of those texts. Repeated rows are all returned. Other columns play no part. An empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = documents.select(F.col("doc_id").cast("long"), F.unhex(F.md5(body.cast("binary"))).alias("key"), body.alias("text"))
@@ -137,32 +192,23 @@ def near_duplicates(documents: DataFrame, text: str = "text", percent: int = 75)
 
     wanted = members.select("node").distinct()
     nodes = texts.filter("n_shingles > 0").select("key", F.coalesce("doc_id", nameless).alias("node")).join(wanted, "node", "left_semi")
-    once = keyed.join(nodes, "key").groupBy("node").agg(F.min("text").alias("text"))
+    # Joined by the node's own doc_id as well, so copies of a text don't meet.
+    own = keyed.select(F.coalesce("doc_id", nameless).alias("node"), "key", "text").join(nodes, ["node", "key"])
+    once = own.groupBy("node").agg(F.min("text").alias("text"))
     sets = materialize(once.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
 
-    labels, links = None, None
-    while True:
-        if labels is not None:  # what is still apart after the last round
-            members = members.join(labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
-        else:
-            members = members.withColumn("label", F.col("node"))
-        stars = members.groupBy("band").agg(F.min("node").alias("centre"), F.min("label").alias("low"), F.max("label").alias("high"))
-        stars = stars.filter("low < high").select("band", "centre")
-        points = materialize(members.join(stars, "band"), "stars")
-        if points.isEmpty():
-            break
-        centres = points.filter("node = centre").select("band", F.col("label").alias("own"))
-        edges = points.join(centres, "band").filter("label <> own").select("centre", "node").distinct()
-        found = materialize(_confirmed(edges, sets, percent), "found")
-        members = points.filter("node <> centre").select("node", "band")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
+    # One star for each bucket. What stays apart in a bucket without its centre goes on to exact buckets.
+    found = _Found(sets, percent)
+    members = found.stars(members, 1)
+    rest = _apart(members, found.labels)
+    if not rest.isEmpty():
+        buckets, centres = materialize(_prefixes(sets.join(rest.select("node").distinct(), "node", "left_semi"), percent), "prefixes"), 1
+        while not buckets.isEmpty():
+            buckets = found.stars(buckets, centres)
+            buckets, centres = materialize(_apart(buckets, found.labels), "apart"), 2 * centres
+    labels = found.labels
     rows = named.select("doc_id", "key", "n_shingles", "node")
-    if labels is None:
-        rows = rows.withColumn("label", F.col("node"))
-    else:
-        rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = _labelled(rows, labels)
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("label") < NAMELESS, F.col("label"))
     return rows.select(
         "doc_id", F.lower(F.hex("key")).alias("text_md5"), "n_shingles",

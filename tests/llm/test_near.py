@@ -69,3 +69,14 @@ def test_shingles_and_bins():
         a, b = (np.unique(np.append(common, rng.integers(0, 1 << 63, 1, dtype=np.uint64))) << np.uint64(1) for _ in range(2))
         same.append((near.signature(np.sort(a)) == near.signature(np.sort(b))).mean())
     assert abs(np.mean(same) - 6 / 8) < 0.04
+
+
+def test_links_between_points_of_a_star(spark):
+    """Short texts that share a line meet in crowded buckets; pairs among them still come out."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 6)))
+    line = [word() for _ in range(16)]
+    texts = [" ".join([*(word() for _ in range(rng.randint(3, 9))), *line]) for _ in range(150)]
+    texts += [t + " " + word() for t in texts[50:60]] + [word() + " " + t for t in texts[55:65]]
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(table(spark, "doc_id long, text string", list(enumerate(texts)))).collect()}
+    assert got == components(range(len(texts)), near_links(dict(enumerate(texts))))
