@@ -31,7 +31,9 @@ PIECE = 512
 #: Tokens of pieces in a block, about, and so the work of one group.
 BLOCK_TOKENS = 256 * SEQUENCE
 #: Pieces of text whose token ids a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1_500_000
+#: Marks that may follow a word.
+MARKS = ".,!?;:|#$%&*"
 #: The id after each document.
 END = 1
 
@@ -86,25 +88,44 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # A worker process runs many tasks: what one has learned serves the next.
         kept = sys.modules.setdefault("tablescope_parts", types.ModuleType("tablescope_parts"))
         self.known: dict[str, bytes] = kept.__dict__.setdefault(path, {})
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], letters: bool = False) -> list[bytes]:
+        encode = (self.letters if letters else self.tokenizer).encode_batch_fast
+        return [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
 
     def _learn(self, parts: set[str]) -> None:
+        """Remember the ids of parts: text after a space, or a line break and text.
+
+        Letters and the marks behind them are pieces of their own, so words are encoded
+        once for all marks they occur with, and without the pattern. A part with white
+        space in it stays unknown.
+        """
         if len(self.known) + len(parts) > REMEMBERED:
             self.known.clear()
-        # A part is text after a space, or a line break and text; a part with white space in it stays unknown.
-        new = [p for p in parts if p not in self.known and len(p.split()) == 1 and p.strip() == p.lstrip("\n") and p.find("\n", 1) < 0]
-        for low in range(0, len(new), 4096):
-            some = new[low : low + 4096]
-            self.known.update(zip(some, self._ids([p if p[0] == "\n" else " " + p for p in some])))
+        new = [part for part in parts if part not in self.known]
+        words, other = {}, []
+        for part in new:
+            text = part[1:] if part[:1] == "\n" else " " + part
+            core = text.rstrip(MARKS)
+            if (part if text[:1] == " " else text).rstrip(MARKS).isalpha() and max(core) < "\u0250":
+                words[part] = core, text[len(core) :]
+            elif len(part.split()) == 1 and part.strip() == part.lstrip("\n") and part.find("\n", 1) < 0:
+                other.append(part)
+        cores = list({core for core, _ in words.values()})
+        ids = dict(zip(cores, self._ids(cores, letters=True)))
+        marks = list({tail for _, tail in words.values()})
+        ends = dict(zip(marks, self._ids(marks)))
+        line = self._ids(["\n"])[0]
+        self.known.update((part, (line if part[0] == "\n" else b"") + ids[core] + ends[tail]) for part, (core, tail) in words.items())
+        self.known.update(zip(other, self._ids([p if p[0] == "\n" else " " + p for p in other])))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, without an end."""
