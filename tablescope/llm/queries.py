@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import near, pack, quality, shard, toxicity
+from tablescope.llm import decontaminate, near, pack, quality, shard, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains a benchmark item, with that item."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards with counts at most one apart."""
     documents = _table(spark, sf_dir, "documents").select(
@@ -59,6 +64,7 @@ def op9_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_windows": op1_simhash_windows,
     "op2_ring_shards": op2_ring_shards,
     "op4_byte_network": op4_byte_network,
     "op7_nb_toxicity": op7_nb_toxicity,
