@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, near, pack, quality, shard, toxicity
+from tablescope.llm import decontaminate, language, near, pack, quality, shard, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -44,6 +44,14 @@ def op4_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    documents = _table(spark, sf_dir, "documents")
+    model = language.train(documents, learnable=remainder("doc_id", 3) != 1)
+    named = language.predict(documents.select("doc_id", "text"), model)
+    return named.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from two thirds of the labelled ones."""
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -67,6 +75,7 @@ QUERIES = {
     "op1_simhash_windows": op1_simhash_windows,
     "op2_ring_shards": op2_ring_shards,
     "op4_byte_network": op4_byte_network,
+    "op5_ftrl_language": op5_ftrl_language,
     "op7_nb_toxicity": op7_nb_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_differencing_pack": op9_differencing_pack,
