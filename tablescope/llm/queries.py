@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, language, near, pack, quality, shard, toxicity
+from tablescope.llm import decontaminate, extract, language, near, pack, quality, shard, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -36,6 +36,11 @@ def _held_out(modulus: int, value: int):
     return F.coalesce(remainder("doc_id", modulus) == value, F.lit(False))
 
 
+def op3_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from four fifths of the labelled ones."""
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -74,6 +79,7 @@ def op9_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_windows": op1_simhash_windows,
     "op2_ring_shards": op2_ring_shards,
+    "op3_block_tree": op3_block_tree,
     "op4_byte_network": op4_byte_network,
     "op5_ftrl_language": op5_ftrl_language,
     "op7_nb_toxicity": op7_nb_toxicity,
