@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, extract, language, near, pack, quality, shard, toxicity
+from tablescope.llm import decontaminate, extract, language, near, neighbours, pack, quality, shard, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -57,6 +57,11 @@ def op5_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from two thirds of the labelled ones."""
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -82,6 +87,7 @@ QUERIES = {
     "op3_block_tree": op3_block_tree,
     "op4_byte_network": op4_byte_network,
     "op5_ftrl_language": op5_ftrl_language,
+    "op6_permutation_index": op6_permutation_index,
     "op7_nb_toxicity": op7_nb_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_differencing_pack": op9_differencing_pack,
