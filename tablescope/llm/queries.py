@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, extract, language, near, neighbours, pack, quality, shard, toxicity
+from tablescope.llm import decontaminate, extract, language, lm, near, neighbours, pack, quality, shard, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -81,6 +81,12 @@ def op9_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more like the documents of good quality than like all documents every document is."""
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return lm.cross_entropy_difference(documents, labels.filter("quality = 1"))
+
+
 QUERIES = {
     "op1_simhash_windows": op1_simhash_windows,
     "op2_ring_shards": op2_ring_shards,
@@ -91,6 +97,7 @@ QUERIES = {
     "op7_nb_toxicity": op7_nb_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_differencing_pack": op9_differencing_pack,
+    "op10_loss_difference": op10_loss_difference,
 }
 
 ORACLES: dict[str, str] = {}
