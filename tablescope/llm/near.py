@@ -166,20 +166,14 @@ class _Found:
         return known.filter("not is_centre").select("node", "band")
 
 
-def near_duplicates(documents: DataFrame, text: str = "text", percent: int = 75) -> DataFrame:
-    """One row (doc_id, text_md5, n_shingles, component_id, kept) per row of ``documents``.
+def _key(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
-    Documents with a similarity of ``percent`` or more are linked; ``component_id`` is the
-    smallest doc_id (below 2^62) reachable over links and equal texts, and ``kept`` marks the
-    rows whose doc_id it is. ``text_md5`` is that of the text, or of '' for a null text.
 
-    Null and empty texts, and texts without words, have no shingles and are linked with
-    nothing. A component in which no doc_id is known has a null ``component_id`` and its
-    rows are kept. Different texts under one doc_id are one document, compared by the
-    smallest of those texts. Repeated rows are all returned. Other columns play no part. An empty table gives no rows.
-    """
+def _nodes(documents: DataFrame, text: str, percent: int) -> DataFrame:
+    """(doc_id, key, n_shingles, node, label) for every row; rows of one component have one label."""
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = documents.select(F.col("doc_id").cast("long"), F.unhex(F.md5(body.cast("binary"))).alias("key"), body.alias("text"))
+    keyed = documents.select(F.col("doc_id").cast("long"), _key(text).alias("key"), body.alias("text"))
     sketches = materialize(keyed.mapInArrow(_sketches, "doc_id long, key binary, n_shingles long, bands array<long>"), "sketches")
 
     nameless = F.xxhash64("key").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
@@ -207,10 +201,43 @@ def near_duplicates(documents: DataFrame, text: str = "text", percent: int = 75)
             buckets = found.stars(buckets, centres)
             buckets, centres = materialize(_apart(buckets, found.labels), "apart"), 2 * centres
     labels = found.labels
-    rows = named.select("doc_id", "key", "n_shingles", "node")
-    rows = _labelled(rows, labels)
+    return _labelled(named.select("doc_id", "key", "n_shingles", "node"), labels)
+
+
+def near_duplicates(documents: DataFrame, text: str = "text", percent: int = 75) -> DataFrame:
+    """One row (doc_id, text_md5, n_shingles, component_id, kept) per row of ``documents``.
+
+    Documents with a similarity of ``percent`` or more are linked; ``component_id`` is the
+    smallest doc_id (below 2^62) reachable over links and equal texts, and ``kept`` marks the
+    rows whose doc_id it is. ``text_md5`` is that of the text, or of '' for a null text.
+
+    Null and empty texts, and texts without words, have no shingles and are linked with
+    nothing. A component in which no doc_id is known has a null ``component_id`` and its
+    rows are kept. Different texts under one doc_id are one document, compared by the
+    smallest of those texts. Repeated rows are all returned. Other columns play no part. An empty table gives no rows.
+    """
+    rows = _nodes(documents, text, percent)
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("label") < NAMELESS, F.col("label"))
     return rows.select(
         "doc_id", F.lower(F.hex("key")).alias("text_md5"), "n_shingles",
         component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def keep_one(documents: DataFrame, text: str = "text", percent: int = 75) -> DataFrame:
+    """``documents`` with one row of each component of near-duplicates: the one of the smallest doc_id.
+
+    If no doc_id is known or several rows share it, the smallest MD5 of the text decides; of
+    rows equal in both one stays. Rows without words are no duplicates of anything and all
+    stay. All columns are kept.
+    """
+    wordless = F.coalesce(F.col(text), F.lit("")).rlike("^[\\x20\\x09-\\x0D]*$")
+    found = _nodes(documents, text, percent).filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    best = found.groupBy("label").agg(F.min(order).alias("best")).select("best.doc_id", "best.key")
+    best = best.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"))
+    # Repeated rows go before the exchange; the join then finds the rows where they are.
+    keyed = documents.filter(~wordless).withColumn("__doc_id", F.col("doc_id").cast("long")).withColumn("__key", _key(text))
+    once = keyed.groupBy("__doc_id", "__key").agg(F.first(F.struct(*documents.columns)).alias("row"))
+    same = once["__doc_id"].eqNullSafe(best["__doc_id"]) & (once["__key"] == best["__key"])
+    return once.join(best, same, "left_semi").select("row.*").unionByName(documents.filter(wordless))
