@@ -10,7 +10,7 @@ A star may miss a link between two of its points when neither links with the cen
 So the documents of buckets that are not one component by then get exact buckets: the
 rarest shingles of each, chosen such that two sets that link must share one. These make
 stars again, with more centres each time, until what is left of every bucket is one
-component; no bucket is capped and nothing is compared within a confirmed component.
+component or has been compared; no bucket is capped and nothing is compared within a confirmed component.
 
 Texts that are equal count as one node, so large groups of copies cost one comparison.
 """
@@ -126,18 +126,25 @@ def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """Exact buckets (node, band) of some nodes: two sets that link share a shingle of their prefixes.
-
-    With shingles ordered from the rarest among these nodes, the prefix of n shingles is the
-    first n - ceil(percent * n / 100) + 1. Lines that many documents share are last in
-    that order, so they bring hardly any two documents together.
+    """Exact buckets (node, band, size, left, small) of some nodes: two sets that link share a shingle of their prefixes.
+
+    With shingles ordered from the rarest among these nodes, a set of n has its first
+    n - ceil(t * n) + 1 shingles as its prefix, t being the similarity; ``small`` marks the
+    first n - ceil(2 * t / (1 + t) * n) + 1, which are enough for the smaller set of a pair.
+    Lines that many documents share come last in that order, so they hardly bring any two
+    documents together. ``left`` counts the shingles from this one on: no more than these
+    can be shared if this is the first one that is.
     """
     each = sets.select("node", F.explode("shingles").alias("band"))
     often = each.groupBy("band").agg(F.count("*").alias("n"))
     ranked = each.join(often, "band").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "band"))).alias("order"))
     size = F.size("order")
-    first = F.slice("order", F.lit(1), size - F.floor((percent * size + 99) / 100).cast("int") + 1)
-    return ranked.select("node", F.explode(first).alias("at")).filter("at.n > 1").select("node", F.col("at.band").alias("band"))
+    up = lambda over, under: F.floor((over * size + under - 1) / under).cast("int")
+    prefix, short = size - up(percent, 100) + 1, size - up(2 * percent, 100 + percent) + 1
+    placed = ranked.select("node", size.alias("size"), short.alias("short"), F.posexplode(F.slice("order", F.lit(1), prefix)).alias("at", "best"))
+    return placed.filter("best.n > 1").select(
+        "node", F.col("best.band").alias("band"), "size", (F.col("size") - F.col("at")).alias("left"), (F.col("at") < F.col("short")).alias("small")
+    )
 
 
 class _Found:
@@ -148,22 +155,38 @@ class _Found:
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def stars(self, members: DataFrame, centres: int) -> DataFrame:
-        """Compare about ``centres`` nodes of each bucket, its smallest among them, with all others that are not in
-        the same component, and return the members without these centres."""
-        known = _labelled(members.select("node", "band"), self.labels)
-        size = known.groupBy("band").agg(F.min("node").alias("smallest"), F.count("*").alias("n"))
-        drawn = F.pmod(F.xxhash64("node", "band"), F.lit(1 << 20)) * F.col("n") < (centres - 1) * (1 << 20)
-        known = known.join(size, "band").withColumn("is_centre", (F.col("node") == F.col("smallest")) | drawn)
-        known = materialize(known.select("node", "band", "label", "is_centre"), "stars")
-        middle = known.filter("is_centre").select("band", F.col("node").alias("other"), F.col("label").alias("own"))
-        pairs = known.join(middle, "band").filter("label <> own")
-        edges = pairs.select(F.least("node", "other").alias("centre"), F.greatest("node", "other").alias("node")).distinct()
-        new = materialize(_confirmed(edges, self.sets, self.percent), "found")
+    def confirm(self, edges: DataFrame) -> None:
+        """Add the links among some pairs (centre, node) of different components."""
+        new = materialize(_confirmed(edges.distinct(), self.sets, self.percent), "found")
         if not new.isEmpty():
             self.links = new if self.links is None else self.links.unionByName(new)
             self.labels = components(self.links)
-        return known.filter("not is_centre").select("node", "band")
+
+    def stars(self, members: DataFrame) -> DataFrame:
+        """Compare the smallest node of each bucket (node, band) with the others, and return the members without it."""
+        smallest = members.groupBy("band").agg(F.min("node").alias("centre"))
+        points = members.join(smallest, "band").filter("node <> centre")
+        self.confirm(points.select("centre", "node"))
+        return points.select("node", "band")
+
+    def open_buckets(self, buckets: DataFrame) -> DataFrame:
+        """The exact buckets that hold more than one component and a set not yet compared as the smaller one."""
+        known = _labelled(buckets.drop("label"), self.labels)
+        mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("small").alias("open"))
+        return known.join(mixed.filter("low < high AND open > 0").select("band", "open"), "band")
+
+    def prefix_stars(self, buckets: DataFrame, centres: int) -> DataFrame:
+        """Compare about ``centres`` sets of each bucket as the smaller one with all that may link with it."""
+        drawn = F.col("small") & (F.pmod(F.xxhash64("node", "band"), F.lit(1 << 20)) * F.col("open") <= centres << 20)
+        buckets = buckets.withColumn("is_centre", drawn)
+        other = buckets.drop("open", "is_centre", "small").withColumnsRenamed({"node": "other", "size": "other_size", "left": "other_left", "label": "other_label"})
+        pairs = buckets.filter("is_centre").join(other, "band").filter("label <> other_label AND size <= other_size")
+        # Sizes too far apart, or too few shingles left to share.
+        pairs = pairs.filter(100 * F.col("size") >= self.percent * F.col("other_size"))
+        most = F.least("left", "other_left")
+        pairs = pairs.filter((100 + self.percent) * most >= self.percent * (F.col("size") + F.col("other_size")))
+        self.confirm(pairs.select(F.least("node", "other").alias("centre"), F.greatest("node", "other").alias("node")))
+        return buckets.withColumn("small", F.col("small") & ~F.col("is_centre")).drop("open", "is_centre")
 
 
 def _key(text: str):
@@ -193,13 +216,14 @@ def _nodes(documents: DataFrame, text: str, percent: int) -> DataFrame:
 
     # One star for each bucket. What stays apart in a bucket without its centre goes on to exact buckets.
     found = _Found(sets, percent)
-    members = found.stars(members, 1)
-    rest = _apart(members, found.labels)
-    if not rest.isEmpty():
-        buckets, centres = materialize(_prefixes(sets.join(rest.select("node").distinct(), "node", "left_semi"), percent), "prefixes"), 1
-        while not buckets.isEmpty():
-            buckets = found.stars(buckets, centres)
-            buckets, centres = materialize(_apart(buckets, found.labels), "apart"), 2 * centres
+    members = found.stars(members)
+    rest = _apart(members, found.labels).select("node").distinct()
+    buckets, centres = _prefixes(sets.join(rest, "node", "left_semi"), percent), 4
+    while True:
+        buckets = materialize(found.open_buckets(buckets), "prefixes")
+        if buckets.isEmpty():
+            break
+        buckets, centres = found.prefix_stars(buckets, centres), 8 * centres
     labels = found.labels
     return _labelled(named.select("doc_id", "key", "n_shingles", "node"), labels)
 
