@@ -15,7 +15,7 @@ from tablescope.operators import automl, correlate, describe, profile, quality,
 from tablescope.operators.cells import cells, field_types
 from tablescope.operators.quantiles import exact_quantiles, quantile_columns
 from tablescope.session import scratch_path
-from tablescope.sources import delimited, files, packed, sinks
+from tablescope.sources import delimited, files, sinks
 from tablescope.streaming.profile import start_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,12 +513,26 @@ add(
 
 # --- quick profile -----------------------------------------------------------------------
 
-_QUICK = {"user_id": "CAST(user_id AS DOUBLE)", "value": "value", "amount": "CAST(user_id * 1000 AS DOUBLE)"}
+_QUICK = {"event_id": "CAST(event_id AS DOUBLE)", "user_id": "CAST(user_id AS DOUBLE)", "value": "value", "amount": "CAST(user_id * 1000 AS DOUBLE)"}
 _QUICK_CELLS = "cells AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {sql} AS num FROM events" for c, sql in _QUICK.items()
 ) + ")"
 
 
+# The types as SQL finds them in the first 200 rows.
+_QUICK_NAMES = ("event_id", "user_id", "event_type", "value", "amount", "ts")
+_QUICK_TYPES = (
+    f"first AS (SELECT * FROM {duck_source('raw_events')} ORDER BY event_id LIMIT 200), texts AS ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", nullif({duck.strip(f'CAST({c} AS VARCHAR)')}, '') AS cell FROM first"
+        for i, c in enumerate(_QUICK_NAMES, start=1)
+    )
+    + "), types AS (SELECT CAST(position AS INT) AS position, \"column\", CASE WHEN count(*) FILTER ("
+    f"regexp_full_match(replace(cell, ',', ''), '{duck.NUMBER}')) >= 0.8 * count(cell) AND count(cell) > 0 THEN 'number' ELSE 'string' END AS type "
+    "FROM texts GROUP BY 1, 2)"
+)
+
+
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "raw_events")
     return quick.lenient_frame(df, quick.number_names(quick.column_types(df, ["event_id"])))
@@ -527,8 +541,7 @@ def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 add(
     "quick_types",
     lambda spark, d: quick.column_types(table(spark, d, "raw_events"), ["event_id"]),
-    "SELECT * FROM (VALUES (1, 'user_id', 'number'), (2, 'event_type', 'string'), (3, 'value', 'number'), "
-    "(4, 'amount', 'number'), (5, 'ts', 'string')) t(position, \"column\", type)",
+    f"WITH {_QUICK_TYPES} SELECT * FROM types",
 )
 add(
     "quick_stats",
@@ -546,7 +559,8 @@ add(
     "SELECT * FROM ("
     + " UNION ALL ".join(
         f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, round(corr({_QUICK[b]}, {_QUICK[a]}) + 1e-9, 6) AS pearson_r, count(*) AS n FROM events"
-        for a, b in (("user_id", "value"), ("user_id", "amount"), ("value", "amount"))
+        for i, a in enumerate(_QUICK)
+        for b in list(_QUICK)[i + 1 :]
     )
     + ")",
 )
@@ -559,8 +573,8 @@ add(
 )
 add(
     "quick_shape",
-    lambda spark, d: quick.shape(table(spark, d, "raw_events"), ["user_id", "event_type", "value", "amount", "ts"]),
-    "SELECT count(*) AS \"rows\", CAST(5 AS BIGINT) AS columns FROM events",
+    lambda spark, d: quick.shape(table(spark, d, "raw_events"), table(spark, d, "raw_events").columns),
+    "SELECT count(*) AS \"rows\", CAST(6 AS BIGINT) AS columns FROM events",
 )
 add(
     "quick_head",
@@ -572,10 +586,16 @@ add(
 def _quick_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablescope.plans.quick import quick_profile
 
-    return quick_profile(table(spark, sf_dir, "raw_events"), ["event_id"]).document()
+    made = quick_profile(table(spark, sf_dir, "raw_events"), ["event_id"]).document()
+    form = "summary struct<rows: bigint, columns: bigint>, schema array<struct<position: int, column: string, type: string>>"
+    return made.selectExpr(f"from_json(document, '{form}') AS made").selectExpr("made.summary.*", "inline(made.schema)")
 
 
-add("quick_document", _quick_document)
+add(
+    "quick_document",
+    _quick_document,
+    f"WITH {_QUICK_TYPES} SELECT (SELECT count(*) FROM events) AS \"rows\", CAST(6 AS BIGINT) AS columns, position, \"column\", type FROM types",
+)
 
 
 # --- report and results ------------------------------------------------------------------
@@ -696,20 +716,79 @@ def _tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "customer.tsv")
     table(spark, sf_dir, "customer").write.options(header=True, sep="\t").csv(path)
     back = delimited.read_tsv(spark, path)
-    return back.selectExpr("bigint(c_custkey) AS c_custkey", "c_name", "double(c_acctbal) AS c_acctbal")
+    return back.selectExpr(
+        "bigint(c_custkey) AS c_custkey", "c_name", "int(c_nationkey) AS c_nationkey", "double(c_acctbal) AS c_acctbal", "c_mktsegment"
+    )
 
 
-add("tsv_roundtrip_customer", _tsv_roundtrip, "SELECT c_custkey, c_name, c_acctbal FROM customer")
+add("tsv_roundtrip_customer", _tsv_roundtrip, "SELECT * FROM customer")
 
 
 def _quick_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orders.txt")
     table(spark, sf_dir, "orders").write.options(header=True, sep="|").csv(path)
     back = delimited.read_quick(spark, path)
-    return back.selectExpr("bigint(o_orderkey) AS o_orderkey", "o_orderstatus", "double(o_totalprice) AS o_totalprice")
+    return back.selectExpr(
+        "bigint(o_orderkey) AS o_orderkey", "bigint(o_custkey) AS o_custkey", "o_orderstatus", "double(o_totalprice) AS o_totalprice",
+        "substring(o_orderdate, 1, 10) AS o_orderdate", "o_orderpriority",
+    )
+
+
+add(
+    "sniffed_roundtrip_orders",
+    _quick_roundtrip,
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders",
+)
+
+
+def _mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lines of objects, with lines between them that hold no object."""
+    path = scratch_path(spark, "customers.jsonl")
+    people = table(spark, sf_dir, "customer")
+    other = "CASE c_custkey % 4 WHEN 0 THEN '[{\"c_custkey\": 0}]' WHEN 1 THEN 'null' WHEN 2 THEN '' ELSE '{broken' END"
+    people.selectExpr("to_json(struct(*)) AS value").unionAll(people.selectExpr(other)).write.text(path)
+    back = files.read_jsonl(spark, path)
+    return back.selectExpr("c_custkey", "c_name", "int(c_nationkey) AS c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+add("jsonl_objects_customer", _mixed_lines, "SELECT * FROM customer")
+
+
+def _mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON documents, one list per nation, with other items among the objects."""
+    path = scratch_path(spark, "customers.json")
+    people = table(spark, sf_dir, "customer")
+    items = people.groupBy("c_nationkey").agg(F.collect_list(F.to_json(F.struct("*"))).alias("items"))
+    items.selectExpr("c_nationkey AS part", "concat('[5, ', concat_ws(',\\n ', items), ', \"x\", [1]]') AS value").repartition(
+        25, "part"
+    ).write.partitionBy("part").text(path)
+    back = files.read_json(spark, f"{path}/part=*")
+    return back.selectExpr("c_custkey", "c_name", "int(c_nationkey) AS c_nationkey", "c_acctbal", "c_mktsegment")
+
 
+add("json_objects_customer", _mixed_documents, "SELECT * FROM customer")
 
-add("sniffed_roundtrip_orders", _quick_roundtrip, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+
+def _clashing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file whose header repeats names, one of them in another case, and whose rows are ragged or blank."""
+    path = scratch_path(spark, "ragged.csv")
+    people = table(spark, sf_dir, "customer").selectExpr(
+        "CASE c_custkey % 3 WHEN 0 THEN concat_ws(',', c_custkey, c_name) WHEN 1 THEN concat_ws(',', c_custkey, c_name, c_nationkey) "
+        "ELSE concat_ws(',', c_custkey, c_name, c_nationkey, c_mktsegment) END AS value"
+    )
+    header = spark.range(1).selectExpr("'key,Name,name' AS value")
+    blank = table(spark, sf_dir, "nation").selectExpr("' , , ' AS value")
+    # A header per file: every file is one task's lines under the header.
+    header.unionAll(people).unionAll(blank).coalesce(1).write.text(path)
+    return delimited.read_csv(spark, path).selectExpr("bigint(key) AS key", "Name AS name", "name_2 AS nation", "column_4 AS segment")
+
+
+add(
+    "ragged_csv_customer",
+    _clashing_headers,
+    "SELECT c_custkey AS key, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS nation, "
+    "CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE '' END AS segment FROM customer",
+)
 
 
 def _jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -740,50 +819,6 @@ def _text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("text_roundtrip_customer", _text_roundtrip, "SELECT c_name FROM customer")
 
 
-def _packed(df: DataFrame, build) -> DataFrame:
-    """Files of at most 1,000 rows each, built from the rows by the tasks, whatever their keys."""
-    numbered = df.withColumn("part", F.expr("monotonically_increasing_id() DIV 1000"))
-    return numbered.groupBy("part").applyInPandas(build, "path string, content binary")
-
-
-def _zip_of(pdf):
-    import io
-    import zipfile
-
-    import pandas as pd
-
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as archive:
-        archive.writestr("a.txt", "not,this")
-        archive.writestr("rows.csv", pdf.drop(columns="part").to_csv(index=False))
-    return pd.DataFrame({"path": [f"{pdf['part'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
-
-
-def _sqlite_of(pdf):
-    import sqlite3
-
-    import pandas as pd
-
-    rows = pdf.drop(columns="part")
-    db = sqlite3.connect(":memory:")
-    db.execute(f"CREATE TABLE t ({', '.join(rows.columns)})")
-    db.executemany(f"INSERT INTO t VALUES ({', '.join('?' * len(rows.columns))})", rows.astype(object).values.tolist())
-    db.commit()
-    return pd.DataFrame({"path": [f"{pdf['part'].iloc[0]}.sqlite"], "content": [db.serialize()]})
-
-
-for _key, _build in (("zip", _zip_of), ("sqlite", _sqlite_of)):
-    add(
-        f"{_key}_roundtrip_orders",
-        (
-            lambda build: lambda spark, d: packed.records_to_columns(
-                packed.packed_rows(_packed(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), build))
-            ).selectExpr("bigint(o_orderkey) AS o_orderkey", "bigint(o_custkey) AS o_custkey", "o_orderpriority")
-        )(_build),
-        "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders",
-    )
-
-
 def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = {
         "customer": table(spark, sf_dir, "customer").selectExpr("c_name AS name", "c_acctbal AS balance", "c_mktsegment AS segment"),
@@ -798,7 +833,6 @@ add(
     "SELECT 'customer' AS __sheet__, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer "
     "UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier",
 )
-add("source_metadata", lambda spark, d: files.source_metadata(spark, d))
 
 
 # --- modelling ---------------------------------------------------------------------------

@@ -30,11 +30,11 @@ def column_types(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
     The rows are one top-k over string columns; ``position`` keeps the header order.
     """
-    names = [n for n in df.columns if n not in order_by]
+    names = df.columns
     first = df.orderBy(*[column_of(k) for k in order_by]).limit(TYPE_SAMPLE_ROWS)
     aggregates, entries = [], []
     for i, name in enumerate(names):
-        x = quoted(name)
+        x = f"CAST({quoted(name)} AS STRING)"
         text = f"nullif({V.strip_sql(x)}, '')"
         aggregates += [f"count({text}) AS filled{i}", f"count({_any_number_sql(x)}) AS hits{i}"]
         entries.append(
@@ -58,7 +58,7 @@ def number_names(types: DataFrame) -> list[str]:
 
 def lenient_frame(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The number columns as finite doubles."""
-    wide = df.selectExpr(*[f"{V.lenient_number_sql(quoted(n))} AS {quoted(n)}" for n in names])
+    wide = df.selectExpr(*[f"{V.lenient_number_sql(f'CAST({quoted(n)} AS STRING)')} AS {quoted(n)}" for n in names])
     return wide.selectExpr(*[f"{V.finite_sql(quoted(n))} AS {quoted(n)}" for n in names])
 
 

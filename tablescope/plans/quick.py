@@ -61,7 +61,7 @@ class QuickReport:
 
 def quick_profile(df: DataFrame, order_by: Sequence[str]) -> QuickReport:
     """Types from the first 200 rows in key order, statistics over all rows."""
-    names = [n for n in df.columns if n not in order_by]
+    names = df.columns
     types = quick.column_types(df, order_by)
     numbers = quick.number_names(types)
     frame = quick.lenient_frame(df, numbers) if numbers else None

@@ -7,7 +7,8 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tablescope.functions import values as V
 from tablescope.functions.values import quoted
@@ -20,20 +21,22 @@ _CORRUPT = "_record"
 
 
 def normalize_headers(names: Sequence[str | None]) -> list[str]:
-    """Trim names and the byte order mark, name blanks ``column_i``, number repeats ``_2``, ``_3``."""
-    used: Counter[str] = Counter()
-    out: list[str] = []
-    for index, raw in enumerate(names, start=1):
-        base = (raw or "").lstrip("\ufeff").strip() or f"column_{index}"
-        name = base
-        used[base] += 1
-        if used[base] > 1:
-            name = f"{base}_{used[base]}"
-        while name in out:
-            used[base] += 1
-            name = f"{base}_{used[base]}"
-        out.append(name)
-    return out
+    """Trim names and the byte order mark, name blanks ``column_i``, number repeats ``_2``, ``_3``.
+
+    Names that differ only in case are repeats: Spark would not tell them apart.
+    """
+    plain = [(name or "").strip("\ufeff \t\r\n").strip() or f"column_{i}" for i, name in enumerate(names, start=1)]
+    seen, taken = Counter(), set()
+    for place, name in enumerate(plain):
+        key = name.lower()
+        seen[key] += 1
+        numbered = name if seen[key] == 1 else f"{name}_{seen[key]}"
+        while numbered.lower() in taken:
+            seen[key] += 1
+            numbered = f"{name}_{seen[key]}"
+        taken.add(numbered.lower())
+        plain[place] = numbered
+    return plain
 
 
 def quick_headers(names: Sequence[str | None], width: int) -> list[str]:
@@ -135,8 +138,12 @@ def read_tsv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """Delimiter of the first 64 KiB; else the most frequent candidate; else a comma."""
-    lines = spark.read.text(path).selectExpr(f"substring(value, 1, {SNIFF_CHARS}) AS line").limit(1000).collect()
-    sample = "\n".join(r["line"] for r in lines)[:SNIFF_CHARS]
+    # Every line takes a character at least, so as many lines as characters are enough; a running length cuts them.
+    lines = spark.read.text(path).limit(SNIFF_CHARS).withColumn("place", F.monotonically_increasing_id())
+    before = F.sum(F.length("value") + 1).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    first = lines.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SNIFF_CHARS)
+    rows = first.selectExpr("place", f"substring(value, 1, {SNIFF_CHARS}) AS line").collect()
+    sample = "\n".join(r["line"] for r in sorted(rows))[:SNIFF_CHARS]
     try:
         return csv.Sniffer().sniff(sample, delimiters="".join(DELIMITERS)).delimiter
     except csv.Error:

@@ -10,30 +10,43 @@ from pyspark.sql import functions as F
 
 from tablescope.functions import values as V
 from tablescope.functions.values import quoted
+from tablescope.session import scratch_path
 
 _CORRUPT = "_unparsed"
 
 
-def _records(spark: SparkSession, path: str, whole_document: bool) -> DataFrame:
-    options = {"multiLine": whole_document, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    inferred = spark.read.options(**options).json(path)
+def _records(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """A table from texts that hold one object each; other texts are dropped.
+
+    The texts are written as lines, so objects are parsed and typed by Spark's own reader.
+    """
+    objects = records.where("ltrim(value) LIKE '{%'").select("value")
+    lines = scratch_path(spark, "objects")
+    objects.write.text(lines)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    inferred = spark.read.options(**options).json(lines)
     names = [n for n in inferred.columns if n != _CORRUPT]
-    if _CORRUPT not in inferred.columns:
+    if _CORRUPT not in inferred.columns and names:
         return inferred
     if not names:
         return spark.createDataFrame([], "column_1 string")
-    kept = spark.read.schema(inferred.schema).options(**options).json(path)
+    kept = spark.read.schema(inferred.schema).options(**options).json(lines)
     return kept.where(f"{quoted(_CORRUPT)} IS NULL").select(*[F.col(quoted(n)) for n in names])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A document holding one object or a list of objects; anything else is dropped."""
-    return _records(spark, path, whole_document=True)
+    """Documents that hold one object or a list; the objects of a list are rows, its other items are dropped."""
+    whole = spark.read.text(path, wholetext=True).selectExpr("trim(BOTH ' \t\r\n\ufeff' FROM value) AS value")
+    one_line = "regexp_replace(value, '[\\r\\n]', ' ')"  # raw line breaks stand between tokens only
+    items = whole.selectExpr(
+        f"explode(CASE WHEN value LIKE '[%' THEN from_json({one_line}, 'array<string>') ELSE array({one_line}) END) AS value"
+    )
+    return _records(spark, path, items)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One object per line; blank, malformed and non-object lines are dropped."""
-    return _records(spark, path, whole_document=False)
+    return _records(spark, path, spark.read.text(path))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -60,22 +73,30 @@ def source_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Any supported file, by name ending; unknown endings are read as CSV."""
+    """Any supported file, by name ending; unknown endings are read as CSV.
+
+    A ``.gz`` file is read by one task and its rows are dealt out again.
+    """
     from tablescope.sources.delimited import read_csv, read_tsv
-    from tablescope.sources.packed import read_packed
 
     lowered = path.lower().rstrip("/")
-    base = lowered.removesuffix(".gzip").removesuffix(".gz")
+    base = lowered.removesuffix(".gz")
     if fmt is None:
-        fmt = _ending_format(lowered)
-        if fmt == "gzip" and not lowered.endswith(".gzip"):
-            fmt = _ending_format(base)  # Spark's readers decompress .gz themselves
-    if fmt in ("zip", "tar", "gzip", "sqlite") or (lowered != base and fmt in ("parquet", "sqlite")):
-        return read_packed(spark, path)
-    if fmt == "excel":
-        raise ValueError("workbooks need a reader outside Spark; read the sheets yourself and use union_tagged")
+        fmt = _ending_format(base)
+    if fmt in _UNREAD or (lowered != base and fmt == "parquet"):
+        raise ValueError(f"{fmt} files are not read as they are: {_UNREAD.get(fmt, 'unpack the file first')}")
     readers = {"tsv": read_tsv, "json": read_json, "jsonl": read_jsonl, "parquet": read_parquet}
-    return readers.get(fmt, read_csv)(spark, path)
+    table = readers.get(fmt, read_csv)(spark, path)
+    return table.hint("rebalance") if lowered != base else table
+
+
+_UNREAD = {
+    "zip": "unpack the archive first",
+    "tar": "unpack the archive first",
+    "gzip": "name the file .gz",
+    "sqlite": "export the tables first",
+    "excel": "read the sheets yourself and use union_tagged",
+}
 
 
 def _ending_format(name: str) -> str:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,24 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 WAREHOUSE_FORMATS = {"snowflake": "snowflake", "bigquery": "bigquery", "redshift": "jdbc", "databricks": "jdbc"}
 
 
+#: What a query is made of: literals, quoted names and comments, which are left alone; casts; placeholders.
+_TOKENS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|::|:([A-Za-z_]\w*)", re.DOTALL)
+
+
 def _sql_literal(value: object) -> str:
     if value is None:
         return "NULL"
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
-    if isinstance(value, (int, float)):
+    if isinstance(value, int) or (isinstance(value, float) and math.isfinite(value)):
         return repr(value)
-    return "'" + str(value).replace("'", "''") + "'"
+    if not isinstance(value, (str, date)):  # a datetime is a date
+        raise ValueError(f"no SQL literal for a {type(value).__name__}")
+    text = str(value)
+    # Databases differ in what a backslash means in a literal, so there is no safe way to write one.
+    if "\\" in text or any(ord(c) < 32 or ord(c) == 127 for c in text):
+        raise ValueError("SQL params must not hold backslashes or control characters")
+    return "'" + text.replace("'", "''") + "'"
 
 
 def bind(query: str, params: Mapping[str, object] | None) -> str:
-    """Replace every ``:name`` that has a parameter by its SQL literal."""
+    """Replace every ``:name`` that has a parameter by its SQL literal, outside of literals, quoted names and comments."""
     if params is not None and not isinstance(params, Mapping):
         raise ValueError("SQL params must be a mapping")
-    known = params or {}
-    return re.sub(
-        r"(?<!:):([A-Za-z_]\w*)", lambda m: _sql_literal(known[m[1]]) if m[1] in known else m[0], query
-    )
+    known = {name: _sql_literal(value) for name, value in (params or {}).items()}
+    return _TOKENS.sub(lambda token: known.get(token[1], token[0]) if token[1] else token[0], query)
 
 
 def jdbc_options(
