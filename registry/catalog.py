@@ -911,18 +911,58 @@ add(
 
 
 def _classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _labelled_facts(spark, sf_dir)
-    return automl.candidate_table(automl.train(df, "quality"), df)
+    df = table(spark, sf_dir, "labelled")
+    return automl.candidate_table(automl.train(df, "quality", key=["doc_id"]), df)
 
 
 def _regress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return automl.train(table(spark, sf_dir, "part").drop("p_partkey", "p_name"), "p_retailprice").predictions
+    return automl.train(table(spark, sf_dir, "part"), "p_retailprice", key=["p_partkey"]).predictions
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return automl.cluster_sizes(automl.cluster(table(spark, sf_dir, "part").select("p_size", "p_retailprice")))
+    return automl.cluster_sizes(automl.cluster(table(spark, sf_dir, "part"), key=["p_partkey"]))
+
 
+def _split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows held out and learned from, of the two classes of quality and of every source."""
+    df = table(spark, sf_dir, "labelled")
+    parts = [df.where(f"{name} IS NOT NULL").selectExpr("doc_id", f"string({name}) AS target") for name in ("quality", "source")]
+    split = [automl.split_rows(part, True, ["doc_id"]) for part in parts]
+    return split[0].unionByName(split[1]).groupBy("target").agg(
+        F.count_if("held_out").alias("held_out"), F.count_if(~F.col("held_out")).alias("learned")
+    )
 
+
+_SPLIT_SQL = (
+    "(SELECT target, CASE WHEN n >= 100 THEN chance < 200000 ELSE place <= greatest(1, round(0.2 * n)) AND n > 1 END AS held FROM ("
+    "SELECT target, chance, count(*) OVER (PARTITION BY target) AS n, row_number() OVER (PARTITION BY target ORDER BY chance, doc_id) AS place "
+    "FROM (SELECT doc_id, CAST({c} AS VARCHAR) AS target, CAST(concat('0x', substr(md5(concat('42:', doc_id)), 1, 8)) AS BIGINT) % 1000000 AS chance "
+    "FROM {t} WHERE {c} IS NOT NULL)))"
+)
+add(
+    "split_counts",
+    _split_counts,
+    "SELECT target, count(*) FILTER (held) AS held_out, count(*) FILTER (NOT held) AS learned FROM ("
+    + " UNION ALL ".join("SELECT * FROM " + _SPLIT_SQL.format(c=c, t=duck_source("labelled")) for c in ("quality", "source"))
+    + ") GROUP BY 1",
+)
+add(
+    "classification_scores",
+    lambda spark, d: rounded(
+        automl.classification_metrics(table(spark, d, "labelled").where("quality IS NOT NULL").selectExpr("quality AS label", "toxic AS prediction"))
+    ),
+    "WITH p AS (SELECT quality AS label, toxic AS prediction FROM labels), classes AS (SELECT DISTINCT label AS class FROM p UNION SELECT prediction FROM p), "
+    "f AS (SELECT 2 * count(*) FILTER (label = class AND prediction = class) / (count(*) FILTER (label = class) + count(*) FILTER (prediction = class)) AS f1 "
+    f"FROM p, classes GROUP BY class) SELECT {r('(SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0 END) FROM p) AS accuracy', 'avg(f1) AS f1_macro')} FROM f",
+)
+add(
+    "regression_scores",
+    lambda spark, d: rounded(
+        automl.regression_metrics(table(spark, d, "part").selectExpr("p_retailprice AS label", "p_retailprice * 0.9D + p_size AS prediction"))
+    ),
+    "WITH p AS (SELECT p_retailprice AS label, p_retailprice * 0.9::DOUBLE + p_size AS prediction FROM part), m AS (SELECT avg(label) AS mean FROM p) "
+    + f"SELECT {r('1 - sum((label - prediction) ** 2) / sum((label - mean) ** 2) AS r2', 'sqrt(avg((label - prediction) ** 2)) AS rmse', 'avg(abs(label - prediction)) AS mae')} FROM p, m",
+)
 add("automl_classify", _classify)
 add("automl_regress", _regress)
 add("cluster_sweep", _clusters)

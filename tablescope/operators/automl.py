@@ -18,7 +18,6 @@ from pyspark.ml.feature import (
     FeatureHasher,
     Imputer,
     IndexToString,
-    OneHotEncoder,
     StandardScaler,
     StringIndexer,
     StringIndexerModel,
@@ -26,7 +25,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +33,7 @@ from tablescope.functions import values as V
 from tablescope.functions.values import quoted
 from tablescope.operators.cells import column_of, field_types, typed_columns
 from tablescope.operators.profile import distinct_counts, kind_counts
+from tablescope.session import materialize
 
 # Fixed values of target choice and model selection.
 TARGET_HINTS = ("target", "label", "y", "class", "outcome", "response", "default", "churn")
@@ -48,14 +48,10 @@ SEED = 42
 TREES = 200
 LOGISTIC_ITERATIONS = 500
 
-# Categories up to this many are one-hot encoded; richer columns are hashed, so that no list of
-# categories grows with the data. More classes than MAX_CLASSES are not modelled.
-ONE_HOT_LIMIT = 100
-HASH_FEATURES = 256
-MAX_CLASSES = 1000
-
-# Training rows a task should have at least.
-ROWS_PER_TASK = 20_000
+# Categories are hashed into this many columns, unless the caller says otherwise.
+HASH_FEATURES = 1024
+# Classes with fewer rows than this are split by rank, larger ones by hash alone.
+RANKED_CLASS = 100
 
 
 @dataclass
@@ -145,11 +141,17 @@ def number_distribution(stats: DataFrame, quantiles: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(median), "column").select("column", "min", "max", "mean", "median")
 
 
-def model_frame(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], target: str, as_number: bool) -> DataFrame:
-    """Columns ``n0..`` as doubles, ``c0..`` as strings and the target, rows with target and some feature only."""
+def model_frame(
+    df: DataFrame, numbers: Sequence[str], categories: Sequence[str], target: str, as_number: bool, key: Sequence[str] = ()
+) -> DataFrame:
+    """Columns ``n0..`` as doubles, ``c0..`` as strings, the target and the key, rows with target and some feature only.
+
+    The frame is written, and ``row_id`` numbers its rows there, so that every later step
+    sees a row under the same number.
+    """
     names = [*numbers, *categories, target]
-    wide = typed_columns(df, names, (), ("kind", "text", "num"))
-    out = []
+    wide = typed_columns(df, names, key, ("kind", "text", "num"))
+    out = [quoted(k) for k in key]
     for i, name in enumerate(names):
         flag = f"WHEN kind{i} = 'boolean' THEN CASE text{i} WHEN 'true' THEN 1D ELSE 0D END"
         number = f"CASE {flag} ELSE num{i} END"
@@ -161,15 +163,15 @@ def model_frame(df: DataFrame, numbers: Sequence[str], categories: Sequence[str]
             out.append(f"{number} AS target" if as_number else f"text{i} AS target")
     features = [f"n{i}" for i in range(len(numbers))] + [f"c{i}" for i in range(len(categories))]
     some = " OR ".join(f"{f} IS NOT NULL" for f in features)
-    return wide.selectExpr(*out).where(f"target IS NOT NULL AND ({some})")
+    rows = wide.selectExpr(*out).where(f"target IS NOT NULL AND ({some})")
+    return materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows")
 
 
-def preprocessing(numbers: int, categories: Sequence[int]) -> list:
+def preprocessing(numbers: int, categories: int, hash_features: int = HASH_FEATURES) -> list:
     """Stages to a ``features`` vector.
 
-    Numbers: median for missing values, then standard scores. Categories: the most frequent
-    value for missing ones and one-hot columns, or hashed columns where there are many.
-    ``categories`` holds the distinct values of each category column.
+    Numbers: median for missing values, then standard scores. Categories: one column for
+    each value, by its hash, so no list of categories grows with the data.
     """
     stages, parts = [], []
     if numbers:
@@ -180,41 +182,40 @@ def preprocessing(numbers: int, categories: Sequence[int]) -> list:
             StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True),
         ]
         parts.append("scaled")
-    few = [i for i, d in enumerate(categories) if d <= ONE_HOT_LIMIT]
-    many = [i for i, d in enumerate(categories) if d > ONE_HOT_LIMIT]
-    if few:
-        stages += [
-            StringIndexer(
-                inputCols=[f"c{i}" for i in few], outputCols=[f"index{i}" for i in few], handleInvalid="keep"
-            ),
-            OneHotEncoder(
-                inputCols=[f"index{i}" for i in few],
-                outputCols=[f"onehot{i}" for i in few],
-                dropLast=False,
-                handleInvalid="keep",
-            ),
-        ]
-        parts += [f"onehot{i}" for i in few]
-    if many:
-        stages.append(FeatureHasher(inputCols=[f"c{i}" for i in many], outputCol="hashed", numFeatures=HASH_FEATURES))
+    if categories:
+        stages.append(FeatureHasher(inputCols=[f"c{i}" for i in range(categories)], outputCol="hashed", numFeatures=hash_features))
         parts.append("hashed")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 
 
-def fill_categories(frame: DataFrame, categories: Sequence[int]) -> DataFrame:
-    """Missing categories take the column's most frequent value (one short row of modes)."""
-    few = [i for i, d in enumerate(categories) if d <= ONE_HOT_LIMIT]
-    if not few:
-        return frame
-    modes = frame.selectExpr(*[f"mode(c{i}, true) AS c{i}" for i in few]).first()
-    return frame.na.fill({f"c{i}": modes[f"c{i}"] for i in few if modes[f"c{i}"] is not None})
+def category_modes(frame: DataFrame, categories: int) -> dict[str, str]:
+    """The most frequent value of each category column (one short row)."""
+    if not categories:
+        return {}
+    modes = frame.selectExpr(*[f"mode(c{i}, true) AS c{i}" for i in range(categories)]).first()
+    return {name: mode for name, mode in modes.asDict().items() if mode is not None}
 
 
-def split_rows(ready: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows by a hash of their raw columns: repeatable, no shuffle, every class split alike."""
-    bucket = F.pmod(F.xxhash64(F.lit(SEED), *[column_of(c) for c in columns]), F.lit(10_000))
-    limit = int(VALIDATION_SHARE * 10_000)
-    return ready.where(bucket >= limit), ready.where(bucket < limit)
+def split_rows(frame: DataFrame, by_class: bool, key: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+    """``frame`` (target and ``key``, or row_id) with ``held_out``: a fifth of the rows, and of every class.
+
+    Rows are chosen by a hash of their key or number, whatever features they hold. Of a small class
+    the rows with the smallest hashes are held out, a fifth of them and at least one row if it has
+    two or more; a large class is split by the hash alone, so no class is sorted as a whole.
+    """
+    named_by = list(key) or ["row_id"]
+    text = F.concat_ws(":", F.lit(str(seed)), *[column_of(k).cast("string") for k in named_by])
+    chance = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 1_000_000
+    limit = int(VALIDATION_SHARE * 1_000_000)
+    if not by_class:
+        return frame.withColumn("held_out", chance < limit)
+    sizes = frame.groupBy("target").agg(F.count("*").alias("class_rows"))
+    marked = frame.join(sizes, "target").withColumn("chance", chance)
+    large = marked.where(F.col("class_rows") >= RANKED_CLASS).withColumn("held_out", F.col("chance") < limit)
+    order = Window.partitionBy("target").orderBy("chance", *[column_of(k) for k in named_by])
+    held = F.when(F.col("class_rows") < 2, 0).otherwise(F.greatest(F.lit(1), F.round(VALIDATION_SHARE * F.col("class_rows"))))
+    small = marked.where(F.col("class_rows") < RANKED_CLASS).withColumn("held_out", F.row_number().over(order) <= held)
+    return large.unionByName(small).drop("class_rows", "chance")
 
 
 def classification_metrics(predicted: DataFrame) -> DataFrame:
@@ -240,7 +241,8 @@ def regression_metrics(predicted: DataFrame) -> DataFrame:
     )
 
 
-def candidate_models(problem: str, classes: int) -> dict[str, object]:
+def candidate_models(problem: str, classes: int, boosted_classes: int) -> dict[str, object]:
+    """The estimators by name; None for one that is not tried."""
     if problem == "regression":
         return {
             "random_forest_regressor": RandomForestRegressor(numTrees=TREES, seed=SEED),
@@ -250,13 +252,15 @@ def candidate_models(problem: str, classes: int) -> dict[str, object]:
     boosting = GBTClassifier(seed=SEED)
     return {
         "random_forest_classifier": RandomForestClassifier(numTrees=TREES, seed=SEED),
-        "gradient_boosting_classifier": boosting if classes <= 2 else OneVsRest(classifier=boosting),
+        "gradient_boosting_classifier": boosting if classes <= 2 else OneVsRest(classifier=boosting) if classes <= boosted_classes else None,
         "logistic_regression": LogisticRegression(maxIter=LOGISTIC_ITERATIONS),
     }
 
 
 def _evaluate(name: str, estimator, train: DataFrame, valid: DataFrame, problem: str) -> dict:
     """Fit one candidate; an error is recorded, not raised."""
+    if estimator is None:
+        return {"name": name, "status": "skipped", "metrics": {}, "message": "more classes than boosted_classes"}
     try:
         predicted = estimator.fit(train).transform(valid).select("label", "prediction")
         metrics = (classification_metrics if problem == "classification" else regression_metrics)(predicted)
@@ -269,12 +273,29 @@ def _skipped(message: str, **known) -> ModelReport:
     return ModelReport("skipped", message, **known)
 
 
-def train(df: DataFrame, target: str | None = None) -> ModelReport:
-    """Choose a target, compare three models on held-out rows, refit the best on all rows."""
+def train(
+    df: DataFrame,
+    target: str | None = None,
+    key: Sequence[str] = (),
+    hash_features: int = HASH_FEATURES,
+    fit_rows: int | None = None,
+    max_classes: int = 1000,
+    boosted_classes: int = 20,
+) -> ModelReport:
+    """Choose a target, compare three models on held-out rows, refit the best on all rows.
+
+    ``key`` names columns that identify a row; they are no features and come with the
+    predictions, with ``row_id``. ``fit_rows`` bounds, about, the rows that models are fitted
+    on, chosen by hash; counts, held-out rows and predictions still cover all. A target
+    with more than ``max_classes`` classes is not modelled, and one with more than
+    ``boosted_classes`` is not boosted, which takes a fit for each class.
+
+    A failure of any step is reported in the status and never raised.
+    """
     counts = kind_counts(df)
-    names = usable_columns(df, counts)
+    names = [n for n in usable_columns(df, counts) if n not in key]
     if not names:
-        return _skipped("All columns were excluded from automated modeling after sanitisation.")
+        return _skipped("No column is left to model after those without values were taken out.")
     distinct = distinct_counts(df, names)
     target = target or choose_target(names, target_scores(counts, distinct))
     if target is None:
@@ -285,72 +306,89 @@ def train(df: DataFrame, target: str | None = None) -> ModelReport:
         .selectExpr("column", "distinct", f"{promoted_sql()} AS promoted", f"{problem_type_sql()} AS problem")
         .collect()
     }
+    if target not in facts:
+        return _skipped("The target has no values.", target=target)
     features = [n for n in names if n != target]
     if not features:
-        return _skipped("Automated modeling needs at least one informative feature column.", target=target)
+        return _skipped("No feature is left beside the target.", target=target)
     problem = facts[target]["problem"]
-    if problem == "classification" and facts[target]["distinct"] > MAX_CLASSES:
-        return _skipped("The target has too many classes to be modelled.", target=target, problem_type=problem)
-
-    numbers = [n for n in features if facts[n]["promoted"]]
-    categories = [n for n in features if not facts[n]["promoted"]]
-    sizes = [facts[n]["distinct"] for n in categories]
-    raw = model_frame(df, numbers, categories, target, as_number=problem == "regression")
-    cached = fill_categories(raw, sizes).persist()
+    known = dict(target=target, problem_type=problem)
+    if problem == "classification" and facts[target]["distinct"] > max_classes:
+        return _skipped("The target has too many classes to be modelled.", **known)
     try:
-        rows = cached.count()
-        frame = packed_rows(cached, rows)
-        if rows < LEAST_ROWS:
-            message = "At least 20 rows with usable features and targets are required for automated modeling."
-            return _skipped(message, target=target, problem_type=problem, rows_used=rows)
-
-        stages = preprocessing(len(numbers), sizes)
-        if problem == "classification":
-            stages.append(StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc"))
-        prepared = Pipeline(stages=stages).fit(frame)
-        ready = prepared.transform(frame)
-        if problem == "regression":
-            ready = ready.withColumn("label", F.col("target"))
-        train_rows, valid_rows = (part.select("features", "label") for part in split_rows(ready, frame.columns))
-        train_rows, valid_rows = train_rows.persist(), valid_rows.persist()
-
-        models = candidate_models(problem, facts[target]["distinct"])
-        tried = [_evaluate(n, m, train_rows, valid_rows, problem) for n, m in models.items()]
-        score = "accuracy" if problem == "classification" else "r2"
-        scored = [c for c in tried if c["metrics"].get(score) is not None]
-        train_rows.unpersist()
-        valid_rows.unpersist()
-        known = dict(
-            target=target, problem_type=problem, rows_used=rows, features=features, candidates=tried,
-            feature_stats=feature_stats(df, features),
-        )
-        if not scored:
-            return ModelReport("failed", "All automated modeling attempts failed.", **known)
-        best = max(scored, key=lambda c: c["metrics"][score])["name"]
-        fitted = models[best].fit(ready.select("features", "label"))
-        model = PipelineModel([*prepared.stages, fitted])
-        return ModelReport(
-            "succeeded", "Automated model selection completed successfully.", best=best, model=model,
-            predictions=predictions(model, fill_categories(raw, sizes), problem), **known,
-        )
-    finally:
-        cached.unpersist()
-
-
-def packed_rows(frame: DataFrame, rows: int) -> DataFrame:
-    """Fewer partitions for few rows: iterative training pays for every task of every round."""
-    return frame.coalesce(rows // ROWS_PER_TASK + 1)
+        return _compared(df, features, facts, key, hash_features, fit_rows, boosted_classes, known)
+    except Exception as error:  # noqa: BLE001 - a profile goes on without its models
+        return ModelReport("failed", f"Modelling stopped: {str(error).splitlines()[0]}", **known)
 
 
-def predictions(model: PipelineModel, frame: DataFrame, problem: str) -> DataFrame:
-    """row_id, prediction, actual and, for classes, one ``prob_<class>`` column each."""
-    out = model.transform(frame).withColumn("row_id", F.monotonically_increasing_id())
+def _compared(df, features, facts, key, hash_features, fit_rows, boosted_classes, known) -> ModelReport:
+    target, problem = known["target"], known["problem_type"]
+    by_class = problem == "classification"
+    numbers = [n for n in features if facts[n]["promoted"]]
+    categories = [n for n in features if not facts[n]["promoted"]]
+    frame = model_frame(df, numbers, categories, target, not by_class, key)
+    rows = frame.count()
+    known = known | dict(rows_used=rows, features=features)
+    if rows < LEAST_ROWS:
+        return _skipped(f"Fewer than {LEAST_ROWS} rows hold a target and a feature.", **known)
+
+    split = materialize(split_rows(frame, by_class, key), "split")
+    learned = split.where("NOT held_out")
+    if by_class:
+        seen = split.groupBy("target").agg(F.count_if(~F.col("held_out")).alias("n")).selectExpr("count_if(n = 0) AS unseen", "count(1) AS n").first()
+        if seen["unseen"] or seen["n"] < 2:
+            return ModelReport("failed", "Training rows must hold every class, and two at least.", **known)
+    if fit_rows is not None:
+        share = int(1_000_000 * min(1.0, fit_rows / rows))
+        bounded = F.pmod(F.xxhash64(F.lit(SEED + 1), "row_id"), F.lit(1_000_000)) < share
+        learned, everything = learned.where(bounded), split.where(bounded)
+    else:
+        everything = split
+    # Class numbers cover all rows; they say nothing about features.
+    label = [StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc").fit(split)] if by_class else []
+
+    def prepared(part: DataFrame) -> tuple[dict, list]:
+        """Modes and fitted stages from these rows alone."""
+        modes = category_modes(part, len(categories))
+        stages = Pipeline(stages=preprocessing(len(numbers), len(categories), hash_features)).fit(part.na.fill(modes)).stages
+        return modes, [*stages, *label]
+
+    def ready(part: DataFrame, modes: dict, stages: list) -> DataFrame:
+        out = PipelineModel(stages).transform(part.na.fill(modes))
+        return (out if by_class else out.withColumn("label", F.col("target"))).select("features", "label")
+
+    modes, stages = prepared(learned)
+    fitted_on, judged_on = ready(learned, modes, stages).persist(), ready(split.where("held_out"), modes, stages).persist()
+    models = candidate_models(problem, facts[target]["distinct"], boosted_classes)
+    tried = [_evaluate(n, m, fitted_on, judged_on, problem) for n, m in models.items()]
+    fitted_on.unpersist()
+    judged_on.unpersist()
+    score = "accuracy" if by_class else "r2"
+    scored = [c for c in tried if c["metrics"].get(score) is not None]
+    known = known | dict(candidates=tried, feature_stats=feature_stats(df, features))
+    if not scored:
+        return ModelReport("failed", "No candidate could be fitted and judged.", **known)
+    best = max(scored, key=lambda c: c["metrics"][score])["name"]
+    if by_class and max(c["metrics"][score] for c in scored) == 0:
+        return ModelReport("failed", "No candidate told any held-out row's class.", **known)
+    modes, stages = prepared(everything)
+    model = PipelineModel([*stages, models[best].fit(ready(everything, modes, stages))])
+    return ModelReport(
+        "succeeded", "The best of the candidates was fitted to all rows.", best=best, model=model,
+        predictions=predictions(model, frame.na.fill(modes), problem, key), **known,
+    )
+
+
+def predictions(model: PipelineModel, frame: DataFrame, problem: str, key: Sequence[str] = ()) -> DataFrame:
+    """The key, row_id, prediction, actual and, for classes, one ``prob_<class>`` column each."""
+    out = model.transform(frame)
+    named_by = [column_of(k) for k in key] + [F.col("row_id")]
     if problem == "regression":
-        return out.selectExpr("row_id", "prediction", "target AS actual")
+        return out.select(*named_by, "prediction", F.col("target").alias("actual"))
     indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
     labels = next(s.labels for s in indexers if s.isSet("outputCol") and s.getOutputCol() == "label")
     named = IndexToString(inputCol="prediction", outputCol="named", labels=labels).transform(out)
-    columns = [F.col("row_id"), F.col("named").alias("prediction"), F.col("target").alias("actual")]
+    columns = [*named_by, F.col("named").alias("prediction"), F.col("target").alias("actual")]
     if "probability" in named.columns:
         chances = vector_to_array("probability")
         columns += [chances[i].alias(f"prob_{label}") for i, label in enumerate(labels)]
@@ -368,10 +406,12 @@ def candidate_table(report: ModelReport, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def cluster(df: DataFrame, columns: Sequence[str] | None = None) -> ModelReport:
+def cluster(
+    df: DataFrame, columns: Sequence[str] | None = None, key: Sequence[str] = (), hash_features: int = HASH_FEATURES
+) -> ModelReport:
     """K-means for two to six clusters; the best silhouette wins. Constant columns are left out."""
     counts = kind_counts(df)
-    names = [n for n in usable_columns(df, counts) if columns is None or n in columns]
+    names = [n for n in usable_columns(df, counts) if n not in key and (columns is None or n in columns)]
     facts = {
         r["column"]: r
         for r in counts.join(F.broadcast(distinct_counts(df, names)), "column")
@@ -380,20 +420,18 @@ def cluster(df: DataFrame, columns: Sequence[str] | None = None) -> ModelReport:
         .collect()
     } if names else {}
     if not facts:
-        return _skipped("Clustering requires at least one informative feature column.")
+        return _skipped("No column with different values is left to cluster by.")
     features = sorted(facts)
     numbers = [n for n in features if facts[n]["promoted"]]
     categories = [n for n in features if not facts[n]["promoted"]]
-    sizes = [facts[n]["distinct"] for n in categories]
-    raw = model_frame(df.withColumn("_every", F.lit("1")), numbers, categories, "_every", as_number=False).drop("target")
-    frame = fill_categories(raw, sizes)
-    prepared = Pipeline(stages=preprocessing(len(numbers), sizes)).fit(frame)
-    cached = prepared.transform(frame).select("features").persist()
+    frame = model_frame(df.withColumn("_every", F.lit("1")), numbers, categories, "_every", as_number=False, key=key).drop("target")
+    rows = frame.count()
+    if rows < LEAST_CLUSTER_ROWS:
+        return _skipped(f"Fewer than {LEAST_CLUSTER_ROWS} rows hold a feature.", rows_used=rows)
+    frame = frame.na.fill(category_modes(frame, len(categories)))
+    prepared = Pipeline(stages=preprocessing(len(numbers), len(categories), hash_features)).fit(frame)
+    points = prepared.transform(frame).select("features").persist()
     try:
-        rows = cached.count()
-        points = packed_rows(cached, rows)
-        if rows < LEAST_CLUSTER_ROWS:
-            return _skipped("At least 10 rows with usable features are required for clustering previews.", rows_used=rows)
         tried, fitted = [], {}
         judge = ClusteringEvaluator()
         for k in range(2, min(MOST_CLUSTERS, rows - 1) + 1):
@@ -412,16 +450,16 @@ def cluster(df: DataFrame, columns: Sequence[str] | None = None) -> ModelReport:
         known = dict(problem_type="clustering", rows_used=rows, features=features, candidates=tried)
         scored = [c for c in tried if c["metrics"]]
         if not scored:
-            return ModelReport("failed", "All clustering attempts failed.", **known)
+            return ModelReport("failed", "No number of clusters could be fitted and judged.", **known)
         best = max(scored, key=lambda c: c["metrics"]["silhouette"])["name"]
         model = PipelineModel([*prepared.stages, fitted[best]])
-        assigned = model.transform(frame).selectExpr("monotonically_increasing_id() AS row_id", "prediction AS cluster")
+        assigned = model.transform(frame).select(*[column_of(k) for k in key], "row_id", F.col("prediction").alias("cluster"))
         return ModelReport(
-            "succeeded", "Automated clustering preview completed successfully.", best=best, model=model,
+            "succeeded", "The number of clusters with the best silhouette was kept.", best=best, model=model,
             predictions=assigned, feature_stats=feature_stats(df, features), **known,
         )
     finally:
-        cached.unpersist()
+        points.unpersist()
 
 
 def cluster_sizes(report: ModelReport) -> DataFrame:

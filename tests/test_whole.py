@@ -46,15 +46,15 @@ def test_lazy_and_settled_profiles_agree(spark):
 def test_quick_report(spark, tmp_path):
     df = strings(spark, n=["1", "2", "3"], a=["1", "2", "3,000"], b=["2", "3", "x"])
     report = quick_profile(df, ["n"])
-    assert {r["column"]: r["type"] for r in report.types.collect()} == {"a": "number", "b": "string"}
-    assert rows(report.shape) == [(3, 2)] and rows(report.checks) == [("non_empty", "pass")]
+    assert {r["column"]: r["type"] for r in report.types.collect()} == {"n": "number", "a": "number", "b": "string"}
+    assert rows(report.shape) == [(3, 3)] and rows(report.checks) == [("non_empty", "pass")]
     assert by(report.stats)["a"]["max"] == 3000
-    assert json.loads(report.document().first()[0])["summary"] == {"rows": 3, "columns": 2}
+    assert json.loads(report.document().first()[0])["summary"] == {"rows": 3, "columns": 3}
     path = str(tmp_path / "quick")
     entries = dict(rows(report.write(path)))
     assert len(entries) == 6 and entries["results/correlations.csv"] == "text/csv"
-    assert spark.read.text(f"{path}/results/report.txt").first()[0] == "Rows: 3, columns: 2"
-    assert delimited.read_csv(spark, f"{path}/results/descriptive_stats.csv").count() == 1
+    assert spark.read.text(f"{path}/results/report.txt").first()[0] == "Rows: 3, columns: 3"
+    assert delimited.read_csv(spark, f"{path}/results/descriptive_stats.csv").count() == 2
 
 
 def test_metrics_take_the_source_size(spark, tmp_path):
@@ -98,6 +98,30 @@ def test_classification_with_missing_and_rich_categories(spark, monkeypatch):
     assert {"row_id", "prediction", "actual"} <= set(report.predictions.columns)
 
 
+def test_equal_rows_are_split_and_chance_is_no_success(spark, monkeypatch):
+    monkeypatch.setattr(automl, "TREES", 3)
+    monkeypatch.setattr(automl, "LOGISTIC_ITERATIONS", 5)
+    for m in (2, 3, 4, 5):
+        df = spark.range(400).selectExpr("id", "id % 2 AS label", f"id % {m} AS feature")
+        split = automl.split_rows(df.selectExpr("id AS row_id", "label AS target"), True).groupBy("target", "held_out").count().collect()
+        assert len(split) == 4 and all(20 <= r["count"] <= 60 for r in split if r["held_out"])
+        report = automl.train(df, "label", key=["id"])
+        best = [c["metrics"]["accuracy"] for c in report.candidates if c["metrics"]]
+        assert report.status == "failed" or max(best) > 0.3
+        if m in (2, 4):  # the feature tells the class
+            assert report.status == "succeeded" and max(best) == 1
+            assert sorted(r["id"] for r in report.predictions.collect()) == list(range(400))
+
+
+def test_modelling_failures_are_statuses(spark, monkeypatch):
+    one = spark.range(40).selectExpr("id", "CASE WHEN id = 3 THEN 'rare' ELSE concat('c', id % 2) END AS label", "id % 5 AS x")
+    assert automl.train(one, "label", key=["id"]).status in ("succeeded", "failed")
+    assert automl.train(one.selectExpr("id", "string(null) AS label", "x"), "label", key=["id"]).status == "skipped"
+    monkeypatch.setattr(automl, "preprocessing", lambda *a: 1 / 0)
+    stopped = automl.train(one, "label", key=["id"])
+    assert stopped.status == "failed" and "division" in stopped.message
+
+
 def test_clusters(spark):
     df = spark.range(90).selectExpr("(id % 3) * 100 + rand(3) AS x", "(id % 3) * -50 + rand(4) AS y", "1 AS same")
     report = automl.cluster(df)
