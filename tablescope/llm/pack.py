@@ -29,7 +29,7 @@ SEQUENCE = 2048
 #: The longest piece that is dealt; a sequence then holds enough pieces to come out even.
 PIECE = 512
 #: Tokens of pieces in a block, about, and so the work of one group.
-BLOCK_TOKENS = 256 * SEQUENCE
+BLOCK_TOKENS = 128 * SEQUENCE
 #: Pieces of text whose token ids a task remembers.
 REMEMBERED = 1_500_000
 #: Marks that may follow a word.
@@ -96,6 +96,7 @@ class Encoder:
         # A worker process runs many tasks: what one has learned serves the next.
         kept = sys.modules.setdefault("tablescope_parts", types.ModuleType("tablescope_parts"))
         self.known: dict[str, bytes] = kept.__dict__.setdefault(path, {})
+        self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str], letters: bool = False) -> list[bytes]:
         encode = (self.letters if letters else self.tokenizer).encode_batch_fast
@@ -110,33 +111,32 @@ class Encoder:
         """
         if len(self.known) + len(parts) > REMEMBERED:
             self.known.clear()
-        new = [part for part in parts if part not in self.known]
-        words, other = {}, []
-        for part in new:
-            text = part[1:] if part[:1] == "\n" else " " + part
+        plain, words, cores, tails, other = [], [], [], [], []
+        for part in parts.difference(self.known):
+            breaks = part[:1] == "\n"
+            text = part[1:] if breaks else part
             core = text.rstrip(MARKS)
-            if (part if text[:1] == " " else text).rstrip(MARKS).isalpha() and max(core) < "\u0250":
-                words[part] = core, text[len(core) :]
-            elif len(part.split()) == 1 and part.strip() == part.lstrip("\n") and part.find("\n", 1) < 0:
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                words.append(part)
+                plain.append(breaks)
+                cores.append(core if breaks else " " + core)
+                tails.append(text[len(core) :])
+            elif text and len(text.split()) == 1 and text == text.strip():
                 other.append(part)
-        cores = list({core for core, _ in words.values()})
-        ids = dict(zip(cores, self._ids(cores, letters=True)))
-        marks = list({tail for _, tail in words.values()})
-        ends = dict(zip(marks, self._ids(marks)))
-        line = self._ids(["\n"])[0]
-        self.known.update((part, (line if part[0] == "\n" else b"") + ids[core] + ends[tail]) for part, (core, tail) in words.items())
+        distinct, marks = list(set(cores)), list(set(tails))
+        ids, ends = dict(zip(distinct, self._ids(distinct, letters=True))), dict(zip(marks, self._ids(marks)))
+        for part, breaks, core, tail in zip(words, plain, cores, tails):
+            self.known[part] = (self.line if breaks else b"") + ids[core] + ends[tail]
         self.known.update(zip(other, self._ids([p if p[0] == "\n" else " " + p for p in other])))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, without an end."""
-        cut = [text.replace("\n", " \n").split(" ") for text in texts]
-        self._learn({part for parts in cut for part in parts[1:]})
-        firsts = self._ids([parts[0] for parts in cut])
-        for text, parts, first in zip(texts, cut, firsts):
+        # With a line break before it, a text's first word is a part like any other line's.
+        cut = [f" \n{text}".replace("\n", " \n").split(" ")[2:] for text in texts]
+        self._learn(set().union(*cut))
+        for text, parts in zip(texts, cut):
             try:
-                if len(parts[0].split()) != 1 or parts[0].strip() != parts[0]:
-                    raise KeyError
-                yield first + b"".join(map(self.known.__getitem__, parts[1:]))
+                yield b"".join(map(self.known.__getitem__, parts))[len(self.line) :]
             except KeyError:
                 yield self._ids([text])[0]
 
