@@ -411,7 +411,7 @@ for _name in ("lineitem", "labelled"):
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
-    ranking = describe.numeric_ranking(profile.moments(df), describe.MAX_HEATMAP_COLUMNS)
+    ranking = describe.numeric_ranking(profile.moments(df), 10)
     return rounded(correlate.correlation_matrix(correlate.all_correlations(df), ranking))
 
 
@@ -503,7 +503,7 @@ add(
     "scatter_points_labelled",
     _scatter,
     f"WITH {duck.pairs('labelled', ['doc_id', 'n_chars', 'quality', 'toxic'])}, best AS (SELECT * FROM pairs "
-    "ORDER BY abs(r) DESC, \"left\", \"right\" LIMIT 3), sample AS (SELECT * FROM base ORDER BY doc_id LIMIT 500), "
+    "ORDER BY abs(r) DESC, \"left\", \"right\" LIMIT 3), sample AS (SELECT * FROM base ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT 500), "
     "long AS (SELECT row_number() OVER () AS id, * FROM sample), cells AS ("
     + " UNION ALL ".join(f"SELECT id, '{c}' AS \"column\", CAST({c} AS DOUBLE) AS num FROM long" for c in ("doc_id", "n_chars", "quality", "toxic"))
     + ") SELECT b.\"left\", b.\"right\", x.num AS x, y.num AS y FROM best b JOIN cells x ON x.\"column\" = b.\"left\" "
@@ -663,39 +663,52 @@ add(
 )
 
 
+_WRITTEN = (
+    [(f"{p}_json", "application/json", f"phases/{p}.json") for p in (
+        "ingest", "profile", "dq_validate", "dq_severities", "dq_ranges", "dq_cardinality", "dq_duplicates", "descriptive_stats",
+        "nl_report", "finalize")]
+    + [("results_results", "application/json", "results/results.json"), ("results_manifest", "application/json", "results/manifest.json")]
+    + [("results_outliers.json", "application/json", "results/outliers.json"), ("results_report.txt", "text/plain", "results/report.txt")]
+    + [(f"results_{n}.csv", "text/csv", f"results/{n}.csv") for n in ("descriptive_stats", "correlations", "preview")]
+    + [(f"results_graphs_{n}.csv", "text/csv", f"results/graphs/{n}.csv") for n in ("histograms", "box_plots", "correlation_matrix", "scatter")]
+)
+
+
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.manifest(report.artifacts(profile.column_facts(table(spark, sf_dir, "events"))), "artifacts/events")
+    """What the manifest of a written profile lists, and what was written."""
+    from tablescope.plans.dataset import write_profile
+
+    path = scratch_path(spark, "profile")
+    entries = write_profile(table(spark, sf_dir, "events"), path, order_by=["event_id"])
+    listed = entries.select("name", "content_type", F.expr(f"substring(key, {len(path) + 2})").alias("key"))
+    files_found = files.file_catalog(spark, path).select(F.regexp_extract("path", r"((?:phases|results)/.*)/[^/]*$", 1).alias("key")).distinct()
+    return listed.join(files_found.withColumn("written", F.lit(True)), "key", "full")
 
 
-_P = "artifacts/events/"
-_MANIFEST_FIXED = [
-    (f"{p}_json", f"Serialized output for the {p} phase.", "application/json", f"{_P}phases/{p}.json") for p in report.PHASES
-] + [(n, t, "application/json", _P + k) for n, t, k in report.FIXED_ENTRIES] + [
-    ("results_descriptive_stats.csv", "Descriptive statistics for numeric columns.", "text/csv", _P + "results/descriptive_stats.csv"),
-    ("results_correlations.csv", "Pairwise Pearson correlations for numeric columns.", "text/csv", _P + "results/correlations.csv"),
-    ("results_outliers.json", "Detected outliers per column using a z-score heuristic.", "application/json", _P + "results/outliers.json"),
-    ("results_graphs_box_plots.csv", report.VISUAL_DESCRIPTION, "text/csv", _P + "results/graphs/box_plots.csv"),
-    ("results_report.txt", "Text artifact generated during dataset analysis.", "text/plain", _P + "results/report.txt"),
-]
 add(
     "manifest_events",
     _manifest,
-    f"WITH {duck.facts('events')} SELECT * FROM (VALUES "
-    + ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in _MANIFEST_FIXED)
-    + ") t(name, description, content_type, \"key\") UNION ALL SELECT concat('results_graphs_', \"column\", '_histogram.csv'), "
-    "concat('Histogram showing the distribution of ', \"column\", ' values.'), 'text/csv', "
-    f"concat('{_P}results/graphs/', \"column\", '_histogram.csv') FROM facts WHERE n >= 2",
+    "SELECT *, true AS written FROM (VALUES " + ", ".join(f"('{n}', '{t}', '{k}')" for n, t, k in _WRITTEN) + ') t(name, content_type, "key")',
 )
 
 
 def _results_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema, summary and number of links of the results document."""
     from tablescope.plans.dataset import profile_dataset
 
     profiled = profile_dataset(table(spark, sf_dir, "orders"))
-    return profiled.document(report.manifest(profiled.artifacts, "artifacts/orders"))
+    made = profiled.document(profiled.manifest("artifacts/orders"))
+    form = "summary struct<rows: bigint, columns: bigint, completeness: double>, schema array<struct<name: string, type: string>>, links map<string, string>"
+    parsed = made.selectExpr(f"from_json(document, '{form}') AS made")
+    return parsed.selectExpr("made.summary.*", "cardinality(made.links) AS links", "inline(made.schema)")
 
 
-add("results_document_orders", _results_document)
+add(
+    "results_document_orders",
+    _results_document,
+    f"WITH {duck.facts('orders')} SELECT (SELECT count(*) FROM orders) AS \"rows\", CAST(6 AS BIGINT) AS columns, CAST(1 AS DOUBLE) AS completeness, "
+    f"CAST({len(_WRITTEN) - 2} AS INT) AS links, \"column\" AS name, inferred_type AS type FROM facts",
+)
 
 
 # --- sources and sinks -------------------------------------------------------------------

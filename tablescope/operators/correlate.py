@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.values import literal, number_literal
@@ -16,9 +16,9 @@ from tablescope.session import per_column
 
 TOP_PAIRS = 20
 
-# Columns per side of one aggregate: it reads two such blocks and computes their pairs. Two blocks
-# of complete columns need 96 sums, which still fit one generated method.
-BLOCK = 8
+# A variance smaller than this part of the mean square is rounding: the values are all the same.
+SAME = 1e-12
+_SUMS = ("n", "xy", "x", "y", "xx", "yy")
 
 
 def all_correlations(
@@ -28,60 +28,50 @@ def all_correlations(
 
     Pairs come in the order of ``columns`` (alphabetical by default) and use the rows where
     both sides hold a number. Values enter as standard scores, so sums of products lose no
-    precision. Each aggregate covers the pairs of two column blocks, reads only those columns
-    and shuffles one row per task. Pairs without variance are left out.
+    precision. One scan, however many columns: each task turns its batches into products of
+    matrices and sends one row per pair; pairs without variance are left out.
     """
     facts = per_column((moments(df, columns) if stats is None else stats).where("count >= 2 AND stddev > 0 AND stddev < double('inf')"))
     names = [n for n in (facts if columns is None else columns) if n in facts]
-    blocks = [names[start : start + BLOCK] for start in range(0, len(names), BLOCK)]
-    parts = []
-    for i, block in enumerate(blocks):
-        parts.append(_block(df, block, list(combinations(range(len(block)), 2)), facts))
-        for other in blocks[i + 1 :]:
-            pairs = [(a, len(block) + b) for a in range(len(block)) for b in range(len(other))]
-            parts.append(_block(df, [*block, *other], pairs, facts))
-    parts = [p for p in parts if p is not None]
-    if not parts:
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], "left string, right string, correlation double, sample_size bigint")
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _pearson(n: str, xy: str, x: str, y: str, xx: str, yy: str) -> str:
-    return f"try_divide({xy} - {x} * {y} / {n}, sqrt({xx} - {x} * {x} / {n}) * sqrt({yy} - {y} * {y} / {n}))"
-
-
-def _block(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]], facts: dict[str, Row]) -> DataFrame | None:
-    if not pairs:
-        return None
     scores = typed_columns(df, names, (), ("num",)).selectExpr(
         *[
             f"(num{i} - {number_literal(facts[n]['mean'])}) / {number_literal(facts[n]['stddev'])} AS z{i}"
             for i, n in enumerate(names)
         ]
     )
-    complete = [facts[n]["count"] == facts[n]["rows"] for n in names]
-    used = sorted({i for pair in pairs if complete[pair[0]] and complete[pair[1]] for i in pair})
-    sums = ["count(1) AS n"] + [item for i in used for item in (f"sum(z{i}) AS s{i}", f"sum(z{i} * z{i}) AS q{i}")]
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = f"z{a}", f"z{b}"
-        sums.append(f"sum({x} * {y}) AS p{i}")
-        if complete[a] and complete[b]:
-            n, r = "n", _pearson("n", f"p{i}", f"s{a}", f"s{b}", f"q{a}", f"q{b}")
-        else:
-            both = {"x": f"CASE WHEN {y} IS NOT NULL THEN {x} END", "y": f"CASE WHEN {x} IS NOT NULL THEN {y} END"}
-            sums.append(f"count({x} * {y}) AS n{i}")
-            for side, value in both.items():
-                sums += [f"sum({value}) AS s{side}{i}", f"sum(pow({value}, 2)) AS q{side}{i}"]
-                sums.append(f"min({value}) < max({value}) AS v{side}{i}")
-            n = f"n{i}"
-            r = f"CASE WHEN vx{i} AND vy{i} THEN {_pearson(n, f'p{i}', f'sx{i}', f'sy{i}', f'qx{i}', f'qy{i}')} END"
-        entries.append(
-            f"struct({literal(names[a])} AS left, {literal(names[b])} AS right, {r} AS correlation, {n} AS sample_size)"
-        )
-    return scores.selectExpr(*sums).selectExpr(f"inline(array({', '.join(entries)}))").where(
-        "sample_size >= 2 AND correlation IS NOT NULL AND NOT isnan(correlation)"
+    cells = scores.mapInArrow(_pair_sums(len(names)), "i int, j int, n bigint, " + ", ".join(f"{c} double" for c in _SUMS[1:]))
+    sums = cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    listed = f"array({', '.join(literal(n) for n in names)})"
+    spread_x, spread_y = "(xx - x * x / n)", "(yy - y * y / n)"
+    found = sums.where(f"n >= 2 AND {spread_x} > {SAME}D * xx AND {spread_y} > {SAME}D * yy").selectExpr(
+        f"{listed}[i] AS left",
+        f"{listed}[j] AS right",
+        f"(xy - x * y / n) / (sqrt({spread_x}) * sqrt({spread_y})) AS correlation",
+        "n AS sample_size",
     )
+    return found.where("correlation IS NOT NULL AND NOT isnan(correlation)")
+
+
+def _pair_sums(width: int):
+    """A task's sums over the rows where both columns of a pair hold a number, for all pairs i < j."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            for low in range(0, len(batch), 4096):
+                part = batch.slice(low, 4096)
+                held = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in part.columns]).astype(float)
+                z = np.column_stack([c.fill_null(0).to_numpy(zero_copy_only=False) for c in part.columns]).astype(float)
+                total += np.stack([held.T @ held, z.T @ z, z.T @ held, (z * z).T @ held])
+        i, j = np.triu_indices(width, 1)
+        n, xy, x, xx = total
+        sums = [n[i, j].astype(np.int64), xy[i, j], x[i, j], x[j, i], xx[i, j], xx[j, i]]
+        columns = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, sums)]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "j", "n", "xy", "x", "y", "xx", "yy"])
+
+    return run
 
 
 def top_correlations(pairs: DataFrame, limit: int = TOP_PAIRS) -> DataFrame:

@@ -14,15 +14,12 @@ from tablescope.operators.profile import moments, numeric_row_sample
 from tablescope.operators.quantiles import exact_quantiles, quantile_columns
 from tablescope.session import per_column, pinned
 
-# Reported quantiles, outlier rule and how many charts a report draws.
+# Reported quantiles, outlier rule and how many pairs get scatter points.
 QUANTILES = {0.05: "q5", 0.25: "q25", 0.5: "q50", 0.75: "q75", 0.95: "q95"}
 OUTLIER_SIGMAS = 3.0
 OUTLIER_LEAST_VALUES = 5
 OUTLIERS_PER_COLUMN = 10
-MAX_HISTOGRAMS = 8
-MAX_BOX_PLOTS = 8
 MAX_SCATTERS = 3
-MAX_HEATMAP_COLUMNS = 10
 
 
 def descriptive_table(
@@ -55,9 +52,10 @@ def outliers(df: DataFrame, stats: DataFrame | None = None, limit: int = OUTLIER
     return far.withColumn("place", place).where(f"place <= {limit}").select("column", "place", "value", "zscore")
 
 
-def numeric_ranking(stats: DataFrame, limit: int) -> DataFrame:
-    """Columns with the most numbers first, ties alphabetical."""
-    top = stats.where("count > 0").orderBy(F.desc("count"), "column").limit(limit)
+def numeric_ranking(stats: DataFrame, limit: int | None = None) -> DataFrame:
+    """Columns with the most numbers first, ties alphabetical; all of them or the first ``limit``."""
+    top = stats.where("count > 0").orderBy(F.desc("count"), "column")
+    top = top if limit is None else top.limit(limit)
     return top.select(
         "column", "count", F.row_number().over(Window.orderBy(F.desc("count"), "column")).alias("place")
     )
@@ -147,11 +145,12 @@ def box_stats(df: DataFrame, table: DataFrame) -> DataFrame:
 def scatter_points(
     df: DataFrame, pairs: DataFrame, columns: Sequence[str], order_by: Sequence[str], limit: int
 ) -> DataFrame:
-    """Points of each pair ``(left, right)`` among the first ``limit`` rows holding a number.
+    """Points of each pair ``(left, right)`` for a sample of ``limit`` rows holding a number.
 
-    The row sample is one top-k; ``pairs`` is a short list and is broadcast to it.
+    The sample is those rows whose key has the smallest MD5, so it favours no part of the
+    table; it is one top-k. ``pairs`` is a short list and is broadcast to it.
     """
-    sample = numeric_row_sample(df, order_by, columns, limit)
+    sample = numeric_row_sample(df, order_by, columns, limit, shuffled=True)
     names, numbers_of = ", ".join(literal(n) for n in columns), ", ".join(quoted(n) for n in columns)
     numbers = sample.selectExpr("key", f"map_from_arrays(array({names}), array({numbers_of})) AS num")
     return (

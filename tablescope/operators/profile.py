@@ -20,6 +20,7 @@ from tablescope.operators.cells import (
     native_frame,
     typed_columns,
 )
+from tablescope.session import materialize
 
 # How many values, rows and distinct strings a profile shows.
 PREVIEW_ROWS = 5
@@ -28,6 +29,9 @@ DISTINCT_LIMIT = 25
 NUMERIC_SAMPLE_ROWS = 500
 TRAINING_ROWS = 2000
 
+# First rows that are looked at for the first values of all columns at once.
+SAMPLE_ROWS = 100
+
 # One cell in this many, chosen by hash, helps to find the cut below which the smallest values lie.
 DISTINCT_PROBE = 256
 
@@ -185,14 +189,19 @@ def sample_values(
 ) -> DataFrame:
     """First ``limit`` non-missing values of each column in key order.
 
-    Each column is its own top-k over just that column and the key, so no task
-    sorts or holds more than ``limit`` rows.
+    No task sorts or holds more than ``SAMPLE_ROWS`` rows.
     """
     types = field_types(df)
+    names = list(df.columns if columns is None else columns)
     key = f"struct({', '.join(quoted(k) for k in order_by)}) AS key"
+    texts = df.selectExpr(key, *[f"{V.text_sql(quoted(n), types[n])} AS t{i}" for i, n in enumerate(names)])
+    # One scan: the first rows hold enough values of nearly all columns. Only columns that lack some there get a scan of their own.
+    first = materialize(texts.orderBy("key").limit(SAMPLE_ROWS), "first")
+    filled = first.selectExpr(*[f"count(t{i}) AS t{i}" for i in range(len(names))], "count(1) AS rows").first()
     parts = []
-    for name in df.columns if columns is None else columns:
-        top = df.selectExpr(key, f"{V.text_sql(quoted(name), types[name])} AS text").where("text IS NOT NULL")
+    for i, name in enumerate(names):
+        enough = filled[f"t{i}"] >= limit or filled["rows"] < SAMPLE_ROWS
+        top = (first if enough else texts).selectExpr("key", f"t{i} AS text").where("text IS NOT NULL")
         parts.append(top.orderBy("key").limit(limit).selectExpr(f"{V.literal(name)} AS column", "key", "text"))
     place = F.row_number().over(Window.partitionBy("column").orderBy("key"))
     return reduce(DataFrame.unionByName, parts).select("column", place.alias("place"), "text")
@@ -257,14 +266,15 @@ def preview(df: DataFrame, order_by: Sequence[str], limit: int = PREVIEW_ROWS) -
 
 
 def numeric_row_sample(
-    df: DataFrame, order_by: Sequence[str], columns: Sequence[str], limit: int = NUMERIC_SAMPLE_ROWS
+    df: DataFrame, order_by: Sequence[str], columns: Sequence[str], limit: int = NUMERIC_SAMPLE_ROWS, shuffled: bool = False
 ) -> DataFrame:
-    """First rows in key order that hold at least one number: the key and the numeric cells."""
+    """First rows in key order, or in the order of the key's MD5, that hold at least one number: the key and the numeric cells."""
     types = field_types(df)
     key = f"struct({', '.join(quoted(k) for k in order_by)}) AS key"
     numbers = df.selectExpr(key, *[f"{V.number_sql(quoted(n), types[n])} AS {quoted(n)}" for n in columns])
     some = f"coalesce({', '.join(quoted(n) for n in columns)}) IS NOT NULL"
-    return numbers.where(some).orderBy("key").limit(limit)
+    mixed = [F.md5(F.concat_ws(":", *[F.col("key").getField(k).cast("string") for k in order_by]))] if shuffled else []
+    return numbers.where(some).orderBy(*mixed, "key").limit(limit)
 
 
 def training_sample(df: DataFrame, order_by: Sequence[str], limit: int = TRAINING_ROWS) -> DataFrame:

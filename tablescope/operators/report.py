@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions import values as V
@@ -11,17 +13,12 @@ from tablescope.operators.profile import completeness
 from tablescope.operators.quality import rules_evaluated
 from tablescope.sources.sinks import CONTENT_TYPES
 
-# Sizes of the extracts, the phases and texts of the report and manifest.
+# Sizes of the extracts, sentences of the report and texts of the manifest.
 REPORT_ISSUES = 20
 REPORT_CORRELATIONS = 10
 REPORT_OUTLIER_COLUMNS = 5
 REPORT_OUTLIER_VALUES = 5
-PHASES = ("ingest", "profile", "dq_validate", "descriptive_stats", "ml_inference", "nl_report", "finalize")
 CLOSING_SENTENCE = "Further modeling pipelines can build on these profiling insights."
-FIXED_ENTRIES = (
-    ("results_json", "Consolidated analytics results payload.", "results/results.json"),
-    ("results_manifest", "Manifest describing generated analytics artifacts.", "results/manifest.json"),
-)
 DEFAULT_DESCRIPTIONS = (
     (".html", "HTML artifact generated during dataset analysis."),
     (".txt", "Text artifact generated during dataset analysis."),
@@ -87,30 +84,6 @@ def top_outliers(outliers: DataFrame) -> DataFrame:
     return outliers.where(f"place <= {REPORT_OUTLIER_VALUES}").join(F.broadcast(columns), "column", "left_semi")
 
 
-def artifacts(facts: DataFrame) -> DataFrame:
-    """Relative keys of the result tables a table's facts call for, with kind and description."""
-    named = (
-        "CASE WHEN numbers >= 1 THEN struct('results/descriptive_stats.csv' AS key, 'csv' AS kind, "
-        "'Descriptive statistics for numeric columns.' AS description) END",
-        "CASE WHEN numbers >= 2 THEN struct('results/correlations.csv' AS key, 'csv' AS kind, "
-        "'Pairwise Pearson correlations for numeric columns.' AS description) END",
-        "CASE WHEN numbers >= 1 THEN struct('results/outliers.json' AS key, 'json' AS kind, "
-        "'Detected outliers per column using a z-score heuristic.' AS description) END",
-        "CASE WHEN numbers >= 1 THEN struct('results/graphs/box_plots.csv' AS key, 'csv' AS kind, "
-        "cast(NULL AS STRING) AS description) END",
-        "struct('results/report.txt' AS key, 'text' AS kind, cast(NULL AS STRING) AS description)",
-    )
-    general = facts.selectExpr("count_if(count > 0) AS numbers").selectExpr(
-        f"inline(filter(array({', '.join(named)}), a -> a IS NOT NULL))"
-    )
-    per_column = facts.where("count >= 2").select(
-        F.concat(F.lit("results/graphs/"), V.slug("column"), F.lit("_histogram.csv")).alias("key"),
-        F.lit("csv").alias("kind"),
-        F.concat(F.lit("Histogram showing the distribution of "), "column", F.lit(" values.")).alias("description"),
-    )
-    return general.unionByName(per_column)
-
-
 def content_type_sql() -> str:
     """By kind, else by name ending."""
     kinds = " ".join(f"WHEN '{kind}' THEN '{ctype}'" for kind, ctype in CONTENT_TYPES.items())
@@ -130,21 +103,17 @@ def description_sql() -> str:
     )
 
 
-def manifest(artifact_rows: DataFrame, prefix: str, phases: tuple[str, ...] = PHASES) -> DataFrame:
-    """One row per phase, artifact and fixed document: name, description, content type, key."""
-    spark = artifact_rows.sparkSession
-    base = V.literal(prefix + "/")
-    found = artifact_rows.selectExpr(
-        "replace(key, '/', '_') AS name",
+def manifest(spark: SparkSession, written: Sequence[tuple[str, str, str | None]], prefix: str) -> DataFrame:
+    """One row per written table ``(key, kind, description)``: name, description, content type, key."""
+    rows = spark.createDataFrame([*written], "key string, kind string, description string")
+    return rows.selectExpr(
+        "CASE WHEN startswith(key, 'phases/') THEN replace(substring(key, 8), '.json', '_json') "
+        "WHEN key IN ('results/results.json', 'results/manifest.json') THEN replace(replace(key, '/', '_'), '.json', '') "
+        "ELSE replace(key, '/', '_') END AS name",
         f"{description_sql()} AS description",
         f"{content_type_sql()} AS content_type",
-        f"concat({base}, key) AS key",
+        f"concat({V.literal(prefix + '/')}, key) AS key",
     )
-    fixed = [
-        (f"{p}_json", f"Serialized output for the {p} phase.", "application/json", f"{prefix}/phases/{p}.json")
-        for p in phases
-    ] + [(name, text, "application/json", f"{prefix}/{key}") for name, text, key in FIXED_ENTRIES]
-    return spark.createDataFrame(fixed, found.schema).unionByName(found)
 
 
 def results_document(
@@ -155,7 +124,7 @@ def results_document(
     entries: DataFrame,
     inference: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of JSON with summary, schema, metrics, extracts and manifest; all inputs are short lists."""
+    """One row of JSON with summary, schema, metrics, extracts, manifest and links; all inputs are short lists."""
 
     def listed(df: DataFrame) -> Column:
         return df.agg(F.sort_array(F.collect_list(F.struct("*")))).scalar()
@@ -167,6 +136,7 @@ def results_document(
         listed(correlations).alias("correlations"),
         listed(outliers).alias("outliers"),
         listed(entries).alias("manifest"),
+        entries.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "key"))))).scalar().alias("links"),
     ]
     if inference is not None:
         parts.append(listed(inference).alias("ml_inference"))

@@ -5,18 +5,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.operators import correlate, describe, profile, quality, report
-from tablescope.operators.automl import ModelReport, candidate_table, train
+from tablescope.operators.automl import ModelReport, candidate_table, cluster, train
 from tablescope.session import materialize
 from tablescope.sources import sinks
 
 
+# What the manifest says of a phase and of the tables that have a text of their own.
+PHASE_TEXT = "Serialized output for the {} phase."
+TEXTS = {
+    "results/descriptive_stats.csv": "Descriptive statistics for numeric columns.",
+    "results/correlations.csv": "Pairwise Pearson correlations for numeric columns.",
+    "results/outliers.json": "Detected outliers per column using a z-score heuristic.",
+    "results/results.json": "Consolidated analytics results payload.",
+    "results/manifest.json": "Manifest describing generated analytics artifacts.",
+}
+MANIFEST, DOCUMENT = "results/manifest.json", "results/results.json"
+
+
 @dataclass
 class Report:
-    """Result tables of a profile. Every field is a DataFrame that runs when it is used."""
+    """Result tables of a profile. The tables with one row per column are settled; the others run when used."""
 
     profile: DataFrame
     schema: DataFrame
@@ -35,62 +48,113 @@ class Report:
     boxes: DataFrame
     metrics: DataFrame
     summary: DataFrame
-    artifacts: DataFrame
     preview: DataFrame | None = None
     scatter: DataFrame | None = None
     inference: ModelReport | None = None
 
-    def phases(self) -> dict[str, DataFrame]:
-        """The tables of each phase that is written as JSON."""
-        return {
-            "ingest": self.metrics.select("rows", "columns"),
-            "profile": self.profile,
-            "dq_validate": self.issues,
-            "descriptive_stats": self.descriptive,
-            "nl_report": self.summary,
-            "finalize": self.metrics,
+    def tables(self) -> dict[str, tuple[str, DataFrame]]:
+        """All result tables by relative key, with their kind; what is not there was not asked for."""
+        found = {
+            "phases/ingest.json": ("json", self.metrics.select("rows", "columns")),
+            "phases/profile.json": ("json", self.profile),
+            "phases/dq_validate.json": ("json", self.issues),
+            "phases/dq_severities.json": ("json", self.severities),
+            "phases/dq_ranges.json": ("json", self.ranges),
+            "phases/dq_cardinality.json": ("json", self.cardinality),
+            "phases/dq_duplicates.json": ("json", self.duplicates),
+            "phases/descriptive_stats.json": ("json", self.descriptive),
+            "phases/nl_report.json": ("json", self.summary),
+            "phases/finalize.json": ("json", self.metrics),
+            "results/descriptive_stats.csv": ("csv", self.descriptive),
+            "results/correlations.csv": ("csv", self.correlations),
+            "results/outliers.json": ("json", self.outliers),
+            "results/graphs/histograms.csv": ("csv", self.histograms),
+            "results/graphs/box_plots.csv": ("csv", self.boxes),
+            "results/graphs/correlation_matrix.csv": ("csv", self.matrix),
+            "results/report.txt": ("text", self.summary),
         }
+        if self.preview is not None:
+            found["results/preview.csv"] = ("csv", self.preview)
+        if self.scatter is not None:
+            found["results/graphs/scatter.csv"] = ("csv", self.scatter)
+        if self.inference is not None:
+            found["phases/ml_inference.json"] = ("json", candidate_table(self.inference, self.summary))
+            if self.inference.predictions is not None:
+                found["results/predictions.csv"] = ("csv", self.inference.predictions)
+        return found
+
+    def manifest(self, path: str) -> DataFrame:
+        """Every table that ``write`` writes below ``path``."""
+        listed = [(key, kind) for key, (kind, _) in self.tables().items()] + [(DOCUMENT, "json"), (MANIFEST, "json")]
+        if self.inference is not None and self.inference.model is not None:
+            listed.append(("results/model", "model"))
+        phase = lambda key: PHASE_TEXT.format(key[7:].removesuffix(".json")) if key.startswith("phases/") else None
+        return report.manifest(self.summary.sparkSession, [(k, kind, TEXTS.get(k) or phase(k)) for k, kind in listed], path)
 
     def document(self, entries: DataFrame) -> DataFrame:
-        return report.results_document(
-            self.metrics, self.schema, self.correlations, self.outliers, entries
-        )
+        inference = candidate_table(self.inference, self.summary) if self.inference is not None else None
+        return report.results_document(self.metrics, self.schema, self.correlations, self.outliers, entries, inference)
 
     def write(self, path: str, mode: str = "ignore") -> DataFrame:
-        """Write all tables below ``path`` and return the manifest. ``ignore`` keeps finished results."""
-        for name, table in self.phases().items():
-            sinks.write_json(table, f"{path}/phases/{name}.json", mode)
-        sinks.write_csv(self.descriptive, f"{path}/results/descriptive_stats.csv", mode)
-        sinks.write_csv(self.correlations, f"{path}/results/correlations.csv", mode)
-        sinks.write_json(self.outliers, f"{path}/results/outliers.json", mode)
-        sinks.write_csv(self.histograms, f"{path}/results/graphs/histograms.csv", mode)
-        sinks.write_csv(self.boxes, f"{path}/results/graphs/box_plots.csv", mode)
-        sinks.write_csv(self.matrix, f"{path}/results/graphs/correlation_matrix.csv", mode)
-        sinks.write_text(self.summary, f"{path}/results/report.txt", mode)
-        if self.inference is not None and self.inference.predictions is not None:
-            sinks.write_json(candidate_table(self.inference, self.summary), f"{path}/phases/ml_inference.json", mode)
-            sinks.write_csv(self.inference.predictions, f"{path}/results/predictions.csv", mode)
+        """Write all tables below ``path`` and return the manifest.
+
+        The manifest is written last and marks a finished result. ``ignore`` keeps a finished
+        result as it is; whatever an unfinished run left is written anew, so no result
+        holds tables of two runs. Results are read back before they are reported.
+        """
+        spark = self.summary.sparkSession
+        if mode == "ignore" and (finished := finished_manifest(spark, path)) is not None:
+            return finished
+        writers = {"csv": sinks.write_csv, "json": sinks.write_json, "text": sinks.write_text}
+        for key, (kind, table) in self.tables().items():
+            writers[kind](table, f"{path}/{key}", "overwrite")
+        if self.inference is not None and self.inference.model is not None:
             self.inference.model.write().overwrite().save(f"{path}/results/model")
-        entries = report.manifest(self.artifacts, path)
-        sinks.write_json(entries, f"{path}/results/manifest.json", mode)
-        sinks.write_text(self.document(entries), f"{path}/results/results.json", mode)
+        entries = self.manifest(path)
+        sinks.write_text(self.document(entries), f"{path}/{DOCUMENT}", "overwrite")
+        sinks.write_json(entries, f"{path}/{MANIFEST}", "overwrite")
         return entries
 
 
+def finished_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest of a finished result below ``path``; None if there is none."""
+    try:
+        return spark.read.schema("name string, description string, content_type string, key string").json(f"{path}/{MANIFEST}")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def write_profile(df: DataFrame, path: str, **options) -> DataFrame:
+    """Profile ``df`` and write the result below ``path``, unless a finished one is there; returns the manifest.
+
+    A finished result is found before anything is computed.
+    """
+    finished = finished_manifest(df.sparkSession, path)
+    return profile_dataset(df, **options).write(path) if finished is None else finished
+
+
 def profile_dataset(
     df: DataFrame,
     order_by: Sequence[str] | None = None,
     write_source: bool = False,
     settle: bool = True,
     modelling: bool = False,
+    clustering: bool = False,
     scatter_rows: int = profile.NUMERIC_SAMPLE_ROWS,
+    charts: int | None = None,
+    bytes_read: DataFrame | None = None,
 ) -> Report:
     """Profile every column of ``df`` over all rows.
 
     ``order_by`` names a key and adds first values, first rows and scatter points.
     ``write_source`` stores the input once as Parquet in the shared folder, for sources that
     are slow to parse. ``settle`` stores the tables with one row per column that later steps
-    build on, so the scans behind them run once. ``modelling`` adds the automated models.
+    build on, so the scans behind them run once; they run before this returns. ``modelling``
+    adds the automated models, ``clustering`` the clusters instead. ``charts`` limits the columns with
+    histograms, box plots and a place in the matrix to those with the most numbers.
+    ``bytes_read`` is the size of the source (see ``source_metadata``).
     """
 
     def kept(table: DataFrame, name: str) -> DataFrame:
@@ -116,11 +180,11 @@ def profile_dataset(
     correlations = correlate.top_correlations(pairs)
     far = kept(describe.outliers(df, stats), "outliers").orderBy("column", "place")
     bins = describe.histogram_bins(descriptive)
-    charted = describe.numeric_ranking(stats, describe.MAX_HISTOGRAMS).select("column")
-    boxed = describe.numeric_ranking(stats, describe.MAX_BOX_PLOTS).select("column")
-    mapped = describe.numeric_ranking(stats, describe.MAX_HEATMAP_COLUMNS)
+    mapped = describe.numeric_ranking(stats, charts)
+    charted = mapped.select("column")
 
-    metrics = report.dataset_metrics(facts, severities)
+    metrics = report.dataset_metrics(facts, severities, bytes_read)
+    inference = train(df, key=order_by or ()) if modelling else cluster(df, key=order_by or ()) if clustering else None
     scatter = None
     if order_by:
         numbers = [r["column"] for r in stats.select("column").orderBy("column").collect()]
@@ -141,11 +205,10 @@ def profile_dataset(
         matrix=correlate.correlation_matrix(pairs, mapped),
         outliers=far,
         histograms=describe.histogram(df, bins.join(F.broadcast(charted), "column", "left_semi")),
-        boxes=describe.box_stats(df, descriptive.join(F.broadcast(boxed), "column", "left_semi")),
+        boxes=describe.box_stats(df, descriptive.join(F.broadcast(charted), "column", "left_semi")),
         metrics=metrics,
         summary=report.narrative(metrics, correlations, far),
-        artifacts=report.artifacts(facts),
         preview=profile.preview(df, order_by) if order_by else None,
         scatter=scatter,
-        inference=train(df) if modelling else None,
+        inference=inference,
     )

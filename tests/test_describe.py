@@ -124,6 +124,21 @@ def test_correlations_over_many_blocks(spark):
     assert matrix.count() == 100
 
 
+def test_many_columns_take_one_scan(spark, tmp_path):
+    width = 300
+    spark.range(60).selectExpr(*[f"sin(id * {i + 1}) + id * {i % 3} AS x{i:03d}" for i in range(width)]).write.parquet(f"{tmp_path}/wide")
+    df = spark.read.parquet(f"{tmp_path}/wide")
+    names = df.columns
+    stats = spark.createDataFrame([(n, 60, 60, 1.0, 2.0, -1.0, 1.0) for n in names], "column string, rows long, count long, mean double, stddev double, min double, max double")
+    pairs = correlate.all_correlations(df, names, stats)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    found = {(r["left"], r["right"]): r["correlation"] for r in pairs.collect()}
+    assert len(found) == width * (width - 1) // 2
+    want = df.selectExpr("corr(x000, x002) AS a", "corr(x010, x200) AS b").first()
+    assert abs(found["x000", "x002"] - want["a"]) < 1e-9 and abs(found["x010", "x200"] - want["b"]) < 1e-9
+
+
 def test_quick_profile(spark):
     n = 250
     df = strings(
@@ -134,7 +149,7 @@ def test_quick_profile(spark):
         blank=[""] * n,
     )
     types = {r["column"]: r["type"] for r in quick.column_types(df, ["key"]).collect()}
-    assert types == {"amount": "number", "late": "string", "blank": "string"}
+    assert types == {"key": "number", "amount": "number", "late": "string", "blank": "string"}
     frame = quick.lenient_frame(df, ["amount", "blank"])
     stats = by(quick.stats_table(frame))
     assert stats["blank"]["count"] == 0 and stats["blank"]["mean"] is None

@@ -1,8 +1,10 @@
 import json
+from pathlib import Path
 
 from conftest import by, rows, strings
 from tablescope import profile_dataset, quick_profile
 from tablescope.operators import automl, quality
+from tablescope.plans.dataset import write_profile
 from tablescope.operators import report as report_rows
 from tablescope.sources import delimited, files
 from tablescope.streaming.profile import start_profile
@@ -28,11 +30,14 @@ def test_full_profile_is_written_once(spark, tmp_path):
     path = str(tmp_path / "out")
     entries = report.write(path)
     names = {r["name"] for r in entries.collect()}
-    assert {"profile_json", "results_descriptive_stats.csv", "results_graphs_size_histogram.csv", "results_manifest"} <= names
+    assert {"profile_json", "results_descriptive_stats.csv", "results_graphs_histograms.csv", "results_manifest"} <= names
+    keys = {r["key"] for r in entries.collect()}
+    assert keys == {str(p.parent) for p in Path(path).rglob("part-*")}  # all that was written, and nothing else
     document = json.loads(spark.read.text(f"{path}/results/results.json").first()[0])
     assert document["summary"] == {"rows": 120, "columns": 4, "completeness": 1.0, "dq_score": 1.0}
     assert [c["name"] for c in document["schema"]] == ["id", "kind", "price", "size"]
     assert delimited.read_csv(spark, f"{path}/results/descriptive_stats.csv").count() == 3
+    assert {r["key"] for r in write_profile(spark.range(0).selectExpr("raise_error('not read') AS x"), path).collect()} == keys
     profile_dataset(table(spark).limit(10)).write(path)
     assert json.loads(spark.read.text(f"{path}/results/results.json").first()[0])["summary"]["rows"] == 120
 
