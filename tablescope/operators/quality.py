@@ -221,6 +221,8 @@ class Checked(NamedTuple):
 def check_table(df: DataFrame) -> Checked:
     """Run all checks of a table. The facts come first, from one pass, and guide the rest."""
     facts = pinned(column_facts(df))
-    ranges = numeric_range(df, facts)
-    cardinality = categorical_cardinality(facts, distinct_values(df))
-    return Checked(facts, column_checks(facts, ranges, cardinality), duplicate_rows(df), ranges, cardinality)
+    # Issues, scores and sentences all start from these: a row per column each, and one for duplicates.
+    ranges = pinned(numeric_range(df, facts))
+    distinct = pinned(distinct_values(df).select("column", "distinct_count", "distinct_overflow"))
+    cardinality = categorical_cardinality(facts, distinct)
+    return Checked(facts, column_checks(facts, ranges, cardinality), pinned(duplicate_rows(df)), ranges, cardinality)

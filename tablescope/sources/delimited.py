@@ -49,13 +49,17 @@ def _unmark(name: str | None) -> str | None:
     return name.removeprefix("\ufeff") if name else name
 
 
-def has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
-    """Whether some line holds an odd number of quotes, so that a record may span lines.
+def has_quoted_line_breaks(spark: SparkSession, path: str, delimiter: str = ",") -> bool:
+    """Whether some line leaves a quoted cell open, so that a record may span lines.
 
     One splittable scan. Without such a line, records are lines and the file can be split.
+    Quotes inside a cell that doesn't begin with one (``5" pipe``) open nothing.
     """
+    d = re.escape(delimiter)
+    closed = V.literal(f'(^|{d})"(?:[^"]|"")*+"(?=$|{d})')
     odd = spark.read.text(path).where("(length(value) - length(replace(value, '\"', ''))) % 2 = 1")
-    return not odd.limit(1).isEmpty()
+    left_open = odd.where(f"regexp_replace(value, {closed}, '$1') RLIKE {V.literal(f'(^|{d})' + chr(34))}")
+    return not left_open.limit(1).isEmpty()
 
 
 def _reader(spark: SparkSession, delimiter: str, multi_line: bool):
@@ -114,7 +118,7 @@ def read_delimited(
     rows are dropped. Files are split among tasks unless a quoted cell holds a line break.
     """
     if multi_line is None:
-        multi_line = has_quoted_line_breaks(spark, path)
+        multi_line = has_quoted_line_breaks(spark, path, delimiter)
     header = _header(spark, path, delimiter, multi_line)
     if not header:
         return spark.createDataFrame([], "column_1 string")

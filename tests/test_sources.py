@@ -53,6 +53,19 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert sorted(rows(df)) == [("1", "a\nb, c", "more"), ("2", 'line "two"\n\nend', ""), ("3", "x", "")]
 
 
+def test_stray_quotes_keep_files_splittable(spark, tmp_path):
+    lines = ["id,thing"] + [f'{i},5" pipe {i}' if i % 50 == 0 else f'{i},"a ""b"", c"' for i in range(4000)]
+    path = write(tmp_path, "stray.csv", "\n".join(lines) + "\n")
+    assert not delimited.has_quoted_line_breaks(spark, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = delimited.read_csv(spark, path)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r[0] for r in df.select("thing").distinct().collect()} == {'a "b", c'} | {f'5" pipe {i}' for i in range(0, 4000, 50)}
+
+
 def test_csv_inputs_and_repeated_headers(spark, tmp_path):
     df = files.read_dataset(spark, write(tmp_path, "c.csv", ROWS))
     assert df.count() == 12 and df.columns == ["city", "height"]
