@@ -163,7 +163,7 @@ def pieces(documents: DataFrame, tokenizer: str, text: str = "text") -> DataFram
         encode, salt = Encoder(tokenizer), 0
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            for row, _, starts in blocks(data, offsets):
+            for row, _, starts in blocks(data, offsets, 1 << 20):
                 part = batch.slice(row, len(starts) - 1)
                 rows = []
                 for key, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):

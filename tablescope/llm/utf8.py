@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is worked on alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
