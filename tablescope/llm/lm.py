@@ -1,14 +1,15 @@
 """LM scoring by cross-entropy difference.
 
-A bigram model of the target documents and one of all documents share a vocabulary: the
-``VOCABULARY`` most frequent words of the corpus; all other words are one unknown word.
-Both have the same form: absolute discounting, what is discounted going to a unigram
-model with add-one smoothing. A document's score is the mean over its words of the loss
-under the target model less the loss under the background model: the lower, the more
-the document is like the target.
-
-Words and bigrams are counted over all documents. What tasks send grows with the corpus;
-the models are square tables of a size set by the vocabulary alone.
+A bigram model of the target documents and one of all documents share a vocabulary: all
+words of the corpus. Both have the same form: absolute discounting, what is discounted
+going to a unigram model with add-one smoothing. A document's score is the mean over its
+words of the loss under the target model less the loss under the background model: the
+lower, the more the document is like the target.
+
+Words and bigrams are counted over all documents and stay distributed tables, which grow
+with the corpus. Documents look up only the ``HEAD`` most common bigrams locally; all
+other bigrams of a document are counted in it first and joined with the models, and the
+losses are summed for each row.
 """
 
 from __future__ import annotations
@@ -17,134 +18,176 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.shingles import word_hashes
-from tablescope.llm.utf8 import blocks, column_bytes
+from tablescope.llm.shingles import BASE, word_hashes
+from tablescope.llm.utf8 import blocks, column_bytes, mix
 from tablescope.session import materialize
 
-#: Words of the vocabulary. With the unknown word and the start of a document it sets the size of the models.
-VOCABULARY = 2046
 DISCOUNT = 0.75
+#: What stands before a first word, and the one word that stands for all outside a vocabulary of a given size.
+START, UNKNOWN = 0, 1
+#: A word or bigram with more than this part of all occurrences is common. Fewer than so many can be.
+HOT_WORDS, HEAD = 1 << 14, 1 << 20
+#: Words that a task counts before it sends them on.
+PENDING = 1 << 21
 
 
-def _words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _words(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, words, the word before each, for every row the index of its first word) of runs of rows."""
     data, offsets = column_bytes(column)
-    for _, own, starts in blocks(data, offsets):
-        yield word_hashes(own, starts)
+    for row, own, starts in blocks(data, offsets):
+        words, first = word_hashes(own, starts)
+        if known is not None:
+            place = np.searchsorted(known, words).clip(max=max(len(known) - 1, 0))
+            words = np.where(known[place] == words, words, np.uint64(UNKNOWN)) if len(known) else np.full_like(words, UNKNOWN)
+        before = np.append(np.uint64(START), words[:-1])[: len(words)]
+        before[first[:-1][first[:-1] < first[1:]]] = START
+        yield row, words, before, first
+
+
+def _pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(mix(before * BASE) + words)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [words for words, _ in _words(batch.column(0))]
+        found = [words for _, words, _, _ in _words(batch.column(0))]
         words, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
 
 
-def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> np.ndarray:
+def vocabulary(documents: DataFrame, size: int) -> np.ndarray:
     """The sorted hashes of the ``size`` most frequent words of all documents (text), ties to the smaller hash."""
     counts = documents.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     best = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     return np.sort(np.array([row["word"] for row in best], np.int64).view(np.uint64))
 
 
-def word_ids(documents: DataFrame, known: np.ndarray) -> DataFrame:
-    """(doc_id, ids): each document's words as 16-bit places in the vocabulary, len(known) for all others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = []
-            for words, first in _words(batch.column(1)):
-                place = np.searchsorted(known, words)
-                hit = known[place.clip(max=max(len(known) - 1, 0))] == words if len(known) else np.zeros(len(words), bool)
-                ids = np.where(hit, place, len(known)).astype("<u2")
-                lists += [ids[a:b].tobytes() for a, b in zip(first, first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["doc_id", "ids"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
-
+def bigrams(documents: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """(before, word, target_n, all_n) over all documents (text, is_target); START stands before a first word."""
 
-def bigrams(ids: DataFrame, size: int) -> DataFrame:
-    """(before, word, target_n, all_n) over all documents (ids, is_target); ``size - 1`` stands before a first word."""
+    def counted(pending: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        before, words, target = map(np.concatenate, zip(*pending))
+        _, at, own, n = np.unique(_pairs(before, words), return_index=True, return_inverse=True, return_counts=True)
+        columns = [before[at].view(np.int64), words[at].view(np.int64), np.bincount(own, target, len(at)).astype(np.int64), n]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["before", "word", "target_n", "all_n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, size = [], 0
         for batch in batches:
-            keys: list[np.ndarray] = [np.zeros(0, np.int64)]
-            for row, target in zip(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)):
-                own = np.frombuffer(row.as_buffer() or b"", "<u2").astype(np.int64)
-                if len(own):
-                    keys.append((np.append(size - 1, own[:-1]) * size + own) * 2 + int(target))
-            found, n = np.unique(np.concatenate(keys), return_counts=True)
-            cell, target = found // 2, found % 2
-            columns = [cell // size, cell % size, np.where(target, n, 0), n]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["before", "word", "target_n", "all_n"])
-
-    cells = ids.select("ids", "is_target").mapInArrow(run, "before long, word long, target_n long, all_n long")
+            target = batch.column(1).to_numpy(zero_copy_only=False)
+            for row, words, before, first in _words(batch.column(0), known):
+                pending.append((before, words, np.repeat(target[row : row + len(first) - 1], np.diff(first))))
+                size += len(words)
+                if size >= PENDING:
+                    yield counted(pending)
+                    pending, size = [], 0
+        if size:
+            yield counted(pending)
+
+    cells = documents.select("text", "is_target").mapInArrow(run, "before long, word long, target_n long, all_n long")
     return cells.groupBy("before", "word").agg(F.sum("target_n").alias("target_n"), F.sum("all_n").alias("all_n"))
 
 
-def losses(counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """-log p(word | before) of one row of bigram counts, with the unigram probabilities below it."""
-    total = counts.sum()
-    if not total:
-        return -np.log(unigram)
-    held = DISCOUNT * (counts > 0).sum() / total
-    return -np.log(np.maximum(counts - DISCOUNT, 0) / total + held * unigram)
-
-
-def train(ids: DataFrame, size: int) -> np.ndarray:
-    """The two models as losses [target or background, before, word], in 32-bit floats."""
-    cells = materialize(bigrams(ids, size), "bigrams")
-    counted = np.zeros((2, size))
-    for row in cells.groupBy("word").agg(F.sum("target_n").alias("t"), F.sum("all_n").alias("a")).collect():  # a row per word
-        counted[:, row["word"]] = row["t"], row["a"]
-    if not counted[0].any():  # no target: both are the background
-        counted[0] = counted[1]
-    same = bool((counted[0] == counted[1]).all())
-    unigrams = (counted + 1) / (counted.sum(1, keepdims=True) + size)
-
-    def model(table: pa.Table) -> pa.Table:
-        both = np.zeros((2, size))
-        for at, name in enumerate(("all_n" if same else "target_n", "all_n")):
-            both[at, table["word"].to_numpy()] = table[name].to_numpy()
-        rows = np.stack([losses(n, p) for n, p in zip(both, unigrams)]).astype("<f4")
-        return pa.table({"before": table["before"].slice(0, 1), "losses": pa.array([rows.tobytes()], pa.binary())})
-
-    # A word never seen before another has the unigram's losses. The rows are bounded by the vocabulary.
-    out = np.repeat(-np.log(unigrams)[:, None], size, 1).astype(np.float32)
-    for row in cells.groupBy("before").applyInArrow(model, "before long, losses binary").collect():
-        out[:, row["before"]] = np.frombuffer(row["losses"], "<f4").reshape(2, size)
-    return out
-
-
-def cross_entropy_difference(documents: DataFrame, targets: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def _looked_up(cells: DataFrame, stats: DataFrame, key: str, hot: Column) -> DataFrame:
+    """``cells`` with the columns of ``stats`` (a row for every ``key``), of which the ``hot`` rows (bounded) are broadcast.
+
+    Cells that found theirs are dealt out by their own hash, so no key brings many of them together.
+    """
+    names = [c for c in stats.columns if c != key]
+    head = stats.filter(hot).select(key, F.struct(*names).alias("head"))
+    tail = stats.filter(~hot).select(F.col(key).alias("own"), F.struct(*names).alias("tail"))
+    near = cells.join(F.broadcast(head), key, "left")
+    near = near.withColumn("own", F.when(F.col("head").isNull(), F.col(key)).otherwise(F.xxhash64("before", "word")))
+    found = F.coalesce("head", "tail")
+    return near.join(tail, "own", "left").select(*cells.columns, *(found[c].alias(c) for c in names))
+
+
+def train(documents: DataFrame, known: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+    """(before, word, target, background): the losses of all bigrams of the documents (text, is_target), and those of common ones."""
+    cells = materialize(bigrams(documents, known), "bigrams")
+    sums = [F.sum("target_n").alias("t"), F.sum("all_n").alias("a")]
+    words = materialize(cells.groupBy("word").agg(*sums), "words")
+    total = words.agg(F.sum("t").alias("t"), F.sum("a").alias("a"), F.count_if(F.col("word") != UNKNOWN).alias("size")).first()
+    every, targets = total["a"] or 0, total["t"] or 0
+    if not targets:  # both are the background
+        cells, words = (x.withColumn(t, F.col(a)) for x, t, a in ((cells, "target_n", "all_n"), (words, "t", "a")))
+        targets = every
+    befores = cells.groupBy("before").agg(
+        F.sum("target_n").alias("before_t"), F.count_if(F.col("target_n") > 0).alias("kinds_t"),
+        F.sum("all_n").alias("before_a"), F.count("*").alias("kinds_a"),
+    )
+    befores = materialize(befores, "befores")
+
+    def loss(n: str, before: str, kinds: str, unigram: str, of: int) -> Column:
+        low = (F.col(unigram) + 1) / F.lit(float(of + total["size"] + 2))
+        seen = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col(before) + DISCOUNT * F.col(kinds) / F.col(before) * low
+        return -F.log(F.when(F.col(before) > 0, seen).otherwise(low))
+
+    def model(part: DataFrame) -> DataFrame:
+        both = _looked_up(part, befores, "before", F.col("before_a") > every / HOT_WORDS)
+        both = _looked_up(both, words, "word", F.col("a") > every / HOT_WORDS)
+        target = loss("target_n", "before_t", "kinds_t", "t", targets)
+        return both.select("before", "word", target.alias("target"), loss("all_n", "before_a", "kinds_a", "a", every).alias("background"))
+
+    common = F.col("all_n") > every / HEAD
+    return model(cells.filter(~common)), model(cells.filter(common))
+
+
+def cross_entropy_difference(documents: DataFrame, targets: DataFrame, size: int | None = None) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) for every row of ``documents`` (doc_id, text).
 
     ``targets`` names the target documents by doc_id. The losses are means per word in nats
     and ``score`` is target_loss - background_loss. Null and empty texts have no words and
     zero for all. A null doc_id is never a target; rows that repeat a target's doc_id are
     targets too. Without any target the score is 0 for all. Repeated rows are counted and
-    returned as often as they occur. Other columns play no part.
+    returned as often as they occur. Other columns play no part. With ``size``, only the most
+    frequent words are told apart and all others are one unknown word.
     """
-    known = vocabulary(documents, size)
-    ids = materialize(word_ids(documents, known), "ids")
-    size = len(known) + 2
+    known = None if size is None else vocabulary(documents, size)
     named = targets.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
-    flagged = ids.join(named, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    model = train(flagged, size)
+    flagged = documents.select("doc_id", "text").join(named, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    rare, common = train(flagged, known)
+    head = common.toArrow()  # fewer than HEAD
+    head_words = [head[c].to_numpy().view(np.uint64) for c in ("before", "word")]
+    order = np.argsort(keys := _pairs(*head_words))
+    keys, values = keys[order], np.stack([head[c].to_numpy()[order] for c in ("target", "background")]).astype("<f4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((len(batch), 3))
-            for at, row in enumerate(batch.column(1)):
-                own = np.frombuffer(row.as_buffer() or b"", "<u2").astype(np.int64)
-                if len(own):
-                    both = model[:, np.append(size - 1, own[:-1]), own].astype(np.float64).mean(1)
-                    found[at] = len(own), *both
-            columns = [batch.column(0), pa.array(found[:, 0].astype(np.int64)), *map(pa.array, (found[:, 1], found[:, 2], found[:, 1] - found[:, 2]))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInArrow(run, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+            rows = batch.column(0).to_numpy()
+            for row, words, before, first in _words(batch.column(2), known):
+                docs, n_words = len(first) - 1, np.diff(first)
+                own, pair = np.repeat(np.arange(docs), n_words), _pairs(before, words)
+                place = np.searchsorted(keys, pair).clip(max=max(len(keys) - 1, 0))
+                met = keys[place] == pair if len(keys) else np.zeros(len(pair), bool)
+                sums = [np.bincount(own[met], v[place[met]], docs) for v in values]
+                # The row itself, at a place where no bigram is, and its other bigrams.
+                ids = rows[row : row + docs]
+                yield out([ids, batch.column(1).slice(row, docs), n_words, *sums, ids, np.full(docs, -1), np.zeros(docs)])
+                rest = np.flatnonzero(~met)
+                _, at, n = np.unique(mix(pair[rest] + mix((own[rest] + 1).astype(np.uint64) * BASE)), return_index=True, return_counts=True)
+                at = rest[at]
+                none, zero = pa.nulls(len(at), batch.column(1).type), np.zeros(len(at))
+                yield out([ids[own[at]], none, zero, zero, zero, before[at].view(np.int64), words[at].view(np.int64), n])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = {"row": "long", "doc_id": kind, "n_words": "long", "t": "double", "b": "double", "before": "long", "word": "long", "n": "long"}
+
+    def out(columns: list) -> pa.RecordBatch:
+        kinds = {"long": pa.int64(), "double": pa.float64()}
+        arrays = [c if name == "doc_id" else pa.array(c.astype(kinds[schema[name]].to_pandas_dtype())) for name, c in zip(schema, columns)]
+        return pa.RecordBatch.from_arrays(arrays, list(schema))
+
+    numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = numbered.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in schema.items()))
+    lost = parts.join(rare, ["before", "word"], "left")
+    summed = lost.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"),
+        *(F.sum(F.col(own) + F.col("n") * F.coalesce(loss, F.lit(0.0))).alias(loss) for own, loss in (("t", "target"), ("b", "background"))),
+    )
+    mean = lambda loss: F.when(F.col("n_words") > 0, F.col(loss) / F.col("n_words")).otherwise(0.0)
+    scored = summed.select("doc_id", "n_words", mean("target").alias("target_loss"), mean("background").alias("background_loss"))
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -67,3 +67,21 @@ def test_odd_rows(spark):
     assert all(r.score == 0 for r in got if r.n_words == 0)
     assert {r.score for r in lm.cross_entropy_difference(df, targets.limit(0)).collect()} == {0.0}
     assert lm.cross_entropy_difference(df.limit(0), targets).count() == 0
+
+
+def test_every_word_has_its_own_counts(spark):
+    """More words than any fixed vocabulary holds, common bigrams and rare ones."""
+    rng = random.Random(5)
+    docs = [(i, " ".join([rng.choice(["a b", "b a"]), *(f"r{rng.randrange(6000)}" for _ in range(60))])) for i in range(150)]
+    targets = set(range(0, 150, 3))
+    df = table(spark, "doc_id long, text string", docs).repartition(3)
+    marks = table(spark, "doc_id long", [(t,) for t in targets])
+    head, lm.HEAD = lm.HEAD, 256  # most bigrams are joined
+    try:
+        got = {r.doc_id: r for r in lm.cross_entropy_difference(df, marks).collect()}
+    finally:
+        lm.HEAD = head
+    assert len({w for _, t in docs for w in words(t)}) > 4000 and len(got) == 150
+    for k, n, target, background in brute(docs, targets, 1 << 20):
+        assert got[k].n_words == n
+        assert abs(got[k].target_loss - target) < 1e-4 and abs(got[k].background_loss - background) < 1e-4
