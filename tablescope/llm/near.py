@@ -12,7 +12,8 @@ rarest shingles of each, chosen such that two sets that link must share one. The
 stars again, with more centres each time, until what is left of every bucket is one
 component or has been compared; no bucket is capped and nothing is compared within a confirmed component.
 
-Texts that are equal count as one node, so large groups of copies cost one comparison.
+A node is a text: equal texts are one node, so large groups of copies cost one comparison,
+and different texts are different nodes, also under one doc_id.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from tablescope.session import materialize
 BINS, ROWS = 128, 4
 #: Donors that an empty bin asks, in this order; the first full bin of all if none of them is.
 DONORS = np.random.default_rng(17).integers(0, BINS, (BINS, 512))
-#: Nodes are doc_ids below this; above are nodes of texts that no doc_id names.
+#: A node below this is the smallest doc_id of its text; above are numbered those of further texts of a doc_id and of no doc_id.
 NAMELESS = 1 << 62
+#: Parts into which the rows of one component are dealt when its smallest doc_id is looked up.
+SALTS = 64
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -193,24 +196,36 @@ def _key(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def _nodes(documents: DataFrame, text: str, percent: int) -> DataFrame:
-    """(doc_id, key, n_shingles, node, label) for every row; rows of one component have one label."""
+def _texts(sketches: DataFrame) -> DataFrame:
+    """(key, low, n_shingles, node) for every text, ``low`` being its smallest doc_id. The first text of a doc_id has it as its node."""
+    texts = sketches.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"))
+    first = texts.filter(F.col("low") < NAMELESS).groupBy("low").agg(F.min("key").alias("key")).withColumn("first", F.lit(True))
+    numbered = texts.join(first, ["low", "key"], "left").withColumn("n", F.monotonically_increasing_id())
+    node = F.when(F.col("first"), F.col("low")).otherwise(F.col("n").bitwiseOR(F.lit(NAMELESS)))
+    return materialize(numbered.select("key", "low", "n_shingles", node.alias("node")), "texts")
+
+
+def _nodes(documents: DataFrame, text: str, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, key, n_shingles, node, low, label) for every row, and (label, least) of components with numbered nodes.
+
+    Rows of one component have one label. Its smallest doc_id is the smallest of label (below
+    NAMELESS), least and low.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = documents.select(F.col("doc_id").cast("long"), _key(text).alias("key"), body.alias("text"))
     sketches = materialize(keyed.mapInArrow(_sketches, "doc_id long, key binary, n_shingles long, bands array<long>"), "sketches")
 
-    nameless = F.xxhash64("key").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
-    texts = sketches.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    named = sketches.join(texts.select("key", F.coalesce("doc_id", nameless).alias("node")), "key")
+    texts = _texts(sketches)
+    named = sketches.join(texts.select("key", "low", "node"), "key")
     # Equal texts have equal bands: their buckets hold one node, which the first count drops.
     members = named.filter("n_shingles > 0").select("node", F.explode("bands").alias("band")).distinct()
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     members = materialize(members.join(crowded, "band"), "members")
 
     wanted = members.select("node").distinct()
-    nodes = texts.filter("n_shingles > 0").select("key", F.coalesce("doc_id", nameless).alias("node")).join(wanted, "node", "left_semi")
-    # Joined by the node's own doc_id as well, so copies of a text don't meet.
-    own = keyed.select(F.coalesce("doc_id", nameless).alias("node"), "key", "text").join(nodes, ["node", "key"])
+    nodes = texts.filter("n_shingles > 0").join(wanted, "node", "left_semi").select("node", "low", F.col("key").alias("own"))
+    # Joined by the text's smallest doc_id as well, so copies of a text don't meet.
+    own = keyed.join(nodes, F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("key") == F.col("own")))
     once = own.groupBy("node").agg(F.min("text").alias("text"))
     sets = materialize(once.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
 
@@ -224,24 +239,35 @@ def _nodes(documents: DataFrame, text: str, percent: int) -> DataFrame:
         if buckets.isEmpty():
             break
         buckets, centres = found.prefix_stars(buckets, centres), 8 * centres
-    labels = found.labels
-    return _labelled(named.select("doc_id", "key", "n_shingles", "node"), labels)
+    least = None
+    if found.labels is not None:
+        numbered = texts.filter((F.col("node") >= NAMELESS) & F.col("low").isNotNull()).join(found.labels, "node")
+        least = numbered.groupBy("label").agg(F.min("low").alias("least"))
+    return _labelled(named.select("doc_id", "key", "n_shingles", "node", "low"), found.labels), least
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", percent: int = 75) -> DataFrame:
     """One row (doc_id, text_md5, n_shingles, component_id, kept) per row of ``documents``.
 
     Documents with a similarity of ``percent`` or more are linked; ``component_id`` is the
-    smallest doc_id (below 2^62) reachable over links and equal texts, and ``kept`` marks the
+    smallest doc_id reachable over links and equal texts, and ``kept`` marks the
     rows whose doc_id it is. ``text_md5`` is that of the text, or of '' for a null text.
 
     Null and empty texts, and texts without words, have no shingles and are linked with
     nothing. A component in which no doc_id is known has a null ``component_id`` and its
-    rows are kept. Different texts under one doc_id are one document, compared by the
-    smallest of those texts. Repeated rows are all returned. Other columns play no part. An empty table gives no rows.
+    rows are kept. Different texts under one doc_id are told apart: every row goes by its own
+    text, so a doc_id may stand in several components, be kept for one text and not for
+    another, and unlike texts have one ``component_id`` only if the same doc_id is the smallest of
+    both. Repeated rows are all returned. Other columns play no part. An empty table gives no rows.
     """
-    rows = _nodes(documents, text, percent)
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("label") < NAMELESS, F.col("label"))
+    rows, least = _nodes(documents, text, percent)
+    lowest = [F.when(F.col("label") < NAMELESS, F.col("label")), F.col("low")]
+    if least is not None and not (least := materialize(least, "least")).isEmpty():
+        # A large component is dealt out by its rows.
+        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["label", "salt"], "left")
+        lowest.append(F.col("least"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.least(*lowest))
     return rows.select(
         "doc_id", F.lower(F.hex("key")).alias("text_md5"), "n_shingles",
         component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
@@ -253,10 +279,10 @@ def keep_one(documents: DataFrame, text: str = "text", percent: int = 75) -> Dat
 
     If no doc_id is known or several rows share it, the smallest MD5 of the text decides; of
     rows equal in both one stays. Rows without words are no duplicates of anything and all
-    stay. All columns are kept.
+    stay, and different texts of one doc_id are duplicates only if they are linked. All columns are kept.
     """
     wordless = F.coalesce(F.col(text), F.lit("")).rlike("^[\\x20\\x09-\\x0D]*$")
-    found = _nodes(documents, text, percent).filter("n_shingles > 0")
+    found = _nodes(documents, text, percent)[0].filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
     best = found.groupBy("label").agg(F.min(order).alias("best")).select("best.doc_id", "best.key")
     best = best.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -80,3 +81,21 @@ def test_links_between_points_of_a_star(spark):
     texts += [t + " " + word() for t in texts[50:60]] + [word() + " " + t for t in texts[55:65]]
     got = {r.doc_id: r.component_id for r in near.near_duplicates(table(spark, "doc_id long, text string", list(enumerate(texts)))).collect()}
     assert got == components(range(len(texts)), near_links(dict(enumerate(texts))))
+
+
+def test_different_texts_of_one_doc_id(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(1, a), (1, b), (5, b), (7, b + " more"), (3, a + " more"), (3, c), (4, c + " end"), (2, d), (2, d + " end"), (6, e), (6, f), (None, f), (None, g), (None, g + " end"), (1 << 62, e)]
+    df = table(spark, "doc_id long, text string", rows)
+    got = {(r.doc_id, r.text_md5): (r.component_id, r.kept) for r in near.near_duplicates(df).collect()}
+    of = lambda doc, body: got[doc, hashlib.md5(body.encode()).hexdigest()]
+    assert [of(*row) for row in rows] == [
+        (1, True), (1, True), (1, False), (1, False), (1, False), (3, True), (3, False), (2, True), (2, True),
+        (6, True), (6, True), (6, False), (None, True), (None, True), (6, False),
+    ]
+    left = {(r.doc_id, r.text) for r in near.keep_one(df).collect()}
+    # No text goes that isn't like one that stays.
+    assert left - {(None, g), (None, g + " end"), (2, d), (2, d + " end")} == {(1, a), (1, b), (3, c), (6, e), (6, f)}
+    assert len(left) == 7
