@@ -2,8 +2,11 @@
 
 All in DataFrame functions. A document's words are hashed into shingles of five. Wherever
 a run of shingles starts that also stand in an item, at the same distances, the document
-has a window of the item's length; any window similar enough to an item holds such a
-run, and windows start where the item would start. The SimHash of a window is compared
+has windows of the item's length: one from there and one where the item would start. No
+window anywhere is more similar than the best of these: one can be moved right to the next
+shared shingle without losing any, and from within a run left to its start, as a shared
+shingle comes in for each that goes out. Only if that shingle stands in the window
+already this may lose one, so there a window starts as well. The SimHash of a window is compared
 with the items' by a multi-index: fingerprints are cut into ``BLOCKS`` blocks, and two of
 them within ``RADIUS`` bits differ by at most RADIUS // BLOCKS bits in some block, so an
 item is posted under every block value within that distance. Whatever shares a posting
@@ -25,10 +28,10 @@ from pyspark.sql import functions as F
 from tablescope.session import materialize
 
 WORDS = 5
-#: Two fingerprints of 64 bits within RADIUS bits agree in one of the blocks but for two bits.
-RADIUS, BLOCKS = 17, 6
-#: Shingles of the items that are looked up at once: about 20 MB when broadcast.
-GROUP_SHINGLES = 200_000
+#: Two fingerprints of 64 bits within RADIUS bits agree in one of the blocks but for three bits.
+RADIUS, BLOCKS = 21, 6
+#: Shingles of the items that are looked up at once: about 20 MB when broadcast; and items, each with 1280 postings.
+GROUP_SHINGLES, GROUP_ITEMS = 200_000, 2000
 
 
 def words(text: str) -> Column:
@@ -93,7 +96,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(documents: DataFrame, places: DataFrame, size: int, text: str) -> DataFrame:
-    """(doc_id, start, window) where a run of an item's shingles starts.
+    """(doc_id, start, window) where a run of an item's shingles starts, and where an item with this run would.
 
     ``places`` (bounded): the items' shingles of this size as (shingle, before, at, n), with
     the shingle before it in the item, its place from 0 and the item's number of shingles.
@@ -102,10 +105,15 @@ def windows(documents: DataFrame, places: DataFrame, size: int, text: str) -> Da
     # The outer form: from the inner one a filter is inferred and pushed down, which works the lists out once more.
     each = hashed.select("doc_id", "all", F.posexplode_outer("all").alias("p", "shingle"))
     met = each.join(F.broadcast(places), "shingle")
-    # Only where a run starts: the shingle before is not the item's.
-    met = met.filter((F.col("p") == 0) | F.col("before").isNull() | ~F.expr("all[p - 1]").eqNullSafe(F.col("before")))
-    start = F.greatest(F.col("p") - F.col("at"), F.lit(0))
-    return met.select("doc_id", start.alias("start"), F.slice("all", start + 1, F.col("n")).alias("window"))
+    # Only where a run starts: the shingle before is not the item's; or where that shingle comes again in the window.
+    starts = (F.col("p") == 0) | F.col("before").isNull() | ~F.expr("all[p - 1]").eqNullSafe(F.col("before"))
+    again = F.expr("p > 0 AND array_contains(slice(all, p + 1, n), all[p - 1])")
+    met = met.withColumn("run", starts).filter(F.col("run") | again)
+    # A window from p has the whole length where the document allows it.
+    whole = F.greatest(F.least(F.col("p"), F.size("all") - F.col("n")), F.lit(0))
+    aligned = F.when(F.col("run"), F.greatest(F.col("p") - F.col("at"), F.lit(0))).otherwise(whole)
+    met = met.select("doc_id", "all", "n", F.explode(F.array_distinct(F.array(whole, aligned))).alias("start"))
+    return met.select("doc_id", "start", F.slice("all", F.col("start") + 1, F.col("n")).alias("window"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", percent: int = 75) -> DataFrame:
@@ -121,10 +129,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     either table play no part. Empty tables give no rows.
     """
     items = materialize(_items(benchmark), "items")
-    sizes = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # five rows at most
+    parts = F.greatest(F.ceil(F.sum("n") / GROUP_SHINGLES), F.ceil(F.count("*") / GROUP_ITEMS))
+    sizes = {r["size"]: r["groups"] for r in items.groupBy("size").agg(parts.alias("groups")).collect()}  # five rows at most
     found = None
-    for size, total in sorted(sizes.items()):
-        groups = -(-total // GROUP_SHINGLES)
+    for size, groups in sorted(sizes.items()):
         for group in range(groups):
             part = items.filter((F.col("size") == size) & (F.pmod(F.xxhash64("item_id", "item"), F.lit(groups)) == group))
             hits = _group(documents, part, size, text, percent)
@@ -145,12 +153,12 @@ def _group(documents: DataFrame, items: DataFrame, size: int, text: str, percent
     places = each.select("shingle", before.alias("before"), "at", "n").distinct()
     seen = windows(documents, places, size, text).distinct()
     seen = materialize(seen.withColumn("mark", simhash(F.col("window"))), "windows")
-    posted = items.withColumn("item_mark", simhash(F.col("item")))
-    posted = posted.withColumn("posting", F.explode(postings(F.col("item_mark"), RADIUS // BLOCKS)))
-    posted = posted.select("item_id", "item", "item_mark", "posting")
+    marked = items.withColumn("item_key", F.xxhash64("item_id", "item")).withColumn("item_mark", simhash(F.col("item")))
+    posted = marked.select("item_key", "item_mark", F.explode(postings(F.col("item_mark"), RADIUS // BLOCKS)).alias("posting"))
     asked = seen.withColumn("posting", F.explode(postings(F.col("mark"))))
     # As many postings as the items of one group allow: bounded like the shingles.
     near = asked.join(F.broadcast(posted), "posting")
     near = near.filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS)
+    near = near.select("doc_id", "start", "window", "item_key").distinct().join(F.broadcast(marked.select("item_key", "item_id", "item")), "item_key")
     near = near.select("doc_id", "item_id", "start", similarity(F.col("window"), F.col("item")).alias("similarity"))
     return near.filter(F.col("similarity") >= percent / 100)

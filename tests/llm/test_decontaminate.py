@@ -74,3 +74,23 @@ def test_postings_cover_the_radius(spark):
     df = table(spark, "i int, a long, b long", rows)
     shared = F.arrays_overlap(dc.postings(F.col("a"), dc.RADIUS // dc.BLOCKS), dc.postings(F.col("b")))
     assert df.filter(shared).count() == 300
+
+
+def test_moved_and_repeated_parts(spark):
+    """Windows that start where no item would: the end of the item stands first, or parts come twice."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 7)))
+    some = lambda n: [word() for _ in range(n)]
+    items, docs = {}, {}
+    for i, (size, moved) in enumerate([(59, 9), (59, 15), (38, 6), (45, 12), (70, 20)]):
+        w = some(size)
+        items[i] = " ".join(w)
+        docs[10 * i] = " ".join([*some(80), *w[-moved:], *w[:-moved], *some(80)])
+        docs[10 * i + 1] = " ".join([*w[-moved:], *w[:-moved]])
+        docs[10 * i + 2] = " ".join([*some(40), *w[:10], *w[:-moved], *w[-moved:], *some(2)])
+        docs[10 * i + 3] = " ".join([*some(40), *w[5:], *w[:9]])
+    table_of = lambda name, rows: table(spark, f"{name} long, text string", list(rows.items()))
+    got = {(r.doc_id, r.item_id): r.similarity for r in dc.contaminated(table_of("doc_id", docs), table_of("item_id", items)).collect()}
+    want = brute(docs, items)
+    assert len(want) >= 15 and want.keys() <= got.keys()
+    assert all(got[k] >= want[k] - 1e-9 for k in want)
