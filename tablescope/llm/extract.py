@@ -30,6 +30,8 @@ BESIDE = re.compile(
     r"copyright|legal|disclaimer|toolbar|search|pager|pagination|tags?|meta|byline|complementary|contentinfo|navigation|search|form)(?:$|[-_ ])"
 )
 CONTENT = re.compile(r"(?:^|[-_ ])(?:article\w*|content|main|post|entry|story|text|body)(?:$|[-_ ])")
+#: Only these can stand in a head; any other tag ends one that is open.
+IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript template noframes".split())
 #: These can't stand in each other: the next one ends the one before.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -62,6 +64,8 @@ class Blocks(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.flush()
+        if tag not in IN_HEAD:  # the end tag of the head was left out
+            self.end_head()
         if tag in VOID:
             return
         if tag in SIBLINGS:  # an end tag was left out
@@ -92,6 +96,11 @@ class Blocks(HTMLParser):
             if tag in INLINE and self.open[at][0] not in INLINE:
                 return  # an inline end tag closes nothing beyond its block
 
+    def end_head(self) -> None:
+        # What stands in an element within the head, such as a template, is not the page's body.
+        if self.open and self.open[-1][0] == "head":
+            self.end(len(self.open) - 1)
+
     def end(self, at: int) -> None:
         for tag, *_ in self.open[at:]:
             self.count(tag, -1)
@@ -103,6 +112,8 @@ class Blocks(HTMLParser):
         self.heading += step * (tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if not self.silent:
             self.parts.append((data, self.link > 0))
 

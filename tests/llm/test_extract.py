@@ -42,3 +42,13 @@ def test_rows(spark):
     words = " ".join(["some words here"] * 30000)
     assert sorted(got, key=str) == sorted([(1, "é", 1), (2, "", 0), (None, "", 0), (3, words, len(words)), (3, words, len(words))], key=str)
     assert out.columns == ["page_id", "url", "html", "text", "n_chars"] and extract.extract(df.limit(0)).count() == 0
+
+
+def test_head_without_end_tag():
+    body = "<nav><a>Home</a></nav><article><p>a long enough text</p><p>end</article>"
+    top = "<html><head><title>T</title><meta charset=utf-8><style>p{}</style><script>1</script>"
+    for page in (f"{top}<body>{body}", f"{top}\n{body}", f"{top}<noscript><p>no</p></noscript><link href=x>{body}", f"{top}</head><body>{body}"):
+        assert extract.main_text(page, tree()) == "a long enough text end"
+    assert extract.page_blocks("<head><title>T</title><style>p</style> Words <p>more")[0][0] == "Words"
+    # An image ends the head as well.
+    assert extract.page_blocks("<head><title>T</title><img src=x>Words")[0][0] == "Words"
