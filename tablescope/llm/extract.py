@@ -9,7 +9,8 @@ grown on the small table of labelled blocks below, says which blocks are main te
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,17 +24,23 @@ SILENT = frozenset("script style noscript template svg math head title iframe ob
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
 FRAME = frozenset("nav header footer aside form menu dialog fieldset figure".split())
+#: Those of them that an article may not stand in; a form or a header may hold the whole page.
+APART = FRAME - {"form", "header"}
 #: Words in class, id or role that tell of something beside the main text.
 BESIDE = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|nav\w*|menu|breadcrumb\w*|header|masthead|foot\w*|cookie\w*|consent|"
     r"notice|alert|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommend\w*|comment\w*|replies|reply|respond|widget|"
     r"copyright|legal|disclaimer|toolbar|search|pager|pagination|tags?|meta|byline|complementary|contentinfo|navigation|search|form)(?:$|[-_ ])"
 )
+#: Those of them that tell so of an article, too; the others may name a whole page, as on a page of search results.
+ASIDE = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|comment\w*|replies|reply|respond)(?:$|[-_ ])")
 CONTENT = re.compile(r"(?:^|[-_ ])(?:article\w*|content|main|post|entry|story|text|body)(?:$|[-_ ])")
 #: Only these can stand in a head; any other tag ends one that is open.
 IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript template noframes".split())
 #: These can't stand in each other: the next one ends the one before.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: An element that lacks its end tag is not looked for beyond these.
+WALLS = ("ul", "ol", "table", "div", "article", "dl", "section")
 
 FEATURES = (
     "words", "links", "words_before", "links_before", "words_after", "links_after", "beside", "in_article", "in_content", "heading",
@@ -45,22 +52,35 @@ class Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, and whether it is beside, in an article, in content
+        # Open elements: tag, and whether it is beside, in an article, in content, in something that is beside any article.
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # where a tag is open; "" is any tag that ends a block
         self.silent, self.link, self.heading = 0, 0, 0
         self.parts: list[tuple[str, bool]] = []
         self.found: list[tuple] = []
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def state(self) -> tuple[bool, bool, bool, bool]:
+        return self.open[-1][1:] if self.open else (False, False, False, False)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element with one of these tags, -1 if there is none."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
 
     def flush(self) -> None:
         text = " ".join("".join(part for part, _ in self.parts).split())
         if text:
             linked = sum(len(part.split()) for part, is_link in self.parts if is_link)
             count = len(text.split())
-            self.found.append((text, count, min(linked, count), *self.state(), self.heading > 0))
+            self.found.append((text, count, min(linked, count), *self.state()[:3], self.heading > 0))
         self.parts = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections such as ``<![CDATA[ ]]>`` and declarations of unknown kind are comments."""
+        if not self.rawdata.startswith("<![CDATA[", i):
+            return self.parse_bogus_comment(i, 0)
+        end = self.rawdata.find("]]>", i)
+        return end + 3 if end >= 0 else -1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.flush()
@@ -69,32 +89,33 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         if tag in SIBLINGS:  # an end tag was left out
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] in SIBLINGS[tag]:
-                    self.end(at)
-                    break
-                if self.open[at][0] in ("ul", "ol", "table", "div", "article", "dl", "section"):
-                    break
-        beside, article, content = self.state()
+            before = self.last(SIBLINGS[tag])
+            if before > self.last(WALLS):
+                self.end(before)
+        beside, article, content, aside = self.state()
         names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
         hidden = any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
         if tag in ("html", "body"):
             names = ""
-        beside = beside or tag in FRAME or hidden or bool(BESIDE.search(names))
+        aside = aside or hidden or tag in APART or bool(ASIDE.search(names))
+        if tag in ARTICLE and not article:  # names of the page around it, and its own, don't put an article beside
+            beside = aside
+        else:
+            beside = beside or tag in FRAME or hidden or bool(BESIDE.search(names))
         article = article or tag in ARTICLE
         content = content or tag in ARTICLE or bool(CONTENT.search(names))
-        self.open.append((tag, beside, article, content))
+        self.open.append((tag, beside, article, content, aside))
+        self.places[tag].append(len(self.open) - 1)
+        if tag not in INLINE:
+            self.places[""].append(len(self.open) - 1)
         self.count(tag, 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self.end(at)
-                return
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                return  # an inline end tag closes nothing beyond its block
+        at = self.last((tag,))
+        if at >= 0 and not (tag in INLINE and self.last(("",)) > at):  # an inline end tag closes nothing beyond its block
+            self.end(at)
 
     def end_head(self) -> None:
         # What stands in an element within the head, such as a template, is not the page's body.
@@ -104,6 +125,9 @@ class Blocks(HTMLParser):
     def end(self, at: int) -> None:
         for tag, *_ in self.open[at:]:
             self.count(tag, -1)
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.places[""].pop()
         del self.open[at:]
 
     def count(self, tag: str, step: int) -> None:

@@ -11,8 +11,6 @@ the number of windows rises.
 from __future__ import annotations
 
 import heapq
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,8 +28,8 @@ SEQUENCE = 2048
 PIECE = 512
 #: Tokens of pieces in a block, about, and so the work of one group.
 BLOCK_TOKENS = 128 * SEQUENCE
-#: Pieces of text whose token ids a task remembers.
-REMEMBERED = 1_500_000
+#: Bytes, about, that a task spends on remembering the token ids of parts of text.
+REMEMBERED = 64 << 20
 #: Marks that may follow a word.
 MARKS = ".,!?;:|#$%&*"
 #: The id after each document.
@@ -68,7 +66,6 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
 def deal(sizes: np.ndarray, capacity: int = SEQUENCE) -> np.ndarray:
     """The window of each piece, in as few windows as differencing manages within the capacity."""
     windows = max(1, -(-int(sizes.sum()) // capacity))
-    windows += windows // 125  # many windows never come out full to the last token
     while True:
         window = difference(sizes, windows)
         if not len(sizes) or np.bincount(window, weights=sizes).max() <= capacity:
@@ -82,7 +79,7 @@ class Encoder:
     The vocabulary's pattern never joins characters across a space or a line break that
     has no other white space beside it. So texts are cut there, each part is encoded once
     and remembered, and the parts' ids are put together. Texts with any other white space
-    are encoded as a whole.
+    or with the string of a special token are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -93,10 +90,9 @@ class Encoder:
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # A worker process runs many tasks: what one has learned serves the next.
-        kept = sys.modules.setdefault("tablescope_parts", types.ModuleType("tablescope_parts"))
-        self.known: dict[str, bytes] = kept.__dict__.setdefault(path, {})
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.held = 0
         self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str], letters: bool = False) -> list[bytes]:
@@ -110,10 +106,13 @@ class Encoder:
         once for all marks they occur with, and without the pattern. A part with white
         space in it stays unknown.
         """
-        if len(self.known) + len(parts) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         plain, words, cores, tails, other = [], [], [], [], []
-        for part in parts.difference(self.known):
+        new = parts.difference(self.known)
+        self.held += sum(map(len, new)) + 200 * len(new)  # the objects and the place in the table
+        for part in new:
             breaks = part[:1] == "\n"
             text = part[1:] if breaks else part
             core = text.rstrip(MARKS)
@@ -137,6 +136,8 @@ class Encoder:
         self._learn(set().union(*cut))
         for text, parts in zip(texts, cut):
             try:
+                if any(token in text for token in self.special):
+                    raise KeyError
                 yield b"".join(map(self.known.__getitem__, parts))[len(self.line) :]
             except KeyError:
                 yield self._ids([text])[0]
@@ -186,20 +187,19 @@ def pack(documents: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     no pieces. Sequence ids are unique, not gapless.
 
     Blocks are made by a hash of the pieces, so no block depends on where a document lies,
-    and their number follows the number of tokens.
+    and their number follows the number of tokens. Full sequences need no block: each gets
+    a number by its place in the table of pieces.
     """
     cut = materialize(pieces(documents, tokenizer, text), "pieces")
-    tokens = cut.agg(F.sum(F.when(F.col("length") < SEQUENCE, F.col("length"))).alias("n")).first()["n"] or 0
+    full, part = cut.filter(F.col("length") == SEQUENCE), cut.filter(F.col("length") < SEQUENCE)
+    tokens = part.agg(F.sum("length").alias("n")).first()["n"] or 0
     count = max(1, round(tokens / BLOCK_TOKENS))
     block = F.pmod(F.xxhash64("doc_id", "ids_crc32", "salt", "start"), F.lit(count))
 
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "salt")])
         size, number = table["length"].to_numpy(), int(table["block"][0].as_py())
-        full = size == SEQUENCE
-        window = np.empty(len(size), np.int64)
-        window[~full] = deal(size[~full])
-        window[full] = window[~full].max(initial=-1) + 1 + np.arange(full.sum())
+        window = deal(size)
         order = np.argsort(window, kind="stable")
         ends = np.cumsum(size[order])
         first = np.flatnonzero(np.append(True, np.diff(window[order]) > 0))
@@ -208,4 +208,7 @@ def pack(documents: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
         placed = placed.append_column("sequence_id", pa.array((number << 32) + window[order]))
         return placed.append_column("offset", pa.array(ends - size[order] - base))
 
-    return cut.withColumn("block", block).groupBy("block").applyInArrow(place, PLACED)
+    # Block numbers are below count, so these ids are beyond those of all windows.
+    own = (F.lit(count << 32) + F.monotonically_increasing_id()).alias("sequence_id")
+    alone = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", own, F.lit(0).cast("long").alias("offset"))
+    return part.withColumn("block", block).groupBy("block").applyInArrow(place, PLACED).unionAll(alone)

@@ -44,7 +44,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     for order in ORDERS:
         while have < order:  # h(n) = h(n - 1) * p + next byte
             rolled = rolled * np.uint64(0x9E3779B97F4A7C15)
-            rolled[: len(data) - have] += data[have:]
+            rolled[: max(0, len(data) - have)] += data[have:]
             have += 1
         yield mix(rolled), left >= order
 
@@ -74,7 +74,11 @@ def _candidates(texts: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndar
     shift, counts = np.uint64(64 - COUNT_BITS), np.zeros((2, 1 << COUNT_BITS), np.int32)
     for row, hashes in _distinct(texts):
         np.add.at(counts[int(label[row])], (hashes >> shift).astype(np.int64), 1)
-    best = np.argpartition(-_worth(counts[1], counts[0], label)[1], 4 * FEATURES)[: 4 * FEATURES]
+    worth = np.empty(1 << COUNT_BITS, np.float32)
+    for low in range(0, len(worth), 1 << 18):  # in pieces, so no table of 64-bit numbers is held
+        piece = slice(low, low + (1 << 18))
+        worth[piece] = _worth(counts[1, piece], counts[0, piece], label)[1]
+    best = np.argpartition(worth, len(worth) - 4 * FEATURES)[-4 * FEATURES :]
     good = np.zeros(1 << COUNT_BITS, bool)
     good[best] = True
     rows, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]

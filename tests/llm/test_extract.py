@@ -52,3 +52,33 @@ def test_head_without_end_tag():
     assert extract.page_blocks("<head><title>T</title><style>p</style> Words <p>more")[0][0] == "Words"
     # An image ends the head as well.
     assert extract.page_blocks("<head><title>T</title><img src=x>Words")[0][0] == "Words"
+
+
+def test_odd_markup():
+    """Declarations of unknown kind are comments; none ends the page."""
+    text = "<article><p>a long enough text</p>{}<p>end</article>"
+    for odd in ("<![foo[x]]>", "<![>", "<![CDATA[ <p>no</p> ]]>", "<![if !IE]>", "<![endif]-->", "<!x>", "<?php x ?>", "<!DOCTYPE", "<![", "<![CDATA[", "<!--", "</", "<", "&#", "&"):
+        assert extract.main_text(text.format(odd), tree()).startswith("a long enough text")
+    rng = np.random.default_rng(4)
+    bits = ["<![", "foo[", "]]>", "<!", "--", ">", "<", "</", "p", "div", "article", "a", " ", "x", '"', "=", "&", "#", ";", "CDATA[", "?", "script", "head"]
+    for _ in range(2000):
+        extract.main_text("".join(rng.choice(bits, 12)), tree())
+
+
+def test_names_around_an_article():
+    body = "<p>a long enough text of quite some words</p><p>end</p>"
+    want = "a long enough text of quite some words end"
+    for page in (
+        f'<article class="meta">{body}</article>', f'<div class="search-page"><article>{body}</article></div>',
+        f'<main class="article-tags">{body}</main>', f"<form><main>{body}</main></form>",
+        f'<article>{body}<section class="comments"><article><p>I like it a lot, it is good.</p></article></section></article>',
+        f'<article>{body}</article><div class="comments"><article><p>I like it a lot, it is good.</p></article></div>',
+        f'<article>{body}</article><article class="comment"><p>I like it a lot, it is good.</p></article>',
+        f'<article><div class="share"><p>Share this with all of your friends now</p></div>{body}</article><aside><article><p>Another one of ours.</p></article></aside>',
+    ):
+        assert extract.main_text(page, tree()) == want
+
+
+def test_deep_pages_take_time_in_proportion():
+    deep = "<article><p>some text</p>" + "<div><b>" * 40000 + "</i></p></td>" * 40000 + "<li><dt>" * 10000 + "words here"
+    assert extract.page_blocks(deep)[0][0] == "some text" and len(extract.page_blocks(deep)) == 2

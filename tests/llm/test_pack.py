@@ -10,14 +10,12 @@ from tablescope.llm import pack
 from tests_llm_tools import table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "a  b", "a\n\nb", " x", "x ", "a \n b", "a\n b\t c", "\n", "é b c", "it's <|endoftext|> ok", "a\nb\nc", "a b c",
+ODD = ["", " ", "a  b", "a\n\nb", " x", "x ", "a \n b", "a\n b\t c", "\n", "é b c", "it's <|endoftext|> ok", "<|endoftext|>", "a\n<|endoftext|>b", " <|endoftext|> ", "a\nb\nc", "a b c",
        "a \x1c b", "a\n", "\na b", "\n a", "a\r\nb c", "日本 語 12 3.4", "a   b"]
 
 
 def plain():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_equal_whole_texts():
@@ -68,3 +66,15 @@ def test_every_id_once(spark):
     tokens = sum(r.length for r in got)
     assert tokens > 0.9 * 2048 * len(sequences)
     assert pack.pack(table(spark, "doc_id long, text string", []), PATH).count() == 0
+
+
+def test_full_sequences_need_no_group(spark):
+    """Documents of whole sequences are not brought together; every sequence has a number of its own."""
+    ids = len(plain().encode("word " * 8191, add_special_tokens=False).ids) + 1
+    assert ids % 2048 in (0, 1)
+    docs = table(spark, "doc_id long, text string", [(i, "word " * 8191) for i in range(60)] + [(100, "a b c")]).repartition(8)
+    out = pack.pack(docs, PATH)
+    rows = out.collect()
+    full = [r for r in rows if r.length == 2048]
+    assert len(full) >= 60 * 4 and len({r.sequence_id for r in full}) == len(full)
+    assert not {r.sequence_id for r in full} & {r.sequence_id for r in rows if r.length < 2048}

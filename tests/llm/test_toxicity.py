@@ -55,3 +55,45 @@ def test_ngrams_stay_within_rows():
         assert inside.sum() == max(0, 7 - order) + max(0, 8 - order)
         if order <= 6:
             assert hashes[0] == hashes[6]
+
+
+def test_short_texts(spark):
+    """Texts of 0 to 9 bytes, as the only row, as the only labelled one and among others."""
+    for n in range(10):
+        text = "abcdefghij"[:n]
+        data, offsets = column_bytes(pa.array([text]))
+        assert [int(inside.sum()) for _, inside in toxicity.ngrams(data, offsets)] == [max(0, n - order + 1) for order in toxicity.ORDERS]
+        sample = pa.table({"text": [text, "other words", text, text, "more of it"], "label": [1, 0, 1, 1, 0]})
+        model = toxicity.fit(sample)
+        slots = np.ones(1 << toxicity.SLOT_BITS, bool)
+        alone = toxicity.margins(model, data, offsets, slots)
+        both = toxicity.margins(model, *column_bytes(pa.array(["x", text, "some words"])), slots)
+        assert abs(alone[0] - both[1]) < 1e-12
+    docs = [(n, "abcdefghij"[:n], "s") for n in range(10)]
+    labels = [(n, n % 2, "c") for n in range(10)]
+    model = toxicity.train(table(spark, DOCS, docs), table(spark, LABELS, labels))
+    assert toxicity.score(table(spark, DOCS, docs).repartition(10), model).count() == 10
+
+
+def plain_hash(gram):
+    """The hash of an n-gram, number by number."""
+    mask = (1 << 64) - 1
+    h = 0
+    for byte in gram:
+        h = (h * 0x9E3779B97F4A7C15 + byte + 1) & mask
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = ((h ^ (h >> 33)) * factor) & mask
+    return h ^ (h >> 33)
+
+
+def test_scores_equal_sets_of_ngrams(spark):
+    docs, labels = corpus(120)
+    documents = table(spark, DOCS, docs)
+    model = toxicity.train(documents, table(spark, LABELS, labels))
+    weight = dict(zip(model["hashes"].tolist(), model["weights"].tolist()))
+    got = {r.doc_id: r.score for r in toxicity.score(documents, model).collect()}
+    for key, text, _ in docs:
+        data = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode()
+        grams = {data[i : i + n] for n in toxicity.ORDERS for i in range(len(data) - n + 1)}
+        margin = model["bias"] + sum(weight.get(plain_hash(g), 0.0) for g in grams)
+        assert abs(got[key] - 1 / (1 + np.exp(-margin))) < 1e-9
