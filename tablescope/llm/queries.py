@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, extract, language, lm, near, neighbours, pack, quality, shard, toxicity
+from tablescope.llm import decontaminate, extract, language, licenses, lm, near, neighbours, pack, quality, shard, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -87,6 +87,11 @@ def op10_loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(documents, labels.filter("quality = 1"))
 
 
+def op12_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license names and notices in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_windows": op1_simhash_windows,
     "op2_ring_shards": op2_ring_shards,
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_differencing_pack": op9_differencing_pack,
     "op10_loss_difference": op10_loss_difference,
+    "op12_diagonal_licenses": op12_diagonal_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op12_diagonal_licenses": licenses.oracle()}

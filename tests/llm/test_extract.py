@@ -62,7 +62,7 @@ def test_odd_markup():
     rng = np.random.default_rng(4)
     bits = ["<![", "foo[", "]]>", "<!", "--", ">", "<", "</", "p", "div", "article", "a", " ", "x", '"', "=", "&", "#", ";", "CDATA[", "?", "script", "head"]
     for _ in range(2000):
-        extract.main_text("".join(rng.choice(bits, 12)), tree())
+        extract.page_blocks("".join(rng.choice(bits, 12)))
 
 
 def test_names_around_an_article():
