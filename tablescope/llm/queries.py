@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, extract, language, licenses, lm, near, neighbours, pack, quality, shard, toxicity
+from tablescope.llm import decontaminate, extract, language, licenses, lm, near, neighbours, pack, quality, shard, spelling, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -92,6 +92,11 @@ def op12_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op13_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their spelling variants."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_windows": op1_simhash_windows,
     "op2_ring_shards": op2_ring_shards,
@@ -104,6 +109,7 @@ QUERIES = {
     "op9_differencing_pack": op9_differencing_pack,
     "op10_loss_difference": op10_loss_difference,
     "op12_diagonal_licenses": op12_diagonal_licenses,
+    "op13_trie_pairs": op13_trie_pairs,
 }
 
 ORACLES = {"op12_diagonal_licenses": licenses.oracle()}
