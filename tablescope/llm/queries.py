@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import decontaminate, extract, language, licenses, lm, near, neighbours, pack, quality, shard, spelling, toxicity
+from tablescope.llm import decontaminate, extract, language, licenses, lm, near, neighbours, pack, quality, repair, shard, spelling, toxicity
 from tablescope.llm.labelled import remainder
 
 
@@ -87,6 +87,11 @@ def op10_loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(documents, labels.filter("quality = 1"))
 
 
+def op11_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults and its cheapest repair."""
+    return repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op12_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license names and notices in every document."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -108,6 +113,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_differencing_pack": op9_differencing_pack,
     "op10_loss_difference": op10_loss_difference,
+    "op11_grammar_repair": op11_grammar_repair,
     "op12_diagonal_licenses": op12_diagonal_licenses,
     "op13_trie_pairs": op13_trie_pairs,
 }
