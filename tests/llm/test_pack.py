@@ -21,8 +21,28 @@ def plain():
 def test_ids_equal_whole_texts():
     want = [plain().encode(t, add_special_tokens=False).ids for t in ODD]
     encode = pack.Encoder(PATH)
-    for _ in range(2):
-        assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(ODD)] == want
+    assert encode.ranked and [np.frombuffer(ids, "<u4").tolist() for ids in encode(ODD)] == want
+    encode.ranked = None
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(ODD)] == want
+
+
+def test_ids_of_all_code_points_and_random_texts():
+    encode, whole = pack.Encoder(PATH), plain()
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b 1{c}2 {c}{c} {c}." for c in points[k : k + 16]) for k in range(0, len(points), 16)]
+    rng = random.Random(7)
+    bits = ["a", "Z", "é", " ", "  ", "\n", "\t", "1", "23", "'s", "'ll", "'", "_", "<|", "endoftext", "|>", "<|endoftext|>", "\u3000", "日", "\u0301", "😀", ".", "\x00", "\r\n", "word"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(20000)]
+    want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(texts)] == want
+
+
+def test_other_tokenizer_files_are_used_as_they_are():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, whole = pack.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Some Words  here", "", "<|endoftext|>"]
+    assert encode.ranked is None
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_differencing():
