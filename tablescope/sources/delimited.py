@@ -1,4 +1,8 @@
-"""Delimited text: header rules, ragged rows, blank rows, quoted line breaks."""
+"""Delimited text: header rules, ragged rows, blank rows, quoted line breaks.
+
+Files are read by many tasks in every case. Without quotes a line is a record; with
+quotes, the states in which splits are entered are worked out first (see ``blocks``).
+"""
 
 from __future__ import annotations
 
@@ -6,37 +10,39 @@ import csv
 import re
 from collections import Counter
 from collections.abc import Sequence
+from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions import values as V
 from tablescope.functions.values import quoted
+from tablescope.session import materialize
+from tablescope.sources import blocks
+from tablescope.sources.blocks import POSITION
 
 # Delimiters the sniffer tries and how much text it looks at.
 DELIMITERS = (",", ";", "\t", "|")
 SNIFF_CHARS = 64 * 1024
 
-_CORRUPT = "_record"
-
 
 def normalize_headers(names: Sequence[str | None]) -> list[str]:
     """Trim names and the byte order mark, name blanks ``column_i``, number repeats ``_2``, ``_3``.
 
-    Names that differ only in case are repeats: Spark would not tell them apart.
+    Names that differ only in case are repeats: Spark would not tell them apart. A number
+    that makes a name another column has already goes up until it makes a new one.
     """
     plain = [(name or "").strip("\ufeff \t\r\n").strip() or f"column_{i}" for i, name in enumerate(names, start=1)]
-    seen, taken = Counter(), set()
+    groups: dict[str, list[int]] = {}
+    for place, name in enumerate(plain):
+        groups.setdefault(name.lower(), []).append(place)
+    number = {place: k for places in groups.values() for k, place in enumerate(places, start=1)}
+    given: dict[str, str] = {}
     for place, name in enumerate(plain):
-        key = name.lower()
-        seen[key] += 1
-        numbered = name if seen[key] == 1 else f"{name}_{seen[key]}"
-        while numbered.lower() in taken:
-            seen[key] += 1
-            numbered = f"{name}_{seen[key]}"
-        taken.add(numbered.lower())
-        plain[place] = numbered
-    return plain
+        tries = (name if k == 1 else f"{name}_{k}" for k in count(number[place]))
+        own = next(t for t in tries if t.lower() not in given)
+        given[own.lower()] = own
+    return list(given.values())
 
 
 def quick_headers(names: Sequence[str | None], width: int) -> list[str]:
@@ -50,104 +56,101 @@ def _unmark(name: str | None) -> str | None:
 
 
 def has_quoted_line_breaks(spark: SparkSession, path: str, delimiter: str = ",") -> bool:
-    """Whether some line leaves a quoted cell open, so that a record may span lines.
+    """Whether some line leaves a quoted cell open, so that a record spans lines."""
+    return blocks.quote_states(blocks.lines_of(spark, path), delimiter)[1]
 
-    One splittable scan. Without such a line, records are lines and the file can be split.
-    Quotes inside a cell that doesn't begin with one (``5" pipe``) open nothing.
-    """
-    d = re.escape(delimiter)
-    closed = V.literal(f'(^|{d})"(?:[^"]|"")*+"(?=$|{d})')
-    odd = spark.read.text(path).where("(length(value) - length(replace(value, '\"', ''))) % 2 = 1")
-    left_open = odd.where(f"regexp_replace(value, {closed}, '$1') RLIKE {V.literal(f'(^|{d})' + chr(34))}")
-    return not left_open.limit(1).isEmpty()
-
-
-def _reader(spark: SparkSession, delimiter: str, multi_line: bool):
-    # Quotes double inside quoted cells; every cell stays a string, white space included.
-    return spark.read.options(
-        sep=delimiter, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE",
-        maxColumns=200_000, maxCharsPerColumn=-1, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
 
+def _stripped(value: str = "value") -> Column:
+    """A line without the carriage return of its end."""
+    return F.expr(f"CASE WHEN endswith({value}, '\\r') THEN left({value}, length({value}) - 1) ELSE {value} END")
 
-def _header(spark: SparkSession, path: str, delimiter: str, multi_line: bool) -> list[str | None]:
-    first = _reader(spark, delimiter, multi_line).csv(path, header=False)
-    row = first.limit(1).collect()
-    return [c for c in row[0]] if row else []
 
+def _plain_records(lines: DataFrame, firsts: DataFrame, delimiter: str) -> DataFrame:
+    """(path, block, at, place, cells) of files without quotes, where lines are records; ``firsts`` (at) are their headers."""
+    rows = lines.join(F.broadcast(firsts), "at", "left_anti")  # one number for a file
+    rows = rows.where(_filled("value", delimiter))
+    return rows.select("path", "block", "at", F.lit(0).alias("place"), F.split(_stripped(), re.escape(delimiter), -1).alias("cells"))
 
-def _string_schema(width: int, corrupt: bool) -> str:
-    fields = [f"c{i} STRING" for i in range(width)] + ([f"{_CORRUPT} STRING"] if corrupt else [])
-    return ", ".join(fields)
 
+def _filled(value: str, delimiter: str) -> Column:
+    """Whether some cell of a line without quotes is not blank."""
+    return F.expr(f"trim(BOTH {V.literal(V.WHITESPACE + delimiter)} FROM {value}) <> ''")
 
-def _filled_sql(width: int) -> str:
-    """True where some cell is not blank."""
-    return " OR ".join(f"nullif({V.strip_sql(f'c{i}')}, '') IS NOT NULL" for i in range(width))
 
+def _quoted_records(lines: DataFrame, delimiter: str) -> DataFrame:
+    """(path, block, at, place, head, cells) of files with quotes, stored once, as they are slow to parse."""
+    entered, shared = blocks.quote_states(lines, delimiter)
+    cut = materialize(blocks.cut_tables(lines, delimiter, entered), "records")
+    names = ["path", "block", "at", "place", "head", "cells"]
+    records = cut.where("cells IS NOT NULL").select(names)
+    if shared:
+        pieces = blocks.joined(cut.where("cells IS NULL").drop("cells", "place"), "\n")
+        records = records.unionAll(materialize(blocks.cut_pieces(pieces, delimiter), "pieces").select(names))
+    return records
 
-def _record_width(spark: SparkSession, path: str, delimiter: str, multi_line: bool, header: int) -> int:
-    """Cells in the longest record.
 
-    The reader hands over the raw text of records whose length differs from the header;
-    with quoted parts removed, their delimiters are counted. Blank records are ignored.
-    """
-    raw = _reader(spark, delimiter, multi_line).option("columnNameOfCorruptRecord", _CORRUPT).schema(
-        _string_schema(header, corrupt=True)
-    ).csv(path, header=True)
-    d = V.literal(delimiter)
-    plain = f"regexp_replace({_CORRUPT}, r'\"[^\"]*+(?:\"\"[^\"]*+)*+\"', 'x')"
-    blank = V.literal(re.escape(delimiter))
-    widest = raw.selectExpr(f"concat_ws('', {', '.join(f'c{i}' for i in range(header))}) AS cells", f"{plain} AS plain").selectExpr(
-        f"max(CASE WHEN length(cells) > 0 OR regexp_replace(plain, concat('[\\\\s', {blank}, ']'), '') <> '' "
-        f"THEN length(plain) - length(replace(plain, {d}, '')) + 1 END) AS width"
-    ).first()["width"]
-    return max(header, widest or 0)
-
-
-def read_delimited(
-    spark: SparkSession,
-    path: str,
-    delimiter: str = ",",
-    multi_line: bool | None = None,
-    quick: bool = False,
-) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", quick: bool = False, position: bool = False) -> DataFrame:
     """A delimited file or folder as string columns.
 
-    The first record names the columns. Short rows are padded, long rows add columns, blank
-    rows are dropped. Files are split among tasks unless a quoted cell holds a line break.
+    The first record of each file is its header; the first file's names the columns. Short rows are
+    padded, long rows add columns, blank rows are dropped. Records are those of Python's
+    reader, quoted line breaks and stray quotes included. ``position`` adds the column
+    ``POSITION``, by which rows sort as they stand in the files.
     """
-    if multi_line is None:
-        multi_line = has_quoted_line_breaks(spark, path, delimiter)
-    header = _header(spark, path, delimiter, multi_line)
+    lines = blocks.lines_of(spark, path)
+    first = (F.col("block") == 0) & (F.length(_stripped()) > 0)
+    marks = F.length("value") - F.length(F.replace("value", F.lit(delimiter)))
+    facts = lines.groupBy("path").agg(
+        F.min(F.when(first, F.struct("at", "value"))).alias("first"),
+        F.count_if(F.contains("value", F.lit('"')) | F.contains(_stripped(), F.lit("\r"))).alias("quoted"),
+        F.max(F.when(_filled("value", delimiter), marks + 1)).alias("width"),
+    )
+    facts = materialize(facts, "files")  # a row for a file
+    found = facts.agg(F.min(F.struct("path", "first")).alias("top"), F.sum("quoted").alias("quoted"), F.max("width").alias("width")).first()
+    if not found["quoted"]:
+        line = found["top"] and found["top"]["first"]
+        header = line["value"].removesuffix("\r").split(delimiter) if line else []
+        rows, width = _plain_records(lines, facts.select("first.at").where("at IS NOT NULL"), delimiter), found["width"] or 0
+    else:
+        rows = _quoted_records(lines, delimiter)
+        top = F.min(F.when(F.col("head"), F.struct("path", "block", "at", "place", "cells"))).alias("top")
+        found = rows.agg(top, F.max(F.size("cells")).alias("width")).first()
+        header, width = list(found["top"]["cells"]) if found["top"] else [], found["width"] or 0
+        rows = rows.where("NOT head")
     if not header:
         return spark.createDataFrame([], "column_1 string")
-    width = _record_width(spark, path, delimiter, multi_line, len(header))
-    rows = _reader(spark, delimiter, multi_line).schema(_string_schema(width, corrupt=False)).csv(path, header=True)
-    if quick:
-        names = quick_headers(header, width)
-    else:
-        names = normalize_headers([*header, *[None] * (width - len(header))])
-    cells = [f"coalesce(c{i}, '') AS {quoted(n)}" for i, n in enumerate(names)]
-    return rows.where(_filled_sql(width)).selectExpr(*cells)
+    width = max(width, len(header))
+    names = quick_headers(header, width) if quick else normalize_headers([*header, *[None] * (width - len(header))])
+    cells = [f"coalesce(get(cells, {i}), '') AS {quoted(n)}" for i, n in enumerate(names)]
+    place = [f"struct(path, block, at, place) AS {POSITION}"] if position else []
+    return rows.selectExpr(*cells, *place)
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    return read_delimited(spark, path, ",", multi_line)
+def read_csv(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    return read_delimited(spark, path, ",", position=position)
 
 
-def read_tsv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    return read_delimited(spark, path, "\t", multi_line)
+def read_tsv(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    return read_delimited(spark, path, "\t", position=position)
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """Delimiter of the first 64 KiB; else the most frequent candidate; else a comma."""
-    # Every line takes a character at least, so as many lines as characters are enough; a running length cuts them.
-    lines = spark.read.text(path).limit(SNIFF_CHARS).withColumn("place", F.monotonically_increasing_id())
-    before = F.sum(F.length("value") + 1).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    first = lines.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SNIFF_CHARS)
-    rows = first.selectExpr("place", f"substring(value, 1, {SNIFF_CHARS}) AS line").collect()
-    sample = "\n".join(r["line"] for r in sorted(rows))[:SNIFF_CHARS]
+    """Delimiter of the first 64 KiB; else the most frequent candidate; else a comma.
+
+    Lines are cut before they are taken, a few of them first and eight times as many while
+    their text is too short: every line takes a character at least.
+    """
+    sample, lines = "", 64
+    while True:
+        taken = spark.read.text(path).selectExpr(f"substring(value, 1, {SNIFF_CHARS}) AS line").limit(lines)
+        taken = taken.withColumn("place", F.monotonically_increasing_id())
+        before = F.sum(F.length("line") + 1).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+        first = taken.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SNIFF_CHARS)
+        rows = sorted(first.select("place", "line").collect())
+        sample = "\n".join(r["line"] for r in rows)[:SNIFF_CHARS]
+        if len(sample) == SNIFF_CHARS or len(rows) < lines or lines >= SNIFF_CHARS:
+            break
+        lines *= 8
     try:
         return csv.Sniffer().sniff(sample, delimiters="".join(DELIMITERS)).delimiter
     except csv.Error:
@@ -155,6 +158,6 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
         return common[0][0] if common else ","
 
 
-def read_quick(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+def read_quick(spark: SparkSession, path: str, delimiter: str | None = None, position: bool = False) -> DataFrame:
     """A delimited file as the quick profile sees it: sniffed delimiter, ``col_i`` names."""
-    return read_delimited(spark, path, delimiter or sniff_delimiter(spark, path), quick=True)
+    return read_delimited(spark, path, delimiter or sniff_delimiter(spark, path), quick=True, position=position)

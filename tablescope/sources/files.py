@@ -2,55 +2,97 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions import values as V
 from tablescope.functions.values import quoted
-from tablescope.session import scratch_path
+from tablescope.session import materialize
+from tablescope.sources import blocks
+from tablescope.sources.blocks import POSITION
+from tablescope.sources.delimited import normalize_headers, read_csv, read_tsv
 
-_CORRUPT = "_unparsed"
+#: How an object of a variant's schema is written, and names, which may hold the same letters.
+_OBJECT = re.compile(r"`(?:[^`]|``)*`|OBJECT<")
 
 
-def _records(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
-    """A table from texts that hold one object each; other texts are dropped.
+def _settled(kind: T.DataType) -> T.DataType:
+    """The type that values of a variant's type are read as: mixed ones as text, fractions as doubles.
 
-    The texts are written as lines, so objects are parsed and typed by Spark's own reader.
+    Objects whose keys differ only in case stay text, as Spark can't tell such fields apart.
     """
-    objects = records.where("ltrim(value) LIKE '{%'").select("value")
-    lines = scratch_path(spark, "objects")
-    objects.write.text(lines)
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    inferred = spark.read.options(**options).json(lines)
-    names = [n for n in inferred.columns if n != _CORRUPT]
-    if _CORRUPT not in inferred.columns and names:
-        return inferred
-    if not names:
+    if isinstance(kind, T.StructType):
+        if len({f.name.lower() for f in kind.fields}) < len(kind.fields):
+            return T.StringType()
+        return T.StructType([T.StructField(f.name, _settled(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_settled(kind.elementType))
+    if isinstance(kind, T.DecimalType):
+        return T.DoubleType() if kind.scale else kind
+    return T.StringType() if isinstance(kind, (T.NullType, T.VariantType)) else kind
+
+
+def _value_sql(key: str, kind: T.DataType) -> str:
+    """The value of a key, whose letter case counts, as a type."""
+    quote = next((q for q in "'\"" if q not in key), None)
+    place, path = ("v", f"$[{quote}{key}{quote}]") if quote else (f"try_element_at(cast(v AS map<string, variant>), {V.literal(key)})", "$")
+    return f"try_variant_get({place}, {V.literal(path)}, {V.literal(kind.simpleString())})"
+
+
+def _records(spark: SparkSession, records: DataFrame, position: bool) -> DataFrame:
+    """A table from texts (value, path, block, at, place) that hold one object each; other texts are dropped.
+
+    Texts are parsed to variants. One pass over them finds all keys and types, late and
+    mixed ones included; the rows are parsed again where they are used, and nothing is
+    written in between. Keys that differ only in case become columns of their own, and the
+    last of equal keys counts, for which the session's setting for variants is switched on.
+    """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    objects = records.where("startswith(trim(LEADING ' \\t\\r\\n' FROM value), '{')").withColumn("v", F.expr("try_parse_json(value)")).where("v IS NOT NULL")
+    found = objects.agg(F.expr("schema_of_variant_agg(v)").alias("schema")).first()["schema"]
+    kind = T.DataType.fromDDL(_OBJECT.sub(lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], found or "VOID"))
+    if not isinstance(kind, T.StructType) or not kind.fields:
         return spark.createDataFrame([], "column_1 string")
-    kept = spark.read.schema(inferred.schema).options(**options).json(lines)
-    return kept.where(f"{quoted(_CORRUPT)} IS NULL").select(*[F.col(quoted(n)) for n in names])
-
+    names = normalize_headers(kind.names)
+    columns = [f"{_value_sql(f.name, _settled(f.dataType))} AS {quoted(n)}" for f, n in zip(kind.fields, names)]
+    place = [f"struct(path, block, at, place) AS {POSITION}"] if position else []
+    return objects.selectExpr(*columns, *place)
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Documents that hold one object or a list; the objects of a list are rows, its other items are dropped."""
-    whole = spark.read.text(path, wholetext=True).selectExpr("trim(BOTH ' \t\r\n\ufeff' FROM value) AS value")
-    one_line = "regexp_replace(value, '[\\r\\n]', ' ')"  # raw line breaks stand between tokens only
-    items = whole.selectExpr(
-        f"explode(CASE WHEN value LIKE '[%' THEN from_json({one_line}, 'array<string>') ELSE array({one_line}) END) AS value"
-    )
-    return _records(spark, path, items)
 
+def read_json(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    """Documents that hold one object or a list; the objects of a list are rows, its other items are dropped.
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    A large document is cut into its items by many tasks. Items that are no JSON are dropped.
+    """
+    segments = blocks.lines_of(spark, path, "}")
+    many = not segments.where("block > 0").isEmpty()
+    entered = blocks.depth_states(segments) if many else blocks.Entered([], (0, 0, None), None)
+    cut = blocks.cut_documents(segments, entered)
+    names = ["value", "path", "block", "at", "place"]
+    items = cut.where("whole").withColumnRenamed("text", "value").select(names)
+    if many:
+        pieces = materialize(cut.where("NOT whole").drop("whole", "place"), "pieces")
+        items = items.unionAll(blocks.joined(pieces, "").withColumn("place", F.lit(1 << 30)).select(names))
+    return _records(spark, items, position)
+
+
+def read_jsonl(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
     """One object per line; blank, malformed and non-object lines are dropped."""
-    return _records(spark, path, spark.read.text(path))
+    lines = blocks.lines_of(spark, path, None).withColumn("place", F.lit(0))
+    return _records(spark, lines.withColumn("value", F.ltrim("value", F.lit("\ufeff"))), position)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    table = spark.read.parquet(path)
+    if not position:
+        return table
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    return table.select("*", place.alias(POSITION))
 
 
 def union_tagged(frames: Mapping[str, DataFrame], tag: str = "__sheet__") -> DataFrame:
@@ -72,13 +114,12 @@ def source_metadata(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_dataset(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, position: bool = False) -> DataFrame:
     """Any supported file, by name ending; unknown endings are read as CSV.
 
-    A ``.gz`` file is read by one task and its rows are dealt out again.
+    A ``.gz`` file is read by one task and its rows are dealt out again. ``position`` adds a
+    column by which rows sort as they stand in the files; profiles use it as their key.
     """
-    from tablescope.sources.delimited import read_csv, read_tsv
-
     lowered = path.lower().rstrip("/")
     base = lowered.removesuffix(".gz")
     if fmt is None:
@@ -86,7 +127,7 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None) -> Data
     if fmt in _UNREAD or (lowered != base and fmt == "parquet"):
         raise ValueError(f"{fmt} files are not read as they are: {_UNREAD.get(fmt, 'unpack the file first')}")
     readers = {"tsv": read_tsv, "json": read_json, "jsonl": read_jsonl, "parquet": read_parquet}
-    table = readers.get(fmt, read_csv)(spark, path)
+    table = readers.get(fmt, read_csv)(spark, path, position=position)
     return table.hint("rebalance") if lowered != base else table
 
 

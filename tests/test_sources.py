@@ -1,12 +1,15 @@
+import csv
 import gzip
+import io
 import json
+import random
 from datetime import date
 
 import pytest
 
 from conftest import by, rows
 from tablescope.operators import profile
-from tablescope.sources import delimited, files, sinks
+from tablescope.sources import blocks, delimited, files, sinks
 from tablescope.sources.sql import bind, jdbc_options
 
 ROWS = "city,height\n" + "".join(f"c{i},{i % 4}.5\n" for i in range(12))
@@ -60,7 +63,7 @@ def test_stray_quotes_keep_files_splittable(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
     try:
         df = delimited.read_csv(spark, path)
-        assert df.rdd.getNumPartitions() > 1 and df.count() == 4000
+        assert blocks.lines_of(spark, path).select("block").distinct().count() > 1 and df.count() == 4000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {r[0] for r in df.select("thing").distinct().collect()} == {'a "b", c'} | {f'5" pipe {i}' for i in range(0, 4000, 50)}
@@ -136,3 +139,95 @@ def test_sql_options():
     assert split["dbtable"] == "(SELECT * FROM t) source" and split["numPartitions"] == "3"
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", "SELECT 1", partition_column="id")
+
+
+# --- records cut by many tasks -------------------------------------------------------------
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files of some hundred bytes are many splits."""
+    options = {"spark.sql.files.maxPartitionBytes": "6k", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for name, value in options.items():
+        spark.conf.set(name, value)
+    yield
+    for name in options:
+        spark.conf.unset(name)
+
+
+def messy_table(rng, n):
+    """A table whose records have quoted breaks, stray quotes and carriage returns, and long cells without any break."""
+    plain = ["a", "b c", "é", "", " ", "1.5", '5" pipe', 'x"y"', "日本"]
+    inside = ["a, b", "line\none", 'say ""hi""', "\r\nq", "x" * 1500, "\n\n", '""', "c,\n" * 2500, "end"]
+    cell = lambda: rng.choice(plain) if rng.random() < 0.7 else '"' + rng.choice(inside) + '"' + rng.choice(["", "", "tail"])
+    return "id,one,two\n" + "".join(f"{i}," + ",".join(cell() for _ in range(rng.choice([1, 2, 2, 2, 3]))) + rng.choice(["\n", "\n", "\r\n"]) for i in range(n))
+
+
+def test_tables_of_many_splits_equal_pythons_reader(spark, tmp_path, small_splits):
+    rng = random.Random(3)
+    for number, tail in enumerate(("", '900,"never closed\nto the end, of it\n' + "y\n" * 8000 + "y")):
+        text = messy_table(rng, 120) + tail
+        path = write(tmp_path, f"m{number}.csv", text)
+        assert blocks.lines_of(spark, path).select("block").distinct().count() > 6
+        want = [r for r in csv.reader(io.StringIO(text, newline="")) if any(c.strip() for c in r)][1:]
+        df = delimited.read_csv(spark, path, position=True)
+        names = [c for c in df.columns if c != blocks.POSITION]
+        got = [list(r) for r in df.orderBy(blocks.POSITION).select(names).collect()]
+        assert names[:4] == ["id", "one", "two", "column_4"] and len(names) == max(map(len, want))
+        assert got == [r + [""] * (len(names) - len(r)) for r in want]
+
+
+def test_one_cell_over_many_splits(spark, tmp_path, small_splits):
+    cell = "".join(f"line {i}, of it\n" for i in range(4000))
+    path = write(tmp_path, "one.csv", f'id,text\n1,"{cell}"\n2,"x"\n3,{"z" * 15000}\n')
+    assert blocks.quote_states(blocks.lines_of(spark, path), ",")[1]
+    assert sorted(rows(delimited.read_csv(spark, path))) == [("1", cell), ("2", "x"), ("3", "z" * 15000)]
+
+
+def test_files_without_quotes_in_order(spark, tmp_path, small_splits):
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        write(tmp_path / "many", f"{k}.csv", "id,v\r\n" + "".join(f"{k * 10000 + i},{'v' * (i % 9)}\r\n" for i in range(1200)) + " , \r\n")
+    df = delimited.read_csv(spark, str(tmp_path / "many"), position=True)
+    got = [tuple(r) for r in df.orderBy(blocks.POSITION).select("id", "v").collect()]
+    assert got == [(str(k * 10000 + i), "v" * (i % 9)) for k in range(3) for i in range(1200)]
+    wide = write(tmp_path, "wide.csv", ",".join(f"c{i}" for i in range(700)) + "\n" + ",".join(map(str, range(700))) + "\n")
+    assert rows(delimited.read_csv(spark, wide)) == [tuple(map(str, range(700)))]
+
+
+def test_invalid_bytes_become_marks(spark, tmp_path):
+    path = write(tmp_path, "bytes.csv", b'id,v\n1,"a\xff\nb"\n2,\xfe\n')
+    assert sorted(rows(delimited.read_csv(spark, path))) == [("1", "a\ufffd\nb"), ("2", "\ufffd")]
+
+
+def test_large_lists_are_cut_by_many_tasks(spark, tmp_path, small_splits):
+    rng = random.Random(5)
+    text = lambda: rng.choice(["plain", 'a "quoted" }{][, one', "back\\\\ slash\\", "é日", "}" * 40, "x" * 3000, ""])
+    items = []
+    for i in range(400):
+        items.append({"id": i, "text": text(), "deep": {"list": [text(), {"k": [1, {"z": text()}]}]}})
+        if i % 7 == 0:
+            items += [rng.choice([5, "st}r", None, [{"id": 7}], [], {}])]
+    for number, indent in enumerate((None, 1)):
+        path = write(tmp_path, f"l{number}.json", "\ufeff" * number + json.dumps(items, indent=indent, ensure_ascii=bool(number)))
+        assert blocks.lines_of(spark, path, "}").select("block").distinct().count() > 6
+        df = files.read_json(spark, path, position=True)
+        got = [tuple(r) for r in df.orderBy(blocks.POSITION).select("id", "text").collect()]
+        want = [(x.get("id"), x.get("text")) for x in items if isinstance(x, dict)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert df.filter("id IS NOT NULL").selectExpr("deep.list[0] AS x").collect() is not None
+    one = write(tmp_path, "o.json", json.dumps({"a": 1, "rest": ["}" * 50] * 100}) + "\n")
+    assert [r.a for r in files.read_json(spark, one).select("a").collect()] == [1]
+
+
+def test_late_mixed_and_clashing_keys(spark, tmp_path):
+    lines = ['{"a": 1, "A": "x", "n": {"k": 1, "K": 2}}', '{"a": 2.5, "late": [1, 2], "m": 1}', '{"m": "t", "a": 3, "d`q \'k": true, "a": 4}',
+             '{"big": 123456789012345678901, "s": {"x": 1}}', "{broken", "[1]", '"text"', ""]
+    df = files.read_jsonl(spark, write(tmp_path, "k.jsonl", "\n".join(lines) + "\n"), position=True).orderBy(blocks.POSITION)
+    assert df.columns[:-1] == ["A", "a_2", "big", "d`q 'k", "late", "m", "n", "s"]
+    got = df.selectExpr("A", "a_2", "late", "m", "n", "s.x", "string(big)", "`d``q 'k`").collect()
+    assert [tuple(r) for r in got] == [
+        ("x", 1.0, None, None, '{"K":2,"k":1}', None, None, None), (None, 2.5, [1, 2], "1", None, None, None, None),
+        (None, 4.0, None, "t", None, None, None, True), (None, None, None, None, None, 1, "123456789012345678901", None),
+    ]
+    assert files.read_jsonl(spark, write(tmp_path, "none.jsonl", "\n5\n")).columns == ["column_1"]
