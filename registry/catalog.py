@@ -14,7 +14,7 @@ from tablescope.functions.values import quoted
 from tablescope.operators import automl, correlate, describe, profile, quality, quick, report
 from tablescope.operators.cells import cells, field_types
 from tablescope.operators.quantiles import exact_quantiles, quantile_columns
-from tablescope.session import scratch_path
+from tablescope.session import key_of, scratch_path
 from tablescope.sources import delimited, files, sinks
 from tablescope.streaming.profile import start_profile
 
@@ -767,14 +767,19 @@ def _mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("jsonl_objects_customer", _mixed_lines, "SELECT * FROM customer")
 
 
+def _bucketed(rows: DataFrame, key: str, each: int) -> DataFrame:
+    """``rows`` with a bucket, so many that each holds about ``each`` rows."""
+    return rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(rows.count() // each + 1)))
+
+
 def _mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as JSON documents, one list per nation, with other items among the objects."""
+    """Customers as JSON documents, lists of about a hundred, with other items among the objects."""
     path = scratch_path(spark, "customers.json")
     people = table(spark, sf_dir, "customer")
-    items = people.groupBy("c_nationkey").agg(F.collect_list(F.to_json(F.struct("*"))).alias("items"))
-    items.selectExpr("c_nationkey AS part", "concat('[5, ', concat_ws(',\\n ', items), ', \"x\", [1]]') AS value").repartition(
-        25, "part"
-    ).write.partitionBy("part").text(path)
+    items = _bucketed(people, "c_custkey", 100).groupBy("part").agg(F.collect_list(F.to_json(F.struct(*people.columns))).alias("items"))
+    items.selectExpr("part", "concat('[5, ', concat_ws(',\\n ', items), ', \"x\", [1]]') AS value").repartition("part").write.partitionBy(
+        "part"
+    ).text(path)
     back = files.read_json(spark, f"{path}/part=*")
     return back.selectExpr("c_custkey", "c_name", "int(c_nationkey) AS c_nationkey", "c_acctbal", "c_mktsegment")
 
@@ -782,28 +787,154 @@ def _mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("json_objects_customer", _mixed_documents, "SELECT * FROM customer")
 
 
+def _one_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as one list in one file, which is cut by as many tasks as it has splits."""
+    path = scratch_path(spark, "customer.json")
+    people = table(spark, sf_dir, "customer").selectExpr("1 AS part", "concat(to_json(struct(*)), ',') AS value")
+    ends = spark.range(2).selectExpr("id * 2 AS part", "CASE id WHEN 0 THEN '[' ELSE 'null]' END AS value")
+    people.unionAll(ends).repartition(1).sortWithinPartitions("part").select("value").write.text(path)
+    back = files.read_json(spark, path)
+    return back.selectExpr("c_custkey", "c_name", "int(c_nationkey) AS c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+add("json_list_customer", _one_list, "SELECT * FROM customer")
+
+
+def _clashing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as objects with a late key, one with numbers and texts, and two that differ in case."""
+    path = scratch_path(spark, "turns.jsonl")
+    turns = table(spark, sf_dir, "conversations")
+    late = "CASE WHEN turn >= 3 THEN concat(',\"late\":', turn * 10) ELSE '' END"
+    mixed = "CASE WHEN turn % 2 = 0 THEN string(turn) ELSE concat('\"t', turn, '\"') END"
+    plain = "left(to_json(struct(*)), length(to_json(struct(*))) - 1)"
+    turns.selectExpr(f"concat({plain}, {late}, ',\"mixed\":', {mixed}, ',\"Role\":\"', upper(role), '\"}}') AS value").write.text(path)
+    back = files.read_jsonl(spark, path)
+    return back.selectExpr("conv_id", "turn", "role_2", "Role AS upper_role", "md5(text) AS text", "late", "mixed")
+
+
+add(
+    "jsonl_clashing_conversations",
+    _clashing_keys,
+    "SELECT conv_id, turn, role AS role_2, upper(role) AS upper_role, md5(text) AS text, CASE WHEN turn >= 3 THEN turn * 10 END AS late, "
+    "CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) ELSE concat('t', turn) END AS mixed FROM conversations",
+)
+
+
+def _with_headers(spark: SparkSession, rows: DataFrame, header: str, path: str) -> str:
+    """``rows`` (part, value) as files that begin with a header, one for a bucket; a pattern of their folders."""
+    heads = rows.select("part").distinct().selectExpr("part", f"{V.literal(header)} AS value", "0 AS place")
+    lines = heads.unionAll(rows.selectExpr("part", "value", "1 AS place")).repartition("part").sortWithinPartitions("part", "place")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+    return f"{path}/part=*"
+
+
 def _clashing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file whose header repeats names, one of them in another case, and whose rows are ragged or blank."""
+    """Files whose header repeats names, one of them in another case, and whose rows are ragged or blank."""
     path = scratch_path(spark, "ragged.csv")
-    people = table(spark, sf_dir, "customer").selectExpr(
-        "CASE c_custkey % 3 WHEN 0 THEN concat_ws(',', c_custkey, c_name) WHEN 1 THEN concat_ws(',', c_custkey, c_name, c_nationkey) "
-        "ELSE concat_ws(',', c_custkey, c_name, c_nationkey, c_mktsegment) END AS value"
+    people = _bucketed(table(spark, sf_dir, "customer"), "c_custkey", 2000).selectExpr(
+        "part", "CASE c_custkey % 3 WHEN 0 THEN concat_ws(',', c_custkey, c_name, c_acctbal) WHEN 1 THEN concat_ws(',', c_custkey, c_name, c_acctbal, c_nationkey) "
+        "ELSE concat_ws(',', c_custkey, c_name, c_acctbal, c_nationkey, c_mktsegment) END AS value"
     )
-    header = spark.range(1).selectExpr("'key,Name,name' AS value")
-    blank = table(spark, sf_dir, "nation").selectExpr("' , , ' AS value")
-    # A header per file: every file is one task's lines under the header.
-    header.unionAll(people).unionAll(blank).coalesce(1).write.text(path)
-    return delimited.read_csv(spark, path).selectExpr("bigint(key) AS key", "Name AS name", "name_2 AS nation", "column_4 AS segment")
+    blank = table(spark, sf_dir, "nation").selectExpr("0L AS part", "' , , ' AS value")
+    found = _with_headers(spark, people.unionAll(blank), "key,Name,balance,name", path)
+    back = delimited.read_csv(spark, found)
+    return back.selectExpr("bigint(key) AS key", "Name AS name", "double(balance) AS balance", "name_2 AS nation", "column_5 AS segment")
 
 
 add(
     "ragged_csv_customer",
     _clashing_headers,
-    "SELECT c_custkey AS key, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS nation, "
+    "SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS nation, "
     "CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE '' END AS segment FROM customer",
 )
 
 
+def _stray_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records with stray quotes, and with quotes and line breaks inside of quotes, all in one line."""
+    path = scratch_path(spark, "stray.csv")
+    texts = _bucketed(table(spark, sf_dir, "documents"), "doc_id", 2000).selectExpr(
+        "part", "concat(doc_id, ',5\" pipe ', doc_id % 7, ',\"', replace(text, '\"', '\"\"'), '\"end,', lang, '\"', source, ',\"a, \"\"b\"\"\n\"') AS value"
+    )
+    back = delimited.read_csv(spark, _with_headers(spark, texts, 'doc_id,thing,"the ""text""",lang', path))
+    return back.selectExpr("bigint(doc_id) AS doc_id", "thing", 'md5(`the "text"`) AS text', "lang", "column_5 AS last")
+
+
+add(
+    "stray_quotes_csv_documents",
+    _stray_quotes,
+    "SELECT doc_id, concat('5\" pipe ', doc_id % 7) AS thing, md5(concat(text, 'end')) AS text, concat(lang, '\"', source) AS lang, "
+    "concat('a, \"b\"', chr(10)) AS last FROM documents",
+)
+
+
+# --- file order --------------------------------------------------------------------------
+
+#: An order of orders that is not that of their keys, and a column that is numeric at first.
+_SHUFFLED = "(o_orderkey * 7919) % 100003"
+_REMARK = f"CASE WHEN {_SHUFFLED} < 5000 THEN CAST({_SHUFFLED} AS {{string}}) ELSE 'late' END AS remark"
+
+
+def _shuffled_orders(spark: SparkSession, sf_dir: str) -> str:
+    """Orders as CSV files in another order than that of their keys."""
+    path = scratch_path(spark, "shuffled.csv")
+    orders = table(spark, sf_dir, "orders").selectExpr("*", _REMARK.format(string="STRING"), f"{_SHUFFLED} AS place")
+    ordered = orders.repartitionByRange("place", "o_orderkey").sortWithinPartitions("place", "o_orderkey")
+    ordered.drop("place").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")).write.options(header=True).csv(path)
+    return path
+
+
+_ORDER_TEXTS = {
+    "o_orderkey": "CAST(o_orderkey AS VARCHAR)", "o_custkey": "CAST(o_custkey AS VARCHAR)", "o_orderstatus": "o_orderstatus",
+    "o_totalprice": "CAST(o_totalprice AS VARCHAR)", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d')", "o_orderpriority": "o_orderpriority",
+    "remark": "remark",
+}
+_ORDER_SHOWN = {n: duck.text(n, "string") for n in _ORDER_TEXTS}
+_SHUFFLED_SQL = (
+    f"WITH shuffled AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _ORDER_TEXTS.items())}, row_number() OVER (ORDER BY place, key) AS place "
+    f"FROM (SELECT *, o_orderkey AS key, {_SHUFFLED} AS place, {_REMARK.format(string='VARCHAR')} FROM orders))"
+)
+
+
+def _file_order_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a table without a key, as they stand in its files."""
+    orders = files.read_dataset(spark, _shuffled_orders(spark, sf_dir), "csv", position=True)
+    return profile.preview(orders, key_of(orders, None))
+
+
+add("file_order_preview_orders", _file_order_preview, f"{_SHUFFLED_SQL} SELECT {', '.join(f'{x} AS {n}' for n, x in _ORDER_SHOWN.items())} FROM shuffled WHERE place <= 5")
+
+
+def _file_order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.column_profile(files.read_dataset(spark, _shuffled_orders(spark, sf_dir), "csv", position=True))
+    return found.selectExpr("column", "posexplode(sample_values) AS (place, text)").selectExpr("column", "place + 1 AS place", "text")
+
+
+add(
+    "file_order_samples_orders",
+    _file_order_samples,
+    f"{_SHUFFLED_SQL} "
+    + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", CAST(place AS INT) AS place, {x} AS text FROM shuffled WHERE place <= 5" for n, x in _ORDER_SHOWN.items()),
+)
+
+
+def _file_order_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.plans.quick import quick_profile
+
+    return quick_profile(delimited.read_quick(spark, _shuffled_orders(spark, sf_dir), position=True)).types
+
+
+add(
+    "file_order_types_orders",
+    _file_order_types,
+    f"{_SHUFFLED_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{n}' AS \"column\", CASE WHEN count(TRY_CAST({n} AS DOUBLE)) >= 0.8 * count(*) THEN 'number' ELSE 'string' END AS type "
+        "FROM shuffled WHERE place <= 200"
+        for i, n in enumerate(_ORDER_TEXTS, start=1)
+    ),
+)
+
+
 def _jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "conversations.jsonl")
     sinks.write_json(table(spark, sf_dir, "conversations"), path)

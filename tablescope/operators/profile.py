@@ -20,7 +20,7 @@ from tablescope.operators.cells import (
     native_frame,
     typed_columns,
 )
-from tablescope.session import materialize
+from tablescope.session import POSITION, key_of, materialize
 
 # How many values, rows and distinct strings a profile shows.
 PREVIEW_ROWS = 5
@@ -208,7 +208,11 @@ def sample_values(
 
 
 def column_profile(df: DataFrame, order_by: Sequence[str] | None = None, facts: DataFrame | None = None) -> DataFrame:
-    """One row per column, alphabetical: type, missing values, distinct and (given a key) sample values."""
+    """One row per column, alphabetical: type, missing values, distinct and (given a key) sample values.
+
+    Rows that know their place in the files they come from need no other key.
+    """
+    keyed, order_by, df = df, key_of(df, order_by), df.drop(POSITION)
     counts = (kind_counts(df) if facts is None else facts).select(
         "column", "inferred_type", "null_count", "null_ratio", "non_null_count"
     )
@@ -220,7 +224,7 @@ def column_profile(df: DataFrame, order_by: Sequence[str] | None = None, facts:
     )
     if order_by:
         firsts = (
-            sample_values(df, order_by)
+            sample_values(keyed, order_by, df.columns)
             .groupBy("column")
             .agg(F.expr("sort_array(collect_list(struct(place, text))).text AS firsts"))
         )
@@ -261,8 +265,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, order_by: Sequence[str], limit: int = PREVIEW_ROWS) -> DataFrame:
     """First rows in key order, cells shortened for display, missing cells empty."""
-    first = canonical_frame(df.orderBy(*[column_of(k) for k in order_by]).limit(limit))
-    return first.selectExpr(*[f"coalesce({V.preview_sql(quoted(n))}, '') AS {quoted(n)}" for n in df.columns])
+    first = canonical_frame(df.orderBy(*[column_of(k) for k in order_by]).limit(limit).drop(POSITION))
+    return first.selectExpr(*[f"coalesce({V.preview_sql(quoted(n))}, '') AS {quoted(n)}" for n in first.columns])
 
 
 def numeric_row_sample(
@@ -279,4 +283,4 @@ def numeric_row_sample(
 
 def training_sample(df: DataFrame, order_by: Sequence[str], limit: int = TRAINING_ROWS) -> DataFrame:
     """First canonical rows in key order, as input for a quick modelling run."""
-    return canonical_frame(df.orderBy(*[column_of(k) for k in order_by]).limit(limit))
+    return canonical_frame(df.orderBy(*[column_of(k) for k in order_by]).limit(limit).drop(POSITION))

@@ -13,6 +13,7 @@ from tablescope.operators.cells import column_of
 from tablescope.operators.correlate import all_correlations, top_correlations
 from tablescope.operators.describe import descriptive_table, scores
 from tablescope.operators.profile import moments
+from tablescope.session import POSITION
 
 # Fixed values of the quick profile.
 TYPE_SAMPLE_ROWS = 200
@@ -30,7 +31,7 @@ def column_types(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
     The rows are one top-k over string columns; ``position`` keeps the header order.
     """
-    names = df.columns
+    names = [n for n in df.columns if n != POSITION]
     first = df.orderBy(*[column_of(k) for k in order_by]).limit(TYPE_SAMPLE_ROWS)
     aggregates, entries = [], []
     for i, name in enumerate(names):
@@ -87,4 +88,4 @@ def shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def head_rows(df: DataFrame, order_by: Sequence[str], limit: int = HEAD_ROWS) -> DataFrame:
-    return df.orderBy(*[column_of(k) for k in order_by]).limit(limit)
+    return df.orderBy(*[column_of(k) for k in order_by]).limit(limit).drop(POSITION)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import correlate, describe, profile, quality, report
 from tablescope.operators.automl import ModelReport, candidate_table, cluster, train
-from tablescope.session import materialize
+from tablescope.session import POSITION, key_of, materialize
 from tablescope.sources import sinks
 
 
@@ -148,7 +148,8 @@ def profile_dataset(
 ) -> Report:
     """Profile every column of ``df`` over all rows.
 
-    ``order_by`` names a key and adds first values, first rows and scatter points.
+    ``order_by`` names a key and adds first values, first rows and scatter points. Tables
+    that know the places of their rows in files (``read_dataset(position=True)``) have them without a key.
     ``write_source`` stores the input once as Parquet in the shared folder, for sources that
     are slow to parse. ``settle`` stores the tables with one row per column that later steps
     build on, so the scans behind them run once; they run before this returns. ``modelling``
@@ -162,9 +163,10 @@ def profile_dataset(
 
     if write_source:
         df = materialize(df, "source")
+    keyed, key, order_by, df = df, order_by or (), key_of(df, order_by), df.drop(POSITION)
     facts = kept(profile.column_facts(df), "facts")
     stats = facts.where("count > 0")
-    columns = kept(profile.column_profile(df, order_by, facts), "profile").orderBy("column")
+    columns = kept(profile.column_profile(keyed, order_by, facts), "profile").orderBy("column")
     duplicates = kept(profile.duplicate_rows(df), "duplicates")
 
     ranges = kept(quality.numeric_range(df, facts), "ranges")
@@ -184,12 +186,12 @@ def profile_dataset(
     charted = mapped.select("column")
 
     metrics = report.dataset_metrics(facts, severities, bytes_read)
-    inference = train(df, key=order_by or ()) if modelling else cluster(df, key=order_by or ()) if clustering else None
+    inference = train(df, key=key) if modelling else cluster(df, key=key) if clustering else None
     scatter = None
     if order_by:
         numbers = [r["column"] for r in stats.select("column").orderBy("column").collect()]
         strongest = correlate.top_correlations(pairs, describe.MAX_SCATTERS)
-        scatter = describe.scatter_points(df, strongest, numbers, order_by, scatter_rows) if numbers else None
+        scatter = describe.scatter_points(keyed, strongest, numbers, order_by, scatter_rows) if numbers else None
     return Report(
         profile=columns,
         schema=profile.schema_table(columns),
@@ -208,7 +210,7 @@ def profile_dataset(
         boxes=describe.box_stats(df, descriptive.join(F.broadcast(charted), "column", "left_semi")),
         metrics=metrics,
         summary=report.narrative(metrics, correlations, far),
-        preview=profile.preview(df, order_by) if order_by else None,
+        preview=profile.preview(keyed, order_by) if order_by else None,
         scatter=scatter,
         inference=inference,
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import quality, quick
 from tablescope.operators.cells import column_of
+from tablescope.session import POSITION, key_of
 from tablescope.sources import sinks
 
 
@@ -59,9 +60,15 @@ class QuickReport:
         return entries
 
 
-def quick_profile(df: DataFrame, order_by: Sequence[str]) -> QuickReport:
-    """Types from the first 200 rows in key order, statistics over all rows."""
-    names = df.columns
+def quick_profile(df: DataFrame, order_by: Sequence[str] | None = None) -> QuickReport:
+    """Types from the first 200 rows in key order, statistics over all rows.
+
+    Without ``order_by``, ``df`` must know the places of its rows (see ``read_quick``).
+    """
+    order_by = key_of(df, order_by)
+    if not order_by:
+        raise ValueError("name a key, or read the file with its rows' positions")
+    names = [n for n in df.columns if n != POSITION]
     types = quick.column_types(df, order_by)
     numbers = quick.number_names(types)
     frame = quick.lenient_frame(df, numbers) if numbers else None

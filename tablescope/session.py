@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
 
+#: The column that holds a row's place in the files it was read from, where one was asked for.
+POSITION = "__position"
+
+
 def local_session(cores: str = "8", app: str = "tablescope") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -57,6 +62,11 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
+def key_of(df: DataFrame, order_by: Sequence[str] | None) -> list[str]:
+    """The columns that put rows in order: those that are named, else the place in the files, else none."""
+    return list(order_by or ([POSITION] if POSITION in df.columns else []))
+
+
 def per_column(df: DataFrame) -> dict[str, Row]:
     """The rows of a table with one row per column, by column name, alphabetical.
 

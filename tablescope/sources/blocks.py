@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The column of a record's position, where one is asked for.
-POSITION = "__position"
+from tablescope.session import POSITION as POSITION
+
 #: Bytes of a JSON text that are looked at at once.
 CHUNK = 1 << 20
 
