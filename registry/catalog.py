@@ -128,20 +128,47 @@ add(
 # --- profiles ----------------------------------------------------------------------------
 
 
+_KEYS = {"lineitem": list(COLUMNS["lineitem"]), "events": ["event_id"], "documents": ["doc_id"], "labelled": ["doc_id"], "mixed": ["o_orderkey"]}
+
+
 def _column_profile(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(profile.column_profile(table(spark, sf_dir, name)).drop("distinct_sample"))
+        found = profile.column_profile(table(spark, sf_dir, name), _KEYS[name])
+        texts = ("distinct_sample", "sample_values")
+        return rounded(found.withColumns({c: F.md5(F.array_join(c, "|")) for c in texts}))
 
     return query
 
 
-for _name in ("lineitem", "events", "documents", "labelled", "mixed"):
+def _distinct_sample_sql(name: str, columns: list[str]) -> str:
+    parts = []
+    for c in columns:
+        value = duck.text(c, "string") if COLUMNS[name][c] == "string" else c
+        parts.append(
+            f"SELECT '{c}' AS \"column\", least(count(*), 25) AS distinct_count, count(*) > 25 AS distinct_overflow, "
+            "md5(string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FILTER (place <= 25)) AS sample "
+            f"FROM (SELECT v, row_number() OVER (ORDER BY v) AS place FROM (SELECT DISTINCT {value} AS v FROM base) WHERE v IS NOT NULL)"
+        )
+    return f"WITH base AS (SELECT * FROM {duck_source(name)}) " + " UNION ALL ".join(parts)
+
+
+def _first_values_sql(name: str) -> str:
+    key = ", ".join(_KEYS[name])
+    return f"WITH base AS (SELECT * FROM {duck_source(name)}) " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", md5(string_agg(t, '|' ORDER BY place)) AS firsts FROM "
+        f"(SELECT {duck.text(c, f)} AS t, row_number() OVER (ORDER BY {key}) AS place FROM base WHERE {duck.kind(c, f)} <> 'null') WHERE place <= 5"
+        for c, f in COLUMNS[name].items()
+    )
+
+
+for _name in _KEYS:
     add(
         f"column_profile_{_name}",
         _column_profile(_name),
-        f"WITH {duck.facts(_name)}, {duck.distinct(_name)} SELECT f.\"column\", f.inferred_type, f.null_count, "
-        f"{r('f.null_ratio AS null_ratio')}, f.non_null_count, d.distinct_count, d.distinct_overflow "
-        "FROM facts f JOIN dist d ON f.\"column\" = d.\"column\"",
+        f"WITH {duck.facts(_name)}, dist AS ({_distinct_sample_sql(_name, list(COLUMNS[_name]))}), firsts AS ({_first_values_sql(_name)}) "
+        f"SELECT f.\"column\", f.inferred_type, f.null_count, {r('f.null_ratio AS null_ratio')}, f.non_null_count, d.distinct_count, "
+        "d.distinct_overflow, d.sample AS distinct_sample, s.firsts AS sample_values "
+        "FROM facts f JOIN dist d ON f.\"column\" = d.\"column\" JOIN firsts s ON f.\"column\" = s.\"column\"",
     )
 
 add(
@@ -175,25 +202,8 @@ def _distinct_sample(name: str, columns: list[str]) -> Query:
     return query
 
 
-def _distinct_sample_sql(name: str, columns: list[str]) -> str:
-    parts = []
-    for c in columns:
-        value = duck.text(c, "string") if COLUMNS[name][c] == "string" else c
-        parts.append(
-            f"SELECT '{c}' AS \"column\", least(count(*), 25) AS distinct_count, count(*) > 25 AS distinct_overflow, "
-            "md5(string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FILTER (place <= 25)) AS sample "
-            f"FROM (SELECT v, row_number() OVER (ORDER BY v) AS place FROM (SELECT DISTINCT {value} AS v FROM base) WHERE v IS NOT NULL)"
-        )
-    return f"WITH base AS (SELECT * FROM {duck_source(name)}) " + " UNION ALL ".join(parts)
-
-
-for _name, _columns in {
-    "part": ["p_brand", "p_name", "p_size", "p_type"],
-    "customer": ["c_custkey", "c_mktsegment", "c_name", "c_nationkey"],
-    "orders": ["o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus"],
-    "documents": ["doc_id", "lang", "n_chars", "source", "text"],
-    "mixed": ["flag", "remark"],
-}.items():
+for _name in ("part", "customer", "orders", "documents", "mixed"):
+    _columns = list(COLUMNS[_name])
     add(f"distinct_sample_{_name}", _distinct_sample(_name, _columns), _distinct_sample_sql(_name, _columns))
 
 add(
@@ -982,15 +992,11 @@ add(
 # --- modelling ---------------------------------------------------------------------------
 
 
-def _labelled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labelled").drop("doc_id", "text")
-
-
 _SCORED = (
     f"WITH {duck.facts('labelled')}, d AS ("
     + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"distinct\" FROM {duck_source('labelled')}"
-        for c in ("lang", "source", "n_chars", "quality", "toxic")
+        for c in COLUMNS["labelled"]
     )
     + "), scored AS (SELECT f.\"column\", f.\"rows\", f.non_null_count, d.\"distinct\", f.inferred_type, "
     "d.\"distinct\" / f.non_null_count AS ratio FROM facts f JOIN d ON d.\"column\" = f.\"column\" WHERE d.\"distinct\" >= 2) "
@@ -998,7 +1004,7 @@ _SCORED = (
 
 
 def _target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _labelled_facts(spark, sf_dir)
+    df = table(spark, sf_dir, "labelled")
     return rounded(automl.target_scores(profile.kind_counts(df), profile.distinct_counts(df)))
 
 
@@ -1015,7 +1021,7 @@ add(
 
 
 def _problem_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _labelled_facts(spark, sf_dir)
+    df = table(spark, sf_dir, "labelled")
     joined = profile.kind_counts(df).join(profile.distinct_counts(df), "column")
     return joined.selectExpr("column", f"{automl.promoted_sql()} AS promoted", f"{automl.problem_type_sql()} AS problem")
 
@@ -1028,7 +1034,7 @@ add(
 )
 add(
     "feature_stats",
-    lambda spark, d: rounded(automl.feature_stats(_labelled_facts(spark, d), ["lang", "source", "n_chars", "toxic"])),
+    lambda spark, d: rounded(automl.feature_stats(table(spark, d, "labelled"), ["doc_id", "text", "lang", "source", "n_chars", "toxic"])),
     _SCORED + f"SELECT \"column\" AS name, non_null_count, {r('non_null_count / \"rows\" AS coverage')}, "
     "\"distinct\" AS unique_values FROM scored WHERE \"column\" <> 'quality'",
 )
@@ -1054,6 +1060,76 @@ add(
 )
 
 
+def _chosen_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "labelled")
+    named = automl.choose_target([*df.columns, "Label"], profile.kind_counts(df).limit(0))
+    scored = automl.choose_target(df.columns, automl.target_scores(profile.kind_counts(df), profile.distinct_counts(df)))
+    return spark.createDataFrame([("by name", named), ("by score", scored)], "rule string, target string")
+
+
+add(
+    "chosen_target_labelled",
+    _chosen_target,
+    _SCORED + "SELECT 'by name' AS rule, 'Label' AS target UNION ALL SELECT 'by score', (SELECT \"column\" FROM scored ORDER BY "
+    "CASE WHEN inferred_type = 'text' THEN 0.1 ELSE 0 END + CASE WHEN ratio > 0.98 AND \"rows\" > 50 THEN 0.2 ELSE 0 END "
+    "+ CASE WHEN ratio < 0.02 THEN 0.2 ELSE 0 END + abs(0.5 - least(ratio, 1.0)), \"column\" LIMIT 1)",
+)
+
+
+def _promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of texts of which about 55, 60 and 65 % are numbers, and one of two values."""
+    parts = [f"CASE WHEN o_orderkey % 20 < {n} THEN '1.5' ELSE 'x' END AS share{n}" for n in (11, 12, 13)]
+    df = table(spark, sf_dir, "orders").selectExpr(*parts, "CASE WHEN o_orderkey < 2 THEN '7' END AS few")
+    return profile.kind_counts(df).selectExpr("column", "numeric_count", "non_null_count", f"{automl.promoted_sql()} AS promoted")
+
+
+add(
+    "numeric_promotion_orders",
+    _promotion,
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) FILTER ({hit}) AS numeric_count, count(*) FILTER ({some}) AS non_null_count, "
+        f"count(*) FILTER ({hit}) > 0 AND count(*) FILTER ({hit}) >= greatest(3, floor(0.6::DOUBLE * count(*) FILTER ({some}))) AS promoted FROM orders"
+        for c, hit, some in [*((f"share{n}", f"o_orderkey % 20 < {n}", "true") for n in (11, 12, 13)), ("few", "o_orderkey < 2", "o_orderkey < 2")]
+    ),
+)
+
+
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "conversations").selectExpr("conv_id", "role", "array(role) AS listed", "struct(turn) AS held", "string(null) AS none", "nullif(turn, 0) AS turn")
+    return spark.createDataFrame([(n,) for n in automl.usable_columns(df, profile.kind_counts(df))], "column string")
+
+
+add(
+    "usable_columns_conversations",
+    _usable,
+    "SELECT c AS \"column\" FROM (SELECT unnest([CASE WHEN count(conv_id) > 0 THEN 'conv_id' END, CASE WHEN count(role) > 0 THEN 'role' END, "
+    "CASE WHEN count(nullif(turn, 0)) > 0 THEN 'turn' END]) AS c FROM conversations) WHERE c IS NOT NULL",
+)
+
+
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automl.model_frame(table(spark, sf_dir, "labelled"), ["doc_id", "n_chars"], ["lang", "source", "text"], "quality", False)
+
+
+add(
+    "model_rows_labelled",
+    lambda spark, d: rounded(_model_rows(spark, d).selectExpr("n0", "n1", "c0", "c1", "md5(c2) AS c2", "target")),
+    f"SELECT CAST(doc_id AS DOUBLE) AS n0, CAST(n_chars AS DOUBLE) AS n1, {duck.text('lang', 'string')} AS c0, {duck.text('source', 'string')} AS c1, "
+    f"md5({duck.text('text', 'string')}) AS c2, CAST(quality AS VARCHAR) AS target FROM {duck_source('labelled')} WHERE quality IS NOT NULL",
+)
+add(
+    "category_positions_labelled",
+    lambda spark, d: automl.category_dictionary(_model_rows(spark, d), 3).selectExpr("int(position) AS position", "column", "md5(value) AS value", "n"),
+    "WITH cells AS ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS \"column\", {duck.text(c, 'string')} AS value FROM {duck_source('labelled')} WHERE quality IS NOT NULL"
+        for i, c in enumerate(("lang", "source", "text"))
+    )
+    + "), counted AS (SELECT \"column\", value, count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY ALL) "
+    "SELECT CAST(row_number() OVER (ORDER BY n DESC, \"column\", value) - 1 AS INT) AS position, \"column\", md5(value) AS value, n FROM counted",
+)
+
+
 def _classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "labelled")
     return automl.candidate_table(automl.train(df, "quality", key=["doc_id"]), df)
@@ -1078,7 +1154,7 @@ def _split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLIT_SQL = (
-    "(SELECT target, CASE WHEN n >= 100 THEN chance < 200000 ELSE place <= greatest(1, round(0.2 * n)) AND n > 1 END AS held FROM ("
+    "(SELECT target, (chance < 200000 OR place = 1) AND place < n AS held FROM ("
     "SELECT target, chance, count(*) OVER (PARTITION BY target) AS n, row_number() OVER (PARTITION BY target ORDER BY chance, doc_id) AS place "
     "FROM (SELECT doc_id, CAST({c} AS VARCHAR) AS target, CAST(concat('0x', substr(md5(concat('42:', doc_id)), 1, 8)) AS BIGINT) % 1000000 AS chance "
     "FROM {t} WHERE {c} IS NOT NULL)))"

@@ -15,9 +15,10 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
-    FeatureHasher,
+    CountVectorizerModel,
     Imputer,
     IndexToString,
+    SQLTransformer,
     StandardScaler,
     StringIndexer,
     StringIndexerModel,
@@ -25,7 +26,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,10 +49,8 @@ SEED = 42
 TREES = 200
 LOGISTIC_ITERATIONS = 500
 
-# Categories are hashed into this many columns, unless the caller says otherwise.
-HASH_FEATURES = 1024
-# Classes with fewer rows than this are split by rank, larger ones by hash alone.
-RANKED_CLASS = 100
+# Labelled rows that models are fitted on, about, unless the caller says otherwise.
+FIT_ROWS = 200_000
 
 
 @dataclass
@@ -167,11 +166,21 @@ def model_frame(
     return materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows")
 
 
-def preprocessing(numbers: int, categories: int, hash_features: int = HASH_FEATURES) -> list:
+def category_dictionary(frame: DataFrame, categories: int) -> DataFrame:
+    """(position, column, value, n): the values of ``c0..``, the most frequent first, ties by column and value.
+
+    It holds no more values than the rows that models are fitted on.
+    """
+    cells = ", ".join(f"struct({i} AS column, c{i} AS value)" for i in range(categories))
+    counted = frame.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    return counted.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "column", "value")) - 1)
+
+
+def preprocessing(numbers: int, categories: int, dictionary: Sequence[str] = ()) -> list:
     """Stages to a ``features`` vector.
 
-    Numbers: median for missing values, then standard scores. Categories: one column for
-    each value, by its hash, so no list of categories grows with the data.
+    Numbers: median for missing values, then standard scores. Categories: a column of its own
+    for each value (``column=value``) of the dictionary; other values are in none.
     """
     stages, parts = [], []
     if numbers:
@@ -182,9 +191,11 @@ def preprocessing(numbers: int, categories: int, hash_features: int = HASH_FEATU
             StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True),
         ]
         parts.append("scaled")
-    if categories:
-        stages.append(FeatureHasher(inputCols=[f"c{i}" for i in range(categories)], outputCol="hashed", numFeatures=hash_features))
-        parts.append("hashed")
+    if dictionary:
+        present = ", ".join(f"concat('{i}=', c{i})" for i in range(categories))
+        stages.append(SQLTransformer(statement=f"SELECT *, filter(array({present}), x -> x IS NOT NULL) AS present FROM __THIS__"))
+        stages.append(CountVectorizerModel.from_vocabulary(list(dictionary), "present", "encoded").setBinary(True))
+        parts.append("encoded")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 
 
@@ -197,11 +208,11 @@ def category_modes(frame: DataFrame, categories: int) -> dict[str, str]:
 
 
 def split_rows(frame: DataFrame, by_class: bool, key: Sequence[str] = (), seed: int = SEED) -> DataFrame:
-    """``frame`` (target and ``key``, or row_id) with ``held_out``: a fifth of the rows, and of every class.
+    """``frame`` (target and ``key``, or row_id) with ``held_out``: about a fifth of the rows, and of every class.
 
-    Rows are chosen by a hash of their key or number, whatever features they hold. Of a small class
-    the rows with the smallest hashes are held out, a fifth of them and at least one row if it has
-    two or more; a large class is split by the hash alone, so no class is sorted as a whole.
+    Rows are chosen by a hash of their key or number, whatever features they hold. A class's row
+    with the smallest hash is held out and the one with the largest is not, so a class of two rows
+    or more is on both sides; no class is sorted.
     """
     named_by = list(key) or ["row_id"]
     text = F.concat_ws(":", F.lit(str(seed)), *[column_of(k).cast("string") for k in named_by])
@@ -209,13 +220,11 @@ def split_rows(frame: DataFrame, by_class: bool, key: Sequence[str] = (), seed:
     limit = int(VALIDATION_SHARE * 1_000_000)
     if not by_class:
         return frame.withColumn("held_out", chance < limit)
-    sizes = frame.groupBy("target").agg(F.count("*").alias("class_rows"))
-    marked = frame.join(sizes, "target").withColumn("chance", chance)
-    large = marked.where(F.col("class_rows") >= RANKED_CLASS).withColumn("held_out", F.col("chance") < limit)
-    order = Window.partitionBy("target").orderBy("chance", *[column_of(k) for k in named_by])
-    held = F.when(F.col("class_rows") < 2, 0).otherwise(F.greatest(F.lit(1), F.round(VALIDATION_SHARE * F.col("class_rows"))))
-    small = marked.where(F.col("class_rows") < RANKED_CLASS).withColumn("held_out", F.row_number().over(order) <= held)
-    return large.unionByName(small).drop("class_rows", "chance")
+    place = F.struct(chance.alias("chance"), *[column_of(k) for k in named_by])
+    ends = frame.groupBy("target").agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"))
+    marked = frame.join(ends, "target")
+    chosen = ((chance < limit) | place.eqNullSafe(F.col("first_place"))) & ~place.eqNullSafe(F.col("last_place"))
+    return marked.withColumn("held_out", chosen).drop("first_place", "last_place")
 
 
 def classification_metrics(predicted: DataFrame) -> DataFrame:
@@ -241,7 +250,7 @@ def regression_metrics(predicted: DataFrame) -> DataFrame:
     )
 
 
-def candidate_models(problem: str, classes: int, boosted_classes: int) -> dict[str, object]:
+def candidate_models(problem: str, classes: int, boosted_classes: int | None) -> dict[str, object]:
     """The estimators by name; None for one that is not tried."""
     if problem == "regression":
         return {
@@ -252,7 +261,7 @@ def candidate_models(problem: str, classes: int, boosted_classes: int) -> dict[s
     boosting = GBTClassifier(seed=SEED)
     return {
         "random_forest_classifier": RandomForestClassifier(numTrees=TREES, seed=SEED),
-        "gradient_boosting_classifier": boosting if classes <= 2 else OneVsRest(classifier=boosting) if classes <= boosted_classes else None,
+        "gradient_boosting_classifier": boosting if classes <= 2 else OneVsRest(classifier=boosting) if boosted_classes is None or classes <= boosted_classes else None,
         "logistic_regression": LogisticRegression(maxIter=LOGISTIC_ITERATIONS),
     }
 
@@ -277,18 +286,18 @@ def train(
     df: DataFrame,
     target: str | None = None,
     key: Sequence[str] = (),
-    hash_features: int = HASH_FEATURES,
-    fit_rows: int | None = None,
-    max_classes: int = 1000,
-    boosted_classes: int = 20,
+    fit_rows: int = FIT_ROWS,
+    max_classes: int | None = None,
+    boosted_classes: int | None = None,
 ) -> ModelReport:
     """Choose a target, compare three models on held-out rows, refit the best on all rows.
 
     ``key`` names columns that identify a row; they are no features and come with the
-    predictions, with ``row_id``. ``fit_rows`` bounds, about, the rows that models are fitted
-    on, chosen by hash; counts, held-out rows and predictions still cover all. A target
-    with more than ``max_classes`` classes is not modelled, and one with more than
-    ``boosted_classes`` is not boosted, which takes a fit for each class.
+    predictions, with ``row_id``. ``fit_rows`` bounds, about, the labelled rows that models are
+    fitted on, chosen by hash, and with them the categories that are told apart; counts,
+    held-out rows and predictions still cover all. On request, a target with more than
+    ``max_classes`` classes is not modelled, and one with more than ``boosted_classes`` is not
+    boosted, which takes a fit for each class.
 
     A failure of any step is reported in the status and never raised.
     """
@@ -313,15 +322,15 @@ def train(
         return _skipped("No feature is left beside the target.", target=target)
     problem = facts[target]["problem"]
     known = dict(target=target, problem_type=problem)
-    if problem == "classification" and facts[target]["distinct"] > max_classes:
+    if problem == "classification" and max_classes is not None and facts[target]["distinct"] > max_classes:
         return _skipped("The target has too many classes to be modelled.", **known)
     try:
-        return _compared(df, features, facts, key, hash_features, fit_rows, boosted_classes, known)
+        return _compared(df, features, facts, key, fit_rows, boosted_classes, known)
     except Exception as error:  # noqa: BLE001 - a profile goes on without its models
         return ModelReport("failed", f"Modelling stopped: {str(error).splitlines()[0]}", **known)
 
 
-def _compared(df, features, facts, key, hash_features, fit_rows, boosted_classes, known) -> ModelReport:
+def _compared(df, features, facts, key, fit_rows, boosted_classes, known) -> ModelReport:
     target, problem = known["target"], known["problem_type"]
     by_class = problem == "classification"
     numbers = [n for n in features if facts[n]["promoted"]]
@@ -338,19 +347,15 @@ def _compared(df, features, facts, key, hash_features, fit_rows, boosted_classes
         seen = split.groupBy("target").agg(F.count_if(~F.col("held_out")).alias("n")).selectExpr("count_if(n = 0) AS unseen", "count(1) AS n").first()
         if seen["unseen"] or seen["n"] < 2:
             return ModelReport("failed", "Training rows must hold every class, and two at least.", **known)
-    if fit_rows is not None:
-        share = int(1_000_000 * min(1.0, fit_rows / rows))
-        bounded = F.pmod(F.xxhash64(F.lit(SEED + 1), "row_id"), F.lit(1_000_000)) < share
-        learned, everything = learned.where(bounded), split.where(bounded)
-    else:
-        everything = split
+    learned, everything = learned.where(_bounded(rows, fit_rows)), split.where(_bounded(rows, fit_rows))
     # Class numbers cover all rows; they say nothing about features.
     label = [StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc").fit(split)] if by_class else []
 
     def prepared(part: DataFrame) -> tuple[dict, list]:
         """Modes and fitted stages from these rows alone."""
         modes = category_modes(part, len(categories))
-        stages = Pipeline(stages=preprocessing(len(numbers), len(categories), hash_features)).fit(part.na.fill(modes)).stages
+        part = part.na.fill(modes)
+        stages = Pipeline(stages=preprocessing(len(numbers), len(categories), _listed(part, len(categories)))).fit(part).stages
         return modes, [*stages, *label]
 
     def ready(part: DataFrame, modes: dict, stages: list) -> DataFrame:
@@ -406,10 +411,20 @@ def candidate_table(report: ModelReport, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def cluster(
-    df: DataFrame, columns: Sequence[str] | None = None, key: Sequence[str] = (), hash_features: int = HASH_FEATURES
-) -> ModelReport:
-    """K-means for two to six clusters; the best silhouette wins. Constant columns are left out."""
+def _bounded(rows: int, fit_rows: int) -> Column:
+    """Whether a row is one of about ``fit_rows`` that models are fitted on."""
+    return F.pmod(F.xxhash64(F.lit(SEED + 1), "row_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / rows))
+
+
+def _listed(frame: DataFrame, categories: int) -> list[str]:
+    """The dictionary of ``frame`` in order, as ``column=value``."""
+    if not categories:
+        return []
+    return [f"{r['column']}={r['value']}" for r in category_dictionary(frame, categories).orderBy("position").collect()]
+
+
+def cluster(df: DataFrame, columns: Sequence[str] | None = None, key: Sequence[str] = (), fit_rows: int = FIT_ROWS) -> ModelReport:
+    """K-means for two to six clusters, fitted on about ``fit_rows`` rows; the best silhouette wins. Constant columns are left out."""
     counts = kind_counts(df)
     names = [n for n in usable_columns(df, counts) if n not in key and (columns is None or n in columns)]
     facts = {
@@ -429,8 +444,9 @@ def cluster(
     if rows < LEAST_CLUSTER_ROWS:
         return _skipped(f"Fewer than {LEAST_CLUSTER_ROWS} rows hold a feature.", rows_used=rows)
     frame = frame.na.fill(category_modes(frame, len(categories)))
-    prepared = Pipeline(stages=preprocessing(len(numbers), len(categories), hash_features)).fit(frame)
-    points = prepared.transform(frame).select("features").persist()
+    learned = frame.where(_bounded(rows, fit_rows))
+    prepared = Pipeline(stages=preprocessing(len(numbers), len(categories), _listed(learned, len(categories)))).fit(learned)
+    points = prepared.transform(learned).select("features").persist()
     try:
         tried, fitted = [], {}
         judge = ClusteringEvaluator()

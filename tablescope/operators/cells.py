@@ -74,7 +74,7 @@ def typed_columns(
     return out.selectExpr(*kept, *fields)
 
 
-def _unpivot(wide: DataFrame, names: Sequence[str], want: Sequence[str]) -> DataFrame:
+def unpivot(wide: DataFrame, names: Sequence[str], want: Sequence[str]) -> DataFrame:
     groups = ", ".join(
         f"({', '.join(f'{w}{i}' for w in want)}) AS {quoted(n)}" if len(want) > 1 else f"{want[0]}{i} AS {quoted(n)}"
         for i, n in enumerate(names)
@@ -97,7 +97,7 @@ def numeric_slots(df: DataFrame, expressions: dict[str, dict[str, str]]) -> Data
             *[f"num{i}" for i in range(len(chunk))],
             *[f"{expressions[n][label].format(x=f'num{i}')} AS {label}{i}" for i, n in enumerate(chunk) for label in labels],
         )
-        rows = _unpivot(wide, chunk, ("num", *labels))
+        rows = unpivot(wide, chunk, ("num", *labels))
         parts.append(rows.where(f"num IS NOT NULL AND {labels[0]} IS NOT NULL"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -128,7 +128,7 @@ def cells(
     names = list(df.columns if columns is None else columns)
     if not names:
         raise ValueError("a table needs at least one column to be profiled")
-    parts = [_unpivot(typed_columns(df, chunk, keep, want), chunk, want) for chunk in chunks(names)]
+    parts = [unpivot(typed_columns(df, chunk, keep, want), chunk, want) for chunk in chunks(names)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -181,11 +181,8 @@ def native_families(df: DataFrame, columns: Sequence[str] | None = None) -> dict
     return families
 
 
-def native_cells(df: DataFrame, family: str, names: Sequence[str], upto: dict[str, str] | None = None) -> DataFrame:
-    """Rows ``(column, value)`` of every non-missing cell of columns of one family.
-
-    ``upto`` gives the largest value (as text) to keep of some columns.
-    """
+def native_cells(df: DataFrame, family: str, names: Sequence[str]) -> DataFrame:
+    """Rows ``(column, value)`` of every non-missing cell of columns of one family."""
     types = field_types(df)
     parts = []
     for chunk in chunks(names):
@@ -194,16 +191,7 @@ def native_cells(df: DataFrame, family: str, names: Sequence[str], upto: dict[st
             wide = wide.toDF(*[f"value{i}" for i in range(len(chunk))])
         else:
             wide = df.selectExpr(*[f"{native_value_sql(n, types[n])[1]} AS value{i}" for i, n in enumerate(chunk)])
-        if upto:
-            wide = wide.selectExpr(
-                *[
-                    f"CASE WHEN value{i} <= cast({V.literal(upto[n])} AS {family}) THEN value{i} END AS value{i}"
-                    if n in upto
-                    else f"value{i}"
-                    for i, n in enumerate(chunk)
-                ]
-            )
-        parts.append(_unpivot(wide, chunk, ("value",)))
+        parts.append(unpivot(wide, chunk, ("value",)))
     return reduce(DataFrame.unionByName, parts).where("value IS NOT NULL")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from tablescope.operators.cells import (
     native_cells,
     native_families,
     native_frame,
+    native_value_sql,
     typed_columns,
+    unpivot,
 )
 from tablescope.session import POSITION, key_of, materialize
 
@@ -32,7 +35,7 @@ TRAINING_ROWS = 2000
 # First rows that are looked at for the first values of all columns at once.
 SAMPLE_ROWS = 100
 
-# One cell in this many, chosen by hash, helps to find the cut below which the smallest values lie.
+# One row in this many helps to find the cut below which the smallest values lie.
 DISTINCT_PROBE = 256
 
 
@@ -124,46 +127,84 @@ def distinct_values(df: DataFrame, columns: Sequence[str] | None = None, limit:
 
     Grouping every cell by its value would shuffle a whole unique text column. Instead a
     cut is found first: any ``limit + 1`` distinct values of a column bound its
-    ``limit + 1`` smallest from above, so the smallest values of a hash-chosen part of
-    the cells will do. Only values up to the cut are then grouped; a column too poor to
-    have a cut has so few distinct values that the map side collapses them. The
-    result is exact in every case.
+    ``limit + 1`` smallest from above, so the smallest values of a part of the rows
+    will do. Tasks keep no more than ``limit + 1`` of those for a column. Only values
+    up to the cut are then grouped, some thousands in a rich column however many
+    rows there are; a column too poor to have a cut has so few distinct values that
+    the map side collapses them. Two scans in all, and the result is exact in every case.
     """
-    families = native_families(df, columns)
-    cuts = reduce(
-        DataFrame.unionByName,
-        [_cuts(native_cells(df, family, names), limit) for family, names in families.items()],
+    types = field_types(df)
+    names = list(df.columns if columns is None else columns)
+    families = {n: native_value_sql(n, types[n])[0] for n in names}
+    cuts = _cuts(df, families, limit)
+    parts = []
+    for chunk in chunks(names):
+        # Instants are compared as microseconds, so that equal local times stay apart.
+        texts = []
+        for i, name in enumerate(chunk):
+            x, cut = _native_sql(name, families[name]), cuts.get(name)
+            kind = "bigint" if families[name] == "timestamp" else families[name]
+            kept = x if cut is None else f"CASE WHEN {x} <= cast({V.literal(cut)} AS {kind}) THEN {x} END"
+            texts.append(f"string({kept}) AS value{i}")
+        parts.append(unpivot(native_frame(df.select(*map(column_of, chunk))).selectExpr(*texts), chunk, ("value",)))
+    values = reduce(DataFrame.unionByName, parts).where("value IS NOT NULL").distinct()
+    of = lambda *kinds: f"column IN ({', '.join(['NULL', *[V.literal(n) for n in names if families[n] in kinds]])})"
+    order = (
+        f"struct(CASE WHEN {of('bigint', 'timestamp')} THEN try_cast(value AS bigint) END AS whole, "
+        f"CASE WHEN {of('double')} THEN try_cast(value AS double) END AS real, value AS text)"
     )
-    upto = {r["column"]: r["cut"] for r in cuts.collect()}
-    return reduce(
-        DataFrame.unionByName,
-        [_smallest(native_cells(df, family, names, upto), limit) for family, names in families.items()],
+    shown = f"CASE WHEN {of('timestamp')} THEN string(timestamp_micros(try_cast(value AS bigint))) ELSE value END"
+    placed = values.selectExpr("column", f"{order} AS key", f"{shown} AS value")
+    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy("key"))).where(f"place <= {limit + 1}")
+    listed = f"collect_list(CASE WHEN place <= {limit} THEN struct(place, value) END)"
+    return placed.groupBy("column").agg(
+        F.expr(f"least(count(1), {limit}) AS distinct_count"),
+        F.expr(f"count(1) > {limit} AS distinct_overflow"),
+        F.expr(f"sort_array({listed}).value AS distinct_sample"),
     )
 
 
-def _placed(values: DataFrame, limit: int) -> DataFrame:
-    """The ``limit + 1`` smallest distinct values of each column with their place."""
-    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    return values.select("column", "value").distinct().withColumn("place", place).where(f"place <= {limit + 1}")
+def _native_sql(name: str, family: str) -> str:
+    return f"unix_micros({quoted(name)})" if family == "timestamp" else quoted(name)
 
 
-def _cuts(values: DataFrame, limit: int) -> DataFrame:
-    """``(column, cut)``: one value as text for every column rich enough to have a cut."""
-    chosen = values.where(f"pmod(xxhash64(value), {DISTINCT_PROBE}) = 0")
-    return _placed(chosen, limit).where(f"place = {limit + 1}").selectExpr("column", "string(value) AS cut")
+#: How values of a family are read back from their text; all others are compared as text.
+_READ = {"bigint": int, "timestamp": int, "double": float}
 
 
-def _smallest(values: DataFrame, limit: int) -> DataFrame:
-    listed = f"collect_list(CASE WHEN place <= {limit} THEN value END)"
-    return (
-        _placed(values, limit)
-        .groupBy("column")
-        .agg(
-            F.expr(f"least(count(1), {limit}) AS distinct_count"),
-            F.expr(f"count(1) > {limit} AS distinct_overflow"),
-            F.expr(f"transform(sort_array({listed}), v -> string(v)) AS distinct_sample"),
-        )
-    )
+def _cuts(df: DataFrame, families: dict[str, str], limit: int) -> dict[str, str]:
+    """One value as text for every column rich enough to have a cut: at most ``limit + 1`` values of a column leave a task."""
+    names = list(families)
+
+    def smallest(wide: DataFrame, chunk: Sequence[str]) -> DataFrame:
+        chosen = wide.selectExpr(*[f"{_native_sql(n, families[n])} AS value{i}" for i, n in enumerate(chunk)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: list[list] = [[] for _ in chunk]
+            for batch in batches:
+                for i, column in enumerate(batch.columns):
+                    new = column.drop_null().unique().to_pylist()
+                    if new:
+                        kept[i] = sorted({*kept[i], *new})[: limit + 1]
+            found = [(names.index(chunk[i]), v if isinstance(v, str) else repr(v) if isinstance(v, float) else str(v)) for i, vs in enumerate(kept) for v in vs]
+            yield pa.RecordBatch.from_pydict({"i": [i for i, _ in found], "value": [v for _, v in found]}, _CELLS)
+
+        return chosen.mapInArrow(run, "i int, value string")
+
+    def merge(table: pa.Table) -> pa.Table:
+        number = table["i"][0].as_py()
+        read = _READ.get(families[names[number]], str)
+        found = sorted({(read(v), v) for v in table["value"].to_pylist()})
+        return pa.table({"i": [number], "value": [found[limit][1] if len(found) > limit else None]}, _CELLS)
+
+    # Any rows will do; a value stands in them with this chance at least, so a column without a cut has few values.
+    some = df.where(f"rand(42) * {DISTINCT_PROBE} < 1")
+    parts = [smallest(native_frame(some.select(*map(column_of, chunk))), chunk) for chunk in chunks(names)]
+    merged = reduce(DataFrame.unionByName, parts).groupBy("i").applyInArrow(merge, "i int, value string")
+    return {names[r["i"]]: r["value"] for r in merged.where("value IS NOT NULL").collect()}
+
+
+_CELLS = pa.schema([("i", pa.int32()), ("value", pa.string())])
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
