@@ -24,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
+from tablescope.llm.names import spare
 from tablescope.llm.shingles import BASE, shingle_sets
 from tablescope.llm.utf8 import blocks, column_bytes, mix
 from tablescope.session import materialize
@@ -278,16 +280,18 @@ def keep_one(documents: DataFrame, text: str = "text", percent: int = 75) -> Dat
     """``documents`` with one row of each component of near-duplicates: the one of the smallest doc_id.
 
     If no doc_id is known or several rows share it, the smallest MD5 of the text decides; of
-    rows equal in both one stays. Rows without words are no duplicates of anything and all
+    rows equal in both the one with the smallest hash of all columns stays. Rows without words are no duplicates of anything and all
     stay, and different texts of one doc_id are duplicates only if they are linked. All columns are kept.
     """
     wordless = F.coalesce(F.col(text), F.lit("")).rlike("^[\\x20\\x09-\\x0D]*$")
     found = _nodes(documents, text, percent)[0].filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
     best = found.groupBy("label").agg(F.min(order).alias("best")).select("best.doc_id", "best.key")
-    best = best.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"))
+    node, digest = spare(documents, "node", "digest")
+    best = best.select(F.col("doc_id").alias(node), F.col("key").alias(digest))
     # Repeated rows go before the exchange; the join then finds the rows where they are.
-    keyed = documents.filter(~wordless).withColumn("__doc_id", F.col("doc_id").cast("long")).withColumn("__key", _key(text))
-    once = keyed.groupBy("__doc_id", "__key").agg(F.first(F.struct(*documents.columns)).alias("row"))
-    same = once["__doc_id"].eqNullSafe(best["__doc_id"]) & (once["__key"] == best["__key"])
+    keyed = documents.filter(~wordless).withColumn(node, F.col("doc_id").cast("long")).withColumn(digest, _key(text))
+    told = [F.col(f"`{f.name}`") for f in documents.schema if not isinstance(f.dataType, MapType)]  # maps have no hash
+    once = keyed.groupBy(node, digest).agg(F.min_by(F.struct(*documents.columns), F.xxhash64(*told)).alias("row"))
+    same = once[node].eqNullSafe(best[node]) & (once[digest] == best[digest])
     return once.join(best, same, "left_semi").select("row.*").unionByName(documents.filter(wordless))

@@ -88,18 +88,21 @@ def shard(df: DataFrame, key: list[str], shards: int, replicas: int = 128, slack
     """
     spark = df.sparkSession
     nodes = ring(shards, replicas)
-    arcs = spark.createDataFrame(_cells(nodes), "__cell int, __low long, __high long, __arc int")
-    rows = df.drop("shard", "slot").withColumn("__at", position(*map(F.col, key)))
-    rows = rows.withColumn("__cell", F.shiftright("__at", 60 - CELL_BITS).cast("int"))
+    arcs = spark.createDataFrame(_cells(nodes), "cell int, low long, high long, arc int")
+    kept = df.drop(*(c for c in ("shard", "slot") if c not in key))
+    names = [c for c in kept.columns if c not in ("shard", "slot")]
+    # The rows are kept whole in one column, so that none of their names meets one used here.
+    rows = kept.select(F.struct(*names).alias("row"), position(*map(F.col, key)).alias("at"))
+    rows = rows.withColumn("cell", F.shiftright("at", 60 - CELL_BITS).cast("int"))
     # Both tables that are broadcast are bounded by the ring: arcs and cells, and one segment an arc and full shard.
-    rows = rows.join(F.broadcast(arcs), "__cell").filter("__at >= __low and __at < __high").drop("__cell", "__low", "__high")
-    counts = {r["__arc"]: r["n"] for r in rows.groupBy("__arc").agg(F.count("*").alias("n")).collect()}
+    rows = rows.join(F.broadcast(arcs), "cell").filter("at >= low and at < high").select("row", "at", "arc")
+    counts = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}
     segments = walk(counts, nodes, bounds(sum(counts.values()), shards, slack))
-    table = spark.createDataFrame(segments, "__arc int, __first long, __end long, shard int, __slot long")
-    order = Window.partitionBy("__arc").orderBy("__at", *sorted(df.drop("shard", "slot").columns))
-    ranked = rows.withColumn("__rank", F.row_number().over(order).cast("long") - 1)
-    placed = ranked.join(F.broadcast(table), "__arc").filter("__rank >= __first and __rank < __end")
-    return placed.withColumn("slot", F.expr("__slot + __rank - __first")).drop("__at", "__arc", "__rank", "__first", "__end", "__slot")
+    table = spark.createDataFrame(segments, "arc int, first long, end long, shard int, slot long")
+    order = Window.partitionBy("arc").orderBy("at", *[f"row.{c}" for c in sorted(names)])
+    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    placed = ranked.join(F.broadcast(table), "arc").filter("rank >= first and rank < end")
+    return placed.select("row.*", "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def _cells(nodes: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:

@@ -99,3 +99,12 @@ def test_different_texts_of_one_doc_id(spark):
     # No text goes that isn't like one that stays.
     assert left - {(None, g), (None, g + " end"), (2, d), (2, d + " end")} == {(1, a), (1, b), (3, c), (6, e), (6, f)}
     assert len(left) == 7
+
+
+def test_names_that_clash_with_those_used_inside(spark):
+    rows = [(1, "a b c d e f g", "x", "s", 1.5, {"k": 1}), (1, "a b c d e f g", "w", "s", 2.5, None), (2, "other words are here now", "y", None, 0.5, {}), (3, "", "z", "s", 1.0, None)]
+    df = table(spark, "doc_id long, text string, node string, digest string, __key double, m map<string,int>", rows)
+    kept = near.keep_one(df).collect()
+    assert sorted((r.doc_id, r["__key"]) for r in kept) in ([(1, 1.5), (2, 0.5), (3, 1.0)], [(1, 2.5), (2, 0.5), (3, 1.0)])
+    again = near.keep_one(df.repartition(7, "node")).collect()
+    assert sorted((r.doc_id, r["__key"]) for r in kept) == sorted((r.doc_id, r["__key"]) for r in again) and kept[0].asDict().keys() == set(df.columns)

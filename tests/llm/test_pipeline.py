@@ -38,7 +38,9 @@ def fixture():
 def test_stages(spark, tmp_path):
     docs, labels, items, kind = fixture()
     docs += [docs[0], (None, None, None, None, None), (990, "", "en", "s", 0)]
+    docs += [(1000 + n, "abcdefghij"[:n], "en", "s", 0) for n in range(1, 10)]
     spark_docs = table(spark, "doc_id long, text string, lang string, source string, n_chars long", docs)
+    spark_docs = spark_docs.withColumnsRenamed({"source": "score", "lang": "key"})
     spark_docs.write.parquet(f"{tmp_path}/documents.parquet")
     table(spark, "doc_id long, quality int, toxic int", labels).write.parquet(f"{tmp_path}/labels.parquet")
     table(spark, "item_id long, text string", list(enumerate(items))).write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -57,3 +57,10 @@ def test_odd_rows(spark):
     assert out.count() == 5 and out.schema["shard"].dataType == T.IntegerType()
     assert shard.shard(df.limit(0), ["doc_id"], 4).count() == 0
     assert {r.shard for r in shard.shard(df, ["doc_id"], 1).collect()} == {0}
+
+
+def test_names_that_clash_with_those_used_inside(spark):
+    df = spark.range(50).selectExpr("id", "id % 3 AS at", "'x' AS row", "id AS rank", "0 AS arc", "1 AS first", "2 AS slot", "3 AS __arc")
+    out = shard.shard(df, ["id"], shards=4, slack=0.0)
+    assert out.columns == ["id", "at", "row", "rank", "arc", "first", "__arc", "shard", "slot"]
+    assert sorted(r["count"] for r in out.groupBy("shard").count().collect()) == [12, 12, 13, 13]
