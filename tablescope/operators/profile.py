@@ -23,7 +23,7 @@ from tablescope.operators.cells import (
     typed_columns,
     unpivot,
 )
-from tablescope.session import POSITION, key_of, materialize
+from tablescope.session import POSITION, at_once, key_of, materialize
 
 # How many values, rows and distinct strings a profile shows.
 PREVIEW_ROWS = 5
@@ -235,9 +235,11 @@ def sample_values(
     types = field_types(df)
     names = list(df.columns if columns is None else columns)
     key = f"struct({', '.join(quoted(k) for k in order_by)}) AS key"
-    texts = df.selectExpr(key, *[f"{V.text_sql(quoted(n), types[n])} AS t{i}" for i, n in enumerate(names)])
+    cells = [key, *[f"{V.text_sql(quoted(n), types[n])} AS t{i}" for i, n in enumerate(names)]]
     # One scan: the first rows hold enough values of nearly all columns. Only columns that lack some there get a scan of their own.
-    first = materialize(texts.orderBy("key").limit(SAMPLE_ROWS), "first")
+    # Texts are made of the first rows alone: they cost far more than finding those.
+    texts, head = df.selectExpr(*cells), df.orderBy(*map(column_of, order_by)).limit(SAMPLE_ROWS)
+    first = materialize(head.selectExpr(*cells), "first")
     filled = first.selectExpr(*[f"count(t{i}) AS t{i}" for i in range(len(names))], "count(1) AS rows").first()
     parts = []
     for i, name in enumerate(names):
@@ -257,18 +259,20 @@ def column_profile(df: DataFrame, order_by: Sequence[str] | None = None, facts:
     counts = (kind_counts(df) if facts is None else facts).select(
         "column", "inferred_type", "null_count", "null_ratio", "non_null_count"
     )
-    profile = counts.join(F.broadcast(distinct_values(df)), "column", "left").selectExpr(
+    # Both look for bounds in jobs of their own, and neither needs the other's.
+    distinct, first = at_once(
+        df.sparkSession,
+        lambda: distinct_values(df),
+        lambda: sample_values(keyed, order_by, df.columns) if order_by else None,
+    )
+    profile = counts.join(F.broadcast(distinct), "column", "left").selectExpr(
         *counts.columns,
         "coalesce(distinct_count, 0) AS distinct_count",
         "coalesce(distinct_overflow, false) AS distinct_overflow",
         "coalesce(distinct_sample, cast(array() AS array<string>)) AS distinct_sample",
     )
-    if order_by:
-        firsts = (
-            sample_values(keyed, order_by, df.columns)
-            .groupBy("column")
-            .agg(F.expr("sort_array(collect_list(struct(place, text))).text AS firsts"))
-        )
+    if first is not None:
+        firsts = first.groupBy("column").agg(F.expr("sort_array(collect_list(struct(place, text))).text AS firsts"))
         profile = profile.join(F.broadcast(firsts), "column", "left").selectExpr(
             *profile.columns, "coalesce(firsts, cast(array() AS array<string>)) AS sample_values"
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import correlate, describe, profile, quality, report
 from tablescope.operators.automl import ModelReport, candidate_table, cluster, train
-from tablescope.session import POSITION, key_of, materialize
+from tablescope.session import POSITION, at_once, key_of, materialize, pinned
 from tablescope.sources import sinks
 
 
@@ -106,8 +107,8 @@ class Report:
         if mode == "ignore" and (finished := finished_manifest(spark, path)) is not None:
             return finished
         writers = {"csv": sinks.write_csv, "json": sinks.write_json, "text": sinks.write_text}
-        for key, (kind, table) in self.tables().items():
-            writers[kind](table, f"{path}/{key}", "overwrite")
+        tables = self.tables().items()
+        at_once(spark, *[partial(writers[kind], table, f"{path}/{key}", "overwrite") for key, (kind, table) in tables])
         if self.inference is not None and self.inference.model is not None:
             self.inference.model.write().overwrite().save(f"{path}/results/model")
         entries = self.manifest(path)
@@ -151,41 +152,49 @@ def profile_dataset(
     ``order_by`` names a key and adds first values, first rows and scatter points. Tables
     that know the places of their rows in files (``read_dataset(position=True)``) have them without a key.
     ``write_source`` stores the input once as Parquet in the shared folder, for sources that
-    are slow to parse. ``settle`` stores the tables with one row per column that later steps
-    build on, so the scans behind them run once; they run before this returns. ``modelling``
+    are slow to parse. ``settle`` keeps the tables with a few rows per column that later steps
+    build on, so the scans behind them run once; they run before this returns, those that don't need each other at once. ``modelling``
     adds the automated models, ``clustering`` the clusters instead. ``charts`` limits the columns with
     histograms, box plots and a place in the matrix to those with the most numbers.
     ``bytes_read`` is the size of the source (see ``source_metadata``).
     """
 
+    spark = df.sparkSession
+
     def kept(table: DataFrame, name: str) -> DataFrame:
         return materialize(table, name) if settle else table
 
+    def small(table: DataFrame) -> DataFrame:
+        return pinned(table) if settle else table
+
     if write_source:
         df = materialize(df, "source")
     keyed, key, order_by, df = df, order_by or (), key_of(df, order_by), df.drop(POSITION)
-    facts = kept(profile.column_facts(df), "facts")
+    facts, duplicates = at_once(
+        spark, lambda: small(profile.column_facts(df)), lambda: small(profile.duplicate_rows(df))
+    )
     stats = facts.where("count > 0")
-    columns = kept(profile.column_profile(keyed, order_by, facts), "profile").orderBy("column")
-    duplicates = kept(profile.duplicate_rows(df), "duplicates")
-
-    ranges = kept(quality.numeric_range(df, facts), "ranges")
+    # What needs the facts alone, in jobs that share the executors.
+    columns, ranges, descriptive, pairs, far = at_once(
+        spark,
+        lambda: kept(profile.column_profile(keyed, order_by, facts), "profile").orderBy("column"),
+        lambda: small(quality.numeric_range(df, facts)),
+        lambda: small(describe.descriptive_table(df, stats)).orderBy("column"),
+        lambda: kept(correlate.all_correlations(df, stats=stats), "pairs"),
+        lambda: small(describe.outliers(df, stats)).orderBy("column", "place"),
+    )
     cardinality = quality.categorical_cardinality(
         facts, columns.select("column", "distinct_count", "distinct_overflow")
     )
     checks = quality.column_checks(facts, ranges, cardinality)
-    issues = kept(quality.issues_table(checks, duplicates), "issues").orderBy(F.col("column").asc_nulls_last(), "seq")
+    issues = small(quality.issues_table(checks, duplicates)).orderBy(F.col("column").asc_nulls_last(), "seq")
     severities = quality.severity_summary(issues)
-
-    descriptive = kept(describe.descriptive_table(df, stats), "descriptive").orderBy("column")
-    pairs = kept(correlate.all_correlations(df, stats=stats), "pairs")
     correlations = correlate.top_correlations(pairs)
-    far = kept(describe.outliers(df, stats), "outliers").orderBy("column", "place")
     bins = describe.histogram_bins(descriptive)
     mapped = describe.numeric_ranking(stats, charts)
     charted = mapped.select("column")
 
-    metrics = report.dataset_metrics(facts, severities, bytes_read)
+    metrics = small(report.dataset_metrics(facts, severities, bytes_read))
     inference = train(df, key=key) if modelling else cluster(df, key=key) if clustering else None
     scatter = None
     if order_by:
@@ -209,7 +218,7 @@ def profile_dataset(
         histograms=describe.histogram(df, bins.join(F.broadcast(charted), "column", "left_semi")),
         boxes=describe.box_stats(df, descriptive.join(F.broadcast(charted), "column", "left_semi")),
         metrics=metrics,
-        summary=report.narrative(metrics, correlations, far),
+        summary=small(report.narrative(metrics, correlations, far)),
         preview=profile.preview(keyed, order_by) if order_by else None,
         scatter=scatter,
         inference=inference,

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 
 
+#: Independent jobs that are submitted together; their tasks share the executors.
+JOBS_AT_ONCE = 6
+
 #: The column that holds a row's place in the files it was read from, where one was asked for.
 POSITION = "__position"
 
@@ -62,6 +68,21 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
+def at_once(spark: SparkSession, *steps: Callable[[], Any]) -> list[Any]:
+    """The results of independent ``steps``, in their order, run by up to ``JOBS_AT_ONCE`` threads of the driver.
+
+    Most steps of a profile are short jobs, whose cost is in planning and in waiting for last tasks; both overlap.
+    The first step that fails ends the call, after all those that have begun.
+    """
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        try:
+            return [step.result() for step in running]
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
+
+
 def key_of(df: DataFrame, order_by: Sequence[str] | None) -> list[str]:
     """The columns that put rows in order: those that are named, else the place in the files, else none."""
     return list(order_by or ([POSITION] if POSITION in df.columns else []))
