@@ -232,14 +232,18 @@ def sample_values(
 
     No task sorts or holds more than ``SAMPLE_ROWS`` rows.
     """
-    types = field_types(df)
     names = list(df.columns if columns is None else columns)
     key = f"struct({', '.join(quoted(k) for k in order_by)}) AS key"
-    cells = [key, *[f"{V.text_sql(quoted(n), types[n])} AS t{i}" for i, n in enumerate(names)]]
+    raw = [f"c{i}" for i in range(len(names))]
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        wide = rows.selectExpr(key, *[f"{quoted(n)} AS {c}" for n, c in zip(names, raw)])
+        return typed_columns(wide, raw, ("key",), ("text",)).toDF("key", *[f"t{i}" for i in range(len(names))])
+
     # One scan: the first rows hold enough values of nearly all columns. Only columns that lack some there get a scan of their own.
     # Texts are made of the first rows alone: they cost far more than finding those.
-    texts, head = df.selectExpr(*cells), df.orderBy(*map(column_of, order_by)).limit(SAMPLE_ROWS)
-    first = materialize(head.selectExpr(*cells), "first")
+    texts = texts_of(df)
+    first = materialize(texts_of(df.orderBy(*map(column_of, order_by)).limit(SAMPLE_ROWS)), "first")
     filled = first.selectExpr(*[f"count(t{i}) AS t{i}" for i in range(len(names))], "count(1) AS rows").first()
     parts = []
     for i, name in enumerate(names):
