@@ -6,19 +6,29 @@ going to a unigram model with add-one smoothing. A document's score is the mean
 words of the loss under the target model less the loss under the background model: the
 lower, the more the document is like the target.
 
-Words and bigrams are counted over all documents and stay distributed tables, which grow
-with the corpus. Documents look up only the ``HEAD`` most common bigrams locally; all
-other bigrams of a document are counted in it first and joined with the models, and the
-losses are summed for each row.
+Words and bigrams are counted over all documents, and none is left out; what is gathered
+grows with the corpus. Bigrams move once, as compressed blocks: all with the same word
+before go to one range, where they are counted, settled and summed for each row. What a
+range can't know, how often its words occur, is counted in an earlier pass, which notes the
+ranges that ask, so uncommon words are sent to these alone. A sample of all words names the
+common ones (bounded lists). It only decides how counts travel, never what they are:
+
+* counts of common words are known to all tasks;
+* followers of a word that would fill more than a range are dealt to several ranges, and
+  its counts come from the earlier pass;
+* bigrams that alone would fill much of a range are counted in the earlier pass, and settled
+  where they are met.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.shingles import BASE, word_hashes
@@ -28,10 +38,18 @@ from tablescope.session import materialize
 DISCOUNT = 0.75
 #: What stands before a first word, and the one word that stands for all outside a vocabulary of a given size.
 START, UNKNOWN = 0, 1
-#: A word or bigram with more than this part of all occurrences is common. Fewer than so many can be.
-HOT_WORDS, HEAD = 1 << 14, 1 << 20
-#: Words that a task counts before it sends them on.
+#: One word in so many is in the sample.
+SAMPLE = 64
+#: The most words that are known to all tasks, words whose followers are dealt to several ranges, bigrams settled where they are met.
+COMMON_WORDS, COMMON_BEFORES, COMMON_PAIRS = 1 << 16, 1 << 14, 1 << 14
+#: Bigrams of a range, about; a bigram of an eighth of that is common.
+RANGE = 3 << 20
+#: Words that a task gathers before it sends them on.
 PENDING = 1 << 21
+#: Codes of words: places among the common words, or hashes with this bit. Common bigrams have codes between.
+UNCOMMON, PAIRS = np.uint64(1 << 63), 1 << 40
+#: The range of counts that no range asks for.
+NOWHERE = -1
 
 
 def _words(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,21 +83,116 @@ def vocabulary(documents: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([row["word"] for row in best], np.int64).view(np.uint64))
 
 
-def bigrams(documents: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """(before, word, target_n, all_n) over all documents (text, is_target); START stands before a first word."""
+def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key is among the sorted keys, -1 for those that are not there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(keys, wanted).clip(max=len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+@dataclass(frozen=True)
+class Common:
+    """What the sample found to be common, and the ranges that follow from it."""
+
+    #: Hashes of words, codes of words before, and keys of bigrams (of codes), each sorted; both codes of those bigrams.
+    words: np.ndarray
+    befores: np.ndarray
+    pairs: np.ndarray
+    pair_codes: np.ndarray
+    #: The number of ranges for all words before but the common ones; the first range and number of ranges of those.
+    ranges: int
+    first: np.ndarray
+    parts: np.ndarray
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        at = _place(self.words, hashes)
+        return np.where(at >= 0, at.astype(np.uint64), hashes | UNCOMMON)
+
+    def dealt(self, before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each bigram (of codes), and whether its word before is a common one."""
+        at = _place(self.befores, before)
+        ranges = (mix(before + np.uint64(1)) % np.uint64(self.ranges)).astype(np.int64)
+        met = np.flatnonzero(at >= 0)
+        ranges[met] = self.first[at[met]] + (mix(words[met] * BASE) % self.parts[at[met]].astype(np.uint64)).astype(np.int64)
+        return ranges, at >= 0
+
+
+def _sampled(documents: DataFrame, known: np.ndarray | None, sample: int) -> DataFrame:
+    """(before, word, n, t) of the sampled words of (text, is_target), and rows without words that hold the numbers of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            flags, kept, targets, begun = batch.column(1).to_numpy(zero_copy_only=False), [], 0, seen
+            for row, words, before, first in _words(batch.column(0), known):
+                n = np.diff(first)
+                targets += int(n[flags[row : row + len(n)]].sum())
+                chosen = mix(np.arange(seen, seen + len(words), dtype=np.uint64) * BASE) % np.uint64(sample) == 0
+                kept.append((before[chosen], words[chosen]))
+                seen += len(words)
+            before, words = map(np.concatenate, zip(*kept)) if kept else (np.zeros(0, np.uint64),) * 2
+            _, at, n = np.unique(_pairs(before, words), return_index=True, return_counts=True)
+            numbers = [pa.array(x.view(np.int64)) for x in (before[at], words[at])] + [pa.array(n.astype(np.int64)), pa.nulls(len(at), pa.int64())]
+            yield pa.RecordBatch.from_arrays(numbers, ["before", "word", "n", "t"])
+            every = [pa.array([x], pa.int64()) for x in (None, None, seen - begun, targets)]
+            yield pa.RecordBatch.from_arrays(every, ["before", "word", "n", "t"])
+
+    found = documents.select("text", "is_target").mapInArrow(run, "before long, word long, n long, t long")
+    return found.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def common(documents: DataFrame, known: np.ndarray | None = None, sample: int = SAMPLE, size: int = RANGE) -> tuple[Common, int, int]:
+    """What is common in documents (text, is_target), the number of their words, and that of the targets' words."""
+    found = materialize(_sampled(documents, known, sample), "sample")
+    total = found.filter("word IS NULL").first()
+    every, targets = (total["n"], total["t"]) if total else (0, 0)
+    counted = found.filter("word IS NOT NULL")
+
+    def most(keys: list[str], least: float, limit: int) -> tuple[list[np.ndarray], np.ndarray]:
+        best = counted.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") * sample > least).orderBy(F.desc("n"), *keys).limit(limit).toArrow()
+        return [best[k].to_numpy().view(np.uint64) for k in keys], best["n"].to_numpy() * sample
+
+    (pair_before, pair_word), _ = most(["before", "word"], size / 8, COMMON_PAIRS)
+    (befores,), n = most(["before"], size / 2, COMMON_BEFORES)
+    (words,), _ = most(["word"], 2 * sample, COMMON_WORDS - COMMON_PAIRS)
+    # A common bigram's words are common, so that all it takes to settle it is known.
+    words = np.union1d(words, pair_word)
+    none = np.zeros(0, np.uint64)
+    codes = Common(words, none, none, none, 1, none, none).codes
+    pair_codes = np.stack([codes(pair_before), codes(pair_word)])
+    pairs, order = np.unique(_pairs(*pair_codes), return_index=True)
+    befores, at = np.unique(np.concatenate([codes(befores), pair_codes[0]]), return_index=True)
+    parts = np.ceil(np.concatenate([n, np.zeros(len(pair_before))])[at] / size).astype(np.int64).clip(min=1)
+    ranges = max(1, -(-every // size))
+    first = ranges + np.cumsum(parts) - parts
+    return Common(words, befores, pairs, pair_codes[:, order], ranges, first, parts), every, targets
+
+
+def word_counts(documents: DataFrame, plan: Common, known: np.ndarray | None = None) -> DataFrame:
+    """(word, t, a, parts) for the codes of all words of (text, is_target) and of common bigrams.
+
+    ``parts`` has (range, t, a) for every range in which the word needs counts, and the rest under NOWHERE.
+    """
 
     def counted(pending: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        before, words, target = map(np.concatenate, zip(*pending))
-        _, at, own, n = np.unique(_pairs(before, words), return_index=True, return_inverse=True, return_counts=True)
-        columns = [before[at].view(np.int64), words[at].view(np.int64), np.bincount(own, target, len(at)).astype(np.int64), n]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["before", "word", "target_n", "all_n"])
+        words, ranges, target = map(np.concatenate, zip(*pending))
+        _, at, own, n = np.unique(_pairs(words, ranges.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+        columns = [words[at].view(np.int64), ranges[at], np.bincount(own, target, len(at)).astype(np.int64), n.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "range", "t", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, size = [], 0
         for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False)
+            flags = batch.column(1).to_numpy(zero_copy_only=False)
             for row, words, before, first in _words(batch.column(0), known):
-                pending.append((before, words, np.repeat(target[row : row + len(first) - 1], np.diff(first))))
+                target = np.repeat(flags[row : row + len(first) - 1], np.diff(first))
+                words, before = plan.codes(words), plan.codes(before)
+                ranges, shared = plan.dealt(before, words)
+                pending.append((words, np.where((words < UNCOMMON) & ~shared, NOWHERE, ranges), target))
+                pair = _place(plan.pairs, _pairs(before, words))
+                met = pair >= 0
+                pending.append(((pair[met] + PAIRS).astype(np.uint64), np.full(met.sum(), NOWHERE), target[met]))
                 size += len(words)
                 if size >= PENDING:
                     yield counted(pending)
@@ -87,56 +200,172 @@ def bigrams(documents: DataFrame, known: np.ndarray | None = None) -> DataFrame:
         if size:
             yield counted(pending)
 
-    cells = documents.select("text", "is_target").mapInArrow(run, "before long, word long, target_n long, all_n long")
-    return cells.groupBy("before", "word").agg(F.sum("target_n").alias("target_n"), F.sum("all_n").alias("all_n"))
+    cells = documents.select("text", "is_target").mapInArrow(run, "word long, range long, t long, a long").repartition("word")
+    cells = cells.groupBy("word", "range").agg(F.sum("t").alias("t"), F.sum("a").alias("a"))
+    parts = F.collect_list(F.struct("range", "t", "a")).alias("parts")
+    return cells.groupBy("word").agg(F.sum("t").alias("t"), F.sum("a").alias("a"), parts)
+
+
+#: The arrays of a block of words, and of a block of bigrams: words before and their numbers of followers; which followers are
+#: common, the common and the other followers, their numbers of rows; rows (twice the place, one more for targets) and counts.
+WORD_BLOCK, PAIR_BLOCK = ("u8", "u8", "u8"), ("u8", "u4", "u1", "u2", "u8", "u4", "u4", "u4")
+
+
+def _packed(arrays: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
+    """Arrays as one compressed string, the bytes of equal weight side by side."""
+    sides = [np.ascontiguousarray(a.astype(k)).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a, k in zip(arrays, kinds)]
+    data = b"".join([np.array([len(a) for a in arrays], "u8").tobytes(), *sides])
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(block: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    data = np.frombuffer(pa.decompress(block[8:], int.from_bytes(block[:8], "little"), "zstd", asbytes=True), np.uint8)
+    lengths, low, arrays = data[: 8 * len(kinds)].view("u8"), 8 * len(kinds), []
+    for n, kind in zip(lengths.astype(int), kinds):
+        width = np.dtype(kind).itemsize
+        arrays.append(np.ascontiguousarray(data[low : low + n * width].reshape(width, n).T).view(kind).reshape(n))
+        low += n * width
+    return arrays
+
+
+def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins in sorted columns."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in sorted_columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _pair_blocks(ranges: np.ndarray, before: np.ndarray, words: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(range, block) of bigrams of rows in ascending order."""
+    order = np.lexsort((words, before, ranges))  # stable: rows stay in order
+    ranges, before, words, rows = (x[order] for x in (ranges, before, words, rows))
+    at = _runs(ranges, before, words, rows)
+    counts = np.diff(np.append(at, len(rows)))
+    ranges, before, words, rows = (x[at] for x in (ranges, before, words, rows))
+    bounds = np.append(_runs(ranges), len(ranges))
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        b, w = before[low:high], words[low:high]
+        pair = _runs(b, w)
+        own, followers = b[pair], w[pair]
+        begin, near = _runs(own), followers < UNCOMMON
+        numbers = [np.diff(np.append(begin, len(own))), np.packbits(near), followers[near], followers[~near]]
+        arrays = [own[begin], *numbers, np.diff(np.append(pair, high - low)), rows[low:high], counts[low:high]]
+        yield int(ranges[low]), _packed(arrays, PAIR_BLOCK)
+
+
+def _pairs_of(block: bytes) -> tuple[np.ndarray, ...]:
+    """(before, word, row, count) of a block of bigrams."""
+    own, kinds, near, common_words, others, sizes, rows, counts = _unpacked(block, PAIR_BLOCK)
+    near = np.unpackbits(near, count=len(sizes)).astype(bool)
+    words = np.empty(len(sizes), np.uint64)
+    words[near], words[~near] = common_words, others
+    return np.repeat(np.repeat(own, kinds), sizes), np.repeat(words, sizes), rows, counts
+
+
+def _word_blocks(words: DataFrame) -> DataFrame:
+    """(range, block) of uncommon words (range, word, t, a)."""
+
+    def packed(pending: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(pending).sort_by([("range", "ascending"), ("word", "ascending")])
+        ranges, *columns = (table[c].to_numpy() for c in ("range", "word", "t", "a"))
+        bounds = np.append(_runs(ranges), len(ranges))
+        found = [_packed([c[low:high].view(np.uint64) for c in columns], WORD_BLOCK) for low, high in zip(bounds[:-1], bounds[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(ranges[bounds[:-1]]), pa.array(found, pa.binary())], ["range", "block"])
 
-
-def _looked_up(cells: DataFrame, stats: DataFrame, key: str, hot: Column) -> DataFrame:
-    """``cells`` with the columns of ``stats`` (a row for every ``key``), of which the ``hot`` rows (bounded) are broadcast.
-
-    Cells that found theirs are dealt out by their own hash, so no key brings many of them together.
-    """
-    names = [c for c in stats.columns if c != key]
-    head = stats.filter(hot).select(key, F.struct(*names).alias("head"))
-    tail = stats.filter(~hot).select(F.col(key).alias("own"), F.struct(*names).alias("tail"))
-    near = cells.join(F.broadcast(head), key, "left")
-    near = near.withColumn("own", F.when(F.col("head").isNull(), F.col(key)).otherwise(F.xxhash64("before", "word")))
-    found = F.coalesce("head", "tail")
-    return near.join(tail, "own", "left").select(*cells.columns, *(found[c].alias(c) for c in names))
-
-
-def train(documents: DataFrame, known: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
-    """(before, word, target, background): the losses of all bigrams of the documents (text, is_target), and those of common ones."""
-    cells = materialize(bigrams(documents, known), "bigrams")
-    sums = [F.sum("target_n").alias("t"), F.sum("all_n").alias("a")]
-    words = materialize(cells.groupBy("word").agg(*sums), "words")
-    total = words.agg(F.sum("t").alias("t"), F.sum("a").alias("a"), F.count_if(F.col("word") != UNKNOWN).alias("size")).first()
-    every, targets = total["a"] or 0, total["t"] or 0
-    if not targets:  # both are the background
-        cells, words = (x.withColumn(t, F.col(a)) for x, t, a in ((cells, "target_n", "all_n"), (words, "t", "a")))
-        targets = every
-    befores = cells.groupBy("before").agg(
-        F.sum("target_n").alias("before_t"), F.count_if(F.col("target_n") > 0).alias("kinds_t"),
-        F.sum("all_n").alias("before_a"), F.count("*").alias("kinds_a"),
-    )
-    befores = materialize(befores, "befores")
-
-    def loss(n: str, before: str, kinds: str, unigram: str, of: int) -> Column:
-        low = (F.col(unigram) + 1) / F.lit(float(of + total["size"] + 2))
-        seen = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col(before) + DISCOUNT * F.col(kinds) / F.col(before) * low
-        return -F.log(F.when(F.col(before) > 0, seen).otherwise(low))
-
-    def model(part: DataFrame) -> DataFrame:
-        both = _looked_up(part, befores, "before", F.col("before_a") > every / HOT_WORDS)
-        both = _looked_up(both, words, "word", F.col("a") > every / HOT_WORDS)
-        target = loss("target_n", "before_t", "kinds_t", "t", targets)
-        return both.select("before", "word", target.alias("target"), loss("all_n", "before_a", "kinds_a", "a", every).alias("background"))
-
-    common = F.col("all_n") > every / HEAD
-    return model(cells.filter(~common)), model(cells.filter(common))
-
-
-def cross_entropy_difference(documents: DataFrame, targets: DataFrame, size: int | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, size = [], 0
+        for batch in batches:
+            pending.append(batch)
+            size += len(batch)
+            if size >= PENDING:
+                yield packed(pending)
+                pending, size = [], 0
+        if size:
+            yield packed(pending)
+
+    return words.select("range", "word", "t", "a").mapInArrow(run, "range long, block binary")
+
+
+@dataclass(frozen=True)
+class Model:
+    """Numbers known to all tasks: of all words, of common words and words before, and the losses of common bigrams."""
+
+    sums: tuple[int, int]
+    vocabulary: int
+    words: np.ndarray
+    befores: np.ndarray
+    pairs: np.ndarray | None = None
+
+    def losses(self, counts: np.ndarray, befores: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Both models' losses of bigrams; all arguments have a row for each model."""
+        low = (words + 1) / (np.array(self.sums, float)[:, None] + self.vocabulary + 2)
+        of = np.maximum(befores, 1)
+        seen = np.maximum(counts - DISCOUNT, 0) / of + DISCOUNT * kinds / of * low
+        return -np.log(np.where(befores > 0, seen, low))
+
+
+def _model(words: DataFrame, plan: Common, sums: tuple[int, int], known: np.ndarray | None) -> Model:
+    def table(rows: DataFrame, key: str, columns: list[str], size: int) -> np.ndarray:
+        found, out = rows.toArrow(), np.zeros((len(columns), size))
+        for i, c in enumerate(columns):
+            out[i, found[key].to_numpy()] = found[c].to_numpy()
+        return out
+
+    near = table(words.filter((F.col("word") >= 0) & (F.col("word") < PAIRS)).select("word", "t", "a"), "word", ["t", "a"], len(plan.words))
+    pairs = words.filter(F.col("word") >= PAIRS).select((F.col("word") - PAIRS).alias("word"), "t", "a")
+    pairs = table(pairs, "word", ["t", "a"], len(plan.pairs))
+    vocabulary = words.filter(F.col("word") < PAIRS).count() if known is None else len(known)
+    # A follower is in one range of its word before, so numbers of followers add up over the ranges.
+    ranges = words.select(F.explode("parts").alias("p")).select("p.*").filter(F.col("range") >= plan.ranges)
+    ranges = ranges.groupBy((F.col("range") - plan.ranges).alias("range")).agg(
+        F.sum("t").alias("t"), F.sum("a").alias("a"), F.count_if(F.col("t") > 0).alias("kinds_t"), F.count("*").alias("kinds_a")
+    )
+    befores = table(ranges, "range", ["t", "a", "kinds_t", "kinds_a"], int(plan.parts.sum()))
+    if len(plan.parts):
+        befores = np.add.reduceat(befores, plan.first - plan.ranges, axis=1)
+    model = Model(sums, vocabulary, near, befores)
+    of = befores[:, np.searchsorted(plan.befores, plan.pair_codes[0])]
+    return replace(model, pairs=model.losses(pairs, of[:2], of[2:], near[:, plan.pair_codes[1].astype(np.int64)]))
+
+
+def _settled(found: pa.Table, plan: Common, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, target loss, background loss) summed for the rows of a range's blocks (base, block)."""
+    every, sent = [], []
+    for base, block in zip(found["base"].to_pylist(), found["block"]):
+        if base is None:
+            sent.append(_unpacked(block.as_py(), WORD_BLOCK))
+        else:
+            before, words, rows, n = _pairs_of(block.as_py())
+            every.append((before, words, base + (rows >> 1).astype(np.int64), (rows & 1).astype(bool), n))
+    if not every:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    before, words, rows, target, n = map(np.concatenate, zip(*every))
+    del every
+    _, at, own = np.unique(_pairs(before, words), return_index=True, return_inverse=True)
+    counts = np.stack([np.bincount(own, n * target, len(at)), np.bincount(own, n, len(at))])
+    before, words = before[at], words[at]
+    place = _place(plan.befores, before)
+    _, group = np.unique(before, return_inverse=True)
+    befores = np.stack([np.bincount(group, c)[group] for c in counts])
+    kinds = np.stack([np.bincount(group, c > 0)[group] for c in counts])
+    shared = place >= 0
+    befores[:, shared], kinds[:, shared] = model.befores[:2, place[shared]], model.befores[2:, place[shared]]
+    occurring, near = np.zeros((2, len(words))), words < UNCOMMON
+    occurring[:, near] = model.words[:, words[near].astype(np.int64)]
+    if sent:
+        codes, t, a = map(np.concatenate, zip(*sent))
+        order = np.argsort(codes)
+        where = order[np.searchsorted(codes, words[~near], sorter=order)]
+        occurring[0, ~near], occurring[1, ~near] = t[where], a[where]
+    losses = model.losses(counts, befores, kinds, occurring)
+    rows, back = np.unique(rows, return_inverse=True)
+    return rows, *(np.bincount(back, n * loss[own], len(rows)) for loss in losses)
+
+
+def cross_entropy_difference(
+    documents: DataFrame, targets: DataFrame, size: int | None = None, sample: int = SAMPLE, range_size: int = RANGE
+) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) for every row of ``documents`` (doc_id, text).
 
     ``targets`` names the target documents by doc_id. The losses are means per word in nats
@@ -144,50 +373,75 @@ def cross_entropy_difference(documents: DataFrame, targets: DataFrame, size: int
     zero for all. A null doc_id is never a target; rows that repeat a target's doc_id are
     targets too. Without any target the score is 0 for all. Repeated rows are counted and
     returned as often as they occur. Other columns play no part. With ``size``, only the most
-    frequent words are told apart and all others are one unknown word.
+    frequent words are told apart and all others are one unknown word. ``sample`` and
+    ``range_size`` bear on how counts travel, not on results.
     """
     known = None if size is None else vocabulary(documents, size)
     named = targets.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
     flagged = documents.select("doc_id", "text").join(named, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    rare, common = train(flagged, known)
-    head = common.toArrow()  # fewer than HEAD
-    head_words = [head[c].to_numpy().view(np.uint64) for c in ("before", "word")]
-    order = np.argsort(keys := _pairs(*head_words))
-    keys, values = keys[order], np.stack([head[c].to_numpy()[order] for c in ("target", "background")]).astype("<f4")
+    plan, every, of_targets = common(flagged, known, sample, range_size)
+    if not of_targets:  # both models are the background
+        flagged, of_targets = flagged.withColumn("is_target", F.lit(True)), every
+    words = materialize(word_counts(flagged, plan, known), "words")
+    model = _model(words, plan, (of_targets, every), known)
+    asked = words.filter("word < 0").select("word", "t", "a", F.explode("parts.range").alias("range"))
+
+    kind = flagged.schema["doc_id"].dataType.simpleString()
+    row_schema = {"row": "long", "doc_id": kind, "n_words": "long", "t": "double", "b": "double"}
+    schema = {"range": "long", "base": "long", "block": "binary"} | row_schema
+
+    def filled(n: int, own_type: pa.DataType, **columns: object) -> pa.RecordBatch:
+        types = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+        arrays = []
+        for name, of in schema.items():
+            kind_of = own_type if name == "doc_id" else types[of]
+            arrays.append(pa.nulls(n, kind_of) if name not in columns else columns[name] if name == "doc_id" else pa.array(columns[name], kind_of))
+        return pa.RecordBatch.from_arrays(arrays, list(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, waiting, base, own_type = [], 0, 0, None
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for place, block in _pair_blocks(*map(np.concatenate, zip(*pending))):
+                yield filled(1, own_type, range=[place], base=[base], block=[block])
+
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for row, words, before, first in _words(batch.column(2), known):
+            ids, own_type = batch.column(0).to_numpy(), batch.column(1).type
+            flags = batch.column(3).to_numpy(zero_copy_only=False)
+            for row, hashes, before, first in _words(batch.column(2), known):
                 docs, n_words = len(first) - 1, np.diff(first)
-                own, pair = np.repeat(np.arange(docs), n_words), _pairs(before, words)
-                place = np.searchsorted(keys, pair).clip(max=max(len(keys) - 1, 0))
-                met = keys[place] == pair if len(keys) else np.zeros(len(pair), bool)
-                sums = [np.bincount(own[met], v[place[met]], docs) for v in values]
-                # The row itself, at a place where no bigram is, and its other bigrams.
-                ids = rows[row : row + docs]
-                yield out([ids, batch.column(1).slice(row, docs), n_words, *sums, ids, np.full(docs, -1), np.zeros(docs)])
-                rest = np.flatnonzero(~met)
-                _, at, n = np.unique(mix(pair[rest] + mix((own[rest] + 1).astype(np.uint64) * BASE)), return_index=True, return_counts=True)
-                at = rest[at]
-                none, zero = pa.nulls(len(at), batch.column(1).type), np.zeros(len(at))
-                yield out([ids[own[at]], none, zero, zero, zero, before[at].view(np.int64), words[at].view(np.int64), n])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = {"row": "long", "doc_id": kind, "n_words": "long", "t": "double", "b": "double", "before": "long", "word": "long", "n": "long"}
-
-    def out(columns: list) -> pa.RecordBatch:
-        kinds = {"long": pa.int64(), "double": pa.float64()}
-        arrays = [c if name == "doc_id" else pa.array(c.astype(kinds[schema[name]].to_pandas_dtype())) for name, c in zip(schema, columns)]
-        return pa.RecordBatch.from_arrays(arrays, list(schema))
-
-    numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = numbered.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in schema.items()))
-    lost = parts.join(rare, ["before", "word"], "left")
-    summed = lost.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"),
-        *(F.sum(F.col(own) + F.col("n") * F.coalesce(loss, F.lit(0.0))).alias(loss) for own, loss in (("t", "target"), ("b", "background"))),
-    )
+                of, words, before = np.repeat(np.arange(docs), n_words), plan.codes(hashes), plan.codes(before)
+                at = _place(plan.pairs, _pairs(before, words))
+                met, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                sums = [np.bincount(of[met], loss[at[met]], docs) for loss in model.pairs]
+                own = ids[row : row + docs]
+                # The row itself passes through some range.
+                yield filled(docs, own_type, range=own % plan.ranges, row=own, doc_id=batch.column(1).slice(row, docs), n_words=n_words, t=sums[0], b=sums[1])
+                if not waiting:
+                    base = int(own[0])
+                target = flags[row : row + docs].astype(np.int64)
+                marked = (2 * (own - base) + target)[of[rest]]
+                pending.append((plan.dealt(before[rest], words[rest])[0], before[rest], words[rest], marked))
+                waiting += len(words)
+                if waiting >= PENDING:
+                    yield from sent()
+                    pending, waiting = [], 0
+        if waiting:
+            yield from sent()
+
+    def settle(found: pa.Table) -> pa.Table:
+        blocks_of = found.filter(pc.is_valid(found["block"]))
+        rows, t, b = _settled(blocks_of, plan, model)
+        whole = found.filter(pc.is_null(found["block"])).select(list(row_schema))
+        sums = [pa.array(rows, pa.int64()), pa.nulls(len(rows), whole.schema.field("doc_id").type), pa.nulls(len(rows), pa.int64()), pa.array(t), pa.array(b)]
+        return pa.concat_tables([whole, pa.Table.from_arrays(sums, schema=whole.schema)])
+
+    columns = lambda names: ", ".join(f"{c} {k}" for c, k in names.items())
+    numbered = flagged.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "is_target")
+    parts = numbered.mapInArrow(run, columns(schema))
+    parts = parts.unionByName(_word_blocks(asked), allowMissingColumns=True)
+    summed = parts.groupBy("range").applyInArrow(settle, columns(row_schema)).groupBy("row")
+    summed = summed.agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_words", "t", "b")))
     mean = lambda loss: F.when(F.col("n_words") > 0, F.col(loss) / F.col("n_words")).otherwise(0.0)
-    scored = summed.select("doc_id", "n_words", mean("target").alias("target_loss"), mean("background").alias("background_loss"))
+    scored = summed.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -76,12 +76,41 @@ def test_every_word_has_its_own_counts(spark):
     targets = set(range(0, 150, 3))
     df = table(spark, "doc_id long, text string", docs).repartition(3)
     marks = table(spark, "doc_id long", [(t,) for t in targets])
-    head, lm.HEAD = lm.HEAD, 256  # most bigrams are joined
-    try:
-        got = {r.doc_id: r for r in lm.cross_entropy_difference(df, marks).collect()}
-    finally:
-        lm.HEAD = head
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(df, marks).collect()}
     assert len({w for _, t in docs for w in words(t)}) > 4000 and len(got) == 150
     for k, n, target, background in brute(docs, targets, 1 << 20):
         assert got[k].n_words == n
         assert abs(got[k].target_loss - target) < 1e-4 and abs(got[k].background_loss - background) < 1e-4
+
+
+def test_common_words_and_bigrams_travel_otherwise_with_the_same_result(spark):
+    """A bigram and a word before that hold a third of all words, dealt to ranges of about 200 bigrams."""
+    rng = random.Random(7)
+    docs = [(i, "a b " * rng.randint(5, 20) + " ".join(rng.choice(["a", "c", f"r{rng.randrange(3000)}"]) for _ in range(50))) for i in range(120)]
+    targets = set(range(0, 120, 5))
+    df = table(spark, "doc_id long, text string", docs).repartition(5)
+    marks = table(spark, "doc_id long", [(t,) for t in targets])
+    flagged = df.selectExpr("text", "doc_id % 5 = 0 AS is_target")
+    plan, every, of_targets = lm.common(flagged, sample=1, size=200)
+    assert every == sum(len(words(t)) for _, t in docs) and of_targets == sum(len(words(t)) for i, t in docs if i in targets)
+    assert len(plan.pairs) > 3 and plan.parts.max() > 5 and plan.ranges > 20
+    for sample, size in ((1, 200), (3, 500)):
+        got = {r.doc_id: r for r in lm.cross_entropy_difference(df, marks, sample=sample, range_size=size).collect()}
+        assert len(got) == 120
+        for k, n, target, background in brute(docs, targets, 1 << 20):
+            assert got[k].n_words == n
+            assert abs(got[k].target_loss - target) < 1e-9 and abs(got[k].background_loss - background) < 1e-9
+
+
+def test_blocks_come_back(spark):
+    """A round trip of bigrams of rows through blocks, with codes of common and other words."""
+    rng = random.Random(3)
+    rows = [(rng.choice([0, 5, 9 + (1 << 63)]), rng.choice([1, 2, 3 + (1 << 63), (1 << 64) - 1]), rng.randrange(6)) for _ in range(400)]
+    rows.sort(key=lambda r: r[2])
+    columns = [lm.np.array(c, kind) for c, kind in zip(zip(*rows), ("u8", "u8", "i8"))]
+    got = Counter()
+    for place, block in lm._pair_blocks((columns[0] % 3).astype(int), *columns):
+        for before, word, row, n in zip(*(c.tolist() for c in lm._pairs_of(block))):
+            assert before % 3 == place
+            got[before, word, row] += n
+    assert got == Counter(rows)
