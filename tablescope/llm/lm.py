@@ -43,9 +43,9 @@ SAMPLE = 64
 #: The most words that are known to all tasks, words whose followers are dealt to several ranges, bigrams settled where they are met.
 COMMON_WORDS, COMMON_BEFORES, COMMON_PAIRS = 1 << 16, 1 << 14, 1 << 14
 #: Bigrams of a range, about; a bigram of an eighth of that is common.
-RANGE = 3 << 20
-#: Words that a task gathers before it sends them on.
-PENDING = 1 << 21
+RANGE = 1 << 21
+#: Words that a task gathers before it sends them on, and bigrams whose losses are computed at once.
+PENDING, STEP = 1 << 20, 1 << 17
 #: Codes of words: places among the common words, or hashes with this bit. Common bigrams have codes between.
 UNCOMMON, PAIRS = np.uint64(1 << 63), 1 << 40
 #: The range of counts that no range asks for.
@@ -255,12 +255,12 @@ def _pair_blocks(ranges: np.ndarray, before: np.ndarray, words: np.ndarray, rows
 
 
 def _pairs_of(block: bytes) -> tuple[np.ndarray, ...]:
-    """(before, word, row, count) of a block of bigrams."""
+    """(before, word, number of rows) of the bigrams of a block, and (row, count) of all their rows."""
     own, kinds, near, common_words, others, sizes, rows, counts = _unpacked(block, PAIR_BLOCK)
     near = np.unpackbits(near, count=len(sizes)).astype(bool)
     words = np.empty(len(sizes), np.uint64)
     words[near], words[~near] = common_words, others
-    return np.repeat(np.repeat(own, kinds), sizes), np.repeat(words, sizes), rows, counts
+    return np.repeat(own, kinds), words, sizes, rows, counts
 
 
 def _word_blocks(words: DataFrame) -> DataFrame:
@@ -331,36 +331,49 @@ def _model(words: DataFrame, plan: Common, sums: tuple[int, int], known: np.ndar
 
 def _settled(found: pa.Table, plan: Common, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, target loss, background loss) summed for the rows of a range's blocks (base, block)."""
-    every, sent = [], []
+    blocks_of, pairs, sent = [], [], []
     for base, block in zip(found["base"].to_pylist(), found["block"]):
         if base is None:
             sent.append(_unpacked(block.as_py(), WORD_BLOCK))
         else:
-            before, words, rows, n = _pairs_of(block.as_py())
-            every.append((before, words, base + (rows >> 1).astype(np.int64), (rows & 1).astype(bool), n))
-    if not every:
+            before, words, sizes, rows, n = _pairs_of(block.as_py())
+            blocks_of.append((base, block))
+            begin = np.cumsum(sizes, dtype=np.int64) - sizes
+            pairs.append((before, words, *(np.add.reduceat(c, begin, dtype="u4") if len(n) else n for c in (n * (rows & 1), n))))
+    if not pairs:
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-    before, words, rows, target, n = map(np.concatenate, zip(*every))
-    del every
+    before, words, *counts = map(np.concatenate, zip(*pairs))
+    pairs, lengths = [], [len(p[0]) for p in pairs]
+    # From here on by distinct bigrams; ``own`` leads back to those of the blocks.
     _, at, own = np.unique(_pairs(before, words), return_index=True, return_inverse=True)
-    counts = np.stack([np.bincount(own, n * target, len(at)), np.bincount(own, n, len(at))])
-    before, words = before[at], words[at]
-    place = _place(plan.befores, before)
-    _, group = np.unique(before, return_inverse=True)
-    befores = np.stack([np.bincount(group, c)[group] for c in counts])
-    kinds = np.stack([np.bincount(group, c > 0)[group] for c in counts])
-    shared = place >= 0
-    befores[:, shared], kinds[:, shared] = model.befores[:2, place[shared]], model.befores[2:, place[shared]]
-    occurring, near = np.zeros((2, len(words))), words < UNCOMMON
-    occurring[:, near] = model.words[:, words[near].astype(np.int64)]
+    own, before, words = own.astype("u4"), before[at], words[at]
+    counts = [np.bincount(own, c, len(at)) for c in counts]
     if sent:
-        codes, t, a = map(np.concatenate, zip(*sent))
+        codes, *sent = map(np.concatenate, zip(*sent))
         order = np.argsort(codes)
-        where = order[np.searchsorted(codes, words[~near], sorter=order)]
-        occurring[0, ~near], occurring[1, ~near] = t[where], a[where]
-    losses = model.losses(counts, befores, kinds, occurring)
-    rows, back = np.unique(rows, return_inverse=True)
-    return rows, *(np.bincount(back, n * loss[own], len(rows)) for loss in losses)
+        codes, sent = codes[order], [c[order] for c in sent]
+    begins, group = np.unique(before, return_inverse=True)
+    befores = np.stack([np.bincount(group, c) for c in (*counts, counts[0] > 0, counts[1] > 0)])
+    place = _place(plan.befores, begins)
+    befores[:, place >= 0] = model.befores[:, place[place >= 0]]
+    losses = np.empty((2, len(at)))
+    for low in range(0, len(at), STEP):
+        part = slice(low, low + STEP)
+        of, word = befores[:, group[part]], words[part]
+        occurring, near = np.zeros((2, len(word))), word < UNCOMMON
+        occurring[:, near] = model.words[:, word[near].astype(np.int64)]
+        if sent:
+            where = np.searchsorted(codes, word[~near])
+            occurring[:, ~near] = [c[where] for c in sent]
+        losses[:, part] = model.losses(np.stack([c[part] for c in counts]), of[:2], of[2:], occurring)
+    sums, low = [], 0
+    for (base, block), length in zip(blocks_of, lengths):
+        _, _, sizes, rows, n = _pairs_of(block.as_py())
+        rows, back = np.unique(rows >> 1, return_inverse=True)
+        loss = losses[:, own[low : low + length]]
+        sums.append((base + rows.astype(np.int64), *(np.bincount(back, n * np.repeat(one, sizes), len(rows)) for one in loss)))
+        low += length
+    return tuple(map(np.concatenate, zip(*sums)))
 
 
 def cross_entropy_difference(

@@ -110,7 +110,8 @@ def test_blocks_come_back(spark):
     columns = [lm.np.array(c, kind) for c, kind in zip(zip(*rows), ("u8", "u8", "i8"))]
     got = Counter()
     for place, block in lm._pair_blocks((columns[0] % 3).astype(int), *columns):
-        for before, word, row, n in zip(*(c.tolist() for c in lm._pairs_of(block))):
+        before, words_of, sizes, *of = lm._pairs_of(block)
+        for before, word, row, n in zip(*(c.tolist() for c in (lm.np.repeat(before, sizes), lm.np.repeat(words_of, sizes), *of))):
             assert before % 3 == place
             got[before, word, row] += n
     assert got == Counter(rows)
