@@ -41,7 +41,7 @@ START, UNKNOWN = 0, 1
 #: One word in so many is in the sample.
 SAMPLE = 64
 #: The most words that are known to all tasks, words whose followers are dealt to several ranges, bigrams settled where they are met.
-COMMON_WORDS, COMMON_BEFORES, COMMON_PAIRS = 1 << 16, 1 << 14, 1 << 14
+COMMON_WORDS, COMMON_BEFORES, COMMON_PAIRS = 1 << 16, 1 << 13, 1 << 13
 #: Bigrams of a range, about; a bigram of an eighth of that is common.
 RANGE = 1 << 21
 #: Words that a task gathers before it sends them on, and bigrams whose losses are computed at once.
@@ -109,13 +109,13 @@ class Common:
         at = _place(self.words, hashes)
         return np.where(at >= 0, at.astype(np.uint64), hashes | UNCOMMON)
 
-    def dealt(self, before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of each bigram (of codes), and whether its word before is a common one."""
+    def dealt(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The range of each bigram (of codes)."""
         at = _place(self.befores, before)
         ranges = (mix(before + np.uint64(1)) % np.uint64(self.ranges)).astype(np.int64)
         met = np.flatnonzero(at >= 0)
         ranges[met] = self.first[at[met]] + (mix(words[met] * BASE) % self.parts[at[met]].astype(np.uint64)).astype(np.int64)
-        return ranges, at >= 0
+        return ranges
 
 
 def _sampled(documents: DataFrame, known: np.ndarray | None, sample: int) -> DataFrame:
@@ -172,7 +172,7 @@ def common(documents: DataFrame, known: np.ndarray | None = None, sample: int =
 def word_counts(documents: DataFrame, plan: Common, known: np.ndarray | None = None) -> DataFrame:
     """(word, t, a, parts) for the codes of all words of (text, is_target) and of common bigrams.
 
-    ``parts`` has (range, t, a) for every range in which the word needs counts, and the rest under NOWHERE.
+    ``parts`` has (range, t, a) for every range that needs the counts of an uncommon word.
     """
 
     def counted(pending: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -188,8 +188,8 @@ def word_counts(documents: DataFrame, plan: Common, known: np.ndarray | None = N
             for row, words, before, first in _words(batch.column(0), known):
                 target = np.repeat(flags[row : row + len(first) - 1], np.diff(first))
                 words, before = plan.codes(words), plan.codes(before)
-                ranges, shared = plan.dealt(before, words)
-                pending.append((words, np.where((words < UNCOMMON) & ~shared, NOWHERE, ranges), target))
+                ranges = plan.dealt(before, words)
+                pending.append((words, np.where(words < UNCOMMON, NOWHERE, ranges), target))
                 pair = _place(plan.pairs, _pairs(before, words))
                 met = pair >= 0
                 pending.append(((pair[met] + PAIRS).astype(np.uint64), np.full(met.sum(), NOWHERE), target[met]))
@@ -206,6 +206,67 @@ def word_counts(documents: DataFrame, plan: Common, known: np.ndarray | None = N
     return cells.groupBy("word").agg(F.sum("t").alias("t"), F.sum("a").alias("a"), parts)
 
 
+def common_followers(documents: DataFrame, plan: Common, known: np.ndarray | None = None) -> DataFrame:
+    """(place, t, a, kinds_t, kinds_a) of the common words before, by place among them: bigrams with common words, and different ones.
+
+    A task marks followers in bits, one row for each word before, so what moves is bounded by
+    tasks and never by words; bits are united in two steps.
+    """
+    width, columns = len(plan.words), "place long, part int, t long, a long, bits binary"
+
+    def one(place: int, part: int, sums: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+        values = [[place], [part], [int(sums[0])], [int(sums[1])], [pa.compress(np.packbits(met).tobytes(), "zstd", asbytes=True)]]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["place", "part", "t", "a", "bits"])
+
+    def marked(keys: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+        # A key is a place, a follower and whether it is in a target document.
+        keys, n = np.unique(keys, return_counts=True)
+        places = keys // (2 * width)
+        bounds = np.append(_runs(places), len(keys))
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            word, target, of = (keys[low:high] >> 1) % width, (keys[low:high] & 1).astype(bool), n[low:high]
+            met = np.zeros((2, width), bool)
+            met[1, word] = met[0, word[target]] = True
+            yield one(int(places[low]), part, np.array([of[target].sum(), of.sum()]), met)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, size, part = [], 0, 0
+        for batch in batches:
+            flags, part = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)[0].as_py() if len(batch) else part
+            for row, words, before, first in _words(batch.column(0), known):
+                target = np.repeat(flags[row : row + len(first) - 1], np.diff(first))
+                words, place = plan.codes(words), _place(plan.befores, plan.codes(before))
+                chosen = np.flatnonzero((place >= 0) & (words < UNCOMMON))
+                pending.append(2 * (place[chosen] * width + words[chosen].astype(np.int64)) + target[chosen])
+                size += len(chosen)
+                if size >= 2 * PENDING:
+                    yield from marked(np.concatenate(pending), part)
+                    pending, size = [], 0
+        if size:
+            yield from marked(np.concatenate(pending), part)
+
+    def united(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        raw, met = 2 * width, np.zeros(2 * width, bool)
+        for bits in found["bits"]:
+            data = pa.decompress(bits.as_py(), -(-raw // 8), "zstd", asbytes=True)
+            met |= np.unpackbits(np.frombuffer(data, np.uint8), count=raw).astype(bool)
+        return np.array([pc.sum(found[c]).as_py() for c in ("t", "a")]), met.reshape(2, width)
+
+    def first_step(found: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([one(found["place"][0].as_py(), 0, *united(found))])
+
+    def last_step(found: pa.Table) -> pa.Table:
+        sums, met = united(found)
+        numbers = [found["place"][0].as_py(), *sums, *met.sum(axis=1)]
+        return pa.Table.from_arrays([pa.array([int(x)]) for x in numbers], ["place", "t", "a", "kinds_t", "kinds_a"])
+
+    part = F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")
+    found = documents.select("text", "is_target", part).mapInArrow(run, columns)
+    found = found.groupBy("place", "part").applyInArrow(first_step, columns)
+    return found.groupBy("place").applyInArrow(last_step, "place long, t long, a long, kinds_t long, kinds_a long")
+
+
 #: The arrays of a block of words, and of a block of bigrams: words before and their numbers of followers; which followers are
 #: common, the common and the other followers, their numbers of rows; rows (twice the place, one more for targets) and counts.
 WORD_BLOCK, PAIR_BLOCK = ("u8", "u8", "u8"), ("u8", "u4", "u1", "u2", "u8", "u4", "u4", "u4")
@@ -305,7 +366,7 @@ class Model:
         return -np.log(np.where(befores > 0, seen, low))
 
 
-def _model(words: DataFrame, plan: Common, sums: tuple[int, int], known: np.ndarray | None) -> Model:
+def _model(documents: DataFrame, words: DataFrame, plan: Common, sums: tuple[int, int], known: np.ndarray | None) -> Model:
     def table(rows: DataFrame, key: str, columns: list[str], size: int) -> np.ndarray:
         found, out = rows.toArrow(), np.zeros((len(columns), size))
         for i, c in enumerate(columns):
@@ -316,14 +377,16 @@ def _model(words: DataFrame, plan: Common, sums: tuple[int, int], known: np.ndar
     pairs = words.filter(F.col("word") >= PAIRS).select((F.col("word") - PAIRS).alias("word"), "t", "a")
     pairs = table(pairs, "word", ["t", "a"], len(plan.pairs))
     vocabulary = words.filter(F.col("word") < PAIRS).count() if known is None else len(known)
-    # A follower is in one range of its word before, so numbers of followers add up over the ranges.
-    ranges = words.select(F.explode("parts").alias("p")).select("p.*").filter(F.col("range") >= plan.ranges)
-    ranges = ranges.groupBy((F.col("range") - plan.ranges).alias("range")).agg(
-        F.sum("t").alias("t"), F.sum("a").alias("a"), F.count_if(F.col("t") > 0).alias("kinds_t"), F.count("*").alias("kinds_a")
-    )
-    befores = table(ranges, "range", ["t", "a", "kinds_t", "kinds_a"], int(plan.parts.sum()))
-    if len(plan.parts):
-        befores = np.add.reduceat(befores, plan.first - plan.ranges, axis=1)
+    befores = np.zeros((4, len(plan.befores)))
+    if len(plan.befores):
+        columns = ["t", "a", "kinds_t", "kinds_a"]
+        befores = table(common_followers(documents, plan, known), "place", columns, len(plan.befores))
+        # An uncommon follower is in one range of its word before, so numbers of followers add up over the ranges.
+        ranges = words.select(F.explode("parts").alias("p")).select("p.*").filter(F.col("range") >= plan.ranges)
+        ranges = ranges.groupBy((F.col("range") - plan.ranges).alias("range")).agg(
+            F.sum("t").alias("t"), F.sum("a").alias("a"), F.count_if(F.col("t") > 0).alias("kinds_t"), F.count("*").alias("kinds_a")
+        )
+        befores += np.add.reduceat(table(ranges, "range", columns, int(plan.parts.sum())), plan.first - plan.ranges, axis=1)
     model = Model(sums, vocabulary, near, befores)
     of = befores[:, np.searchsorted(plan.befores, plan.pair_codes[0])]
     return replace(model, pairs=model.losses(pairs, of[:2], of[2:], near[:, plan.pair_codes[1].astype(np.int64)]))
@@ -396,15 +459,16 @@ def cross_entropy_difference(
     if not of_targets:  # both models are the background
         flagged, of_targets = flagged.withColumn("is_target", F.lit(True)), every
     words = materialize(word_counts(flagged, plan, known), "words")
-    model = _model(words, plan, (of_targets, every), known)
+    model = _model(flagged, words, plan, (of_targets, every), known)
     asked = words.filter("word < 0").select("word", "t", "a", F.explode("parts.range").alias("range"))
 
     kind = flagged.schema["doc_id"].dataType.simpleString()
-    row_schema = {"row": "long", "doc_id": kind, "n_words": "long", "t": "double", "b": "double"}
+    # A range's sum of a row travels in single precision; the sums of all ranges are in double precision.
+    row_schema = {"row": "long", "doc_id": kind, "n_words": "long", "t": "float", "b": "float"}
     schema = {"range": "long", "base": "long", "block": "binary"} | row_schema
 
     def filled(n: int, own_type: pa.DataType, **columns: object) -> pa.RecordBatch:
-        types = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+        types = {"long": pa.int64(), "float": pa.float32(), "binary": pa.binary()}
         arrays = []
         for name, of in schema.items():
             kind_of = own_type if name == "doc_id" else types[of]
@@ -434,7 +498,7 @@ def cross_entropy_difference(
                     base = int(own[0])
                 target = flags[row : row + docs].astype(np.int64)
                 marked = (2 * (own - base) + target)[of[rest]]
-                pending.append((plan.dealt(before[rest], words[rest])[0], before[rest], words[rest], marked))
+                pending.append((plan.dealt(before[rest], words[rest]), before[rest], words[rest], marked))
                 waiting += len(words)
                 if waiting >= PENDING:
                     yield from sent()
@@ -446,7 +510,7 @@ def cross_entropy_difference(
         blocks_of = found.filter(pc.is_valid(found["block"]))
         rows, t, b = _settled(blocks_of, plan, model)
         whole = found.filter(pc.is_null(found["block"])).select(list(row_schema))
-        sums = [pa.array(rows, pa.int64()), pa.nulls(len(rows), whole.schema.field("doc_id").type), pa.nulls(len(rows), pa.int64()), pa.array(t), pa.array(b)]
+        sums = [pa.array(rows, pa.int64()), pa.nulls(len(rows), whole.schema.field("doc_id").type), pa.nulls(len(rows), pa.int64()), *(pa.array(x, pa.float32()) for x in (t, b))]
         return pa.concat_tables([whole, pa.Table.from_arrays(sums, schema=whole.schema)])
 
     columns = lambda names: ", ".join(f"{c} {k}" for c, k in names.items())
