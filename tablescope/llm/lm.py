@@ -48,6 +48,10 @@ RANGE = 1 << 21
 PENDING, STEP = 1 << 20, 1 << 17
 #: Codes of words: places among the common words, or hashes with this bit. Common bigrams have codes between.
 UNCOMMON, PAIRS = np.uint64(1 << 63), 1 << 40
+#: As many ids of targets are broadcast at most (8 bytes each for integers); more are joined by their keys, once.
+FEW_TARGETS = 1 << 20
+#: Rows whose sums come together, about, as a power of two.
+GROUP_BITS = 14
 #: The range of counts that no range asks for.
 NOWHERE = -1
 
@@ -269,7 +273,8 @@ def common_followers(documents: DataFrame, plan: Common, known: np.ndarray | Non
 
 #: The arrays of a block of words, and of a block of bigrams: words before and their numbers of followers; which followers are
 #: common, the common and the other followers, their numbers of rows; rows (twice the place, one more for targets) and counts.
-WORD_BLOCK, PAIR_BLOCK = ("u8", "u8", "u8"), ("u8", "u4", "u1", "u2", "u8", "u4", "u4", "u4")
+#: Of a block of sums: the rows' places in their group and both losses, which travel in single precision.
+WORD_BLOCK, PAIR_BLOCK, SUM_BLOCK = ("u8", "u8", "u8"), ("u8", "u4", "u1", "u2", "u8", "u4", "u4", "u4"), ("u2", "f4", "f4")
 
 
 def _packed(arrays: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
@@ -453,8 +458,12 @@ def cross_entropy_difference(
     ``range_size`` bear on how counts travel, not on results.
     """
     known = None if size is None else vocabulary(documents, size)
-    named = targets.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
-    flagged = documents.select("doc_id", "text").join(named, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    named = materialize(targets.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True)), "targets")
+    few = named.count() <= FEW_TARGETS
+    flagged = documents.select("doc_id", "text").join(F.broadcast(named) if few else named, "doc_id", "left")
+    flagged = flagged.withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    if not few:  # texts move once, not in every pass
+        flagged = materialize(flagged, "flagged")
     plan, every, of_targets = common(flagged, known, sample, range_size)
     if not of_targets:  # both models are the background
         flagged, of_targets = flagged.withColumn("is_target", F.lit(True)), every
@@ -463,12 +472,12 @@ def cross_entropy_difference(
     asked = words.filter("word < 0").select("word", "t", "a", F.explode("parts.range").alias("range"))
 
     kind = flagged.schema["doc_id"].dataType.simpleString()
-    # A range's sum of a row travels in single precision; the sums of all ranges are in double precision.
-    row_schema = {"row": "long", "doc_id": kind, "n_words": "long", "t": "float", "b": "float"}
+    row_schema = {"row": "long", "doc_id": kind, "n_words": "long", "t": "double", "b": "double"}
+    group_schema = {"group": "long", "block": "binary"} | row_schema
     schema = {"range": "long", "base": "long", "block": "binary"} | row_schema
 
     def filled(n: int, own_type: pa.DataType, **columns: object) -> pa.RecordBatch:
-        types = {"long": pa.int64(), "float": pa.float32(), "binary": pa.binary()}
+        types = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
         arrays = []
         for name, of in schema.items():
             kind_of = own_type if name == "doc_id" else types[of]
@@ -507,18 +516,36 @@ def cross_entropy_difference(
             yield from sent()
 
     def settle(found: pa.Table) -> pa.Table:
-        blocks_of = found.filter(pc.is_valid(found["block"]))
-        rows, t, b = _settled(blocks_of, plan, model)
-        whole = found.filter(pc.is_null(found["block"])).select(list(row_schema))
-        sums = [pa.array(rows, pa.int64()), pa.nulls(len(rows), whole.schema.field("doc_id").type), pa.nulls(len(rows), pa.int64()), *(pa.array(x, pa.float32()) for x in (t, b))]
-        return pa.concat_tables([whole, pa.Table.from_arrays(sums, schema=whole.schema)])
+        rows, t, b = _settled(found.filter(pc.is_valid(found["block"])), plan, model)
+        order = np.argsort(rows, kind="stable")
+        rows, t, b = rows[order], t[order], b[order]
+        groups = rows >> GROUP_BITS
+        bounds = np.append(_runs(groups), len(rows))
+        own = [(rows[i:j] & ((1 << GROUP_BITS) - 1), t[i:j], b[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
+        sums = pa.table({"group": pa.array(groups[bounds[:-1]]), "block": pa.array([_packed(x, SUM_BLOCK) for x in own], pa.binary())})
+        whole = found.filter(pc.is_null(found["block"]))
+        whole = whole.append_column("group", pc.shift_right(whole["row"], GROUP_BITS)).select(list(group_schema))
+        missing = [sums[c] if c in sums.column_names else pa.nulls(len(sums), whole.schema.field(c).type) for c in group_schema]
+        return pa.concat_tables([whole, pa.Table.from_arrays(missing, schema=whole.schema)])
+
+    def added(found: pa.Table) -> pa.Table:
+        whole = found.filter(pc.is_null(found["block"]))
+        at, sums = whole["row"].to_numpy() & ((1 << GROUP_BITS) - 1), np.zeros((2, 1 << GROUP_BITS))
+        for block in found.filter(pc.is_valid(found["block"]))["block"]:
+            rows, *losses = _unpacked(block.as_py(), SUM_BLOCK)
+            for one, loss in zip(sums, losses):
+                one += np.bincount(rows, loss, len(one))
+        for i, c in enumerate(("t", "b")):
+            place = whole.schema.get_field_index(c)
+            whole = whole.set_column(place, c, pa.array(whole[c].to_numpy() + sums[i][at]))
+        return whole.select(list(row_schema))
 
     columns = lambda names: ", ".join(f"{c} {k}" for c, k in names.items())
     numbered = flagged.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "is_target")
     parts = numbered.mapInArrow(run, columns(schema))
     parts = parts.unionByName(_word_blocks(asked), allowMissingColumns=True)
-    summed = parts.groupBy("range").applyInArrow(settle, columns(row_schema)).groupBy("row")
-    summed = summed.agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_words", "t", "b")))
+    settled = parts.groupBy("range").applyInArrow(settle, columns(group_schema))
+    summed = settled.groupBy("group").applyInArrow(added, columns(row_schema))
     mean = lambda loss: F.when(F.col("n_words") > 0, F.col(loss) / F.col("n_words")).otherwise(0.0)
     scored = summed.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
