@@ -115,3 +115,17 @@ def test_blocks_come_back(spark):
             assert before % 3 == place
             got[before, word, row] += n
     assert got == Counter(rows)
+
+
+def test_many_targets_are_joined_instead_of_broadcast(spark, monkeypatch):
+    """Text ids, clashing names, a hot id and ids of no document; the same result both ways."""
+    docs = [(None if i == 7 else f"d{i % 9}" if i < 30 else "hot", f"a b w{i} w{i % 5}" if i % 6 else None, i, "x") for i in range(60)]
+    df = table(spark, "doc_id string, text string, row long, block string", docs).repartition(4)
+    targets = table(spark, "doc_id string, word string", [("hot", "x"), ("d3", "x"), ("none", "x"), (None, "x"), ("d3", "y")])
+    names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
+    broadcast = lm.cross_entropy_difference(df, targets)
+    assert broadcast.columns == names
+    monkeypatch.setattr(lm, "FEW_TARGETS", 0)
+    joined = lm.cross_entropy_difference(df, targets)
+    key = lambda rows: sorted((str(r.doc_id), r.n_words, round(r.target_loss, 4), round(r.background_loss, 4)) for r in rows)
+    assert key(joined.collect()) == key(broadcast.collect()) and joined.count() == 60
