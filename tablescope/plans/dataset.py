@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,12 +118,7 @@ class Report:
 
 def finished_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     """The manifest of a finished result below ``path``; None if there is none."""
-    try:
-        return spark.read.schema("name string, description string, content_type string, key string").json(f"{path}/{MANIFEST}")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return sinks.read_finished(spark, f"{path}/{MANIFEST}", "name string, description string, content_type string, key string")
 
 
 def write_profile(df: DataFrame, path: str, **options) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.functions import values as V
 from tablescope.functions.values import quoted
@@ -23,6 +24,16 @@ def content_type(key: str) -> str:
     return next((CONTENT_TYPES[k] for end, k in kinds.items() if key.endswith(end)), "application/octet-stream")
 
 
+def read_finished(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The JSON table that marks a finished result; None if there is none."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def csv_ready(df: DataFrame) -> DataFrame:
     """Every cell as CSV text; nested cells as JSON."""
     cells = []

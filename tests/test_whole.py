@@ -60,6 +60,16 @@ def test_quick_report(spark, tmp_path):
     assert len(entries) == 6 and entries["results/correlations.csv"] == "text/csv"
     assert spark.read.text(f"{path}/results/report.txt").first()[0] == "Rows: 3, columns: 3"
     assert delimited.read_csv(spark, f"{path}/results/descriptive_stats.csv").count() == 2
+    written = json.loads(spark.read.text(f"{path}/results/results.json").first()[0])
+    assert written["links"]["manifest"] == f"{path}/results/manifest.json" and len(written["head"]) == 3
+    # A finished result is kept; one whose list is missing is written anew as a whole.
+    other = quick_profile(strings(spark, n=["1"], a=["5"], b=["6"]), ["n"], delimiter=";")
+    assert dict(rows(other.write(path))) == entries and spark.read.text(f"{path}/results/report.txt").first()[0] == "Rows: 3, columns: 3"
+    unfinished = str(tmp_path / "unfinished")
+    report.shape.write.json(f"{unfinished}/results/report.txt")
+    assert dict(rows(other.write(unfinished))) == entries
+    assert spark.read.text(f"{unfinished}/results/report.txt").first()[0] == "Rows: 1, columns: 3"
+    assert json.loads(other.document().first()[0])["delimiter"] == ";"
 
 
 def test_metrics_take_the_source_size(spark, tmp_path):
