@@ -166,14 +166,29 @@ def model_frame(
     return materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows")
 
 
+def category_counts(frame: DataFrame, categories: int) -> DataFrame:
+    """(column, value, n): how many rows hold each value of ``c0..``."""
+    cells = ", ".join(f"struct({i} AS column, c{i} AS value)" for i in range(categories))
+    return frame.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
 def category_dictionary(frame: DataFrame, categories: int) -> DataFrame:
     """(position, column, value, n): the values of ``c0..``, the most frequent first, ties by column and value.
 
-    It holds no more values than the rows that models are fitted on.
+    It holds no more values than the rows that models are fitted on. The values are sorted by many
+    tasks and written; a position is the place in its task's part, after all rows of the parts before.
     """
-    cells = ", ".join(f"struct({i} AS column, c{i} AS value)" for i in range(categories))
-    counted = frame.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
-    return counted.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "column", "value")) - 1)
+    # Beginnings put long texts in the same order; the bounds of the parts, which the driver holds, stay short.
+    parts = category_counts(frame, categories).repartitionByRange(F.desc("n"), "column", F.left("value", F.lit(1000)))
+    ordered = parts.sortWithinPartitions(F.desc("n"), "column", "value")
+    placed = materialize(ordered.withColumn("place", F.monotonically_increasing_id()), "dictionary")
+    # monotonically_increasing_id holds the number of the part above the lower 33 bits, which number its rows.
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    position = (F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).cast("int").alias("position")
+    return placed.join(F.broadcast(before), "part").select("column", "value", "n", position)
 
 
 def preprocessing(numbers: int, categories: int, dictionary: Sequence[str] = ()) -> list:

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 from pathlib import Path
 
 from conftest import by, rows, strings
@@ -128,6 +129,26 @@ def test_equal_rows_are_split_and_chance_is_no_success(spark, monkeypatch):
             assert sorted(r["id"] for r in report.predictions.collect()) == list(range(400))
 
 
+def test_positions_of_categories_are_settled_by_many_tasks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.range(900).selectExpr("concat('é', id % 90) AS c0", "CASE WHEN id % 3 > 0 THEN concat(id % 5, repeat('x', 1200), id) END AS c1", "string(null) AS c2")
+        found = automl.category_dictionary(frame, 3)
+        windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+        assert len(found.inputFiles()) > 1 and not any("value" in x for x in windows)
+        listed = sorted(found.collect(), key=lambda r: r["position"])
+        empty = automl.category_dictionary(frame.select("c2").toDF("c0"), 1)
+        assert empty.count() == 0 and empty.schema == found.schema
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    cells = Counter((i, r[i]) for r in frame.collect() for i in range(3) if r[i] is not None)
+    wanted = sorted(((n, c, v) for (c, v), n in cells.items()), key=lambda x: (-x[0], x[1], x[2].encode()))
+    assert [(r["n"], r["column"], r["value"]) for r in listed] == wanted and [r["position"] for r in listed] == list(range(len(wanted)))
+
+
 def test_modelling_failures_are_statuses(spark, monkeypatch):
     one = spark.range(40).selectExpr("id", "CASE WHEN id = 3 THEN 'rare' ELSE concat('c', id % 2) END AS label", "id % 5 AS x")
     assert automl.train(one, "label", key=["id"]).status in ("succeeded", "failed")
