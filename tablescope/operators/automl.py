@@ -49,6 +49,9 @@ SEED = 42
 TREES = 200
 LOGISTIC_ITERATIONS = 500
 
+# Classes with fewer rows than this are split by rank, larger ones by hash alone.
+RANKED_CLASS = 100
+
 # Labelled rows that models are fitted on, about, unless the caller says otherwise.
 FIT_ROWS = 200_000
 
@@ -223,11 +226,11 @@ def category_modes(frame: DataFrame, categories: int) -> dict[str, str]:
 
 
 def split_rows(frame: DataFrame, by_class: bool, key: Sequence[str] = (), seed: int = SEED) -> DataFrame:
-    """``frame`` (target and ``key``, or row_id) with ``held_out``: about a fifth of the rows, and of every class.
+    """``frame`` (target and ``key``, or row_id) with ``held_out``: a fifth of the rows, and of every class.
 
-    Rows are chosen by a hash of their key or number, whatever features they hold. A class's row
-    with the smallest hash is held out and the one with the largest is not, so a class of two rows
-    or more is on both sides; no class is sorted.
+    Rows are chosen by a hash of their key or number, whatever features they hold. Of a small class
+    the rows with the smallest hashes are held out, a fifth of them and at least one row if it has
+    two or more; a large class is split by the hash alone, so no class is sorted as a whole.
     """
     named_by = list(key) or ["row_id"]
     text = F.concat_ws(":", F.lit(str(seed)), *[column_of(k).cast("string") for k in named_by])
@@ -235,11 +238,13 @@ def split_rows(frame: DataFrame, by_class: bool, key: Sequence[str] = (), seed:
     limit = int(VALIDATION_SHARE * 1_000_000)
     if not by_class:
         return frame.withColumn("held_out", chance < limit)
-    place = F.struct(chance.alias("chance"), *[column_of(k) for k in named_by])
-    ends = frame.groupBy("target").agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"))
-    marked = frame.join(ends, "target")
-    chosen = ((chance < limit) | place.eqNullSafe(F.col("first_place"))) & ~place.eqNullSafe(F.col("last_place"))
-    return marked.withColumn("held_out", chosen).drop("first_place", "last_place")
+    sizes = frame.groupBy("target").agg(F.count("*").alias("__class_rows"))
+    marked = frame.join(sizes, "target").withColumn("__chance", chance)
+    large = marked.where(F.col("__class_rows") >= RANKED_CLASS).withColumn("held_out", F.col("__chance") < limit)
+    order = Window.partitionBy("target").orderBy("__chance", *[column_of(k) for k in named_by])
+    held = F.when(F.col("__class_rows") < 2, 0).otherwise(F.greatest(F.lit(1), F.round(VALIDATION_SHARE * F.col("__class_rows"))))
+    small = marked.where(F.col("__class_rows") < RANKED_CLASS).withColumn("held_out", F.row_number().over(order) <= held)
+    return large.unionByName(small).drop("__class_rows", "__chance")
 
 
 def classification_metrics(predicted: DataFrame) -> DataFrame:

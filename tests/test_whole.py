@@ -3,6 +3,7 @@ from collections import Counter
 from pathlib import Path
 
 from conftest import by, rows, strings
+from pyspark.sql import functions as F
 from tablescope import profile_dataset, quick_profile
 from tablescope.operators import automl, quality
 from tablescope.plans.dataset import write_profile
@@ -149,6 +150,15 @@ def test_positions_of_categories_are_settled_by_many_tasks(spark):
     assert [(r["n"], r["column"], r["value"]) for r in listed] == wanted and [r["position"] for r in listed] == list(range(len(wanted)))
 
 
+def test_a_fifth_of_every_small_class_is_held_out(spark):
+    sizes = {"a": 1, "b": 2, "c": 7, "d": 13, "e": 50, "f": 99}
+    df = spark.createDataFrame([(f"{c}{i}", c) for c, n in sizes.items() for i in range(n)], "chance string, target string")
+    split = automl.split_rows(df, True, ["chance"])
+    found = {r["target"]: r["held"] for r in split.groupBy("target").agg(F.count_if("held_out").alias("held")).collect()}
+    assert found == {"a": 0, "b": 1, "c": 1, "d": 3, "e": 10, "f": 20}
+    assert split.columns == ["target", "chance", "held_out"] and split.count() == sum(sizes.values())
+
+
 def test_modelling_failures_are_statuses(spark, monkeypatch):
     one = spark.range(40).selectExpr("id", "CASE WHEN id = 3 THEN 'rare' ELSE concat('c', id % 2) END AS label", "id % 5 AS x")
     assert automl.train(one, "label", key=["id"]).status in ("succeeded", "failed")
