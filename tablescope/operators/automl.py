@@ -52,6 +52,9 @@ LOGISTIC_ITERATIONS = 500
 # Classes with fewer rows than this are split by rank, larger ones by hash alone.
 RANKED_CLASS = 100
 
+# Values of this many characters or more go by their SHA-256 in the dictionary that models hold.
+NAMED_BY_HASH = 64
+
 # Labelled rows that models are fitted on, about, unless the caller says otherwise.
 FIT_ROWS = 200_000
 
@@ -194,11 +197,16 @@ def category_dictionary(frame: DataFrame, categories: int) -> DataFrame:
     return placed.join(F.broadcast(before), "part").select("column", "value", "n", position)
 
 
+def named_sql(value: str) -> str:
+    """A short name of a value, itself if short. A hash has 64 characters, so it is no other value's name."""
+    return f"CASE WHEN length({value}) < {NAMED_BY_HASH} THEN {value} ELSE sha2({value}, 256) END"
+
+
 def preprocessing(numbers: int, categories: int, dictionary: Sequence[str] = ()) -> list:
     """Stages to a ``features`` vector.
 
     Numbers: median for missing values, then standard scores. Categories: a column of its own
-    for each value (``column=value``) of the dictionary; other values are in none.
+    for each value (``column=value``, long values by their hash) of the dictionary; other values are in none.
     """
     stages, parts = [], []
     if numbers:
@@ -210,7 +218,7 @@ def preprocessing(numbers: int, categories: int, dictionary: Sequence[str] = ())
         ]
         parts.append("scaled")
     if dictionary:
-        present = ", ".join(f"concat('{i}=', c{i})" for i in range(categories))
+        present = ", ".join(f"concat('{i}=', {named_sql(f'c{i}')})" for i in range(categories))
         stages.append(SQLTransformer(statement=f"SELECT *, filter(array({present}), x -> x IS NOT NULL) AS present FROM __THIS__"))
         stages.append(CountVectorizerModel.from_vocabulary(list(dictionary), "present", "encoded").setBinary(True))
         parts.append("encoded")
@@ -218,11 +226,11 @@ def preprocessing(numbers: int, categories: int, dictionary: Sequence[str] = ())
 
 
 def category_modes(frame: DataFrame, categories: int) -> dict[str, str]:
-    """The most frequent value of each category column (one short row)."""
+    """The most frequent value of each category column, the smallest of equally frequent ones (one short row per column)."""
     if not categories:
         return {}
-    modes = frame.selectExpr(*[f"mode(c{i}, true) AS c{i}" for i in range(categories)]).first()
-    return {name: mode for name, mode in modes.asDict().items() if mode is not None}
+    most = F.min(F.struct((-F.col("n")).alias("negated"), "value"))["value"].alias("mode")
+    return {f"c{r['column']}": r["mode"] for r in category_counts(frame, categories).groupBy("column").agg(most).collect()}
 
 
 def split_rows(frame: DataFrame, by_class: bool, key: Sequence[str] = (), seed: int = SEED) -> DataFrame:
@@ -437,10 +445,11 @@ def _bounded(rows: int, fit_rows: int) -> Column:
 
 
 def _listed(frame: DataFrame, categories: int) -> list[str]:
-    """The dictionary of ``frame`` in order, as ``column=value``."""
+    """The dictionary of ``frame`` in order, as ``column=value``; long values by their hash, so no text comes to the driver."""
     if not categories:
         return []
-    return [f"{r['column']}={r['value']}" for r in category_dictionary(frame, categories).orderBy("position").collect()]
+    named = category_dictionary(frame, categories).selectExpr("position", f"concat(column, '=', {named_sql('value')}) AS name")
+    return [r["name"] for r in named.orderBy("position").collect()]
 
 
 def cluster(df: DataFrame, columns: Sequence[str] | None = None, key: Sequence[str] = (), fit_rows: int = FIT_ROWS) -> ModelReport:

@@ -1,8 +1,11 @@
+import hashlib
 import json
 from collections import Counter
 from pathlib import Path
 
 from conftest import by, rows, strings
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from tablescope import profile_dataset, quick_profile
 from tablescope.operators import automl, quality
@@ -159,6 +162,19 @@ def test_a_fifth_of_every_small_class_is_held_out(spark):
     assert split.columns == ["target", "chance", "held_out"] and split.count() == sum(sizes.values())
 
 
+def test_long_categories_are_named_by_hash_and_told_apart(spark):
+    frame = spark.range(60).selectExpr("concat(repeat('long ', 500), id % 6) AS c0", "CASE WHEN id % 2 = 0 THEN concat('s', id % 4) END AS c1", "string(null) AS c2")
+    listed = automl._listed(frame, 3)
+    assert len(listed) == len(set(listed)) == 8 and max(map(len, listed)) == 66 and {"1=s0", "1=s2"} <= set(listed)
+    assert automl.category_modes(frame, 3) == {"c0": "long " * 500 + "0", "c1": "s0"}
+    model = PipelineModel(automl.preprocessing(0, 3, listed))
+    found = model.transform(frame.union(spark.sql("SELECT repeat('long ', 500), 's1', 'x'"))).select("c0", "c1", vector_to_array("features").alias("places"))
+    for r in found.collect():
+        named = {listed[i] for i, x in enumerate(r["places"]) if x}
+        wanted = {f"0={hashlib.sha256(r['c0'].encode()).hexdigest()}", f"1={r['c1']}"} & set(listed)
+        assert named == wanted and len(named) == (0 if r["c1"] == "s1" else 1 if r["c1"] is None else 2)
+
+
 def test_modelling_failures_are_statuses(spark, monkeypatch):
     one = spark.range(40).selectExpr("id", "CASE WHEN id = 3 THEN 'rare' ELSE concat('c', id % 2) END AS label", "id % 5 AS x")
     assert automl.train(one, "label", key=["id"]).status in ("succeeded", "failed")
