@@ -14,7 +14,7 @@ from tablescope.functions.values import quoted
 from tablescope.operators import automl, correlate, describe, profile, quality, quick, report
 from tablescope.operators.cells import cells, field_types
 from tablescope.operators.quantiles import exact_quantiles, quantile_columns
-from tablescope.session import key_of, scratch_path
+from tablescope.session import key_of, materialize, scratch_path
 from tablescope.sources import delimited, files, sinks
 from tablescope.streaming.profile import start_profile
 
@@ -1131,7 +1131,7 @@ add(
 
 
 def _classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "labelled")
+    df = materialize(table(spark, sf_dir, "labelled"), "labelled")  # a join, of which several passes follow
     return automl.candidate_table(automl.train(df, "quality", key=["doc_id"]), df)
 
 

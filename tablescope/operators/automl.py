@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
@@ -34,7 +30,8 @@ from tablescope.functions import values as V
 from tablescope.functions.values import quoted
 from tablescope.operators.cells import column_of, field_types, typed_columns
 from tablescope.operators.profile import distinct_counts, kind_counts
-from tablescope.session import materialize
+from tablescope.operators.trees import SparseBoostedClassifier, SparseForestClassifier
+from tablescope.session import at_once, materialize, pinned
 
 # Fixed values of target choice and model selection.
 TARGET_HINTS = ("target", "label", "y", "class", "outcome", "response", "default", "churn")
@@ -202,7 +199,14 @@ def named_sql(value: str) -> str:
     return f"CASE WHEN length({value}) < {NAMED_BY_HASH} THEN {value} ELSE sha2({value}, 256) END"
 
 
-def preprocessing(numbers: int, categories: int, dictionary: Sequence[str] = ()) -> list:
+def present_values(categories: int, named: bool = False) -> SQLTransformer:
+    """The names of a row's categories (``column=value``); ``named`` if ``c0..`` hold names, not values."""
+    names = [f"c{i}" if named else named_sql(f"c{i}") for i in range(categories)]
+    present = ", ".join(f"concat('{i}=', {name})" for i, name in enumerate(names))
+    return SQLTransformer(statement=f"SELECT *, filter(array({present}), x -> x IS NOT NULL) AS present FROM __THIS__")
+
+
+def preprocessing(numbers: int, categories: int, dictionary: Sequence[str] = (), named: bool = False) -> list:
     """Stages to a ``features`` vector.
 
     Numbers: median for missing values, then standard scores. Categories: a column of its own
@@ -218,8 +222,7 @@ def preprocessing(numbers: int, categories: int, dictionary: Sequence[str] = ())
         ]
         parts.append("scaled")
     if dictionary:
-        present = ", ".join(f"concat('{i}=', {named_sql(f'c{i}')})" for i in range(categories))
-        stages.append(SQLTransformer(statement=f"SELECT *, filter(array({present}), x -> x IS NOT NULL) AS present FROM __THIS__"))
+        stages.append(present_values(categories, named))
         stages.append(CountVectorizerModel.from_vocabulary(list(dictionary), "present", "encoded").setBinary(True))
         parts.append("encoded")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
@@ -233,6 +236,24 @@ def category_modes(frame: DataFrame, categories: int) -> dict[str, str]:
     return {f"c{r['column']}": r["mode"] for r in category_counts(frame, categories).groupBy("column").agg(most).collect()}
 
 
+def named_frame(frame: DataFrame, categories: int) -> DataFrame:
+    """``frame`` with the names of the values of ``c0..`` in their place, so no long text is moved or kept again."""
+    return frame.withColumns({f"c{i}": F.expr(named_sql(f"c{i}")) for i in range(categories)})
+
+
+def frequent_values(named: DataFrame, frame: DataFrame, columns: Sequence[int]) -> dict[str, dict]:
+    """What ``category_modes`` says of these columns of ``named``, rows of a ``named_frame``: value and name of each."""
+    if not columns:
+        return {}
+    cells = ", ".join(f"struct({i} AS column, c{i} AS name)" for i in columns)
+    counts = named.selectExpr(f"inline(array({cells}))").where("name IS NOT NULL").groupBy("column", "name").agg(F.count("*").alias("n"))
+    most = counts.groupBy("column").agg(F.max("n").alias("n"))
+    cells = ", ".join(f"struct({i} AS column, {named_sql(f'c{i}')} AS name, c{i} AS value)" for i in columns)
+    values = frame.selectExpr(f"inline(array({cells}))").join(counts.join(F.broadcast(most), ["column", "n"]), ["column", "name"], "left_semi")
+    smallest = values.groupBy("column").agg(F.min(F.struct("value", "name")).alias("mode"))
+    return {f"c{r['column']}": r["mode"].asDict() for r in smallest.collect()}
+
+
 def split_rows(frame: DataFrame, by_class: bool, key: Sequence[str] = (), seed: int = SEED) -> DataFrame:
     """``frame`` (target and ``key``, or row_id) with ``held_out``: a fifth of the rows, and of every class.
 
@@ -286,9 +307,9 @@ def candidate_models(problem: str, classes: int, boosted_classes: int | None) ->
             "gradient_boosting_regressor": GBTRegressor(seed=SEED),
             "linear_regression": LinearRegression(),
         }
-    boosting = GBTClassifier(seed=SEED)
+    boosting = SparseBoostedClassifier(seed=SEED)
     return {
-        "random_forest_classifier": RandomForestClassifier(numTrees=TREES, seed=SEED),
+        "random_forest_classifier": SparseForestClassifier(numTrees=TREES, seed=SEED),
         "gradient_boosting_classifier": boosting if classes <= 2 else OneVsRest(classifier=boosting) if boosted_classes is None or classes <= boosted_classes else None,
         "logistic_regression": LogisticRegression(maxIter=LOGISTIC_ITERATIONS),
     }
@@ -329,7 +350,7 @@ def train(
 
     A failure of any step is reported in the status and never raised.
     """
-    counts = kind_counts(df)
+    counts = pinned(kind_counts(df))
     names = [n for n in usable_columns(df, counts) if n not in key]
     if not names:
         return _skipped("No column is left to model after those without values were taken out.")
@@ -364,12 +385,13 @@ def _compared(df, features, facts, key, fit_rows, boosted_classes, known) -> Mod
     numbers = [n for n in features if facts[n]["promoted"]]
     categories = [n for n in features if not facts[n]["promoted"]]
     frame = model_frame(df, numbers, categories, target, not by_class, key)
-    rows = frame.count()
+    filled = frame.selectExpr("count(1) AS rows", *[f"count(c{i}) AS c{i}" for i in range(len(categories))]).first()
+    rows, blank = filled["rows"], [i for i in range(len(categories)) if filled[f"c{i}"] < filled["rows"]]
     known = known | dict(rows_used=rows, features=features)
     if rows < LEAST_ROWS:
         return _skipped(f"Fewer than {LEAST_ROWS} rows hold a target and a feature.", **known)
 
-    split = materialize(split_rows(frame, by_class, key), "split")
+    split = materialize(split_rows(named_frame(frame, len(categories)), by_class, key), "split")
     learned = split.where("NOT held_out")
     if by_class:
         seen = split.groupBy("target").agg(F.count_if(~F.col("held_out")).alias("n")).selectExpr("count_if(n = 0) AS unseen", "count(1) AS n").first()
@@ -381,19 +403,24 @@ def _compared(df, features, facts, key, fit_rows, boosted_classes, known) -> Mod
 
     def prepared(part: DataFrame) -> tuple[dict, list]:
         """Modes and fitted stages from these rows alone."""
-        modes = category_modes(part, len(categories))
-        part = part.na.fill(modes)
-        stages = Pipeline(stages=preprocessing(len(numbers), len(categories), _listed(part, len(categories)))).fit(part).stages
+        modes = frequent_values(part, frame, blank)
+        part = part.na.fill(_each(modes, "name"))
+        stages = Pipeline(stages=preprocessing(len(numbers), len(categories), _listed(part, len(categories), named=True), named=True)).fit(part).stages
         return modes, [*stages, *label]
 
     def ready(part: DataFrame, modes: dict, stages: list) -> DataFrame:
-        out = PipelineModel(stages).transform(part.na.fill(modes))
-        return (out if by_class else out.withColumn("label", F.col("target"))).select("features", "label")
+        out = PipelineModel(stages).transform(part.na.fill(_each(modes, "name")))
+        # Without the names of all features, which every later plan would hold on the driver.
+        return (out if by_class else out.withColumn("label", F.col("target"))).select(F.col("features").alias("features", metadata={}), "label")
 
     modes, stages = prepared(learned)
-    fitted_on, judged_on = ready(learned, modes, stages).persist(), ready(split.where("held_out"), modes, stages).persist()
+    # Written rows leave nothing of the long plans behind them on the driver.
+    held = partial(materialize, name="ready") if by_class else DataFrame.persist
+    fitted_on, judged_on = held(ready(learned, modes, stages)), held(ready(split.where("held_out"), modes, stages))
     models = candidate_models(problem, facts[target]["distinct"], boosted_classes)
-    tried = [_evaluate(n, m, fitted_on, judged_on, problem) for n, m in models.items()]
+    steps = [partial(_evaluate, n, m, fitted_on, judged_on, problem) for n, m in models.items()]
+    # Spark's own tree learners keep all rows and columns in memory, so those of a regression follow one another.
+    tried = at_once(df.sparkSession, *steps) if by_class else [step() for step in steps]
     fitted_on.unpersist()
     judged_on.unpersist()
     score = "accuracy" if by_class else "r2"
@@ -405,10 +432,13 @@ def _compared(df, features, facts, key, fit_rows, boosted_classes, known) -> Mod
     if by_class and max(c["metrics"][score] for c in scored) == 0:
         return ModelReport("failed", "No candidate told any held-out row's class.", **known)
     modes, stages = prepared(everything)
-    model = PipelineModel([*stages, models[best].fit(ready(everything, modes, stages))])
+    last = ready(everything, modes, stages)
+    fitted = models[best].fit(held(last) if by_class else last)
+    # Rows that are predicted hold values, not their names.
+    model = PipelineModel([*(present_values(len(categories)) if isinstance(s, SQLTransformer) else s for s in stages), fitted])
     return ModelReport(
         "succeeded", "The best of the candidates was fitted to all rows.", best=best, model=model,
-        predictions=predictions(model, frame.na.fill(modes), problem, key), **known,
+        predictions=predictions(model, frame.na.fill(_each(modes, "value")), problem, key), **known,
     )
 
 
@@ -444,12 +474,20 @@ def _bounded(rows: int, fit_rows: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED + 1), "row_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / rows))
 
 
-def _listed(frame: DataFrame, categories: int) -> list[str]:
-    """The dictionary of ``frame`` in order, as ``column=value``; long values by their hash, so no text comes to the driver."""
+def _each(modes: dict[str, dict], part: str) -> dict[str, str]:
+    return {c: mode[part] for c, mode in modes.items()}
+
+
+def _listed(frame: DataFrame, categories: int, named: bool = False) -> list[str]:
+    """The dictionary of ``frame`` in order, as ``column=value``; long values by their hash, so no text comes to the driver.
+
+    ``named`` if ``frame`` holds names already; then equally frequent long values are in the order of their names.
+    """
     if not categories:
         return []
-    named = category_dictionary(frame, categories).selectExpr("position", f"concat(column, '=', {named_sql('value')}) AS name")
-    return [r["name"] for r in named.orderBy("position").collect()]
+    name = "value" if named else named_sql("value")
+    names = category_dictionary(frame, categories).selectExpr("position", f"concat(column, '=', {name}) AS name")
+    return names.orderBy("position").select("name").toArrow()["name"].to_pylist()
 
 
 def cluster(df: DataFrame, columns: Sequence[str] | None = None, key: Sequence[str] = (), fit_rows: int = FIT_ROWS) -> ModelReport:
