@@ -52,7 +52,7 @@ RANKED_CLASS = 100
 # Values of this many characters or more go by their SHA-256 in the dictionary that models hold.
 NAMED_BY_HASH = 64
 
-# Labelled rows that models are fitted on, about, unless the caller says otherwise.
+# Rows that clusters are fitted on, about, unless the caller says otherwise.
 FIT_ROWS = 200_000
 
 
@@ -335,18 +335,19 @@ def train(
     df: DataFrame,
     target: str | None = None,
     key: Sequence[str] = (),
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int | None = None,
     max_classes: int | None = None,
     boosted_classes: int | None = None,
 ) -> ModelReport:
     """Choose a target, compare three models on held-out rows, refit the best on all rows.
 
     ``key`` names columns that identify a row; they are no features and come with the
-    predictions, with ``row_id``. ``fit_rows`` bounds, about, the labelled rows that models are
-    fitted on, chosen by hash, and with them the categories that are told apart; counts,
-    held-out rows and predictions still cover all. On request, a target with more than
-    ``max_classes`` classes is not modelled, and one with more than ``boosted_classes`` is not
-    boosted, which takes a fit for each class.
+    predictions, with ``row_id``. Models are fitted on all labelled rows and tell all their
+    categories apart. On request, ``fit_rows`` bounds, about, the labelled rows that models are
+    fitted on, chosen by hash, and with them these categories; counts, held-out rows and
+    predictions still cover all. On request, a target with more than ``max_classes`` classes is
+    not modelled, and one with more than ``boosted_classes`` is not boosted, which takes a fit
+    for each class.
 
     A failure of any step is reported in the status and never raised.
     """
@@ -397,7 +398,9 @@ def _compared(df, features, facts, key, fit_rows, boosted_classes, known) -> Mod
         seen = split.groupBy("target").agg(F.count_if(~F.col("held_out")).alias("n")).selectExpr("count_if(n = 0) AS unseen", "count(1) AS n").first()
         if seen["unseen"] or seen["n"] < 2:
             return ModelReport("failed", "Training rows must hold every class, and two at least.", **known)
-    learned, everything = learned.where(_bounded(rows, fit_rows)), split.where(_bounded(rows, fit_rows))
+    everything = split
+    if fit_rows is not None:
+        learned, everything = learned.where(_bounded(rows, fit_rows)), split.where(_bounded(rows, fit_rows))
     # Class numbers cover all rows; they say nothing about features.
     label = [StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc").fit(split)] if by_class else []
 

@@ -75,6 +75,15 @@ def test_classifiers_hold_what_rows_hold(spark):
     assert held < 100 * rows
 
 
+def test_models_are_fitted_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(automl, "TREES", 2)
+    monkeypatch.setattr(automl, "LOGISTIC_ITERATIONS", 5)
+    df = spark.range(120).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'a' ELSE 'b' END AS label", "id % 3 AS x")
+    asked = []
+    monkeypatch.setattr(automl, "_bounded", lambda *given, real=automl._bounded: asked.append(given) or real(*given))
+    assert automl.train(df, "label", key=["id"]).status == "succeeded" and not asked
+
+
 def test_names_stand_for_values_and_modes_are_the_same(spark):
     frame = spark.range(40).selectExpr("CASE WHEN id % 4 > 0 THEN concat(repeat('long ', 40), id % 5) END AS c0", "CASE WHEN id > 9 THEN concat('v', id) END AS c1", "string(null) AS c2")
     named = automl.named_frame(frame, 3)
