@@ -428,11 +428,15 @@ def _grown(blocks: DataFrame, level: _Level, trees: int, depth: int, least: int,
     grown = [Tree() for _ in range(trees)]
     level.trees, level.slots = [()] * trees, [np.empty(0, np.int32)] * trees
     stats = np.zeros((trees, width))
-    for r in blocks.mapInArrow(_sums(level, True), _SUMS).repartition("slot").mapInArrow(_added, _SUMS).collect():
+    sums = blocks.mapInArrow(_sums(level, True), _SUMS)
+    if level.classes:
+        sums = sums.repartition("slot").mapInArrow(_added, _SUMS)
+    # Without classes there is a row for a tree and block, so no exchange, which keeps a thread of the driver for a minute.
+    for r in sorted(sums.collect(), key=lambda r: r["block"]):
         if level.classes:
             stats[r["slot"], r["class"]] = r["n"]
         else:
-            stats[r["slot"]] = r["n"], r["total"], r["squares"]
+            stats[r["slot"]] += r["n"], r["total"], r["squares"]
     with np.errstate(divide="ignore", invalid="ignore"):
         open_nodes = [(t, tree.add(s, float(i))) for t, (tree, s, i) in enumerate(zip(grown, stats, impurity(stats), strict=True)) if _size(s, level.classes) > 0]
     for d in range(depth):
