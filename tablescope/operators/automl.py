@@ -408,7 +408,7 @@ def _compared(df, features, facts, key, fit_rows, boosted_classes, known) -> Mod
         """Modes and fitted stages from these rows alone."""
         modes = frequent_values(part, frame, blank)
         part = part.na.fill(_each(modes, "name"))
-        stages = Pipeline(stages=preprocessing(len(numbers), len(categories), _listed(part, len(categories), named=True), named=True)).fit(part).stages
+        stages = Pipeline(stages=preprocessing(len(numbers), len(categories), _listed(part, len(categories), named=True), True)).fit(part).stages
         return modes, [*stages, *label]
 
     def ready(part: DataFrame, modes: dict, stages: list) -> DataFrame:
